@@ -28,11 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize
+from lectern.llm.common import checked_broadcast, materialize, row_key
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 19
-#: Rows of a side at most that a join sends to every task; beyond, both sides shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -40,11 +38,6 @@ def words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+")
 
 
-def row_key(df_id: str = "doc_id", text: str = "text") -> Column:
-    """Rows with the same id and text are one document."""
-    return F.xxhash64(F.coalesce(F.col(df_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-
-
 def shingle_hashes(w: Column, width: int) -> Column:
     """Hash of each run of ``width`` words in the array ``w``."""
     starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
@@ -68,11 +61,6 @@ def block_values(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*parts)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast only if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _need(m: Column, threshold: float) -> Column:
     return F.ceil(m * F.lit(2 * threshold / (1 + threshold)) - F.lit(1e-9))
 

@@ -23,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize
-from lectern.llm.decontam import checked_broadcast, row_key
+from lectern.llm.common import checked_broadcast, materialize, row_key
 
 KEY = "lectern"
 ROUNDS = 20
@@ -111,7 +110,7 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 def _same_format(form: Column, stream: Column) -> Column:
     """Each character by one of the same class."""
-    hexed = form.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$")
+    hexed = form.rlike("^[0-9a-f:]{16,}$|^[0-9A-F]{16,}$")
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(stream, i)
@@ -125,16 +124,17 @@ def _same_format(form: Column, stream: Column) -> Column:
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Column:
-    """Replacement, in canonical form, of a unit."""
+    """Replacement, in canonical form, of a unit; retries of short forms grow longer."""
     stream = _stream(kind, form, attempt, key)
     n = F.sequence(F.lit(0), F.lit(3))
     four = F.transform(n, lambda i: F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
     ip = F.array_join(F.transform(four, lambda x: (x % 254 + 1).cast("string")), ".")
     tld = F.regexp_extract(form, r"\.(com|net|org)$", 1)
     local, label = F.regexp_extract(form, "^([^@]*)@", 1), F.regexp_extract(form, "@([^.]*)", 1)
-    email = F.concat(_same_format(local, stream), F.lit("@"), _same_format(label, F.sha2(stream.cast("binary"), 256)), F.lit(".example."), F.when(tld == "", "org").otherwise(tld))
-    latin = F.array_join(F.transform(F.slice(four, 1, 3), lambda x: F.get(F.lit(SYLLABLES), x % len(SYLLABLES))), "")
-    made = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: _pick(alphabet, _byte(stream, i))), "")
+    more = F.when(attempt > 0, F.substr(F.translate(F.sha1(stream.cast("binary")), "0123456789", "ghijklmnop"), F.lit(1), attempt)).otherwise(F.lit(""))
+    email = F.concat(_same_format(local, stream), more, F.lit("@"), _same_format(label, F.sha2(stream.cast("binary"), 256)), F.lit(".example."), F.when(tld == "", "org").otherwise(tld))
+    latin = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.get(F.lit(SYLLABLES), _byte(stream, i) % len(SYLLABLES))), "")
+    made = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 5), lambda i: _pick(alphabet, _byte(stream, i))), "")
     script = F.when(form.rlike(r"\p{IsCyrillic}"), "c").when(form.rlike(r"\p{IsGreek}"), "g").otherwise("l")
     root = F.when(script == "c", made(CYRILLIC)).when(script == "g", made(GREEK)).otherwise(latin)
     last = (

@@ -65,6 +65,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data, and what kinds were replaced."""
+    from lectern.llm.pii import pseudonymize
+
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document by deleted interpolation."""
     from lectern.llm.lm import score
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_urls": op6_urls,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_lm": op9_lm,
     "op10_html": op10_html,
 }

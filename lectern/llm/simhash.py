@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, components, materialize
+from lectern.llm.common import bound_batches, components, materialize, row_key
 
 THRESHOLD = 2
 #: Bits of a half that the code covers, and the mask of them.
@@ -201,15 +201,40 @@ def links(vertices: DataFrame) -> DataFrame:
     return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def _components(marked: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` of the rows ``marked(doc_id, fp)``."""
+    vertices = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-v")
+    roots = components(materialize(links(vertices), "simhash-e"))
+    joined = vertices.join(roots.withColumnRenamed("node", "fp"), "fp")
+    ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("id")), "root").select("fp", "id")
+    return vertices.join(ids, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``.
 
     component_id: the smallest doc_id that links reach, itself included.
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "simhash")
-    vertices = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-v")
-    roots = components(materialize(links(vertices), "simhash-e"))
-    joined = vertices.join(roots.withColumnRenamed("node", "fp"), "fp")
-    ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("id")), "root").select("fp", "id")
-    named = vertices.join(ids, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(_components(marked), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of ``docs``, all columns, of each component: that of its smallest doc_id.
+
+    Of several rows with that id, the one whose row hash is least stays, and of equal rows one.
+    """
+    keyed = docs.withColumn("row_key", row_key())
+    marked = materialize(fingerprints(keyed.select("doc_id", "text", "row_key"), width).select("doc_id", "row_key", "fp"), "simhash")
+    named = marked.join(_components(marked), "fp", "left")
+    leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # groups of rows without any id have component null: told apart by fingerprint
+    group = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = leads.groupBy("component_id", group.alias("g")).agg(F.min("row_key").alias("row_key"))
+    equal = marked.groupBy("row_key").count().where("count > 1").select("row_key", F.lit(True).alias("equal_rows"))
+    kept = materialize(kept.select("row_key").join(equal, "row_key", "left"), "simhash-kept")
+    rows = keyed.join(kept, "row_key")
+    if kept.where("equal_rows").isEmpty():
+        return rows.select(*docs.columns)
+    alone, equal_rows = rows.where(F.col("equal_rows").isNull()), rows.where("equal_rows").dropDuplicates(["row_key"])
+    return alone.select(*docs.columns).unionByName(equal_rows.select(*docs.columns))
