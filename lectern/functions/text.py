@@ -84,7 +84,7 @@ def strip_tags(value: Column | str) -> Column:
 
 def split_values(value: Column | str, sign: str = ";") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(text_of(value), sign), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_of(value), sign), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_values(values: Column) -> Column:
@@ -94,7 +94,7 @@ def distinct_values(values: Column) -> Column:
 
 
 def join_values(values: Column) -> Column:
-    return F.array_join(F.filter(F.transform(values, F.trim), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
 def year_of(value: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +99,6 @@ def cache_state(papers: DataFrame, store: DataFrame) -> DataFrame:
 
 def embed(papers: DataFrame, encoder, text: Column, dims: int) -> DataFrame:
     """``papers`` with a vector from ``encoder(list of texts) -> array``, in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out = np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)

@@ -83,7 +83,7 @@ def article_fields(html: Column | str) -> list[Column]:
     words = F.flatten(F.transform(F.concat(meta(html, "keywords"), meta(html, "dc.subject")), lambda k: F.split(k, "[;,]")))
     return [
         squeeze(one("dc.title")).alias("title"), strip_tags(one("dc.description")).alias("abstract"), one("prism.publicationName").alias("venue"), one("citation_doi").alias("doi"),
-        F.substr(one("dc.date"), F.lit(1), F.lit(4)).alias("year"), meta(html, "dc.creator").alias("authors"), F.array_distinct(F.filter(F.transform(words, F.trim), lambda w: w != "")).alias("keywords"),
+        F.substr(one("dc.date"), F.lit(1), F.lit(4)).alias("year"), meta(html, "dc.creator").alias("authors"), F.array_distinct(F.filter(F.transform(words, lambda x: F.trim(x)), lambda w: w != "")).alias("keywords"),
     ]
 
 
