@@ -3,43 +3,23 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.durable import materialize, shared_dir
+from lectern.operators.graph import components
+
+__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "large_batches", "materialize", "row_key", "shared_dir", "single_threaded"]
+
 #: Rows in one Arrow batch at most; texts may be long, so far below Spark's default.
 BATCH_ROWS = 1000
 #: Rows of a side at most that a join sends to every task; beyond, both sides shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A temporary folder is set only where the session names none (local tests).
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a new Parquet table in the shared folder and read it back.
-
-    Cuts the lineage durably: a lost executor never causes a rerun of what lies before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small enough for very long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -78,31 +58,3 @@ def row_key(df_id: str = "doc_id", text: str = "text") -> Column:
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, root the least node.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each round only
-    aggregates and joins, so no component meets in one task; the number of rounds grows
-    with the logarithm of the graph. Each round is a durable table.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = materialize(pairs, "cc")
-    mark = None
-    for _ in range(max_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u <> v").distinct(), "cc")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
