@@ -7,7 +7,7 @@ magnitude). They are learnt by expectation-maximisation on the tokens of the dev
 documents (every tenth of the training documents), with the counts of those documents
 deleted from the model; the final model counts all training documents.
 
-Dataflow. Documents become blocks of about 16 MB, written once. From each block its
+Dataflow. Documents become blocks of about 6 MB, written once. From each block its
 distinct n-grams (64-bit hashes) go, sorted, delta-coded and cut into hash ranges, to the
 reducers; these return each block the corpus counts of its own n-grams, as small integers
 in the same order. So an n-gram crosses the network once a block, not once a use, whatever
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import bound_batches, crc_mod, large_batches, materialize
 
 #: Characters of the corpus for each range of hashes, and bytes of a block.
-RANGE_CHARS, BLOCK_BYTES = 16_000_000, 16 << 20
+RANGE_CHARS, BLOCK_BYTES = 8_000_000, 6 << 20
 #: Development documents: this remainder by 10; held-out ones have remainder 0.
 DEVELOPMENT = 9
 DEFAULT = (0.4, 0.4, 0.2)
@@ -281,6 +281,6 @@ def score(docs: DataFrame) -> DataFrame:
     grid = paired("dev", cells, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     table = np.array([tuple(r) for r in grid.collect()], dtype=float).reshape(-1, 4)
     table[:, 1:3] = np.where(table[:, 1:3] <= -9999, -np.inf, table[:, 1:3] * STEP)
-    weights = learn_weights(table)
+    weights = learn_weights(table) if n else np.tile(np.array([0.0, 0.0, 1.0]), (BUCKETS, 1))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return paired("true", scores, schema)
