@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.graph import components
 
-__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "large_batches", "materialize", "row_key", "shared_dir", "single_threaded"]
+__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "row_key", "shared_dir", "single_threaded"]
 
 #: Rows in one Arrow batch at most; texts may be long, so far below Spark's default.
 BATCH_ROWS = 1000
@@ -58,3 +58,21 @@ def row_key(df_id: str = "doc_id", text: str = "text") -> Column:
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``left`` left-joined with ``right``, which has one row a key and ``n``, the key's rows in ``left``.
+
+    Keys with more than 1 / ``share`` of the ``total`` rows are fewer than ``share``, so their
+    rows of ``right`` are broadcast; the rows of ``left`` that they match are dealt evenly. No
+    other key is large enough to burden a task.
+    """
+    names = [c for c in right.columns if c not in (key, "n")]
+    value = F.struct(*names)
+    hot = right.where(F.col("n") > total / share).select(key, value.alias("_hot"))
+    rest = right.where(F.col("n") <= total / share).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), value.alias("_rest"))
+    dealt = left.join(F.broadcast(hot), key, "left")
+    is_hot = F.col("_hot").isNotNull()
+    dealt = dealt.withColumn("_key", F.when(~is_hot, F.col(key))).withColumn("_deal", F.when(is_hot, F.monotonically_increasing_id() + 1).otherwise(0))
+    out = dealt.join(rest, ["_key", "_deal"], "left")
+    return out.select(*left.columns, *(F.coalesce(f"_hot.{n}", f"_rest.{n}").alias(n) for n in names))

@@ -12,6 +12,10 @@ Rows with the same fingerprint become one vertex before anything is replicated,
 group of exact copies costs one row. A group of near copies is compared per anchor, and
 only a spanning forest of its links leaves the task, never all pairs.
 
+``keep_representatives``, the filter for pipelines, also links by similarity: pairs come
+from the same covering on a wide fingerprint of distinct words, and the exact Jaccard
+similarity of five-word shingle sets verifies them.
+
 Edge cases: a null or empty text has fingerprint zero and links like any other; repeated
 rows share a component; a null doc_id keeps its row, and counts for a component's
 smallest id only if there is no other; extra columns are ignored.
@@ -25,16 +29,20 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, components, materialize, row_key
+from lectern.llm.common import bound_batches, checked_broadcast, components, join_skewed, materialize, row_key
 
 THRESHOLD = 2
 #: Bits of a half that the code covers, and the mask of them.
 CODE_BITS, CODE_MASK = 31, (1 << 31) - 1
 #: Groups over this size are compared in blocks of rows.
 BLOCK = 512
+#: Near copies by similarity: least Jaccard similarity of sets of shingles of so many words,
+#: least hashes of a sketch, blocks of the wide fingerprint, partners of a text at an anchor.
+SIMILARITY, SIMILAR_WIDTH, MINS, WIDE_BLOCKS, PARTNERS = 0.8, 5, 4, 24, 2
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -202,12 +210,12 @@ def links(vertices: DataFrame) -> DataFrame:
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` of the rows ``marked(doc_id, fp)``."""
-    vertices = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-v")
+    """``(fp, component_id, n)`` of the rows ``marked(doc_id, fp)``; n: rows with the fingerprint."""
+    vertices = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-v")
     roots = components(materialize(links(vertices), "simhash-e"))
     joined = vertices.join(roots.withColumnRenamed("node", "fp"), "fp")
     ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("id")), "root").select("fp", "id")
-    return vertices.join(ids, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+    return vertices.join(ids, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -216,21 +224,191 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     component_id: the smallest doc_id that links reach, itself included.
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "simhash")
-    return marked.join(_components(marked), "fp", "left").select("doc_id", "fp", "component_id")
+    return join_skewed(marked, _components(marked), "fp", marked.count()).select("doc_id", "fp", "component_id")
+
+
+# --- near copies by similarity ------------------------------------------------------------
+
 
+def batch_words(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text begins (and the last ends)."""
+    import xxhash
+
+    column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(len(lists) + 1, np.int64)
+    coded = flat.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) if w else 0 for w in names), np.uint64, len(names))
+    index = coded.indices.to_numpy()
+    real = ~np.array([w == "" for w in names])[index]
+    return hashes[index][real], np.r_[0, np.cumsum(real)][bounds]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def shingles_of(words: np.ndarray, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """Distinct hashes of the shingles of one text; fewer words than ``width``: of the whole."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    h = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - width + 1 + k])
+    return np.unique(h)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row_key, fp, vertex, mins)``: vertex: hash of the sequence of words; mins: least hashes of the shingles under MINS orders."""
+    bound_batches(docs.sparkSession)
+    salts = _mix(np.arange(1, MINS + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = batch_words(b.column("text"))
+            vertex, mins = np.zeros(b.num_rows, np.uint64), []
+            for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
+                own = words[s:e]
+                vertex[i] = _mix(_mix(own + np.arange(len(own), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(own)))
+                h = shingles_of(own)
+                mins.append([int(_mix(h ^ x).min()) >> 1 for x in salts] if len(h) else [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "vertex", "mins"]
+            )
+
+    rows = fingerprints(docs.select(F.col("doc_id").cast("long"), "text", "row_key"))
+    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "doc_id long, row_key long, fp long, vertex long, mins array<long>")
+
+
+def wide_blocks(words: np.ndarray, blocks: int = WIDE_BLOCKS) -> list[int]:
+    """A SimHash of the distinct words, in blocks of CODE_BITS bits."""
+    h = np.unique(words)
+    out = []
+    for k in range((blocks + 1) // 2):
+        bits = np.unpackbits(_mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        fp = int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(h), bitorder="little").view(np.uint64)[0])
+        out += [fp & CODE_MASK, fp >> 32 & CODE_MASK]
+    return out[:blocks]
+
+
+def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) of ``vertices(vertex, row_key, mins)``, texts from ``docs(row_key, text)``.
+
+    Pairs come from anchor covering on a wide fingerprint of distinct words: a pair meets if
+    it differs in at most one bit of one of WIDE_BLOCKS blocks. Texts that share none of MINS
+    least hashes with any other are left out before (at the threshold 1 in 600 is missed).
+    Each pair is verified by the exact Jaccard similarity of the shingle sets.
+    """
+    each = vertices.select("vertex", F.posexplode("mins").alias("order", "least"))
+    shared = each.groupBy("order", "least").count().where("count > 1").select("order", "least")
+    some = each.join(shared, ["order", "least"]).select("vertex").distinct()
+    some = materialize(vertices.select("vertex", "row_key").join(some, "vertex", "left_semi"), "similar-some")
 
-def keep_representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = batch_words(b.column("text"))
+            parts = [words[s:e] for s, e in zip(at[:-1], at[1:])]
+            sets = [shingles_of(p).view(np.int64) for p in parts]
+            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array([wide_blocks(p) for p in parts], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "blocks", "shingles"])
+
+    texts = docs.join(checked_broadcast(some), "row_key")
+    rows = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, blocks array<long>, shingles array<long>"), "similar")
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grid = b.column("blocks").flatten().to_numpy().reshape(b.num_rows, -1)
+            owner = b.column("vertex").to_numpy()
+            for k in range(grid.shape[1]):
+                masks = FLIPS[_syndrome(grid[:, k])]
+                used = masks >= 0
+                key = ((grid[:, k][:, None] ^ masks) | (k << 32))[used]
+                for i in range(0, len(key), 100_000):
+                    spread = lambda x: np.broadcast_to(x[:, None], used.shape)[used][i : i + 100_000]  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(spread(owner)), pa.array(spread(grid[:, k]))], ["anchor", "vertex", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            k, v, x = (np.r_[h, b.column(n).to_numpy(zero_copy_only=False)] for h, n in zip(held, ("anchor", "vertex", "bits")))
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            held = [k[cut:], v[cut:], x[cut:]]
+            yield _pairs_by_anchor(k[:cut], v[:cut], x[:cut])
+        yield _pairs_by_anchor(*held)
+
+    spread = rows.select("vertex", "blocks").mapInArrow(replicate, "anchor long, vertex long, bits long")
+    pairs = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    sets = rows.select("vertex", "shingles").dropDuplicates(["vertex"])
+    both = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
+    near = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(near).where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _pairs_by_anchor(keys: np.ndarray, owners: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """For rows sorted by anchor: each member with the first homes of the anchor that it differs from by one bit at most.
+
+    A member gets a few partners at each anchor, never all; larger groups connect through
+    their many anchors.
+    """
+    s = _syndrome(bits)
+    home = (bits ^ np.where(s > 0, np.left_shift(1, np.maximum(s - 1, 0)), 0)) == (keys & CODE_MASK)
+    a, b = [], []
+    order = np.lexsort((owners, bits, ~home, keys))
+    k, v, x, h = keys[order], owners[order], bits[order], home[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+    group = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1 if len(k) else np.zeros(0, int)
+    place = np.arange(len(k)) - first[group] if len(k) else group
+    for lag in range(PARTNERS):  # the lag-th home of each anchor with all members behind it
+        at = np.minimum(first[group] + lag, len(k) - 1) if len(k) else group
+        fine = (place > lag) & h[at] & (np.bitwise_count(x ^ x[at]) <= 1) if len(k) else np.zeros(0, bool)
+        a.append(v[at[fine]])
+        b.append(v[fine])
+    for lag in (1, 2):  # and each with its next ones
+        fine = np.flatnonzero((k[lag:] == k[:-lag]) & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= 1)) if len(k) > lag else np.zeros(0, int)
+        a.append(v[fine])
+        b.append(v[fine + lag])
+    x, y = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)][x != y], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """``(vertex, component_id, group, n)`` of ``marked``: components by equal words, by fingerprints within THRESHOLD and by similarity.
+
+    docs: (row_key, text). group: a vertex of the component, for rows without any id.
+    """
+    vertices = marked.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("n"))
+    vertices = materialize(vertices, "similar-v")
+    lead = vertices.groupBy("fp").agg(F.min("vertex").alias("a"))
+    same = vertices.join(lead, "fp").where("a <> vertex").select("a", F.col("vertex").alias("b"))
+    linked = links(lead).join(lead.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(same.unionByName(linked).unionByName(similar_links(vertices, docs, threshold)))
+    named = vertices.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("group", F.coalesce("root", "vertex"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return materialize(named.select("vertex", "group", "n").join(ids, "group").select("vertex", "component_id", "group", "n"), "similar-c")
+
+
+def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row of ``docs``, all columns, of each component: that of its smallest doc_id.
 
-    Of several rows with that id, the one whose row hash is least stays, and of equal rows one.
+    Components join rows with equal words, with fingerprints within THRESHOLD bits, and with
+    shingle sets of ``threshold`` similarity or more. Of several rows with the id, the one
+    whose row hash is least stays, and of equal rows one.
     """
     keyed = docs.withColumn("row_key", row_key())
-    marked = materialize(fingerprints(keyed.select("doc_id", "text", "row_key"), width).select("doc_id", "row_key", "fp"), "simhash")
-    named = marked.join(_components(marked), "fp", "left")
+    marked = materialize(sketches(keyed.select("doc_id", "text", "row_key")), "simhash")
+    named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, keyed.select("row_key", "text"), threshold), "vertex", marked.count())
     leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # groups of rows without any id have component null: told apart by fingerprint
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = leads.groupBy("component_id", group.alias("g")).agg(F.min("row_key").alias("row_key"))
+    kept = leads.groupBy("group").agg(F.min("row_key").alias("row_key"))
     equal = marked.groupBy("row_key").count().where("count > 1").select("row_key", F.lit(True).alias("equal_rows"))
     kept = materialize(kept.select("row_key").join(equal, "row_key", "left"), "simhash-kept")
     rows = keyed.join(kept, "row_key")

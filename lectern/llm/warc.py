@@ -2,7 +2,8 @@
 
 Writer. Each record is a gzip member of its own. Payloads are compared by SHA-1 digest;
 the record of the smallest page_id is the response, equal ones are revisits that name it.
-The payload is compressed before the one shuffle (on the digest), so it travels small.
+The payload is compressed before the one shuffle (on the digest), so it travels small; rows
+of a very frequent payload are dealt evenly.
 
 Reader. A task gets a byte range of one archive, scans it for the gzip magic number,
 validates a candidate by decoding its start as a WARC version line and headers, and owns
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, shared_dir
+from lectern.llm.common import bound_batches, join_skewed, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive for each task, of one read, and of a record's header at most.
@@ -88,7 +89,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     bound_batches(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long"), "url", "html")
     first = plain.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha"))
-    first = first.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
+    first = first.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
             yield pa.RecordBatch.from_pylist([{"file": posixpath.join(folder, name), "size": size, "records": n}])
 
     made = plain.mapInArrow(compress, "page_id long, url string, sha binary, bytes long, member binary")
-    ready = made.join(first, "sha", "left")
+    ready = join_skewed(made, first, "sha", pages.count())
     return ready.select("sha", "page_id", "url", "bytes", "member", "first").mapInArrow(write, "file string, size long, records long")
 
 

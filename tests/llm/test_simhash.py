@@ -112,3 +112,40 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, "A b c d e f", "en"), (5, "quite another text here now", "en"), (None, "nobody has this one text", "en")], key=str)
     assert simhash.keep_representatives(df.where("doc_id < 0")).count() == 0
     assert simhash.near_duplicates(df.where("doc_id < 0")).count() == 0
+
+
+def test_similar_texts_join_and_others_stay(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st".split()) + str(rng.randrange(500))
+    rows, families = [], []
+    for f in range(25):
+        base = [word() for _ in range(rng.randrange(60, 200))]
+        family = [base]
+        for k in range(4):
+            copy = list(base)
+            if k == 1:
+                copy[rng.randrange(len(copy))] = word()
+            elif k == 2:
+                copy = copy[: int(len(copy) * 0.93)]
+            elif k == 3:
+                at = rng.randrange(len(copy) // 2)
+                copy[at : at + len(copy) // 3] = [word() for _ in range(len(copy) // 3)]
+            family.append(copy)
+        for copy in family:
+            rows.append((len(rows), " ".join(copy)))
+        families.append(range(len(rows) - 5, len(rows)))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for _, t in rows]
+    want = set()
+    for own in families:
+        groups = []
+        for i in own:
+            near = [g for g in groups if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in g)]
+            groups = [g for g in groups if g not in near] + [sum(near, [i])]
+        want |= {min(g) for g in groups}
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want
