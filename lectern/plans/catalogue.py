@@ -469,3 +469,89 @@ def consume_candidates(spark, sf_dir):
     return ingest.consume_candidates(d.where("position % 2 = 0"), d).select("candidate", "position")
 
 
+
+
+# --- more identity, deltas, runs, streams ----------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT position, {N('title')} AS title_key, CASE WHEN position % 4 = 0 THEN year ELSE 2020 END AS year, CASE WHEN position % 3 = 0 THEN '10.1/' || position % 40 ELSE '' END AS doi FROM {P}),
+y AS (SELECT title_key, year, count(DISTINCT doi) AS n, min(doi) AS d FROM p WHERE doi <> '' GROUP BY ALL), t AS (SELECT title_key, count(DISTINCT doi) AS nt, min(doi) AS dt, max(CASE WHEN year = 0 THEN doi END) AS d0 FROM p WHERE doi <> '' GROUP BY ALL)
+SELECT position, coalesce('doi:' || CASE WHEN doi <> '' THEN doi WHEN n = 1 THEN d WHEN n IS NULL AND nt = 1 AND (p.year = 0 OR d0 IS NOT NULL) THEN dt END, 'title|' || p.title_key || '|' || p.year) AS publication
+FROM p LEFT JOIN y ON y.title_key = p.title_key AND y.year = p.year LEFT JOIN t ON t.title_key = p.title_key""")
+def resolve_publications(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    year = F.when(F.col("position") % 4 == 0, F.col("year")).otherwise(2020)
+    doi = F.when(F.col("position") % 3 == 0, F.concat(F.lit("10.1/"), (F.col("position") % 40).cast("string"))).otherwise("")
+    rows = p.select("position", text.normalize("title").alias("title_key"), year.alias("year"), doi.alias("doi"))
+    return fusion.resolve_publications(rows).select("position", "publication")
+
+
+@query("""WITH c AS (SELECT event_type AS dimension, (user_id % 5)::VARCHAR AS value, event_id % 9 AS query_id FROM events) SELECT dimension, value, array_to_string(list_sort(list_distinct(list(query_id))), ',') AS queries FROM c GROUP BY ALL""")
+def coverage_map(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    q = e.select((F.col("event_id") % 9).alias("query_id"), F.create_map(F.col("event_type"), F.array((F.col("user_id") % 5).cast("string"))).alias("covers"))
+    return fusion.coverage(q).select("dimension", "value", F.array_join("queries", ",").alias("queries"))
+
+
+@query(f"""WITH s AS (SELECT doc_id AS position FROM labels WHERE toxic = 1), g AS (SELECT title FROM {P} WHERE position IN (SELECT position FROM s) AND title <> '') SELECT position, venue FROM {P} WHERE position NOT IN (SELECT position FROM s) AND title NOT IN (SELECT title FROM g)""")
+def purge_selected(spark, sf_dir):
+    p = papers(spark, sf_dir).withColumn("key", F.col("position").cast("string"))
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("position"))
+    return snapshot.purge(p, p.join(bad, "position").select("key", "title")).select("position", "venue")
+
+
+@query(f"""WITH k AS (SELECT position, venue, {N('title')} AS t FROM {P}) SELECT position, venue FROM k WHERE venue = 'src2' AND t NOT IN (SELECT t FROM k WHERE venue <> 'src2')""")
+def uncovered_source(spark, sf_dir):
+    k = papers(spark, sf_dir).select("position", "venue", text.normalize("title").alias("key"))
+    return snapshot.uncovered(k.where("venue = 'src2'"), k.where("venue <> 'src2'")).select("position", "venue")
+
+
+@query(f"""WITH a AS ({_OLD}), b AS ({_NEW}) SELECT count(*) FILTER (a.key IS NULL) AS inserted, count(*) FILTER (a.fingerprint <> b.fingerprint) AS replaced, count(*) FILTER (a.fingerprint = b.fingerprint) AS skipped FROM b LEFT JOIN a ON a.key = b.key""")
+def delta_counts(spark, sf_dir):
+    return snapshot.delta_counts(*_versions(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_size AS revision, p_name AS name, p_brand AS note FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT p_partkey AS id, 25 AS revision, upper(p_name) AS name, 'own' AS note FROM part WHERE p_partkey % 4 <> 0)
+SELECT id, CASE WHEN t.id IS NULL THEN c.revision WHEN c.id IS NULL OR t.revision > c.revision THEN t.revision ELSE c.revision END AS revision, CASE WHEN t.id IS NULL THEN c.name WHEN c.id IS NULL OR t.revision > c.revision THEN t.name ELSE c.name END AS name,
+  CASE WHEN c.id IS NULL THEN t.note ELSE c.note END AS note FROM t FULL JOIN c USING (id)""")
+def registry_merge(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    t = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("revision"), F.col("p_name").alias("name"), F.col("p_brand").alias("note"))
+    c = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), F.lit(25).alias("revision"), F.upper("p_name").alias("name"), F.lit("own").alias("note"))
+    return snapshot.merge_registry(t, c, ["note"])
+
+
+@query("""WITH i AS (SELECT user_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'pending' ELSE 'completed' END AS status FROM events),
+r AS (SELECT run_id, count(*) AS n, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS waiting FROM i GROUP BY run_id)
+SELECT run_id, CASE WHEN completed = n THEN 'completed' WHEN waiting > 0 AND completed + failed > 0 THEN 'running' WHEN waiting = n THEN 'queued' ELSE 'partial' END AS state, completed, failed FROM r""")
+def run_states(spark, sf_dir):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "pending").otherwise("completed")
+    return streaming.run_state(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), status.alias("status")))
+
+
+@query("""WITH r AS (SELECT doc_id % 300 AS position, text FROM documents WHERE doc_id % 2 = 1), k AS (SELECT trim(regexp_replace(lower(substr(regexp_extract(text, '^[^\\n]*'), 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, doc_id FROM documents),
+c AS (SELECT t, count(DISTINCT doc_id) AS n, min(doc_id) AS target FROM k WHERE t <> '' AND doc_id % 2 = 0 GROUP BY t)
+SELECT k.doc_id AS position, CASE WHEN c.n = 1 THEN c.target END AS target, CASE WHEN c.n = 1 THEN 'matched' WHEN c.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM k LEFT JOIN c USING (t) WHERE k.doc_id % 2 = 1 AND k.t <> ''""")
+def enrich_lookup(spark, sf_dir):
+    p = papers(spark, sf_dir).withColumn("year", F.lit(""))
+    return ingest.enrich_targets(p.where("position % 2 = 1"), p.where("position % 2 = 0")).select("position", "target", "status")
+
+
+@query("""SELECT event_type || '|' || user_id AS key, min(event_id) AS position, arg_min(value, event_id) AS value FROM events GROUP BY 1""")
+def stream_upsert(spark, sf_dir):
+    """The events as a file stream, upserted by key in one available-now run."""
+    import uuid
+
+    from lectern.operators.durable import shared_dir
+
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+    keyed = lambda df: df.select(F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("event_id").alias("position"), "value")
+    streaming.ingest_files(spark, f"{sf_dir}/event[s].parquet", source, f"{where}/out", f"{where}/log", clean=keyed).awaitTermination()
+    return streaming.current(spark, f"{where}/out").select("key", "position", "value")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf_dir):
+    counts = streaming.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", ["event_type"])
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
