@@ -135,3 +135,36 @@ def temperature_mentions(text: Column | str) -> Column:
 
 def temperature_bucket(t: Column) -> Column:
     return F.when(t <= 4.2, "<=4.2 K").when(t <= 20, "<=20 K").when(t <= 77, "<=77 K").when(t <= 120, "<=120 K").otherwise(">120 K")
+
+
+def venue_display(name: Column, kind: Column, factor: Column, quartile: Column) -> Column:
+    """Name with impact factor and quartile of a journal, or with its kind."""
+    facts = F.concat_ws(", ", F.when(factor.isNotNull(), F.concat(F.lit("IF "), factor.cast("string"))), quartile)
+    return F.when((kind == "Journal") & (facts != ""), F.concat(name, F.lit(" ("), facts, F.lit(")"))).when(kind == "Journal", name).otherwise(F.concat(name, F.lit(" ("), kind, F.lit(")")))
+
+
+def expand_terms(terms: Column, groups: list[tuple[str, list[str]]]) -> Column:
+    """Terms with all synonyms of the groups that hold one of them, distinct, in order."""
+    low = F.transform(terms, lambda t: F.lower(t))
+    parts = [terms]
+    for canonical, words in groups:
+        every = [canonical, *words]
+        parts.append(F.when(F.arrays_overlap(low, F.lit([w.lower() for w in every])), F.lit(every)).otherwise(F.slice(F.lit(every), 1, 0)))
+    return F.array_distinct(F.concat(*parts))
+
+
+def record_type(title: Column, text: Column, focus: list[str], container: list[str], device: list[str], frontend: list[str]) -> Column:
+    """Kind of a record by the terms of its normalised title and text, first rule that fits."""
+    has = lambda c, terms: F.exists(F.lit(terms), lambda t: F.contains(F.concat(F.lit(" "), c, F.lit(" ")), t))
+    in_title, boxed = has(title, focus), has(title, container)
+    return (
+        F.when(boxed & (in_title | has(text, focus)), "container_with_focus").when(in_title, "focus").when(boxed & has(text, frontend), "container_with_frontend")
+        .when(boxed, "container_to_verify").when(has(title, device), "device").otherwise("unclassified")
+    )
+
+
+def evidence_axes(technologies: Column, cryogenic: Column, circuit: Column, overlaps: Column) -> Column:
+    """Map of axes to evidenced, unknown or, for bands without any overlap, contradicted."""
+    known = lambda test: F.when(test, "evidenced").otherwise("unknown")
+    band = F.when(F.exists(overlaps, lambda o: o > 0), "evidenced").when(F.size(overlaps) > 0, "contradicted").otherwise("unknown")
+    return F.create_map(F.lit("technology"), known(F.size(technologies) > 0), F.lit("cryogenic"), known(cryogenic), F.lit("circuit"), known(circuit), F.lit("frequency"), band)

@@ -131,3 +131,29 @@ def test_stream_upserts_batches(spark, tmp_path):
     spark.createDataFrame([("b", 9, 0), ("c", 1, 1)], "key string, v1 int, position long").coalesce(1).write.mode("append").parquet(str(source))
     run()
     assert sorted((r["key"], r["v1"]) for r in streaming.current(spark, target).collect()) == [("a", 1), ("b", 9), ("c", 1)]
+
+
+def test_paged_source(spark):
+    from lectern.sources import remote
+
+    spark.dataSource.register(remote.PagedSource)
+    reader = spark.read.format("paged").option("windows", "2024-01-01:2024-01-31,2024-02-01:2024-02-29").option("query", "q").option("pause", "0")
+    spark.sparkContext.addPyFile(__file__.replace("test_operators", "fetchers"))
+    rows = reader.option("fetcher", "fetchers:three_pages").load().collect()
+    assert len(rows) == 6 and sorted(r["title"] for r in rows)[0] == "q 2024-01-01 0"
+    failed = reader.option("fetcher", "fetchers:broken").load().collect()
+    assert [r["title"] for r in failed] == [None, None] and all("no network" in r["error"] for r in failed)
+    assert remote.build_query("low noise|lna", ["eess.SP"], "2024-01-01", "2024-01-31") == '(all:"low noise" OR all:lna) AND (cat:eess.SP) AND submittedDate:[202401010000 TO 202401312359]'
+
+
+def test_evidence(spark):
+    from lectern.functions import scoring
+
+    row = spark.range(1).select(
+        scoring.evidence_axes(F.array(F.lit("x")), F.lit(False), F.lit(True), F.array(F.lit(0.0))).alias("axes"),
+        scoring.record_type(F.lit("a receiver chip"), F.lit("with an lna inside"), [" lna "], [" receiver "], [" device "], [" front end "]).alias("kind"),
+        scoring.expand_terms(F.array(F.lit("LNA")), [("low noise amplifier", ["lna"]), ("mixer", ["x"])]).alias("terms"),
+        scoring.venue_display(F.lit("J"), F.lit("Journal"), F.lit(3.5), F.lit("Q1")).alias("venue"),
+    ).first()
+    assert row["axes"] == {"technology": "evidenced", "cryogenic": "unknown", "circuit": "evidenced", "frequency": "contradicted"}
+    assert (row["kind"], row["terms"], row["venue"]) == ("container_with_focus", ["LNA", "low noise amplifier", "lna"], "J (IF 3.5, Q1)")
