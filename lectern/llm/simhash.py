@@ -41,8 +41,8 @@ CODE_BITS, CODE_MASK = 31, (1 << 31) - 1
 #: Groups over this size are compared in blocks of rows.
 BLOCK = 512
 #: Near copies by similarity: least Jaccard similarity of sets of shingles of so many words,
-#: least hashes of a sketch, blocks of the wide fingerprint, partners of a text at an anchor.
-SIMILARITY, SIMILAR_WIDTH, MINS, WIDE_BLOCKS, PARTNERS = 0.8, 5, 4, 24, 2
+#: least hashes of a sketch, blocks of the wide fingerprint.
+SIMILARITY, SIMILAR_WIDTH, MINS, WIDE_BLOCKS = 0.8, 5, 4, 24
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -345,39 +345,52 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
         yield _pairs_by_anchor(*held)
 
     spread = rows.select("vertex", "blocks").mapInArrow(replicate, "anchor long, vertex long, bits long")
-    pairs = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    pairs = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    pairs = materialize(pairs.distinct(), "similar-pairs")
     sets = rows.select("vertex", "shingles").dropDuplicates(["vertex"])
-    both = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
-    near = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(near).where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    def verified(some_pairs: DataFrame) -> DataFrame:
+        both = some_pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
+        near = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
+        common = near.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return materialize(common.where(F.col("common") >= threshold * (F.col("sizes") - F.col("common"))).select("a", "b"), "similar-links")
+
+    # one partner of each text first: what that connects needs no further pair
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    roots = components(first)
+    left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    left = left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return first.unionByName(verified(left))
 
 
 def _pairs_by_anchor(keys: np.ndarray, owners: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """For rows sorted by anchor: each member with the first homes of the anchor that it differs from by one bit at most.
+    """Pairs to verify among rows sorted by anchor.
 
-    A member gets a few partners at each anchor, never all; larger groups connect through
-    their many anchors.
+    Members with equal bits are paired, at their home anchor, with the first and the last of
+    them and with their neighbour in order; for two values of bits that differ in one place
+    the first members are paired and the last ones, at the home of the smaller value. So
+    pairs grow with the members of a group, not with its square; the blocks of the
+    fingerprint give a group many different pairings.
     """
-    s = _syndrome(bits)
-    home = (bits ^ np.where(s > 0, np.left_shift(1, np.maximum(s - 1, 0)), 0)) == (keys & CODE_MASK)
-    a, b = [], []
-    order = np.lexsort((owners, bits, ~home, keys))
-    k, v, x, h = keys[order], owners[order], bits[order], home[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-    group = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1 if len(k) else np.zeros(0, int)
-    place = np.arange(len(k)) - first[group] if len(k) else group
-    for lag in range(PARTNERS):  # the lag-th home of each anchor with all members behind it
-        at = np.minimum(first[group] + lag, len(k) - 1) if len(k) else group
-        fine = (place > lag) & h[at] & (np.bitwise_count(x ^ x[at]) <= 1) if len(k) else np.zeros(0, bool)
-        a.append(v[at[fine]])
-        b.append(v[fine])
-    for lag in (1, 2):  # and each with its next ones
-        fine = np.flatnonzero((k[lag:] == k[:-lag]) & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= 1)) if len(k) > lag else np.zeros(0, int)
-        a.append(v[fine])
-        b.append(v[fine + lag])
-    x, y = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)][x != y], axis=0)
+    order = np.lexsort((owners, bits, keys))
+    k, v, x = keys[order], owners[order], bits[order]
+    s = _syndrome(x)
+    home = (x ^ np.where(s > 0, np.left_shift(1, np.maximum(s - 1, 0)), 0)) == (k & CODE_MASK)
+    if not len(k):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+    new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.r_[first[1:], len(k)] - 1
+    at = np.flatnonzero(home & ~new)
+    a, b = [v[first[group[at]]], v[last[group[at]]], v[at - 1]], [v[at]] * 3
+    gk, gx, gh = k[first], x[first], home[first]
+    most = int(np.bincount(np.cumsum(np.r_[True, gk[1:] != gk[:-1]])).max())
+    for lag in range(1, most):
+        hit = np.flatnonzero((gk[lag:] == gk[:-lag]) & gh[:-lag] & (np.bitwise_count(gx[lag:] ^ gx[:-lag]) <= 1))
+        a += [v[first[hit]], v[last[hit]]]
+        b += [v[first[hit + lag]], v[last[hit + lag]]]
+    p, q = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.c_[np.minimum(p, q), np.maximum(p, q)][p != q], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
