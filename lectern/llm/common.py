@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.graph import components
 
-__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "row_key", "shared_dir", "single_threaded"]
+__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "release_memory", "row_key", "shared_dir", "single_threaded"]
 
 #: Rows in one Arrow batch at most; texts may be long, so far below Spark's default.
 BATCH_ROWS = 1000
@@ -40,6 +43,14 @@ def large_batches(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Ite
         yield pa.Table.from_batches(held)
 
 
+def release_memory() -> None:
+    """At the end of a Python task: hand freed memory back, as the worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def single_threaded() -> None:
     """For Python workers: one core each, no thread pools of native libraries."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, crc_mod, large_batches, materialize
+from lectern.llm.common import bound_batches, crc_mod, large_batches, materialize, release_memory
 
 #: Characters of the corpus for each range of hashes, and bytes of a block.
 RANGE_CHARS, BLOCK_BYTES = 8_000_000, 6 << 20
@@ -151,6 +151,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     "words": pack_sorted(keys), "sequence": pack_ints(index), "n_train": n,
                 }], schema=arrow_schema)
                 at += 1
+        release_memory()
 
     arrow_schema = pa.schema([("block", pa.int64()), ("dev", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("fold", "sizes", "words", "sequence")), ("n_train", pa.int64())])
     return rows.mapInArrow(run, BLOCK_SCHEMA)

@@ -24,13 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import bound_batches, large_batches, single_threaded
+from lectern.llm.common import bound_batches, large_batches, release_memory, single_threaded
 
 CAPACITY = 2048
 END_ID = 1
 SLACK = 0.02
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, tokeni
             return out
 
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for table in large_batches(batches, 16 << 20):
+        for table in large_batches(batches, 6 << 20):
             for doc_id, ids in zip(table.column("doc_id").to_pylist(), encode(table.column("text"))):
                 for pieces in packer.add(doc_id, ids + end):
                     put(pieces)
@@ -217,5 +217,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, tokeni
         for pieces in packer.close():
             put(pieces)
         yield batch()
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, crc_mod, materialize
+from lectern.llm.common import bound_batches, crc_mod, materialize, release_memory
 
 FEATURES = [
     "log_words", "word_length", "upper", "digit", "comma_stop", "exclaim", "pipe", "symbol", "space",
@@ -88,6 +88,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, checked_broadcast, components, join_skewed, materialize, row_key
+from lectern.llm.common import bound_batches, checked_broadcast, components, join_skewed, materialize, release_memory, row_key
 
 THRESHOLD = 2
 #: Bits of a half that the code covers, and the mask of them.
@@ -204,6 +204,7 @@ def links(vertices: DataFrame) -> DataFrame:
                 pending = []
         pending += links_by_anchor(rest_k, rest_f)
         yield rows(_forest(pending))
+        release_memory()
 
     spread = vertices.select("fp").mapInArrow(replicate, "anchor long, fp long")
     return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
@@ -282,6 +283,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "vertex", "mins"]
             )
+        release_memory()
 
     rows = fingerprints(docs.select(F.col("doc_id").cast("long"), "text", "row_key"))
     return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "doc_id long, row_key long, fp long, vertex long, mins array<long>")
@@ -343,6 +345,7 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
             held = [k[cut:], v[cut:], x[cut:]]
             yield _pairs_by_anchor(k[:cut], v[:cut], x[:cut])
         yield _pairs_by_anchor(*held)
+        release_memory()
 
     spread = rows.select("vertex", "blocks").mapInArrow(replicate, "anchor long, vertex long, bits long")
     pairs = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
