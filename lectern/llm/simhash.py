@@ -13,8 +13,8 @@ group of exact copies costs one row. A group of near copies is compared per anch
 only a spanning forest of its links leaves the task, never all pairs.
 
 ``keep_representatives``, the filter for pipelines, also links by similarity: pairs come
-from the same covering on a wide fingerprint of distinct words, and the exact Jaccard
-similarity of five-word shingle sets verifies them.
+from a prefix filter on five-word shingles, which meets every pair of the threshold, and the
+exact Jaccard similarity of the shingle sets verifies them.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; repeated
 rows share a component; a null doc_id keeps its row, and counts for a component's
@@ -40,9 +40,12 @@ THRESHOLD = 2
 CODE_BITS, CODE_MASK = 31, (1 << 31) - 1
 #: Groups over this size are compared in blocks of rows.
 BLOCK = 512
-#: Near copies by similarity: least Jaccard similarity of sets of shingles of so many words,
-#: least hashes of a sketch, blocks of the wide fingerprint.
-SIMILARITY, SIMILAR_WIDTH, MINS, WIDE_BLOCKS = 0.8, 5, 4, 24
+#: Near copies by similarity: least Jaccard similarity of sets of shingles of so many words.
+SIMILARITY, SIMILAR_WIDTH = 0.8, 5
+#: Order of shingles: rows of the sample, rows of it that make a shingle frequent, frequent ones listed.
+ORDER_ROWS, FREQUENT, LISTED = 20_000, 3, 100_000
+#: Bits of a signature; members of a shingle's group that are paired all with all at once.
+SIGNATURE, GROUP = 256, 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -266,91 +269,165 @@ def shingles_of(words: np.ndarray, width: int = SIMILAR_WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, fp, vertex, mins)``: vertex: hash of the sequence of words; mins: least hashes of the shingles under MINS orders."""
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """The most frequent shingles of a sample, rarest first: they come last in the order of shingles.
+
+    Any order is right; this one keeps common passages out of prefixes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = batch_words(b.column("text"))
+            found = [shingles_of(words[s:e]) for s, e in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    total = docs.count()
+    some = docs.select("text") if total <= ORDER_ROWS else docs.select("text").sample(ORDER_ROWS / total, seed=1)
+    counted = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    top = counted.orderBy(F.desc("count"), "h").limit(LISTED).select("h").toPandas()["h"]
+    return top.to_numpy(np.int64)[::-1].view(np.uint64) if len(top) else np.zeros(0, np.uint64)
+
+
+def prefix_of(shingles: np.ndarray, listed: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles in the common order; two sets of the similarity have one of these in common.
+
+    listed: frequent shingles, sorted; rank: their places in the order, behind all others.
+    """
+    n = len(shingles)
+    length = n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
+    if len(listed) and n:
+        at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(listed[at] == shingles, rank[at] + 1, 0)))]
+    return shingles[:length]
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in SIGNATURE buckets: two sets differ in at least as many elements as their bits."""
+    odd = np.bincount((_mix(shingles) % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, row_key, fp, vertex, size, prefix, signature)``: vertex: hash of the sequence of words; size: shingles."""
     bound_batches(docs.sparkSession)
-    salts = _mix(np.arange(1, MINS + 1, dtype=np.uint64))
+    frequent = frequent_shingles(docs)
+    rank = np.argsort(frequent, kind="stable")
+    listed = frequent[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for b in batches:
             words, at = batch_words(b.column("text"))
-            vertex, mins = np.zeros(b.num_rows, np.uint64), []
+            vertex, sizes, prefixes, signatures = np.zeros(b.num_rows, np.uint64), [], [], []
             for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
                 own = words[s:e]
                 vertex[i] = _mix(_mix(own + np.arange(len(own), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(own)))
                 h = shingles_of(own)
-                mins.append([int(_mix(h ^ x).min()) >> 1 for x in salts] if len(h) else [])
+                sizes.append(len(h))
+                prefixes.append(prefix_of(h, listed, rank, threshold).view(np.int64))
+                signatures.append(signature(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "vertex", "mins"]
+                [b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)],
+                ["doc_id", "row_key", "fp", "vertex", "size", "prefix", "signature"],
             )
         release_memory()
 
     rows = fingerprints(docs.select(F.col("doc_id").cast("long"), "text", "row_key"))
-    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "doc_id long, row_key long, fp long, vertex long, mins array<long>")
+    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "doc_id long, row_key long, fp long, vertex long, size int, prefix array<long>, signature array<long>")
+
+
+def may_reach(sizes_a: np.ndarray, sizes_b: np.ndarray, signs_a: np.ndarray, signs_b: np.ndarray, threshold: float) -> np.ndarray:
+    """False only for pairs whose sizes or signatures rule the similarity out."""
+    both = sizes_a + sizes_b
+    differ = np.bitwise_count((signs_a ^ signs_b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(sizes_a, sizes_b) >= threshold * np.maximum(sizes_a, sizes_b) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * both + 1e-6)
+
+
+def _pairs_in_groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, signs: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Pairs to verify among rows sorted by shingle and vertex: all that may reach the threshold.
+
+    In groups over GROUP members, each member with the first one and its neighbour in order.
+    """
+    n = len(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, n])
+    large = np.repeat(counts > GROUP, counts)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, lag = np.flatnonzero(~large), 1
+    while len(at):
+        at = at[at + lag < n]
+        at = at[keys[at + lag] == keys[at]]
+        hit = at[may_reach(sizes[at], sizes[at + lag], signs[at], signs[at + lag], threshold)]
+        a.append(owners[hit])
+        b.append(owners[hit + lag])
+        lag += 1
+    at = np.flatnonzero(large & np.r_[False, keys[1:] == keys[:-1]]) if n else at
+    for other in (np.repeat(first, counts)[at], at - 1):
+        fine = may_reach(sizes[at], sizes[other], signs[at], signs[other], threshold)
+        a.append(owners[other[fine]])
+        b.append(owners[at[fine]])
+    p, q = np.concatenate(a), np.concatenate(b)
+    p, q = np.minimum(p, q), np.maximum(p, q)
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    new = np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])][: len(p)] & (p != q)
+    return pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(q[new])], ["a", "b"])
 
 
-def wide_blocks(words: np.ndarray, blocks: int = WIDE_BLOCKS) -> list[int]:
-    """A SimHash of the distinct words, in blocks of CODE_BITS bits."""
-    h = np.unique(words)
-    out = []
-    for k in range((blocks + 1) // 2):
-        bits = np.unpackbits(_mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        fp = int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(h), bitorder="little").view(np.uint64)[0])
-        out += [fp & CODE_MASK, fp >> 32 & CODE_MASK]
-    return out[:blocks]
+COLUMNS = ["vertex", "size", *(f"s{i}" for i in range(SIGNATURE // 64))]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by ``key``, in pieces that hold whole groups."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        k = table.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
+        held = table.slice(cut).combine_chunks().to_batches()
+        rows = max(rows, 2 * len(k) if not cut else rows)
+        if cut:
+            yield [table.slice(0, cut).column(c).to_numpy() for c in (key, *columns)]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield [table.column(c).to_numpy() for c in (key, *columns)]
+
+
+def _tokens(vertices: DataFrame) -> DataFrame:
+    signs = [F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)]
+    return vertices.select(F.explode("prefix").alias("token"), "vertex", "size", *signs)
 
 
 def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) of ``vertices(vertex, row_key, mins)``, texts from ``docs(row_key, text)``.
+    """Verified links (a, b) of ``vertices(vertex, row_key, size, prefix, signature)``, texts from ``docs(row_key, text)``.
 
-    Pairs come from anchor covering on a wide fingerprint of distinct words: a pair meets if
-    it differs in at most one bit of one of WIDE_BLOCKS blocks. Texts that share none of MINS
-    least hashes with any other are left out before (at the threshold 1 in 600 is missed).
-    Each pair is verified by the exact Jaccard similarity of the shingle sets.
+    Two sets of the threshold share a shingle of their prefixes, so every pair meets in the
+    group of one; sizes and signatures leave out only pairs that can't reach the threshold.
+    Each pair that is left is verified by the exact Jaccard similarity of the shingle sets.
     """
-    each = vertices.select("vertex", F.posexplode("mins").alias("order", "least"))
-    shared = each.groupBy("order", "least").count().where("count > 1").select("order", "least")
-    some = each.join(shared, ["order", "least"]).select("vertex").distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, v, n, *signs in _by_group(batches, "token", COLUMNS):
+            order = np.lexsort((v, k))
+            yield _pairs_in_groups(k[order], v[order], n[order].astype(np.int64), np.stack(signs, axis=1)[order], threshold)
+        release_memory()
+
+    tokens = _tokens(vertices).repartition(F.col("token")).sortWithinPartitions("token")
+    pairs = materialize(tokens.mapInArrow(compare, "a long, b long").distinct(), "similar-pairs")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     some = materialize(vertices.select("vertex", "row_key").join(some, "vertex", "left_semi"), "similar-some")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = batch_words(b.column("text"))
-            parts = [words[s:e] for s, e in zip(at[:-1], at[1:])]
-            sets = [shingles_of(p).view(np.int64) for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array([wide_blocks(p) for p in parts], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "blocks", "shingles"])
+            sets = [shingles_of(words[s:e]).view(np.int64) for s, e in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "shingles"])
 
     texts = docs.join(checked_broadcast(some), "row_key")
-    rows = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, blocks array<long>, shingles array<long>"), "similar")
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            grid = b.column("blocks").flatten().to_numpy().reshape(b.num_rows, -1)
-            owner = b.column("vertex").to_numpy()
-            for k in range(grid.shape[1]):
-                masks = FLIPS[_syndrome(grid[:, k])]
-                used = masks >= 0
-                key = ((grid[:, k][:, None] ^ masks) | (k << 32))[used]
-                for i in range(0, len(key), 100_000):
-                    spread = lambda x: np.broadcast_to(x[:, None], used.shape)[used][i : i + 100_000]  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(spread(owner)), pa.array(spread(grid[:, k]))], ["anchor", "vertex", "bits"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        for b in batches:
-            k, v, x = (np.r_[h, b.column(n).to_numpy(zero_copy_only=False)] for h, n in zip(held, ("anchor", "vertex", "bits")))
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            held = [k[cut:], v[cut:], x[cut:]]
-            yield _pairs_by_anchor(k[:cut], v[:cut], x[:cut])
-        yield _pairs_by_anchor(*held)
-        release_memory()
-
-    spread = rows.select("vertex", "blocks").mapInArrow(replicate, "anchor long, vertex long, bits long")
-    pairs = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
-    pairs = materialize(pairs.distinct(), "similar-pairs")
-    sets = rows.select("vertex", "shingles").dropDuplicates(["vertex"])
+    sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, shingles array<long>"), "similar").dropDuplicates(["vertex"])
 
     def verified(some_pairs: DataFrame) -> DataFrame:
         both = some_pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
@@ -358,43 +435,13 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
         common = near.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
         return materialize(common.where(F.col("common") >= threshold * (F.col("sizes") - F.col("common"))).select("a", "b"), "similar-links")
 
-    # one partner of each text first: what that connects needs no further pair
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    roots = components(first)
-    left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    left = left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    return first.unionByName(verified(left))
-
+    def apart(some_pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        left = some_pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        return left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-def _pairs_by_anchor(keys: np.ndarray, owners: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """Pairs to verify among rows sorted by anchor.
-
-    Members with equal bits are paired, at their home anchor, with the first and the last of
-    them and with their neighbour in order; for two values of bits that differ in one place
-    the first members are paired and the last ones, at the home of the smaller value. So
-    pairs grow with the members of a group, not with its square; the blocks of the
-    fingerprint give a group many different pairings.
-    """
-    order = np.lexsort((owners, bits, keys))
-    k, v, x = keys[order], owners[order], bits[order]
-    s = _syndrome(x)
-    home = (x ^ np.where(s > 0, np.left_shift(1, np.maximum(s - 1, 0)), 0)) == (k & CODE_MASK)
-    if not len(k):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-    new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
-    first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    last = np.r_[first[1:], len(k)] - 1
-    at = np.flatnonzero(home & ~new)
-    a, b = [v[first[group[at]]], v[last[group[at]]], v[at - 1]], [v[at]] * 3
-    gk, gx, gh = k[first], x[first], home[first]
-    most = int(np.bincount(np.cumsum(np.r_[True, gk[1:] != gk[:-1]])).max())
-    for lag in range(1, most):
-        hit = np.flatnonzero((gk[lag:] == gk[:-lag]) & gh[:-lag] & (np.bitwise_count(gx[lag:] ^ gx[:-lag]) <= 1))
-        a += [v[first[hit]], v[last[hit]]]
-        b += [v[first[hit + lag]], v[last[hit + lag]]]
-    p, q = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.c_[np.minimum(p, q), np.maximum(p, q)][p != q], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    # one partner of each text first: what that connects needs no further pair
+    found = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    return found.unionByName(verified(apart(pairs, components(found))))
 
 
 def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -402,7 +449,7 @@ def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SI
 
     docs: (row_key, text). group: a vertex of the component, for rows without any id.
     """
-    vertices = marked.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("n"))
+    vertices = marked.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "prefix", "signature")), F.count("*").alias("n"))
     vertices = materialize(vertices, "similar-v")
     lead = vertices.groupBy("fp").agg(F.min("vertex").alias("a"))
     same = vertices.join(lead, "fp").where("a <> vertex").select("a", F.col("vertex").alias("b"))
@@ -421,7 +468,7 @@ def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> Data
     whose row hash is least stays, and of equal rows one.
     """
     keyed = docs.withColumn("row_key", row_key())
-    marked = materialize(sketches(keyed.select("doc_id", "text", "row_key")), "simhash")
+    marked = materialize(sketches(keyed.select("doc_id", "text", "row_key"), threshold), "simhash")
     named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, keyed.select("row_key", "text"), threshold), "vertex", marked.count())
     leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = leads.groupBy("group").agg(F.min("row_key").alias("row_key"))

@@ -149,3 +149,27 @@ def test_similar_texts_join_and_others_stay(spark):
         want |= {min(g) for g in groups}
     kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def edited(rng, base, word, kind):
+    cut = rng.randrange(int(len(base) * 0.08), int(len(base) * 0.2))
+    if kind == 0:
+        return base[:-cut]
+    at = rng.randrange(len(base) - cut)
+    half = cut // 2
+    return base[:at] + [word() for _ in range(half)] + base[at + half :]
+
+
+def test_cut_tails_and_replaced_blocks_all_meet(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st".split()) + str(rng.randrange(400))
+    rows, near = [], 0
+    for f in range(250):
+        base = [word() for _ in range(rng.randrange(80, 400))]
+        copy = edited(rng, base, word, f % 2)
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+        if len(x & y) >= 0.8 * len(x | y):
+            near += 1
+            rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(copy))]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert near > 150 and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i % 2 == 0}
