@@ -346,7 +346,8 @@ def may_reach(sizes_a: np.ndarray, sizes_b: np.ndarray, signs_a: np.ndarray, sig
 def _pairs_in_groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, signs: np.ndarray, threshold: float) -> pa.RecordBatch:
     """Pairs to verify among rows sorted by shingle and vertex: all that may reach the threshold.
 
-    In groups over GROUP members, each member with the first one and its neighbour in order.
+    In groups over GROUP members, each member with the first one and its neighbour in order;
+    ``_pairs_apart`` gives their other pairs, once it is known what these connect.
     """
     n = len(keys)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
@@ -374,6 +375,33 @@ def _pairs_in_groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, si
     return pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(q[new])], ["a", "b"])
 
 
+def _pairs_apart(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, roots: np.ndarray, signs: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of members with different roots that may reach the threshold, in groups over GROUP members.
+
+    Rows are sorted by shingle. The largest component of a group isn't compared with itself,
+    so what is connected costs one pass, not its square.
+    """
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    for start, end in zip(first, np.r_[first[1:], len(keys)]):
+        _, own, members = np.unique(roots[start:end], return_inverse=True, return_counts=True)
+        if end - start <= GROUP or len(members) == 1:
+            continue
+        at = start + np.lexsort((sizes[start:end], own, members[own]))  # components in order of their members
+        r, v, n, sign = roots[at], owners[at], sizes[at], signs[at]
+        last = len(at) - members.max()
+        for i in range(0, last, BLOCK):
+            x = slice(i, min(i + BLOCK, last))
+            for j in range(i, len(at), 16 * BLOCK):
+                y = slice(j, j + 16 * BLOCK)
+                fine = (r[x, None] != r[None, y]) & (np.minimum(n[x, None], n[None, y]) >= threshold * np.maximum(n[x, None], n[None, y]) - 1e-9)
+                p, q = np.nonzero(fine)
+                p, q = p + i, q + j
+                fine = (p < q) & may_reach(n[p], n[q], sign[p], sign[q], threshold)
+                p, q = v[p[fine]], v[q[fine]]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+
 COLUMNS = ["vertex", "size", *(f"s{i}" for i in range(SIGNATURE // 64))]
 
 
@@ -406,7 +434,9 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
 
     Two sets of the threshold share a shingle of their prefixes, so every pair meets in the
     group of one; sizes and signatures leave out only pairs that can't reach the threshold.
-    Each pair that is left is verified by the exact Jaccard similarity of the shingle sets.
+    Each pair that is left is verified by the exact Jaccard similarity of the shingle sets,
+    but for pairs that verified links connect already. Large groups give few pairs at first,
+    then all between texts that are still apart.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +447,9 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
 
     tokens = _tokens(vertices).repartition(F.col("token")).sortWithinPartitions("token")
     pairs = materialize(tokens.mapInArrow(compare, "a long, b long").distinct(), "similar-pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    large = materialize(_tokens(vertices).groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > GROUP).select("token"), "similar-large")
+    crowd = materialize(_tokens(vertices).join(checked_broadcast(large), "token"), "similar-crowd")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).union(crowd.select("vertex")).distinct()
     some = materialize(vertices.select("vertex", "row_key").join(some, "vertex", "left_semi"), "similar-some")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,9 +471,23 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
         left = some_pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         return left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    # one partner of each text first: what that connects needs no further pair
-    found = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    return found.unionByName(verified(apart(pairs, components(found))))
+    def connect(some_pairs: DataFrame, found: DataFrame) -> DataFrame:
+        # one partner of each text first: what that connects needs no further pair
+        found = found.unionByName(verified(some_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+        return found.unionByName(verified(apart(some_pairs, components(found))))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, v, n, *signs, root in _by_group(batches, "token", [*COLUMNS, "root"]):
+            yield from _pairs_apart(k, v, n.astype(np.int64), root, np.stack(signs, axis=1), threshold)
+        release_memory()
+
+    found = connect(pairs, pairs.limit(0))
+    if large.isEmpty():
+        return found
+    named = crowd.join(components(found).withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    split = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    named = named.join(split, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token")
+    return connect(materialize(named.mapInArrow(rest, "a long, b long").distinct(), "similar-rest"), found)
 
 
 def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

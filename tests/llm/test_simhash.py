@@ -173,3 +173,56 @@ def test_cut_tails_and_replaced_blocks_all_meet(spark):
             rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(copy))]
     kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
     assert near > 150 and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_large_groups_lose_no_similar_pair(spark):
+    rng = random.Random(8)
+    parts = [[f"w{k}x{i}" for i in range(16)] for k in range(10)]  # all texts have the same words, every shingle is in many
+    orders = []
+    for _ in range(400):
+        base = rng.sample(range(10), 10)
+        at = rng.randrange(9)
+        orders += [base, base[:at] + [base[at + 1], base[at]] + base[at + 2 :]]
+    texts = [[w for k in order for w in parts[k]] for order in orders]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) * 9 >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame([(i, " ".join(w), i) for i, w in enumerate(texts)], "doc_id long, text string, row_key long")
+    marked = simhash.materialize(simhash.sketches(docs), "t")
+    at = {r["vertex"]: r["doc_id"] for r in marked.collect()}
+    want = [find(i) for i in range(len(texts))]
+    parent = list(range(len(texts)))
+    for r in simhash.similar_links(marked, docs).collect():
+        a, b = sorted((find(at[r["a"]]), find(at[r["b"]])))
+        parent[b] = a
+    assert len(at) == len(texts) and [find(i) for i in range(len(texts))] == want
+
+
+def test_pairs_of_large_groups_equal_brute_force():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = []
+    for f in range(60):
+        base = rng.choice(pool, 100, replace=False)
+        sets += [np.unique(base), *(np.unique(np.r_[base[: 100 - c], rng.choice(pool, c)]) for c in (5, 8, 20))]
+    signs, sizes = np.stack([simhash.signature(x) for x in sets]), np.array([len(x) for x in sets])
+    owners, roots = np.arange(len(sets)), np.arange(len(sets)) // 8
+    found = set()
+    for b in simhash._pairs_apart(np.zeros(len(sets), np.int64), owners, sizes, roots, signs, 0.8):
+        found |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    alone = set()
+    for b in simhash._pairs_apart(np.zeros(len(sets), np.int64), owners, sizes, owners, signs, 0.8):
+        alone |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    near = {(i, j) for j in owners.tolist() for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert len(near) >= 60 and near <= alone and {(i, j) for i, j in near if i // 8 != j // 8} <= found
+    assert all(i // 8 != j // 8 for i, j in found) and len(alone) < 0.1 * len(sets) ** 2 / 2
