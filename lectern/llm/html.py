@@ -6,13 +6,13 @@ header, footer, sidebar, notice, advert, form, script, style or reader comment g
 text comes from the page's articles, else its main element, else its body.
 
 Site templates: each container that is left has a hash of its subtree (names, classes and
-text). Spark counts the pages of each (host, hash); subtrees on MIN_PAGES pages or more of
-one host are deleted. In an article only containers can be templates, never its own
-paragraphs and headings, and nothing that holds half of the page's text or more, so copies
-of an article on one host stay whole.
+text). Spark counts the different main texts of each (host, hash); subtrees in MIN_PAGES of
+them or more on one host are deleted, so copies of a page or an article stay whole, however
+many there are. In an article only containers can be templates, never its own paragraphs and
+headings, and nothing that holds half of the page's text or more.
 
 Edge cases: a null or empty html gives the empty text; a null url has the empty host;
-repeated rows give a row each and count as pages each; texts of any length stay whole;
+repeated rows give a row each and count once; texts of any length stay whole;
 extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bound_batches, materialize
 
-#: Pages of one host on which a subtree must recur to be a template.
+#: Pages of one host, with different main texts, on which a subtree must recur to be a template.
 MIN_PAGES = 10
 
 # Fixed values of HTML and of common class names.
@@ -224,9 +224,10 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, hash)`` of the subtrees that recur on ``min_pages`` pages or more of a host."""
-    each = found.select("host", F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("hash"))
-    return each.groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
+    """``(host, hash)`` of the subtrees that recur in ``min_pages`` different main texts or more of a host."""
+    content = F.xxhash64(F.array_join("blocks.text", "\n"))
+    each = found.select("host", content.alias("content"), F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("hash"))
+    return each.distinct().groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -42,3 +42,15 @@ def test_site_templates(spark):
     assert by[205] == "Same\nThe same whole article on many pages." and by[300] == by[301] == ""
     assert sum(i == 0 for i, _, _ in found) == 2
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_copied_pages_stay_whole(spark):
+    article = "<article><div><p>first part</p></div><ul><li>one</li><li>two</li></ul><section><p>third part</p></section></article>"
+    plain = "<body><h1>A page</h1><p>of short</p><p>paragraphs</p></body>"
+    box = "<div><p>Follow us</p></div>"
+    rows = [(i, f"http://copy.org/{i}", article) for i in range(15)] + [(100 + i, f"http://plain.org/{i}", plain) for i in range(15)]
+    rows += [(200 + i, f"http://mixed.org/{i}", f"<body><p>Story {i % 12} at some length</p>{box}</body>") for i in range(40)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {found[i] for i in range(15)} == {"first part\none\ntwo\nthird part"}
+    assert {found[100 + i] for i in range(15)} == {"A page\nof short\nparagraphs"}
+    assert all(found[200 + i] == f"Story {i % 12} at some length" for i in range(40))
