@@ -16,8 +16,9 @@ nor a vector repeated any number of times, meets in one task.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components or
 differ from the most common dimension take no part, nor do rows without a vec_id; equal
-distances go to the smaller vec_id; repeated rows are candidates each; rows with the
-query's vec_id are its own; extra columns are ignored.
+distances go to the smaller vec_id; repeated rows are candidates each, but one query; an
+id with several different vectors gets the k nearest of each of them, ranked apart; rows with
+the query's vec_id are its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +145,8 @@ def search(base: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     for at, n in index.groupBy("list").count().collect():
         sizes[at] = n
     parts = np.maximum(-(-sizes // PART), 1)
-    asked = index.where(is_query)
+    asked = index.where(is_query).dropDuplicates(["vec_id", "v"])
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")) - 1)
     query_parts = max(1, -(-asked.count() // QUERIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +156,11 @@ def search(base: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             part = (np.arange(at, at + len(own)) * 2654435761 % (1 << 32)) % parts[own]
             at += len(own)
             for qp in range(query_parts):
-                yield pa.RecordBatch.from_arrays([b.column("list"), pa.array(part, pa.int32()), pa.array(np.full(len(own), qp), pa.int32()), b.column("vec_id"), b.column("v")], ["list", "part", "qpart", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([b.column("list"), pa.array(part, pa.int32()), pa.array(np.full(len(own), qp), pa.int32()), pa.array(np.zeros(len(own)), pa.int32()), b.column("vec_id"), b.column("v")], ["list", "part", "qpart", "nth", "vec_id", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = b.column("vec_id").to_numpy(), matrix(b.column("v"))
+            ids, nth, x = b.column("vec_id").to_numpy(), b.column("nth").to_numpy(), matrix(b.column("v"))
             for i in range(0, len(ids), 64):
                 order = nearest_lists(x[i : i + 64], centroids).argsort(axis=1)
                 met = np.cumsum(sizes[order], axis=1) - sizes[order]
@@ -170,20 +172,23 @@ def search(base: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 for j in range(0, len(q), 4096):
                     s = slice(j, j + 4096)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(lists[s], pa.int32()), pa.array(part[s], pa.int32()), pa.array(ids[q[s]] // 100 % query_parts, pa.int32()), pa.array(ids[q[s]]), pa.array(list(x[q[s]]), pa.list_(pa.float64()))],
-                        ["list", "part", "qpart", "vec_id", "v"],
+                        [pa.array(lists[s], pa.int32()), pa.array(part[s], pa.int32()), pa.array((ids[q[s]] // 100 + nth[q[s]]) % query_parts, pa.int32()), pa.array(nth[q[s]], pa.int32()), pa.array(ids[q[s]]), pa.array(list(x[q[s]]), pa.list_(pa.float64()))],
+                        ["list", "part", "qpart", "nth", "vec_id", "v"],
                     )
 
     def compare(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or vectors.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, score = scan(vectors["vec_id"].to_numpy(), np.stack(vectors["v"]), queries["vec_id"].to_numpy(), np.stack(queries["v"]), k, turn)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": score})
-
-    form = "list int, part int, qpart int, vec_id long, v array<double>"
+        found = [pd.DataFrame({"query_id": [], "nth": [], "vec_id": [], "score": []})]
+        if not vectors.empty:
+            ids, points = vectors["vec_id"].to_numpy(), np.stack(vectors["v"])
+            for nth, some in queries.groupby("nth"):
+                q, v, score = scan(ids, points, some["vec_id"].to_numpy(), np.stack(some["v"]), k, turn)
+                found.append(pd.DataFrame({"query_id": q, "nth": nth, "vec_id": v, "score": score}))
+        return pd.concat(found[1:] or found)
+
+    form = "list int, part int, qpart int, nth int, vec_id long, v array<double>"
     keys = ["list", "part", "qpart"]
     met = asked.mapInArrow(probe, form).groupBy(*keys).cogroup(index.mapInArrow(deal, form).groupBy(*keys))
-    found = met.applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = met.applyInPandas(compare, "query_id long, nth int, vec_id long, score double")
+    order = Window.partitionBy("query_id", "nth").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -47,3 +47,15 @@ def test_scan_abandons_no_neighbour_with_certainty():
     q, v, s = ann.scan(ids, x, ids[:20], x[:20], 5, ann.rotation(40), epsilon=50.0)
     want = brute(ids, x, range(20), 5)
     assert sorted(zip(q.tolist(), v.tolist())) == sorted((i, j) for i in want for j, _ in want[i])
+
+
+def test_repeated_queries_count_once(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0]] * 12 + [(100, x[7].tolist())]  # one query thirteen times, one id with two vectors
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    near = lambda i, skip: sorted((float(np.sqrt(((v - x[i]) ** 2).sum())), j) for j, v in enumerate(x) if j != skip)
+    assert [j for _, j in near(0, 0)[:10]] == [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == 0), key=lambda r: r["rank"])]
+    both = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == 100)
+    assert both == sorted((k + 1, j) for i in (100, 7) for k, (_, j) in enumerate(near(i, 100)[:10]))
