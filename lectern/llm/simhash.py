@@ -280,6 +280,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             words, at = batch_words(b.column("text"))
             found = [shingles_of(words[s:e]) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+        release_memory()
 
     total = docs.count()
     some = docs.select("text") if total <= ORDER_ROWS else docs.select("text").sample(ORDER_ROWS / total, seed=1)
@@ -457,6 +458,7 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
             words, at = batch_words(b.column("text"))
             sets = [shingles_of(words[s:e]).view(np.int64) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "shingles"])
+        release_memory()
 
     texts = docs.join(checked_broadcast(some), "row_key")
     sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, shingles array<long>"), "similar").dropDuplicates(["vertex"])
