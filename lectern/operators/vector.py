@@ -33,13 +33,15 @@ def top_k(base: DataFrame, query: list[float], k: int, vector: str = "embedding"
 def top_k_many(base: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", position: str = "vec_id") -> DataFrame:
     """The k most similar rows for each of ``queries(query_id, query_vector)``.
 
-    Queries, at most a few hundred, are collected under a check of their number and become
-    one literal array; each row scores all of them where it is read, and ranks come from
-    per-task top-k limits. Nothing but the winners is shuffled.
+    Up to 1000 queries are collected and become one literal array; more are joined with every
+    row. Either way each row scores all queries, and ranks come from per-task top-k limits.
     """
     asked = queries.select("query_id", "query_vector").limit(1001).collect()
     if len(asked) > 1000:
-        raise ValueError("more than 1000 queries: use the approximate index")
+        real = queries.select("query_id", "query_vector").where(F.exists("query_vector", lambda x: x != 0))
+        scored = base.crossJoin(real).withColumn("similarity", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), position)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     rows = []
     for query_id, q in asked:
         if q is None or not any(q):

@@ -130,6 +130,11 @@ def highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.highlight("text", "of the", "[", "]").alias("marked"))
 
 
+@query()
+def highlight_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.highlight("text", "of the", "[", "]").alias("marked"))
+
+
 # --- literal search --------------------------------------------------------------------
 
 
@@ -214,6 +219,14 @@ def cosine_topk_many(spark, sf_dir):
     return vector.top_k_many(e, asked, 10).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, {_COS.format(q='q')} AS s FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 10""")
+def cosine_topk_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector.top_k_many(e, asked, 10).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 11), h AS (SELECT vec_id, label, {_COS.format(q='q')} AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 200)
 SELECT vec_id, label, round(s, 6) AS similarity FROM h WHERE label % 3 = 0 ORDER BY s DESC, vec_id LIMIT 20""")
 def fetch_then_filter(spark, sf_dir):

@@ -157,3 +157,10 @@ def test_evidence(spark):
     ).first()
     assert row["axes"] == {"technology": "evidenced", "cryogenic": "unknown", "circuit": "evidenced", "frequency": "contradicted"}
     assert (row["kind"], row["terms"], row["venue"]) == ("container_with_focus", ["LNA", "low noise amplifier", "lna"], "J (IF 3.5, Q1)")
+
+
+def test_more_than_a_thousand_queries(spark):
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(1100)] + [(2000, [0.0, 0.0]), (2001, None)], "query_id long, query_vector array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vector.top_k_many(e, asked, 2).collect())
+    assert found == [(i, k + 1, j) for i in range(1100) for k, j in enumerate((5, 4) if i % 2 else (0, 1))]
