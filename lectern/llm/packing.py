@@ -1,20 +1,25 @@
 """Harmonic packing of tokenised documents into fixed-size sequences.
 
-Piece lengths fall into reciprocal-capacity classes: class k takes lengths up to
-``capacity // k`` and fills each bin with exactly k pieces. A document gives full
-sequences first; its rest goes whole into its class if that wastes at most ``slack`` of
-the class size, else a piece of exactly the next smaller class size is cut off and what
-is left is classed again. Each worker fills its own bins; nothing is shuffled. What a
-worker's open bins hold at its end is joined and cut into full sequences, and the last
-rest into powers of two, so open bins need no padding.
-
-Edge cases: a null or empty text is the end id alone; repeated rows are packed each;
-tables may be empty; extra columns are ignored; memory is bounded by one open bin a class
-and one document.
+Document lengths fall into reciprocal-capacity classes: class k takes lengths from over
+``capacity // (k + 1)`` to ``capacity // k`` and fills each bin with exactly k whole
+documents. What such a bin leaves free is filled with whole documents of the last class
+(shorter than ``capacity // CLASSES``), then with pieces of the documents that are cut: the
+rests of those longer than a sequence, and, only when these run short, documents of over
+half a sequence, which would waste most. Gaps and rests of ``slack`` of a sequence or less
+are never filled or cut off, so pieces stay large. Each worker fills its own bins; nothing is
+shuffled. At its end, whole documents of open bins go where they fit, the emptiest bins are
+cut up for the others, and the last rest goes into powers of two, which need no padding.
+
+Edge cases: a null or empty text is the end id alone; repeated rows are packed each; a text
+of any length is cut into full sequences and one rest; equal lengths are placed in the order
+of rows; tables may be empty; extra columns are ignored; memory is bounded by one open bin a
+class, WAITING bins with gaps and one batch of documents.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,9 +33,12 @@ from lectern.llm.common import bound_batches, large_batches, release_memory, sin
 
 CAPACITY = 2048
 END_ID = 1
-SLACK = 0.02
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 120_000
+#: Share of a sequence that may stay free, and below which nothing is cut off.
+SLACK = 1 / 128
+#: Classes with bins of their own, and bins that may wait for their gap to be filled.
+CLASSES, WAITING = 32, 256
+#: Words whose ids a Python worker keeps (twice, as the last generation stays): 60 MB or so.
+CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -136,32 +144,124 @@ class WordTokenizer:
         return self.encode_many([text])[0]
 
 
+Piece = tuple  # (doc_id, start, ids, doc_tokens)
+
+
 class HarmonicPacker:
-    """One worker's bins. ``sequences`` of pieces (doc_id, start, ids, doc_tokens)."""
-
-    def __init__(self, capacity: int = CAPACITY, slack: float = SLACK):
-        self.capacity, self.slack = capacity, slack
-        self.open: dict[int, list[tuple]] = {}
-
-    def add(self, doc_id: int | None, ids: bytes) -> Iterator[list[tuple]]:
-        cap, total, at = self.capacity, len(ids) // 4, 0
-        while total - at >= cap:
-            yield [(doc_id, at, ids[4 * at : 4 * (at + cap)], total)]
-            at += cap
-        while rest := total - at:
-            k = cap // rest
-            if cap // k - rest > self.slack * (cap // k):
-                k += 1
-            size = min(rest, cap // k)
-            self.open.setdefault(k, []).append((doc_id, at, ids[4 * at : 4 * (at + size)], total))
-            at += size
-            if len(self.open[k]) == k:
-                yield self.open.pop(k)
-
-    def close(self) -> Iterator[list[tuple]]:
-        """Full sequences of what open bins hold, then powers of two."""
-        pieces = [p for k in sorted(self.open) for p in self.open[k]]
-        self.open = {}
+    """One worker's bins; gives sequences, each a list of pieces (doc_id, start, ids, doc_tokens)."""
+
+    def __init__(self, capacity: int = CAPACITY, slack: float = SLACK, classes: int = CLASSES, waiting: int = WAITING):
+        self.capacity, self.least, self.classes, self.limit = capacity, int(slack * capacity), classes, waiting
+        self.open: dict[int, list[Piece]] = {}
+        self.small: list[Piece] = []
+        self.small_tokens = 0
+        self.waiting: list[tuple[int, int, list[Piece]]] = []  # heap of (-gap, number, pieces)
+        self.gaps = self.number = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> Iterator[list[Piece]]:
+        n, at, total = len(ids) // 4, 0, len(ids) // 4
+        while n - at > self.capacity:
+            yield [(doc_id, at, ids[4 * at : 4 * (at + self.capacity)], total)]
+            at += self.capacity
+        piece, n = (doc_id, at, ids[4 * at :], total), n - at
+        k = self.capacity // n
+        if self.capacity - n > self.least and (at or k == 1 or len(self.waiting) >= self.limit) and self.gaps >= n:
+            yield from self._cut(piece)
+        elif k >= self.classes:
+            self.small.append(piece)
+            self.small_tokens += n
+            if self.small_tokens >= self.capacity:
+                yield from self._close_bin(self._take_small(self.capacity))
+        else:
+            own = self.open.setdefault(k, [])
+            own.append(piece)
+            if len(own) == k:
+                yield from self._close_bin(self.open.pop(k))
+
+    def _take_small(self, room: int) -> list[Piece]:
+        """Whole small documents that fit into ``room`` tokens."""
+        taken = []
+        while self.small and (size := len(self.small[-1][2]) // 4) <= room:
+            room -= size
+            self.small_tokens -= size
+            taken.append(self.small.pop())
+        return taken
+
+    def _close_bin(self, pieces: list[Piece]) -> Iterator[list[Piece]]:
+        """Give a bin out if it is full enough, else let it wait."""
+        gap = self.capacity - sum(len(p[2]) // 4 for p in pieces)
+        if self.least < gap:
+            more = self._take_small(gap)
+            pieces, gap = pieces + more, gap - sum(len(p[2]) // 4 for p in more)
+        if gap <= self.least:
+            yield pieces
+        else:
+            self.number += 1
+            self.gaps += gap
+            heapq.heappush(self.waiting, (-gap, self.number, pieces))
+
+    def _cut(self, piece: Piece) -> Iterator[list[Piece]]:
+        """Cut a document into the largest gaps; its end must not be a scrap."""
+        doc_id, start, ids, total = piece
+        while ids and self.waiting:
+            gap, n = -self.waiting[0][0], len(ids) // 4
+            take = min(gap, n)
+            if 0 < n - take <= self.least and take > 2 * self.least:
+                take = min(take, n - self.least - 1)
+            _, number, pieces = heapq.heappop(self.waiting)
+            self.gaps -= gap
+            pieces = [*pieces, (doc_id, start, ids[: 4 * take], total)]
+            start, ids, gap = start + take, ids[4 * take :], gap - take
+            if gap <= self.least or len(ids):
+                yield pieces
+            else:
+                self.gaps += gap
+                heapq.heappush(self.waiting, (-gap, number, pieces))
+        if ids:
+            yield from self._close_bin([(doc_id, start, ids, total)])
+
+    def close(self) -> Iterator[list[Piece]]:
+        """What is open: whole documents where they fit, then the emptiest bins cut up for the others."""
+        bins = [[-gap, number, pieces] for gap, number, pieces in self.waiting]
+        loose = sorted([*(p for own in self.open.values() for p in own), *self.small], key=lambda p: -len(p[2]))
+        self.open, self.small, self.waiting, self.small_tokens, self.gaps = {}, [], [], 0, 0
+        gaps = sorted((gap, at) for at, (gap, _, _) in enumerate(bins))
+        for p in loose:  # best fit, longest first
+            size = len(p[2]) // 4
+            i = bisect.bisect_left(gaps, (size, -1))
+            if i == len(gaps):
+                bins.append([self.capacity, 0, []])
+                gaps.append((self.capacity, len(bins) - 1))
+            gap, at = gaps.pop(i)
+            bins[at][0] -= size
+            bins[at][2].append(p)
+            bisect.insort(gaps, (gap - size, at))
+        bins.sort(key=lambda b: b[0])
+        while bins and bins[0][0] <= self.least and (len(bins) > 1 or not bins[0][0]):
+            yield bins.pop(0)[2]
+        donor: list[Piece] = []
+        while bins or donor:  # the fullest bin takes from the emptiest
+            if not donor and len(bins) == 1:
+                donor = bins.pop()[2]
+            if not bins:
+                yield from self._powers(donor)
+                return
+            gap, _, pieces = bins.pop(0)
+            while gap > self.least and (donor or bins):
+                if not donor:
+                    donor = sorted(bins.pop()[2], key=lambda p: -len(p[2]))
+                doc_id, start, ids, total = donor.pop()
+                take = min(gap, len(ids) // 4)
+                pieces.append((doc_id, start, ids[: 4 * take], total))
+                gap -= take
+                if rest := ids[4 * take :]:
+                    donor.append((doc_id, start + take, rest, total))
+            if gap <= self.least:
+                yield pieces
+            else:
+                donor = pieces
+
+    def _powers(self, pieces: list[Piece]) -> Iterator[list[Piece]]:
         left, room, now = sum(len(p[2]) // 4 for p in pieces), 0, []
         for doc_id, start, ids, total in pieces:
             while ids:

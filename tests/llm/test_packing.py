@@ -1,9 +1,11 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,3 +60,38 @@ def test_classes_hold_a_fixed_count():
     assert all(len(b) == 3 for b in bins) and len(bins) == 13
     left = list(packer.close())
     assert sum(len(p[2]) // 4 for b in left for p in b) == 33 and [sum(len(p[2]) // 4 for p in b) for b in left] == [32, 1]
+
+
+def test_most_documents_stay_whole_and_cuts_leave_no_scraps():
+    rng = random.Random(7)
+    lengths = [int(min(30_000, rng.lognormvariate(6, 1.3))) + 1 for _ in range(4000)]
+    packer = packing.HarmonicPacker()
+    bins = [b for i, n in enumerate(lengths) for b in packer.add(i, bytes(4 * n))] + list(packer.close())
+    pieces = [p for b in bins for p in b]
+    assert sum(len(p[2]) // 4 for p in pieces) == sum(lengths)
+    times = Counter(p[0] for p in pieces)
+    fit = [i for i, n in enumerate(lengths) if n <= packing.CAPACITY]
+    assert sum(times[i] > 1 for i in fit) <= 0.1 * len(fit)
+    assert sum(len(p[2]) // 4 <= 16 < p[3] for p in pieces) <= 0.02 * len(pieces)
+    assert sum(packing.CAPACITY - sum(len(p[2]) // 4 for p in b) for b in bins[:-12]) <= 0.01 * sum(lengths)
+
+
+@given(st.lists(st.integers(1, 700), max_size=120), st.sampled_from([0.0, 0.02, 0.2]), st.integers(0, 4))
+@settings(max_examples=80, deadline=None)
+def test_any_lengths_give_every_id_once(lengths, slack, waiting):
+    packer = packing.HarmonicPacker(capacity=128, slack=slack, classes=8, waiting=waiting)
+    whole = [np.arange(n, dtype="<u4") + 1000 * i for i, n in enumerate(lengths)]
+    bins = [b for i, ids in enumerate(whole) for b in packer.add(i, ids.tobytes())] + list(packer.close())
+    found = defaultdict(list)
+    for b in bins:
+        size = sum(len(p[2]) // 4 for p in b)
+        assert 0 < size <= 128
+        for i, start, ids, total in b:
+            assert ids == whole[i][start : start + len(ids) // 4].tobytes() and total == lengths[i]
+            found[i].append((start, len(ids) // 4))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(found[i]):
+            assert start == at
+            at += size
+        assert at == n
