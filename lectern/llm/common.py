@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.graph import components
 
-__all__ = ["bound_batches", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "release_memory", "row_key", "shared_dir", "single_threaded"]
+__all__ = [
+    "bound_batches", "boxed", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "quoted", "release_memory", "row_key", "shared_dir",
+    "single_threaded", "unboxed",
+]
 
 #: Rows in one Arrow batch at most; texts may be long, so far below Spark's default.
 BATCH_ROWS = 1000
@@ -71,19 +74,35 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def boxed(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` as one struct column ``_row`` beside own ``columns``: no name of a table's own columns can clash with these."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("_row"), *columns)
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The ``columns`` that ``boxed`` put away; those of ``new`` with new values."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
     """``left`` left-joined with ``right``, which has one row a key and ``n``, the key's rows in ``left``.
 
     Keys with more than 1 / ``share`` of the ``total`` rows are fewer than ``share``, so their
-    rows of ``right`` are broadcast; the rows of ``left`` that they match are dealt evenly. No
-    other key is large enough to burden a task.
+    rows of ``right`` are broadcast. The shuffle goes by ``_slot``: for other keys their hash,
+    for rows that already have their answer (or a null key) a number of their own, so that
+    these are dealt evenly. ``_slot`` is computed on either side, so no side of the condition is
+    a constant that the optimiser could take out of the shuffle.
     """
     names = [c for c in right.columns if c not in (key, "n")]
     value = F.struct(*names)
-    hot = right.where(F.col("n") > total / share).select(key, value.alias("_hot"))
-    rest = right.where(F.col("n") <= total / share).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), value.alias("_rest"))
-    dealt = left.join(F.broadcast(hot), key, "left")
-    is_hot = F.col("_hot").isNotNull()
-    dealt = dealt.withColumn("_key", F.when(~is_hot, F.col(key))).withColumn("_deal", F.when(is_hot, F.monotonically_increasing_id() + 1).otherwise(0))
-    out = dealt.join(rest, ["_key", "_deal"], "left")
-    return out.select(*left.columns, *(F.coalesce(f"_hot.{n}", f"_rest.{n}").alias(n) for n in names))
+    hot = right.where(F.col("n") > total / share).select(F.col(key).alias("_hot_key"), value.alias("_hot"))
+    rest = right.where(F.col("n") <= total / share).select(F.xxhash64(key).alias("_slot"), F.col(key).alias("_key"), value.alias("_rest"))
+    met = boxed(left, F.col(quoted(key)).alias("_own")).join(F.broadcast(hot), F.col("_own") == F.col("_hot_key"), "left")
+    done = F.col("_hot").isNotNull() | F.col("_own").isNull()
+    met = met.select("_row", "_hot", F.when(~done, F.col("_own")).alias("_key"), F.when(done, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("_own")).alias("_slot"))
+    out = met.join(rest, ["_slot", "_key"], "left")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in left.columns), *(F.coalesce(F.col("_hot").getField(n), F.col("_rest").getField(n)).alias(n) for n in names))

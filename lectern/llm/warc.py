@@ -2,8 +2,10 @@
 
 Writer. Each record is a gzip member of its own. Payloads are compared by SHA-1 digest;
 the record of the smallest page_id is the response, equal ones are revisits that name it.
-The payload is compressed before the one shuffle (on the digest), so it travels small; rows
-of a very frequent payload are dealt evenly.
+Only digests and ids are shuffled to find the payloads that occur twice. Up to BROADCAST_ROWS
+of these go to every task, which then writes its pages where it reads them. Beyond, pages
+are joined with them by digest; rows of very frequent payloads keep their place in no
+group, but are dealt evenly, and travel without their payload unless they are responses.
 
 Reader. A task gets a byte range of one archive, scans it for the gzip magic number,
 validates a candidate by decoding its start as a WARC version line and headers, and owns
@@ -11,13 +13,16 @@ the records that start inside its range; from there on it goes from member to me
 reads beyond the range only to end the last record. So ranges of any size give each record
 once. Archives without compression are scanned for version lines in the same way.
 
-Archives lie in a shared folder; they are read and written through Arrow's file systems,
-each file under its own name at once, so a task that runs again replaces its own file.
+Archives lie in a shared folder; they are read and written through Arrow's file systems (a
+local path, HDFS or an object store that Arrow opens), each file under its own name at once,
+so a task that runs again replaces its own file.
 
 Edge cases: a null html is an empty payload; a null url is an empty target; a null
 page_id is a revisit of the least id with its payload, or a response if there is none;
-repeated rows give a record each, those of the least id a response each; empty tables give
-no archive; extra columns are ignored.
+repeated rows give a record each, those of the least id a response each; payloads and
+headers of any length stay whole; empty tables give no archive; extra columns are ignored.
+In an archive without compression, a payload that itself holds a whole WARC header is told
+apart only by a task that owns the record around it.
 """
 
 from __future__ import annotations
@@ -35,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, join_skewed, shared_dir
+from lectern.llm.common import BROADCAST_ROWS, bound_batches, join_skewed, materialize, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of an archive for each task, of one read, and of a record's header at most.
-RANGE, READ, HEADER = 16 << 20, 1 << 20, 1 << 16
+#: Bytes of an archive for each task, and of one read.
+RANGE, READ = 16 << 20, 1 << 20
 LEVEL = 4
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 
@@ -81,24 +86,26 @@ def revisit_member(page_id: int | None, url: str | None, length: int, sha: str,
     return _member(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
 
 
-def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a record for each row of ``pages(page_id, url, html)`` under ``folder``; one row a file.
 
     ``date`` goes into every record, so that a task that runs again writes the same bytes.
     """
     bound_batches(pages.sparkSession)
-    plain = pages.select(F.col("page_id").cast("long"), "url", "html")
-    first = plain.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha"))
-    first = first.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page_id, url, text in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html")):
-                payload = (text.as_py() or "").encode("utf-8", "replace")
-                sha = hashlib.sha1(payload).digest()
-                rows.append((page_id, url, sha, len(payload), response_member(page_id, url, payload, base64.b32encode(sha).decode(), date)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary()))], ["page_id", "url", "sha", "bytes", "member"])
+    sha = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    plain = pages.select(F.col("page_id").cast("long"), "url", "html", sha.alias("sha"))
+    first = plain.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "warc-first")
+    if first.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        ready = plain.join(F.broadcast(first.drop("n")), "sha", "left")
+    else:
+        total = pages.count()
+        frequent = F.broadcast(first.where(F.col("n") > total / 1000).select("sha", F.col("first").alias("known")))
+        again = F.col("known").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("known"))
+        bare = plain.withColumn("bytes", F.octet_length(F.coalesce("html", F.lit("")))).join(frequent, "sha", "left")
+        ready = join_skewed(bare.select("sha", "page_id", "url", "bytes", F.when(~again, F.col("html")).alias("html")), first, "sha", total)
+    if "bytes" not in ready.columns:
+        ready = ready.withColumn("bytes", F.octet_length(F.coalesce("html", F.lit(""))))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -110,11 +117,13 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
         draft, path = f"{base}/.{name}.{task.taskAttemptId()}", f"{base}/{name}"
         out, size, n = None, 0, 0
         for b in batches:
-            for row in b.to_pylist():
-                sha, first_id = row["sha"], row["first"]
-                data = row["member"]
-                if first_id is not None and row["page_id"] != first_id:
-                    data = revisit_member(row["page_id"], row["url"], row["bytes"], base64.b32encode(sha).decode(), first_id, date)
+            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "sha", "bytes", "first")]
+            for page_id, url, sha, length, first_id, text in zip(*columns, b.column("html")):
+                code = base64.b32encode(sha).decode()
+                if first_id is not None and page_id != first_id:
+                    data = revisit_member(page_id, url, length, code, first_id, date)
+                else:
+                    data = response_member(page_id, url, (text.as_py() or "").encode("utf-8", "replace"), code, date)
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(draft)
@@ -125,9 +134,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
             store.move(draft, path)
             yield pa.RecordBatch.from_pylist([{"file": posixpath.join(folder, name), "size": size, "records": n}])
 
-    made = plain.mapInArrow(compress, "page_id long, url string, sha binary, bytes long, member binary")
-    ready = join_skewed(made, first, "sha", pages.count())
-    return ready.select("sha", "page_id", "url", "bytes", "member", "first").mapInArrow(write, "file string, size long, records long")
+    return ready.select("sha", "page_id", "url", "bytes", "html", "first").mapInArrow(write, "file string, size long, records long")
 
 
 @dataclass
@@ -201,6 +208,20 @@ def _gzip_member(w: _Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(parts), pos - len(gz.unused_data)
 
 
+def _plain_record(w: _Window, at: int) -> tuple[Record | None, int, int]:
+    """The record at ``at`` of an archive without compression, where its block starts, and 0 for its end."""
+    w.fill(at + 32)
+    if not _VERSION.match(w.data[at - w.base : at - w.base + 32]):
+        return None, 0, 0
+    more = True
+    seen = at
+    while (end := w.data.find(b"\r\n\r\n", seen - w.base)) < 0 and more:  # headers of any length
+        seen = max(at, w.base + len(w.data) - 3)
+        more = w.fill(w.base + len(w.data) + READ)
+    body = w.base + end + 4
+    return (parse_record(w.data[at - w.base : body - w.base], at), body, 0) if end >= 0 else (None, 0, 0)
+
+
 def records_in_range(file, start: int, end: int) -> Iterator[Record]:
     """Records that start in ``[start, end)`` of an open file, compressed or not."""
     file.seek(0)
@@ -226,12 +247,8 @@ def records_in_range(file, start: int, end: int) -> Iterator[Record]:
             record = parse_record(found[0], at) if found else None
             stop = found[1] if found else 0
         else:
-            w.fill(at + HEADER)
-            head = w.data[at - w.base : at - w.base + HEADER]
-            record = parse_record(head, at)
-            stop = 0
+            record, body, stop = _plain_record(w, at)
             if record:
-                body = at + head.index(b"\r\n\r\n") + 4
                 stop = body + int(record.headers["content-length"])
                 w.fill(stop + 4)
                 record.block = w.data[body - w.base : stop - w.base]
@@ -249,9 +266,15 @@ READ_SCHEMA = "file string, offset long, record_type string, record_id string, r
 
 
 def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = True, range_bytes: int = RANGE) -> DataFrame:
-    """Records of ``files(file, size)``, see READ_SCHEMA; digests and lengths of responses are computed from what is read."""
+    """Records of ``files(file, size)``, see READ_SCHEMA; digests and lengths of responses are computed from what is read.
+
+    Ranges are dealt in turn to a stated number of partitions, which adaptive execution
+    doesn't merge: one a range, up to eight for each core.
+    """
     pieces = files.select("file", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {range_bytes}L)")).alias("start"), "size")
-    spread = pieces.repartition(F.col("file"), F.col("start"))
+    n = pieces.count()
+    most = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    spread = pieces.repartition(max(1, min(n, most)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -280,8 +303,6 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = True,
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back, one row a record."""
-    from lectern.llm.common import materialize
-
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = materialize(write_archives(pages, folder), "warc-files")

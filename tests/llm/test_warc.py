@@ -34,6 +34,23 @@ def test_round_trip(spark):
     assert sorted(found, key=str) == expected(ROWS)
 
 
+def test_many_repeated_payloads_are_joined_by_digest(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    rows = ROWS + [(100 + i, "u", "hot") for i in range(3000)]
+    files = warc.write_archives(pages(spark, rows), folder, broadcast_rows=0)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = files.cache()
+    kinds = {r["record_type"]: r["count"] for r in warc.read_archives(spark, files, payloads=False).groupBy("record_type").count().collect()}
+    want = expected(rows)
+    assert kinds == {k: sum(w[3] == k for w in want) for k in ("response", "revisit")}
+
+
+def test_ranges_are_read_in_parallel(spark):
+    files = spark.createDataFrame([("file:///none", 40 * 100)], "file string, size long").coalesce(1)
+    read = warc.read_archives(spark, files, range_bytes=100)
+    assert read.rdd.getNumPartitions() == 32  # 40 ranges, at most eight for each of four cores
+
+
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
@@ -55,6 +72,12 @@ def test_any_range_gives_each_record_once(spark, tmp_path):
     assert read.where("payload_bytes > 5000").first()["payload"].decode() == "été " * 5000
 
 
+def test_long_headers_of_plain_archives():
+    one = zlib.decompress(warc.response_member(1, "http://x/" + "y" * 300_000, b"body", "d", "2000-01-01T00:00:00Z"), 31)
+    data = one + one
+    assert [r.payload for r in warc.records_in_range(io.BytesIO(data), 0, len(data))] == [b"body", b"body"]
+
+
 def test_false_members_and_plain_archives():
     fake = zlib.compressobj(9, zlib.DEFLATED, 31)
     gz = fake.compress(b"no record") + fake.flush()
