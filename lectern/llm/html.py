@@ -1,35 +1,48 @@
 """Main-text extraction with removal of site templates.
 
-A page becomes a tree of elements (implied end tags, unclosed and crossed tags, raw text
-and truncated markup are handled). Elements whose name, role, class or id says menu,
-header, footer, sidebar, notice, advert, form, script, style or reader comment go. The
-text comes from the page's articles, else its main element, else its body.
-
-Site templates: each container that is left has a hash of its subtree (names, classes and
-text). Spark counts the different main texts of each (host, hash); subtrees in MIN_PAGES of
-them or more on one host are deleted, so copies of a page or an article stay whole, however
-many there are. In an article only containers can be templates, never its own paragraphs and
-headings, and nothing that holds half of the page's text or more.
+A page becomes a tree of elements of any depth (implied end tags, unclosed and crossed tags,
+raw text and truncated markup are handled). The text comes from the page's articles, else its
+main element, else its body.
+
+Site templates: every element has a hash of its subtree (names, classes and text). Spark counts
+the different main texts of each (host, hash); a subtree that recurs in at least MIN_PAGES of
+them, and in SHARE of the host's, is a template and is deleted from all pages of the host.
+Menus, headers, notices and all else outside the main text are counted with the rest, before
+any rule of names. In an article only containers can be templates, never its own paragraphs
+and headings, and nothing that holds half of the page's text or more. Counting main texts, not
+pages, keeps copies of a page or an article whole, however many there are.
+
+Rules of names complete this where a host has too few pages, and for what differs from page
+to page: elements whose name, role, class or id says menu, header, footer, sidebar, notice,
+advert, form, script, style or reader comment go too (``names=False`` leaves these rules out).
+
+Two passes parse the pages: the first keeps only hashes, the second gives the text, so no
+text is stored in between. Templates of a host are few, as each recurs in SHARE of its pages;
+they travel to the pages by a broadcast of checked size, else by a join on the host that
+deals the pages of large hosts evenly.
 
 Edge cases: a null or empty html gives the empty text; a null url has the empty host;
-repeated rows give a row each and count once; texts of any length stay whole;
-extra columns are ignored.
+repeated rows give a row each and count once; texts of any length and elements at any depth
+are treated alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, materialize
+from lectern.llm.common import bound_batches, join_skewed, materialize, release_memory
 
-#: Pages of one host, with different main texts, on which a subtree must recur to be a template.
-MIN_PAGES = 10
+#: A template recurs on so many pages of one host, with different main texts, and on this share of them.
+MIN_PAGES, SHARE = 10, 0.02
+#: Hashes of templates that a broadcast may hold.
+BROADCAST_HASHES = 2_000_000
 
 # Fixed values of HTML and of common class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,8 +61,6 @@ DROPPED_WORDS = frozenset(
     "respond disqus share sharing social related recommended widget toolbar pagination pager login signup skip masthead".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
-#: Elements within each other at most; deeper ones count as text of the last.
-DEPTH = 200
 #: End tags that a start tag implies: name -> (names that it closes, names that hold it back).
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -65,13 +76,14 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n
 
 
 class Node:
-    __slots__ = ("name", "kinds", "parts", "parent", "dropped", "size", "hash", "depth")
+    __slots__ = ("name", "kinds", "parts", "parent", "dropped", "within", "has", "size", "full", "hash")
 
     def __init__(self, name: str, kinds: str, parent: Node | None, dropped: bool):
         self.name, self.kinds, self.parent, self.dropped = name, kinds, parent, dropped
         self.parts: list[str | Node] = []
-        self.size = self.hash = 0
-        self.depth = parent.depth + 1 if parent else 0
+        self.within = parent is not None and (parent.within or parent.name in ("article", "main"))
+        self.has = False  # an article or main element that isn't dropped lies within
+        self.size = self.full = self.hash = 0  # characters that aren't dropped, and all
 
 
 def _marks(name: str, rest: str) -> tuple[str, bool]:
@@ -85,10 +97,20 @@ def _marks(name: str, rest: str) -> tuple[str, bool]:
     return kinds.strip(), dropped and name not in ("html", "body", "main")
 
 
-def parse(page: str) -> Node:
-    """The tree of a page."""
+def parse(page: str) -> list[Node]:
+    """All elements of a page in the order of their start tags; the first is the root of the tree."""
     root = now = Node("#root", "", None, False)
-    at = 0
+    nodes, at, opened = [root], 0, Counter()
+
+    def leave(node: Node) -> None:
+        """End all elements up to ``node``."""
+        nonlocal now
+        while now is not node:
+            opened[now.name] -= 1
+            now = now.parent
+        opened[node.name] -= 1
+        now = node.parent
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             now.parts.append(page[at : m.start()])
@@ -97,150 +119,180 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            node = now
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                now = node.parent
+            if opened[name] > 0:
+                node = now
+                while node.name != name:
+                    node = node.parent
+                leave(node)
             continue
         if name in VOID:
-            now.parts.append("\n" if name in ("hr",) else " ")
-            if name == "hr":
-                now.parts.append(Node("hr", "", now, False))
+            now.parts.append(Node("hr", "", now, False) if name == "hr" else " ")
             continue
         if name in BLOCK:
             closes, holds = CLOSES.get(name, ((), ()))
-            node, found = now, None
-            while node is not root and node.name not in holds:
-                if node.name in closes or node.name == "p" and name not in CLOSES:
-                    found = node
-                elif node.name in BLOCK and name not in CLOSES:
-                    break
-                node = node.parent
-            if found:
-                now = found.parent
+            if opened["p"] > 0 or any(opened[c] > 0 for c in closes):
+                node, found = now, None
+                while node is not root and node.name not in holds:
+                    if node.name in closes or node.name == "p" and not closes:
+                        found = node
+                    elif node.name in BLOCK and not closes:
+                        break
+                    node = node.parent
+                if found:
+                    leave(found)
         kinds, dropped = _marks(name, m[3] or "")
         node = Node(name, kinds, now, dropped)
+        nodes.append(node)
         now.parts.append(node)
         if name in TEXT_RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-        elif (not (m[3] or "").endswith("/") or name in BLOCK) and node.depth < DEPTH:
+        elif not (m[3] or "").endswith("/") or name in BLOCK:
             now = node
+            opened[name] += 1
     if at < len(page):
         now.parts.append(page[at:])
-    return root
+    return nodes
 
 
-def _measure(node: Node, within: bool = False) -> bool:
-    """Sizes and hashes of subtrees; whether an article or main element lies within."""
+def _measure(nodes: list[Node], names: bool) -> None:
+    """Sizes and hashes of all subtrees, children first."""
     import xxhash
 
-    has, line = node.name in ("article", "main"), [node.name, node.kinds]
-    own = within or has
-    for x in node.parts:
-        if isinstance(x, str):
-            words = " ".join(x.split())
-            node.size += len(words)
-            line.append(words)
-        else:
-            inner = _measure(x, own)
-            has |= inner
-            if not x.dropped:
-                node.size += x.size
-            line.append(str(x.hash))
-    node.hash = xxhash.xxh64_intdigest("\x1f".join(line).encode("utf-8", "replace")) - (1 << 63)
-    if node.dropped and has and not own and node.name not in DROPPED and not COMMENT_WORDS & {w.lower() for w in _WORD.findall(node.kinds)}:
-        node.dropped = False  # a wrapper around the article, whatever its class
-    return has and not node.dropped
-
-
-def _roots(node: Node, names: tuple[str, ...], out: list[Node]) -> list[Node]:
-    for x in node.parts:
-        if isinstance(x, Node) and not x.dropped:
-            if x.name in names:
-                out.append(x)
-            else:
-                _roots(x, names, out)
-    return out
-
-
-def blocks(page: str | None) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the containers that may be templates) of each block of main text."""
-    tree = parse(page or "")
-    _measure(tree)
-    roots = _roots(tree, ("article",), []) or _roots(tree, ("main",), [])
-    inside = bool(roots)
-    roots = roots or [tree]
-    half = sum(r.size for r in roots) / 2
-    out: list[tuple[str, list[int]]] = []
-    run: list[str] = []
-
-    def close(chain: list[int]) -> None:
-        if text := " ".join(entities.unescape("".join(run)).split()):
-            out.append((text, chain))
-        run.clear()
-
-    def walk(node: Node, chain: list[int]) -> None:
+    for node in reversed(nodes):
+        if not names:
+            node.dropped = node.name in RAW
+        own = node.name in ("article", "main")
+        node.has, line = own, [node.name, node.kinds]
         for x in node.parts:
             if isinstance(x, str):
-                run.append(x)
-            elif x.dropped or x.name in RAW or x.name == "header" and not inside:
-                continue
-            elif x.name in BLOCK:
-                close(chain)
-                own = [*chain, x.hash] if x.size < half and (x.name in CONTAINERS or not inside) else chain
-                walk(x, own)
-                close(own)
+                words = " ".join(x.split())
+                node.size += len(words)
+                node.full += len(words)
+                line.append(words)
             else:
-                walk(x, chain)
-
-    for r in roots:
-        walk(r, [])
-        close([])
-    return out
-
-
-SCHEMA = "row long, page_id long, url string, host string, blocks array<struct<text: string, chain: array<long>>>"
-
-
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of every row of ``pages(page_id, url, html)``; ``row`` tells equal rows apart."""
+                node.has |= x.has and not x.dropped
+                node.full += x.full
+                if not x.dropped:
+                    node.size += x.size
+                line.append(str(x.hash))
+        node.hash = xxhash.xxh64_intdigest("\x1f".join(line).encode("utf-8", "replace")) - (1 << 63)
+        if node.dropped and node.has and not own and not node.within and node.name not in DROPPED and not COMMENT_WORDS & {w.lower() for w in _WORD.findall(node.kinds)}:
+            node.dropped = False  # a wrapper around the article, whatever its class
+
+
+class Page:
+    """The tree of a page, the elements that hold its main text, and which elements may be templates."""
+
+    def __init__(self, html: str | None, names: bool = True):
+        self.nodes = parse(html or "")
+        _measure(self.nodes, names)
+        self.roots = self._named("article") or self._named("main")
+        self.inside = bool(self.roots)
+        self.roots = self.roots or self.nodes[:1]
+        self.half = sum(r.size for r in self.roots) / 2
+
+    def _named(self, name: str) -> list[Node]:
+        """Outermost elements of the name that aren't dropped."""
+        out, stack = [], [self.nodes[0]]
+        while stack:
+            for x in stack.pop().parts:
+                if isinstance(x, Node) and not x.dropped:
+                    (out if x.name == name else stack).append(x)
+        order = {id(n): i for i, n in enumerate(self.nodes)} if len(out) > 1 else {}
+        return sorted(out, key=lambda n: order.get(id(n), 0))
+
+    def may_go(self, x: Node) -> bool:
+        """Whether the element could be a template: all blocks outside the main text, lesser parts of it."""
+        if x.name not in BLOCK or x.name in RAW or not x.full or x.has:
+            return False
+        if self.inside:
+            return not x.within or x.dropped or x.name in CONTAINERS and x.size < self.half
+        return x.size < self.half or x.dropped
+
+    def hashes(self) -> list[int]:
+        """Distinct hashes of the elements that may be templates."""
+        return list({x.hash for x in self.nodes[1:] if self.may_go(x)})
+
+    def text(self, gone: set[int] = frozenset()) -> str:
+        """Main text, one block a line, without the elements whose hash is in ``gone``."""
+        out: list[str] = []
+        run: list[str] = []
+
+        def close() -> None:
+            if line := " ".join(entities.unescape("".join(run)).split()):
+                out.append(line)
+            run.clear()
+
+        for r in self.roots:
+            stack = [iter(r.parts)]
+            blocks = [True]
+            while stack:
+                x = next(stack[-1], None)
+                if x is None:
+                    stack.pop()
+                    if blocks.pop():
+                        close()
+                elif isinstance(x, str):
+                    run.append(x)
+                elif x.dropped or x.name in RAW or x.name == "header" and not self.inside or x.hash in gone and self.may_go(x):
+                    continue
+                else:
+                    if x.name in BLOCK:
+                        close()
+                    stack.append(iter(x.parts))
+                    blocks.append(x.name in BLOCK)
+        return "\n".join(out)
+
+
+def host_key(url: Column) -> Column:
+    """A number for the host of a url."""
+    return F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit(""))))
+
+
+def page_hashes(pages: DataFrame, names: bool = True) -> DataFrame:
+    """``(host, content, hashes)`` of every row of ``pages(url, html)``: hash of the main text, hashes that may be templates."""
     bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        import xxhash
+
+        for batch in batches:
+            contents, found = [], []
+            for h in batch.column("html"):
+                page = Page(h.as_py(), names)
+                contents.append(xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace")) - (1 << 63))
+                found.append(page.hashes())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "content", "hashes"])
+        release_memory()
+
+    return pages.select(host_key(F.col("url")).alias("host"), "html").mapInArrow(run, "host long, content long, hashes array<long>")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """``(host, hash, pages)`` of the subtrees that recur in enough different main texts of their host."""
+    texts = found.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_pages)
+    each = found.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+    counted = each.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    return counted.join(texts, "host").where(F.col("pages") >= share * F.col("texts")).select("host", "hash", "pages")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, names: bool = True, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``."""
+    found = materialize(page_hashes(pages, names), "html-hashes")
+    repeated = materialize(templates(found, min_pages, share), "html-templates")
+    gone = repeated.groupBy("host").agg(F.collect_list("hash").alias("gone"))
+    own = pages.select(F.col("page_id").cast("long"), "url", "html", host_key(F.col("url")).alias("host"))
+    if repeated.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
+        met = own.join(F.broadcast(gone), "host", "left")
+    else:
+        sizes = found.groupBy("host").agg(F.count("*").alias("n"))
+        met = join_skewed(own, gone.join(sizes, "host"), "host", found.count())
 
-        row = TaskContext.get().partitionId() << 40
-        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"text": t, "chain": c} for t, c in blocks(h.as_py())] for h in batch.column("html")]
-            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(found, kind)], ["row", "page_id", "url", "host", "blocks"])
-
-    host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
-    return pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html").mapInArrow(run, SCHEMA)
-
-
-def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, hash)`` of the subtrees that recur in ``min_pages`` different main texts or more of a host."""
-    content = F.xxhash64(F.array_join("blocks.text", "\n"))
-    each = found.select("host", content.alias("content"), F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("hash"))
-    return each.distinct().groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every row of ``pages``."""
-    found = materialize(page_blocks(pages), "html")
-    open_ = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
-    candidates = found.where(open_)
-    repeated = templates(candidates, min_pages)
-    each = candidates.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("hash"))
-    gone = each.join(repeated, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    kept = candidates.join(gone, "row", "left").select(
-        "page_id", "url", F.expr("filter(blocks, b -> gone is null or not arrays_overlap(b.chain, gone))").alias("blocks")
-    )
-    every = found.where(~open_).select("page_id", "url", "blocks").unionByName(kept)
-    text = F.array_join("blocks.text", "\n")
-    return every.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+            texts = [Page(h.as_py(), names).text(set(g.as_py() or ())) for h, g in zip(batch.column("html"), batch.column("gone"))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        release_memory()
+
+    return met.select("page_id", "url", "html", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long")

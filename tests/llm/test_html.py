@@ -1,10 +1,13 @@
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from lectern.llm import html
 
 
 def text(page):
-    return "\n".join(t for t, _ in html.blocks(page))
+    return html.Page(page).text()
 
 
 def test_main_text_only():
@@ -28,6 +31,48 @@ def test_broken_markup():
     assert text("<article><svg><p>no</p></svg><P CLASS=Ad>no</P><p hidden>no</p><p>yes</p>") == "yes"
 
 
+def test_depth_has_no_limit():
+    assert text("<div>" * 3000 + "<nav>MENU<p>item</nav><p>kept" + "</div>" * 3000) == "kept"
+    page = "<span>" * 3000 + "a" + "</span>" * 3000 + "</div>" * 3000 + "<p>b"
+    assert text(page) == "a\nb"
+
+
+SITE = """<body><div class="x1"><a href="/a">Start</a> <a href="/b">About us</a></div><div class="x2">We use small files.</div>
+<article><h1>Story {i}</h1><p>Told at length, {i} times over and over again.</p><div>Read more every day</div></article><div>Latest: {i}</div><p>Made by hand</p></body>"""
+
+
+def test_templates_are_found_without_rules_of_names(spark):
+    """Menu, notice and a box within the article recur; what is left of a page is its own."""
+    rows = [(i, f"http://site.org/{i}", SITE.replace("<article>", "<section>").replace("</article>", "</section>").format(i=i)) for i in range(12)]
+    rows += [(100 + i, f"http://article.org/{i}", SITE.format(i=i)) for i in range(12)]
+    rows += [(200 + i, f"http://nav.org/{i}", f"<body><nav><a>Home</a></nav><h1>Tale {i}</h1><p>Words of the tale {i}.</p><footer>All rights</footer></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for broadcast_hashes in (html.BROADCAST_HASHES, 0):
+        found = {r["page_id"]: r["text"] for r in html.extract(df, names=False, broadcast_hashes=broadcast_hashes).collect()}
+        assert found[3] == "Story 3\nTold at length, 3 times over and over again.\nLatest: 3"
+        assert found[103] == "Story 3\nTold at length, 3 times over and over again."
+        assert found[203] == "Tale 3\nWords of the tale 3."
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(3)
+    boxes = [f"<div><p>box {i}</p></div>" for i in range(12)]
+    rows = []
+    for i in range(300):
+        host = rng.choice("aaab")
+        rows.append((i, f"http://{host}.org/{i}", f"<body><p>own words number {rng.randrange(150)} in a longer line of text</p>{''.join(rng.sample(boxes, 3) if rng.random() < 0.2 else boxes[:2])}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts, where = defaultdict(set), defaultdict(set)
+    for _, url, page in rows:
+        tree, host = html.Page(page), url[7]
+        texts[host].add(tree.text())
+        for h in tree.hashes():
+            where[host, h].add(tree.text())
+    want = sorted((h, len(v)) for (host, h), v in where.items() if len(v) >= 10 and len(v) >= 0.1 * len(texts[host]))
+    got = html.templates(html.page_hashes(df), share=0.1).collect()
+    assert sorted((r["hash"], r["pages"]) for r in got) == want and len(want) > 4
+
+
 def test_site_templates(spark):
     box = "<div><p>Follow us</p><ul><li>here</li></ul></div>"
     rows = [(i, f"http://Site.org/{i}", f"<body><p>Story {i} is told at some length here.</p>{box}<div>own {i}</div>") for i in range(12)]
