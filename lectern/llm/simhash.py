@@ -16,9 +16,11 @@ only a spanning forest of its links leaves the task, never all pairs.
 from a prefix filter on five-word shingles, which meets every pair of the threshold, and the
 exact Jaccard similarity of the shingle sets verifies them.
 
-Edge cases: a null or empty text has fingerprint zero and links like any other; repeated
-rows share a component; a null doc_id keeps its row, and counts for a component's
-smallest id only if there is no other; extra columns are ignored.
+Edge cases: a null or empty text has fingerprint zero and links like any other; texts of any
+length count whole; repeated rows share a component; a bit that half of the hashes have (a
+tie) is 0; a null doc_id keeps its row, and counts for a component's smallest id only if
+there is no other; extra columns are ignored, or kept by ``keep_representatives``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,19 +35,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, checked_broadcast, components, join_skewed, materialize, release_memory, row_key
+from lectern.llm.common import BROADCAST_ROWS, bound_batches, boxed, checked_broadcast, components, join_skewed, materialize, release_memory, row_key, unboxed
 
 THRESHOLD = 2
 #: Bits of a half that the code covers, and the mask of them.
 CODE_BITS, CODE_MASK = 31, (1 << 31) - 1
 #: Groups over this size are compared in blocks of rows.
 BLOCK = 512
+#: Fingerprints for which one anchor is the nearest; beyond, the anchor is compared in blocks of so many.
+HOME_ROWS = 4096
 #: Near copies by similarity: least Jaccard similarity of sets of shingles of so many words.
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 #: Order of shingles: rows of the sample, rows of it that make a shingle frequent, frequent ones listed.
 ORDER_ROWS, FREQUENT, LISTED = 20_000, 3, 100_000
 #: Bits of a signature; members of a shingle's group that are paired all with all at once.
 SIGNATURE, GROUP = 256, 64
+#: Bytes of a shingle's hash in the sets that are compared, and sets that meet their partner in one task.
+HASH_BYTES, PARTNERS = 6, 2000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -150,15 +156,20 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def links_by_anchor(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links among rows sorted by anchor, a spanning forest for these rows."""
+def links_by_anchor(keys: np.ndarray, fps: np.ndarray, deal: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Links among rows sorted by anchor (and block), a spanning forest for these rows.
+
+    deal: 0, or ``blocks << 24 | block`` where the home rows of an anchor are dealt in blocks:
+    a block compares its own home rows with all members.
+    """
     out: list[tuple[int, int]] = []
     n = len(keys)
     if n < 2:
         return out
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    deal = np.zeros(n, np.int64) if deal is None else deal
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (deal[1:] != deal[:-1])])
     sizes = np.diff(np.r_[first, n])
-    small = sizes <= 16
+    small = (sizes <= 16) & (deal[first] == 0)
     keep = np.repeat((sizes > 1) & small, sizes)
     k, f = keys[keep], fps[keep]
     for lag in range(1, int(sizes[small].max(initial=1))):
@@ -169,6 +180,8 @@ def links_by_anchor(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOL
     for at, size in zip(first[~small], sizes[~small]):
         member = np.unique(fps[at : at + size])
         homes = member[_home(np.full(len(member), keys[at]), member)]
+        if deal[at]:
+            homes = homes[_block_of(homes, int(deal[at] >> 24)) == (deal[at] & 0xFFFFFF)]
         found: list[tuple[int, int]] = []
         for i in range(0, len(homes), BLOCK):
             for j in range(0, len(member), 64 * BLOCK):
@@ -179,8 +192,17 @@ def links_by_anchor(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOL
     return _forest(out)
 
 
-def links(vertices: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fp``, enough of them to connect all that link."""
+def _block_of(fps: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix(fps.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def links(vertices: DataFrame, home_rows: int = HOME_ROWS) -> DataFrame:
+    """Links (a, b) among distinct fingerprints ``fp``, enough of them to connect all that link.
+
+    Anchors that are the nearest of more than ``home_rows`` fingerprints are compared in
+    blocks of these, so no anchor's square meets in one task.
+    """
+    anchored = "anchor long, fp long"
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,29 +210,37 @@ def links(vertices: DataFrame) -> DataFrame:
             for i in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(fp[i : i + 100_000])], ["anchor", "fp"])
 
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp = anchors(batch.column("fp").to_numpy(zero_copy_only=False))
+            own = _home(key, fp)
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(fp[own])], ["anchor", "fp"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k = rest_f = np.array([], dtype=np.int64)
         pending: list[tuple[int, int]] = []
 
         def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
             a, b = (pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [])))
             return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-        for batch in batches:
-            k = np.r_[rest_k, batch.column("anchor").to_numpy(zero_copy_only=False)]
-            f = np.r_[rest_f, batch.column("fp").to_numpy(zero_copy_only=False)]
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last anchor may go on
-            pending += links_by_anchor(k[:cut], f[:cut])
-            rest_k, rest_f = k[cut:], f[cut:]
+        for key, fp, deal in _by_group(batches, "anchor", ["fp", "deal"], 20_000):
+            pending += links_by_anchor(key, fp, deal)
             if len(pending) >= 50_000:
                 yield rows(_forest(pending))
                 pending = []
-        pending += links_by_anchor(rest_k, rest_f)
         yield rows(_forest(pending))
         release_memory()
 
-    spread = vertices.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    spread = vertices.select("fp").mapInArrow(replicate, anchored)
+    crowded = vertices.select("fp").mapInArrow(homes, anchored).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > home_rows)
+    crowded = materialize(crowded.select("anchor", F.ceil(F.col("n") / home_rows).cast("long").alias("blocks")), "simhash-crowded")
+    if crowded.isEmpty():
+        dealt = spread.withColumn("deal", F.lit(0).cast("long"))
+    else:
+        each = spread.join(checked_broadcast(crowded), "anchor", "left")
+        blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.shiftleft(F.col("blocks"), 24) + i))
+        dealt = each.select("anchor", "fp", F.explode(blocks).alias("deal"))
+    return dealt.repartition(F.col("anchor"), F.col("deal")).sortWithinPartitions("anchor", "deal").mapInArrow(compare, "a long, b long")
 
 
 def _components(marked: DataFrame) -> DataFrame:
@@ -309,16 +339,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, row_key, fp, vertex, size, prefix, signature)``: vertex: hash of the sequence of words; size: shingles."""
+    """``(rid, doc_id, row_key, fp, vertex, size, prefix, signature)``: vertex: hash of the sequence of words; size: shingles; rid: a number of the row."""
     bound_batches(docs.sparkSession)
     frequent = frequent_shingles(docs)
     rank = np.argsort(frequent, kind="stable")
     listed = frequent[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
+        from pyspark import TaskContext
+
+        longs, rid = pa.list_(pa.int64()), TaskContext.get().partitionId() << 40
         for b in batches:
             words, at = batch_words(b.column("text"))
+            rids = pa.array(range(rid, rid + b.num_rows), pa.int64())
+            rid += b.num_rows
             vertex, sizes, prefixes, signatures = np.zeros(b.num_rows, np.uint64), [], [], []
             for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
                 own = words[s:e]
@@ -328,13 +362,13 @@ def sketches(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 prefixes.append(prefix_of(h, listed, rank, threshold).view(np.int64))
                 signatures.append(signature(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)],
-                ["doc_id", "row_key", "fp", "vertex", "size", "prefix", "signature"],
+                [rids, b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)],
+                ["rid", "doc_id", "row_key", "fp", "vertex", "size", "prefix", "signature"],
             )
         release_memory()
 
     rows = fingerprints(docs.select(F.col("doc_id").cast("long"), "text", "row_key"))
-    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "doc_id long, row_key long, fp long, vertex long, size int, prefix array<long>, signature array<long>")
+    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "rid long, doc_id long, row_key long, fp long, vertex long, size int, prefix array<long>, signature array<long>")
 
 
 def may_reach(sizes_a: np.ndarray, sizes_b: np.ndarray, signs_a: np.ndarray, signs_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -425,58 +459,105 @@ def _by_group(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], r
         yield [table.column(c).to_numpy() for c in (key, *columns)]
 
 
-def _tokens(vertices: DataFrame) -> DataFrame:
+def _tokens(members: DataFrame) -> DataFrame:
     signs = [F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)]
-    return vertices.select(F.explode("prefix").alias("token"), "vertex", "size", *signs)
+    return members.select(F.explode("prefix").alias("token"), "vertex", "size", *signs)
+
 
+def _as_set(shingles: np.ndarray) -> bytes:
+    """Sorted hashes without their high bytes."""
+    low = np.unique(shingles & np.uint64((1 << 8 * HASH_BYTES) - 1))
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
 
-def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) of ``vertices(vertex, row_key, size, prefix, signature)``, texts from ``docs(row_key, text)``.
+
+def _from_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(vertex, shingles)`` have the similarity.
+
+    The set of each ``b`` travels to its ``a`` once a pair; partners of an ``a`` are dealt in
+    blocks of PARTNERS, each of which gets the set of ``a``.
+    """
+    leads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    others = pairs.join(checked_broadcast(leads.where("blocks > 1")), "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    roles = others.select(F.col("b").alias("vertex"), "a", block.alias("block"), F.lit(1).alias("role"))
+    roles = roles.unionByName(leads.select(F.col("a").alias("vertex"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lead = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for key, part, role, vertex, data in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "role", "vertex")), batch.column("shingles")):
+                if (key, part) != now:
+                    now, lead = (key, part), np.zeros(0, np.uint64)
+                if role == 0:
+                    lead = _from_set(data.as_py())
+                    continue
+                size = len(data.as_buffer()) // HASH_BYTES
+                if min(size, len(lead)) < threshold * max(size, len(lead)) - 1e-9:
+                    continue
+                common = len(np.intersect1d(lead, _from_set(data.as_py()), assume_unique=True))
+                if common >= threshold * (size + len(lead) - common) - 1e-9:
+                    a.append(key)
+                    b.append(vertex)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release_memory()
+
+    met = sets.join(checked_broadcast(roles), "vertex").select("a", "block", "role", "vertex", "shingles")
+    met = met.repartition(F.col("a"), F.col("block")).sortWithinPartitions("a", "block", "role")
+    return materialize(met.mapInArrow(run, "a long, b long"), "similar-links")
+
+
+def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) of ``members(vertex, row_key, size, prefix, signature)``, texts from ``docs(row_key, text)``.
 
     Two sets of the threshold share a shingle of their prefixes, so every pair meets in the
     group of one; sizes and signatures leave out only pairs that can't reach the threshold.
-    Each pair that is left is verified by the exact Jaccard similarity of the shingle sets,
-    but for pairs that verified links connect already. Large groups give few pairs at first,
-    then all between texts that are still apart.
+    Each pair that is left is verified by the Jaccard similarity of the shingle sets, but for
+    pairs that verified links connect already. Large groups give few pairs at first, then all
+    between texts that are still apart.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, v, n, *signs in _by_group(batches, "token", COLUMNS):
             order = np.lexsort((v, k))
-            yield _pairs_in_groups(k[order], v[order], n[order].astype(np.int64), np.stack(signs, axis=1)[order], threshold)
+            k = k[order]
+            yield _pairs_in_groups(k, v[order], n[order].astype(np.int64), np.stack(signs, axis=1)[order], threshold)
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            large = k[first[np.diff(np.r_[first, len(k)]) > GROUP]]
+            yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64())], ["a", "b"])
         release_memory()
 
-    tokens = _tokens(vertices).repartition(F.col("token")).sortWithinPartitions("token")
-    pairs = materialize(tokens.mapInArrow(compare, "a long, b long").distinct(), "similar-pairs")
-    large = materialize(_tokens(vertices).groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > GROUP).select("token"), "similar-large")
-    crowd = materialize(_tokens(vertices).join(checked_broadcast(large), "token"), "similar-crowd")
+    tokens = _tokens(members).repartition(F.col("token")).sortWithinPartitions("token")
+    met = materialize(tokens.mapInArrow(compare, "a long, b long").distinct(), "similar-pairs")
+    pairs, large = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("token"))
+    crowd = _tokens(members).join(checked_broadcast(large), "token")
     some = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).union(crowd.select("vertex")).distinct()
-    some = materialize(vertices.select("vertex", "row_key").join(some, "vertex", "left_semi"), "similar-some")
+    some = materialize(members.select("vertex", "row_key").join(some, "vertex", "left_semi"), "similar-some")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = batch_words(b.column("text"))
-            sets = [shingles_of(words[s:e]).view(np.int64) for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "shingles"])
+            sets = [_as_set(shingles_of(words[s:e])) for s, e in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(sets, pa.binary())], ["vertex", "shingles"])
         release_memory()
 
     texts = docs.join(checked_broadcast(some), "row_key")
-    sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, shingles array<long>"), "similar").dropDuplicates(["vertex"])
-
-    def verified(some_pairs: DataFrame) -> DataFrame:
-        both = some_pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
-        near = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
-        common = near.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
-        return materialize(common.where(F.col("common") >= threshold * (F.col("sizes") - F.col("common"))).select("a", "b"), "similar-links")
+    sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, shingles binary"), "similar")
 
     def apart(some_pairs: DataFrame, roots: DataFrame) -> DataFrame:
         left = some_pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        return materialize(left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "similar-apart")
 
     def connect(some_pairs: DataFrame, found: DataFrame) -> DataFrame:
         # one partner of each text first: what that connects needs no further pair
-        found = found.unionByName(verified(some_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-        return found.unionByName(verified(apart(some_pairs, components(found))))
+        found = found.unionByName(verified(some_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, threshold))
+        return found.unionByName(verified(apart(some_pairs, components(found)), sets, threshold))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, v, n, *signs, root in _by_group(batches, "token", [*COLUMNS, "root"]):
@@ -488,7 +569,7 @@ def similar_links(vertices: DataFrame, docs: DataFrame, threshold: float = SIMIL
         return found
     named = crowd.join(components(found).withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     split = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    named = named.join(split, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token")
+    named = named.join(checked_broadcast(materialize(split, "similar-split")), "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token")
     return connect(materialize(named.mapInArrow(rest, "a long, b long").distinct(), "similar-rest"), found)
 
 
@@ -497,33 +578,37 @@ def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SI
 
     docs: (row_key, text). group: a vertex of the component, for rows without any id.
     """
-    vertices = marked.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "prefix", "signature")), F.count("*").alias("n"))
+    vertices = marked.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.min("fp").alias("fp"), F.count("*").alias("n"))
     vertices = materialize(vertices, "similar-v")
+    first = vertices.select("rid")
+    members = marked.join(checked_broadcast(first), "rid", "left_semi").select("vertex", "row_key", "size", "prefix", "signature")
+    if first.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # a join with a shuffle is done once
+        members = materialize(members, "similar-m")
     lead = vertices.groupBy("fp").agg(F.min("vertex").alias("a"))
     same = vertices.join(lead, "fp").where("a <> vertex").select("a", F.col("vertex").alias("b"))
     linked = links(lead).join(lead.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(same.unionByName(linked).unionByName(similar_links(vertices, docs, threshold)))
+    roots = components(same.unionByName(linked).unionByName(similar_links(members, docs, threshold)))
     named = vertices.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("group", F.coalesce("root", "vertex"))
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
     return materialize(named.select("vertex", "group", "n").join(ids, "group").select("vertex", "component_id", "group", "n"), "similar-c")
 
 
 def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs``, all columns, of each component: that of its smallest doc_id.
+    """One row of ``docs``, all columns whatever their names, of each component: that of its smallest doc_id.
 
     Components join rows with equal words, with fingerprints within THRESHOLD bits, and with
     shingle sets of ``threshold`` similarity or more. Of several rows with the id, the one
     whose row hash is least stays, and of equal rows one.
     """
-    keyed = docs.withColumn("row_key", row_key())
-    marked = materialize(sketches(keyed.select("doc_id", "text", "row_key"), threshold), "simhash")
-    named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, keyed.select("row_key", "text"), threshold), "vertex", marked.count())
+    texts = docs.select("doc_id", "text", row_key().alias("row_key"))
+    marked = materialize(sketches(texts, threshold), "simhash")
+    named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, texts.select("row_key", "text"), threshold), "vertex", marked.count())
     leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = leads.groupBy("group").agg(F.min("row_key").alias("row_key"))
     equal = marked.groupBy("row_key").count().where("count > 1").select("row_key", F.lit(True).alias("equal_rows"))
     kept = materialize(kept.select("row_key").join(equal, "row_key", "left"), "simhash-kept")
-    rows = keyed.join(kept, "row_key")
+    rows = boxed(docs, row_key().alias("row_key")).join(checked_broadcast(kept), "row_key")
     if kept.where("equal_rows").isEmpty():
-        return rows.select(*docs.columns)
+        return unboxed(rows, docs.columns)
     alone, equal_rows = rows.where(F.col("equal_rows").isNull()), rows.where("equal_rows").dropDuplicates(["row_key"])
-    return alone.select(*docs.columns).unionByName(equal_rows.select(*docs.columns))
+    return unboxed(alone, docs.columns).unionByName(unboxed(equal_rows, docs.columns))

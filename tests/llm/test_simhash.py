@@ -105,11 +105,49 @@ def test_large_groups_of_near_copies():
     assert len(found) < len(near) and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in found)
 
 
+def test_hot_anchors_are_compared_in_blocks(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(63)
+    near = list({base ^ sum(1 << b for b in rng.sample(range(12), rng.randrange(4))) for _ in range(300)} | {rng.getrandbits(63) for _ in range(50)})
+    df = spark.createDataFrame([(x,) for x in near], "fp long")
+
+    def joined(pairs):
+        parent = {x: x for x in near}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in pairs:
+            parent[find(r[0])] = find(r[1])
+        roots = {}
+        return [roots.setdefault(find(x), x) for x in near]
+
+    whole = [(a, b) for i, a in enumerate(near) for b in near[:i] if (a ^ b).bit_count() <= 2]
+    for home_rows in (5, 40, 4096):
+        found = simhash.links(df, home_rows).collect()
+        assert all((r["a"] ^ r["b"]).bit_count() <= 2 for r in found) and joined(found) == joined(whole)
+
+
+def test_partners_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 7)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = {i: np.r_[base[: 200 - i], rng.integers(0, 1 << 62, i).astype(np.uint64)] for i in range(60)}
+    rows = spark.createDataFrame([(i, bytearray(simhash._as_set(x))) for i, x in sets.items()], "vertex long, shingles binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(5, 9), (3, 59)], "a long, b long")
+    near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert sorted(map(tuple, simhash.verified(pairs, rows).collect())) == sorted((r["a"], r["b"]) for r in pairs.collect() if near(r["a"], r["b"]))
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (5, "quite another text here now"), (None, "nobody has this one text"), (None, "nobody has this one text")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash")).withColumn("lang", F.lit("en"))
-    kept = simhash.keep_representatives(df.drop("row_key"))
-    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, "A b c d e f", "en"), (5, "quite another text here now", "en"), (None, "nobody has this one text", "en")], key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("row_key", "equal_rows", "vertex", "_row", "a.b")})
+    kept = simhash.keep_representatives(df)
+    clash = ("clash",) * 5
+    assert kept.columns == df.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, "A b c d e f", *clash), (5, "quite another text here now", *clash), (None, "nobody has this one text", *clash)], key=str)
     assert simhash.keep_representatives(df.where("doc_id < 0")).count() == 0
     assert simhash.near_duplicates(df.where("doc_id < 0")).count() == 0
 
