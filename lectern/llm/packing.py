@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,23 +36,24 @@ END_ID = 1
 SLACK = 1 / 128
 #: Classes with bins of their own, and bins that may wait for their gap to be filled.
 CLASSES, WAITING = 32, 256
-#: Words whose ids a Python worker keeps (twice, as the last generation stays): 60 MB or so.
+#: Words, and pre-tokens, whose ids a Python worker keeps (twice, as the last generation stays): 60 MB or so each.
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a public tokenizer, one lookup a word.
+    """Ids of whole texts by a public tokenizer, a lookup for each distinct word of a batch.
 
     Blank, tab and line ends never lie inside a token of a tokenizer that removes white
     space, and none of its normalisers composes across them; so the ids of a text are
-    those of its words in order. New words go through the tokenizer in one call: words of
-    Latin letters, digits and ASCII signs as their pre-tokens, all others as they are.
+    those of its words in order. Words of Latin letters, digits and ASCII signs are split into
+    their pre-tokens, all others are kept as they are; either go through the tokenizer when
+    they are new, many in one call.
     """
 
     #: Words that fall into pre-tokens as PARTS says: no apostrophe, no "<", no sign beyond ASCII.
-    PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    PARTS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    PLAIN = "^[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+    PARTS = "[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 
     def __init__(self, path: str | None = None):
         single_threaded()
@@ -67,16 +67,10 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: list[dict[str, bytes]] = [{"": b""}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
         self.parts: list[dict[str, bytes]] = [{}, {}]
 
-    @staticmethod
-    def _renew(cache: list[dict[str, bytes]], more: int, keep: dict[str, bytes]) -> None:
-        """Two generations: what is still used moves to the new one, the old one goes."""
-        if len(cache[0]) + more > CACHE_WORDS:
-            cache[:] = [dict(keep), cache[0]]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _word_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part_ids(self, parts: list[str]) -> list[bytes]:
@@ -84,58 +78,59 @@ class WordTokenizer:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(parts):
-            return self._ids(parts)
+            return self._word_ids(parts)
         data, cuts = ids.tobytes(), (cuts * 4).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, new: list[str]) -> None:
-        words, parts = self.words, self.parts
-        plain = {w: self.PARTS.findall(w.lower()) for w in new if self.PLAIN.fullmatch(w)}
-        used = {p for ps in plain.values() for p in ps}
-        if len(parts[0]) + len(used) > CACHE_WORDS:
-            self._renew(parts, len(used), {})
-        unseen = []
-        for p in used:
-            if p not in parts[0]:
-                if p in parts[1]:
-                    parts[0][p] = parts[1][p]
-                else:
-                    unseen.append(p)
-        for i in range(0, len(unseen), 500):
-            parts[0].update(zip(unseen[i : i + 500], self._part_ids(unseen[i : i + 500])))
-        get = parts[0].__getitem__
-        words[0].update((w, b"".join(map(get, ps))) for w, ps in plain.items())
-        other = [w for w in new if w not in plain]
-        words[0].update(zip(other, self._ids(other)))
-
-    def _lookup(self, distinct: list[str]) -> list[bytes]:
-        words = self.words
-        found = list(map(words[0].get, distinct))
-        if missing := [w for w, ids in zip(distinct, found) if ids is None]:
-            if len(words[0]) + len(missing) > CACHE_WORDS:
-                self._renew(words, len(missing), {"": b""})
-                missing = distinct
-            old = words[1]
-            words[0].update((w, old[w]) for w in missing if w in old)
-            self._learn([w for w in missing if w not in old])
-            found = list(map(words[0].__getitem__, distinct))
-        return found
+    @staticmethod
+    def _lookup(cache: list[dict[str, bytes]], wanted: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``wanted`` in a row, and how many each has. Two generations: what is still used moves to the new one."""
+        found = list(map(cache[0].get, wanted))
+        if missing := [w for w, ids in zip(wanted, found) if ids is None]:
+            if len(cache[0]) + len(missing) > CACHE_WORDS:
+                cache[:] = [{}, cache[0]]
+                missing = wanted
+            new, old = cache
+            new.update((w, old[w]) for w in missing if w in old)
+            unseen = [w for w in missing if w not in new]
+            for i in range(0, len(unseen), 500):
+                new.update(zip(unseen[i : i + 500], encode(unseen[i : i + 500])))
+            found = list(map(new.__getitem__, wanted))
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
-    def encode_many(self, texts: pa.Array | pa.ChunkedArray | list) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens.
+    @staticmethod
+    def _gather(pool: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries ``index`` of a pool of entries of ``sizes``, in a row, and where each begins (and the last ends)."""
+        starts, each = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.r_[0, np.cumsum(each)]
+        return pool[np.repeat(starts[index] - ends[:-1], each) + np.arange(ends[-1])], ends
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.replace_substring_regex(pc.utf8_lower(words), pattern=self.PARTS, replacement="\\0\x1f")
+        lists = pc.split_pattern(marked, "\x1f")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        real = [p for p in parts if p]
+        pool, sizes = self._lookup(self.parts, real, self._part_ids)
+        if len(real) < len(parts):
+            sizes = np.insert(sizes, parts.index(""), 0)
+        pool, ends = self._gather(pool, sizes, coded.indices.to_numpy())
+        return pool, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
-        Each distinct word of the batch is looked up once, ids are gathered by numpy.
-        """
+    def encode_many(self, texts: pa.Array | pa.ChunkedArray | list) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.combine_chunks()
         lists = pc.ascii_split_whitespace(pc.fill_null(array.cast(pa.large_string()), ""))
         flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = flat.dictionary_encode()
-        index, ids = coded.indices.to_numpy(), self._lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), dtype="<u4")
-        each = sizes[index]
-        ends = np.r_[0, np.cumsum(each)]
-        out = pool[np.repeat(starts[index] - ends[:-1], each) + np.arange(ends[-1])]
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        pool, some = self._plain(words.filter(plain))
+        more, others = self._lookup(self.words, words.filter(pc.invert(plain)).to_pylist(), self._word_ids)
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        place = np.empty(len(words), np.int64)
+        place[is_plain], place[~is_plain] = np.arange(len(some)), np.arange(len(others)) + len(some)
+        out, ends = self._gather(np.r_[pool, more], np.r_[some, others], place[coded.indices.to_numpy()])
         at = (ends[bounds] * 4).tolist()
         data = out.tobytes()
         return [data[i:j] for i, j in zip(at, at[1:])]
