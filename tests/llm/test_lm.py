@@ -21,40 +21,76 @@ def fold(i):
     return 1 if i is None else zlib.crc32(str(i).encode()) % 10
 
 
+def context(a, b, counts):
+    """Bucket of the tokens before: seen pairs by their magnitude, else the last word by its."""
+    pair, last = counts[1][a, b] if a else counts[0][b], counts[0][b]
+    return (0, len(bin(pair)) - 2) if pair else (1, len(bin(last)) - 2 if last else 0)
+
+
+def grams(w):
+    """(u, v, w) of each token; the first follows an end alone."""
+    return list(zip([None, "</s>", *w], ["</s>", *w], w))
+
+
+def estimate(a, b, c, counts, n):
+    one, two, three = counts
+    before = two[a, b] if a else one[b]
+    return three[a, b, c] / max(before, 1), two[b, c] / max(one[b], 1), one[c] / max(n, 1)
+
+
+def em(dev, uniform, rounds):
+    """Weights by plain expectation-maximisation over tokens: {bucket: [(estimates), ...]} to {bucket: weights}."""
+    out = {}
+    for bucket, tokens in dev.items():
+        may = [bucket[0] == 0, bucket != (1, 0), True, True]
+        w = [d * m for d, m in zip(lm.DEFAULT, may)]
+        w = [x / sum(w) for x in w]
+        if len(tokens) >= lm.LEAST:
+            for _ in range(rounds):
+                sums = [0.0] * 4
+                for t in tokens:
+                    joint = [x * y for x, y in zip(w, (*t, uniform))]
+                    for k in range(4):
+                        sums[k] += joint[k] / sum(joint)
+                w = [max(x / len(tokens), lm.FLOOR) if m else 0.0 for x, m in zip(sums, may)]
+                w = [x / sum(w) for x in w]
+            out[bucket] = w
+    return out
+
+
 def brute(rows):
-    """Counts and scores by dictionaries; weights by the operator's own learner on plain cells."""
-    one, two, dev1, dev2 = Counter(), Counter(), Counter(), Counter()
+    """Counts, weights and scores by dictionaries, token by token."""
+    every, dev = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
     for i, t in rows:
-        w = words(t)
-        if fold(i) != 0:
-            pairs = list(zip(["</s>", *w], w))
-            one.update(w)
-            two.update(pairs)
-            if fold(i) == lm.DEVELOPMENT:
-                dev1.update(w)
-                dev2.update(pairs)
-    n, v = sum(one.values()), len(one)
-    uniform, m = 1 / (v + 1), sum(one.values()) - sum(dev1.values())
-    cells = Counter()
-    log = lambda x: max(-9999, round(math.log(x / uniform) / lm.STEP)) if x else -9999
+        for into in [every] * (fold(i) != 0) + [dev] * (fold(i) == lm.DEVELOPMENT):
+            for a, b, c in grams(words(t)):
+                into[0][c] += 1
+                into[1][b, c] += 1
+                into[2][a, b, c] += 1
+    n, v = sum(every[0].values()), len(every[0])
+    uniform, rest = 1 / (v + 1), [x - y for x, y in zip(every, dev)]
+    m, seen = sum(rest[0].values()), {}
     for i, t in rows:
         if fold(i) == lm.DEVELOPMENT:
-            w = words(t)
-            for a, b in zip(["</s>", *w], w):
-                c = one[a] - dev1[a]
-                cells[int(lm.bucket_of(np.array([c]))[0]), log((two[a, b] - dev2[a, b]) / max(c, 1)), log((one[b] - dev1[b]) / max(m, 1))] += 1
-    table = np.array([(*k, x) for k, x in cells.items()], dtype=float).reshape(-1, 4)
-    table[:, 1:3] = np.where(table[:, 1:3] <= -9999, -np.inf, table[:, 1:3] * lm.STEP)
-    weights = lm.learn_weights(table)
+            for a, b, c in grams(words(t)):
+                seen.setdefault(context(a, b, rest), []).append(estimate(a, b, c, rest, m))
+    weights = em(seen, uniform, 50)
     out = []
     for i, t in rows:
         w = words(t)
-        base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        base = sum(math.log10((every[0][x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         score = 0.0
-        for a, b in zip(["</s>", *w], w):
-            x = weights[int(lm.bucket_of(np.array([one[a]]))[0])]
-            score += math.log10(x[0] * two[a, b] / max(one[a], 1) + x[1] * one[b] / max(n, 1) + x[2] * uniform)
-        out.append((i, fold(i) == 0, len(w), sum(one[x] > 0 for x in w), n, base, score))
+        for a, b, c in grams(w):
+            x = weights.get(bucket := context(a, b, every))
+            if x is None:
+                near = [k for k in weights if k[0] == bucket[0] and (k == (1, 0)) == (bucket == (1, 0))]
+                x = weights[min(near, key=lambda k: (abs(k[1] - bucket[1]), k[1]))] if near else em({bucket: []}, uniform, 0).get(bucket)
+            if x is None:
+                may = [bucket[0] == 0, bucket != (1, 0), True, True]
+                x = [d * ok for d, ok in zip(lm.DEFAULT, may)]
+                x = [d / sum(x) for d in x]
+            score += math.log10(sum(p * q for p, q in zip(x, (*estimate(a, b, c, every, n), uniform))))
+        out.append((i, fold(i) == 0, len(w), sum(every[0][x] > 0 for x in w), n, base, score))
     return out
 
 
@@ -71,15 +107,38 @@ def test_scores_equal_brute_force(spark):
     got = sorted((tuple(r) for r in lm.score(df).collect()), key=str)
     want = sorted(brute(rows), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
+    # the operator learns its weights from likelihood ratios in steps, the brute force from exact ones
+    error = max(abs(g[6] - w[6]) / g[2] for g, w in zip(got, want))  # digits a token
+    assert error < 0.03, error
 
 
-def test_many_blocks_and_ranges_change_nothing(spark, monkeypatch):
+def test_fine_steps_give_the_exact_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEP", 1e-4)
+    rows = corpus()
+    got = sorted((tuple(r) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert np.allclose([g[6] for g in got], [w[6] for w in sorted(brute(rows), key=str)], rtol=1e-5)
+
+
+def test_many_blocks_and_levels_change_nothing(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(lm, "RANGE_CHARS", 500)
-    got = sorted((tuple(r) for r in lm.score(df).collect()), key=str)
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in sorted(brute(rows), key=str)], rtol=1e-9)
+    whole = sorted((tuple(r) for r in lm.score(df).collect()), key=str)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 600)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    made = lm.materialize(lm.blocks(df), "t")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert made.count() > 30
+    counts = {bits: {(r["src"], r["kind"]): [] for r in made.selectExpr("block src", "explode(array(1, 2, 3)) kind").collect()} for bits in (8, 2)}
+    distinct = Counter()
+    for bits, found in counts.items():  # one level, and three levels of four blocks and intervals each
+        for r in sorted(lm.corpus_counts(made, bits).collect(), key=lambda r: r["path"]):
+            found[r["src"], r["kind"]] += lm.unpack_ints(r["total"]).tolist() + (lm.unpack_ints(r["less"]).tolist() if r["less"] else [])
+            distinct[bits, r["kind"]] += r["distinct"]
+    assert all(sorted(counts[8][k]) == sorted(counts[2][k]) for k in counts[8]) and all(distinct[8, k] == distinct[2, k] for k in (1, 2, 3))
+    total = lm.corpus_counts
+    monkeypatch.setattr(lm, "corpus_counts", lambda made: total(made, 2))
+    assert np.allclose([g[5:] for g in sorted((tuple(r) for r in lm.score(df).collect()), key=str)], [w[5:] for w in whole], rtol=1e-9)
 
 
 def test_held_out_text_is_likelier_than_under_the_base(spark):
@@ -88,9 +147,11 @@ def test_held_out_text_is_likelier_than_under_the_base(spark):
 
 
 def test_probabilities_sum_to_one():
-    cells = np.array([[3, 5.0, 2.0, 40], [3, -np.inf, 1.0, 60], [0, -np.inf, -np.inf, 30], [5, 4.0, 3.0, 5]])
+    m = lm.MAGNITUDES
+    cells = np.array([[3, 6.0, 5.0, 2.0, 40], [3, -np.inf, -np.inf, 1.0, 60], [m, -np.inf, -np.inf, -np.inf, 30], [m + 2, -np.inf, 3.0, 2.0, 50], [5, 4.0, 3.0, 1.0, 5]])
     weights = lm.learn_weights(cells)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights[0, 0] == 0) and (weights[:, 2] > 0).all()
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[m:, 0] == 0).all() and weights[m, 1] == 0 and (weights[:, 3] > 0).all()
+    assert (weights[5] == weights[3]).all() and (weights[m + 1] == weights[m + 2]).all()
 
 
 def test_coding():
