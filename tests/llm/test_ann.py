@@ -1,4 +1,9 @@
+import os
+import tracemalloc
+
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import ann
@@ -40,13 +45,61 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(df.where("vec_id = 1"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def whole_scan(x, n, k, **options):
+    own = np.arange(n)[:, None] == np.arange(len(x))[None]
+    return ann.scan(x, x[:n], own, np.arange(len(x)), k, ann.rotation(x.shape[1]), x.mean(axis=0), np.full(n, np.inf), **options)
+
+
 def test_scan_abandons_no_neighbour_with_certainty():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((700, 40))
-    ids = np.arange(700)
-    q, v, s = ann.scan(ids, x, ids[:20], x[:20], 5, ann.rotation(40), epsilon=50.0)
-    want = brute(ids, x, range(20), 5)
-    assert sorted(zip(q.tolist(), v.tolist())) == sorted((i, j) for i in want for j, _ in want[i])
+    for offset, spread in ((0, 1), (100, 0.1), (1000, 1), (1e6, 1e-2)):
+        x = rng.standard_normal((700, 40)) * spread + offset
+        x[350:] -= 2 * offset * (offset < 1e4)  # two far clusters: no mean is near either
+        q, v, _ = whole_scan(x, 20, 5, epsilon=50.0)
+        want = brute(np.arange(700), x, range(20), 5)
+        assert sorted(zip(q.tolist(), v.tolist())) == sorted((i, j) for i in want for j, _ in want[i])
+
+
+def test_scan_of_many_queries_takes_little_memory():
+    x = np.random.default_rng(4).standard_normal((4096, 768))
+    tracemalloc.start()
+    whole_scan(x[:, :], ann.QUERIES, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak  # the rotated vectors alone are 25 MB
+
+
+def recall(spark, x, k=10, **options):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k, **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(range(len(x)), x, range(0, len(x), 100), k)
+    assert set(found) == set(want)
+    return sum(len(found[q] & {j for j, _ in want[q]}) for q in want) / (k * len(want))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings_with_many_lists(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    x = np.array(pq.read_table(path).to_pandas().sort_values("vec_id")["embedding"].tolist(), dtype=float)
+    assert recall(spark, x, list_rows=max(10, len(x) // 50)) >= 0.95
+
+
+def test_recall_with_a_common_offset(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16)) + rng.standard_normal((30, 16))[rng.integers(0, 30, 3000)] * 4
+    assert recall(spark, x + 1000, list_rows=60) >= 0.95
+
+
+def test_lists_in_parts_and_queries_in_blocks_give_the_same(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((1500, 8))
+    monkeypatch.setattr(ann, "PART", 100)
+    monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    assert recall(spark, x, list_rows=300) >= 0.95
 
 
 def test_repeated_queries_count_once(spark):
