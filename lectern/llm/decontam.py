@@ -6,21 +6,25 @@ shingle). Steps, all lossless but the stated radius:
 
 1. Hashes of the documents' shingles meet those of the items. A window of the threshold
    shares at least 2 m t / (1 + t) of its m shingles with the item, so documents with
-   fewer hits for an item are out.
-2. Windows that hold as many hits get a SimHash of their shingles (64 bits).
-3. Multi-index Hamming blocks: fingerprints of windows and of items of the same length that
-   differ in at most RADIUS bits agree in one of RADIUS + 1 blocks; so a join on (length,
-   block, bits) meets all pairs within the radius.
+   fewer hits for an item are out, and so are windows with fewer.
+2. The item-sized windows that are left get a SimHash of their shingles (64 bits).
+3. Multi-index Hamming blocks: fingerprints of a window and of its item that differ in at most
+   RADIUS bits agree in one of RADIUS + 1 blocks of bits at least; the others are out, then
+   those beyond the radius. At this similarity blocks are short, so on their own they
+   would let most pairs pass: it is the shingles of step 1 that keep the number of windows
+   small, and a window meets only the items that it shares them with.
 4. The exact weighted similarity verifies each candidate.
 
-RADIUS is far beyond the distance at the threshold (about 10 bits; 19 leaves out about one
-window in a thousand, and a leak has several). Texts are compared by lower-cased runs of
-letters, marks and digits.
+RADIUS is far beyond the distance at the threshold: a window of similarity 0.8 differs in
+about 10 bits (standard deviation below 3), so fewer than one in a million lies beyond.
+Texts are compared by lower-cased runs of letters, marks and digits.
 
 Edge cases: null and empty texts have no words and leak nothing; items without words match
-nothing; a document shorter than an item counts as one window; equal rows are judged alike,
-rows that share a doc_id by their own texts; an empty benchmark keeps every document; extra
-columns are ignored, or kept by ``decontaminate``.
+nothing; a document shorter than an item counts as one window; texts of any length are
+searched whole, windows cost in proportion to the hits; of equally similar windows the first
+counts; equal rows are judged alike, rows that share a doc_id by their own texts; an empty
+benchmark keeps every document; extra columns are ignored, or kept by ``decontaminate``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, materialize, row_key
+from lectern.llm.common import boxed, checked_broadcast, materialize, row_key, unboxed
 
-WIDTH, THRESHOLD, RADIUS = 5, 0.8, 19
+WIDTH, THRESHOLD, RADIUS = 5, 0.8, 24
 
 
 def words(text: Column) -> Column:
@@ -54,11 +58,26 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
 
-def block_values(fp: Column, radius: int = RADIUS) -> Column:
-    """(block, bits) structs of ``radius + 1`` blocks that cover the 64 bits."""
+def share_a_block(differ: Column, radius: int = RADIUS) -> Column:
+    """Whether one of ``radius + 1`` blocks that cover the 64 bits is zero in ``differ``, the XOR of two fingerprints."""
     edges = [i * 64 // (radius + 1) for i in range(radius + 2)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.array(*parts)
+    masks = [((1 << b) - (1 << a)) - (1 << 64 if b == 64 else 0) for a, b in zip(edges, edges[1:])]
+    return F.exists(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: differ.bitwiseAND(m) == 0)
+
+
+def window_starts(hits: Column, m: Column, last: Column, need: Column) -> Column:
+    """Starts, from 0 to ``last``, of the windows of ``m`` places that hold ``need`` of the sorted ``hits`` or more.
+
+    Such a window holds need hits in a row, from the first of them that it holds; so the
+    starts are runs that end at a hit, and each run begins behind the one before.
+    """
+
+    def run(at: Column, i: Column) -> Column:
+        low = F.greatest(F.get(hits, i + need - 1) - m + 1, F.coalesce(F.get(hits, i - 1) + 1, F.lit(0)), F.lit(0))
+        low, high = F.when(i == 0, F.least(low, last)).otherwise(low), F.least(at, last)
+        return F.when((F.get(hits, i + need - 1) - at < m) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.slice(hits, 1, F.greatest(F.size(hits) - need + 1, F.lit(0))), run))
 
 
 def _need(m: Column, threshold: float) -> Column:
@@ -99,17 +118,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     keys = hits.select("key").distinct()
     some = keyed.join(checked_broadcast(keys), "key").dropDuplicates(["key"])
     shingled = some.select("key", "doc_id", *(shingle_hashes(F.col("w"), k).alias(f"h{k}") for k in widths))
-    met = hits.join(shingled, "key").select("key", "doc_id", "m", "width", F.array_sort("hits").alias("hits"), F.coalesce(*(F.when(F.col("width") == k, F.col(f"h{k}")) for k in widths)).alias("h"))
+    met = hits.join(shingled, "key").select("key", "doc_id", "item_id", "m", "width", F.array_sort("hits").alias("hits"), F.coalesce(*(F.when(F.col("width") == k, F.col(f"h{k}")) for k in widths)).alias("h"))
     last = F.greatest(F.size("h") - F.col("m"), F.lit(0))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.least(p - F.col("m") + 1, last), F.lit(0)), F.least(p, last)))))
-    full = F.filter(starts, lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p < s + F.col("m")))) >= _need(F.col("m"), threshold))
-    windows = met.select("key", "doc_id", "m", "width", "h", F.explode(full).alias("position")).dropDuplicates(["key", "m", "width", "position"])
-    windows = windows.select("key", "doc_id", "m", "width", "position", F.slice("h", F.col("position") + 1, F.col("m")).alias("window"))
+    starts = window_starts(F.col("hits"), F.col("m"), last, F.greatest(_need(F.col("m"), threshold).cast("int"), F.lit(1)))
+    windows = met.select("key", "doc_id", "item_id", "m", "h", F.explode(starts).alias("position"))
+    windows = windows.select("key", "doc_id", "item_id", "position", F.slice("h", F.col("position") + 1, F.col("m")).alias("window"))
     windows = materialize(windows.withColumn("fp", simhash(F.col("window"))), "windows")
-    aims = items.select("item_id", "m", "width", "hashes", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b")
-    seen = windows.withColumn("b", F.explode(block_values(F.col("fp"), radius))).select("*", "b.*").drop("b")
-    pairs = seen.join(aims, ["m", "width", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = pairs.dropDuplicates(["key", "m", "width", "position", "item_id"])
+    aims = items.select("item_id", "hashes", F.col("fp").alias("item_fp"))
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    pairs = windows.join(checked_broadcast(aims), "item_id").where(share_a_block(differ, radius) & (F.bit_count(differ) <= radius))
     count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     common = F.aggregate(F.array_distinct("hashes"), F.lit(0), lambda acc, x: acc + F.least(count("window", x), count("hashes", x)))
     exact = pairs.select("key", "doc_id", "item_id", "position", (common / (F.size("window") + F.size("hashes") - common)).alias("similarity"))
@@ -118,6 +135,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no item."""
-    leaks = materialize(find_leaks(docs, benchmark, **options).select(F.col("key").alias("leak")).distinct(), "leaks")
-    return docs.withColumn("leak", row_key()).join(checked_broadcast(leaks), "leak", "left_anti").drop("leak")
+    """The rows of ``docs``, all columns whatever their names, that leak no item."""
+    leaks = materialize(find_leaks(docs, benchmark, **options).select("key").distinct(), "leaks")
+    return unboxed(boxed(docs, row_key().alias("key")).join(checked_broadcast(leaks), "key", "left_anti"), docs.columns)

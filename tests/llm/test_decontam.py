@@ -44,7 +44,7 @@ def test_leaks_equal_brute_force(spark):
             text[at:at] = own
         docs.append((d, ", ".join(text).upper() if d % 4 == 0 else "\n".join(text)))
     docs += [(100, None), (101, ""), (102, "a TINY, item here"), (103, "repeat " * 40), (104, items[0][1]), (104, "clean"), (105, "x " * 20000 + items[1][1]), (None, items[2][1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("m", F.lit(2))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({n: F.lit(1) for n in ("key", "m", "leak", "_row")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontam.find_leaks(df, bench).collect()}
     assert found == brute(docs, items)
@@ -54,6 +54,26 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == df.columns
 
 
+def test_starts_of_windows_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        size, m = rng.randrange(1, 40), rng.randrange(1, 12)
+        hits = sorted(rng.sample(range(size), rng.randrange(1, size + 1)))
+        rows.append((hits, m, max(size - m, 0), rng.randrange(1, m + 1)))
+    df = spark.createDataFrame(rows, "hits array<int>, m int, last int, need int")
+    for (hits, m, last, need), r in zip(rows, df.select(decontam.window_starts(*(F.col(c) for c in df.columns)).alias("s")).collect()):
+        assert r["s"] == [s for s in range(last + 1) if sum(s <= h < s + m for h in hits) >= need]
+
+
+def test_blocks_guarantee_the_radius(spark):
+    rng = random.Random(5)
+    rows = [(sum(1 << b for b in rng.sample(range(64), n)),) for n in range(25) for _ in range(20)]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x, in rows], "differ long")
+    assert df.where(decontam.share_a_block(F.col("differ"))).count() == len(rows)
+    assert spark.createDataFrame([(-1,)], "differ long").where(decontam.share_a_block(F.col("differ"))).count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
