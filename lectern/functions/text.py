@@ -33,16 +33,19 @@ _FROM, _TO = accent_pairs()
 
 def normalize(value: Column | str) -> Column:
     """Search form: symbols mapped, accents removed, letters and digits apart, lower case,
-    everything but ``a-z 0-9 +`` a single blank. Covers letters up to U+024F natively."""
+    everything but ``a-z 0-9 +`` a single blank. Covers letters up to U+024F natively.
+
+    One pass of characters maps signs, accents and case (with the Kelvin and Angstrom signs),
+    one regular expression sets letters and digits apart and squeezes the rest."""
+    single = {k: v for k, v in SYMBOLS.items() if len(v) == 1} | {"\u212a": "k", "\u212b": "a"}
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     c = text_of(value)
-    single = {k: v for k, v in SYMBOLS.items() if len(v) == 1}
-    c = F.translate(c, "".join(single), "".join(single.values()))
     for symbol, word in SYMBOLS.items():
         if len(word) > 1:
             c = F.replace(c, F.lit(symbol), F.lit(word))
-    c = F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
-    c = F.regexp_replace(F.regexp_replace(c, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9+]+", " "))
+    c = F.translate(c, "".join(single) + _FROM + upper, "".join(single.values()) + _TO.lower() + upper.lower())
+    c = F.regexp_replace(c, r"\p{Mn}+", "")
+    return F.trim(F.regexp_replace(c, "[^a-z0-9+]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " "))
 
 
 @F.pandas_udf(StringType())

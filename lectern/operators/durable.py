@@ -5,21 +5,48 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none (local tests).
+    On a local master that names none, a temporary folder of this process; elsewhere an error,
+    as no machine's own folder would do.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions than these (few or small files); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1: rows are sorted by ranges over all tasks, never in one."""
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id()
+    held = df.orderBy(*order).withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    held = materialize(held, "ranked")
+    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.max("_at").alias("n")).collect())
+    offsets, total = [], 0
+    for part, last in sizes:
+        offsets.append((part, total))
+        total += last + 1
+    if not offsets:
+        return held.drop("_part", "_at").withColumn(name, F.lit(0).cast("int"))
+    before = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    return held.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it back.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.durable import ranked
+
 
 def first_wins(rows: DataFrame, key: list[str], position: str) -> DataFrame:
     """One row of each key: the first by position."""
@@ -57,9 +59,9 @@ def query_yield(retrievals: DataFrame) -> DataFrame:
 
 def zero_yield_tail(yields: DataFrame) -> DataFrame:
     """Completed queries after the last that found anything new."""
-    last = F.max(F.when(F.col("new_unique") > 0, F.col("query_pos")))
-    per = yields.agg(last.alias("last"), F.collect_list("query_pos").alias("all"))
-    return per.select(F.size(F.filter("all", lambda p: p > F.coalesce("last", F.lit(-1)))).alias("tail"))
+    last = yields.agg(F.max(F.when(F.col("new_unique") > 0, F.col("query_pos"))).alias("last"))
+    after = F.col("last").isNull() | (F.col("query_pos") > F.col("last"))
+    return yields.join(F.broadcast(last)).agg(F.count_if(after).cast("int").alias("tail"))
 
 
 def saturation(families: Column, productive: Column, tail: Column) -> Column:
@@ -75,8 +77,7 @@ def fuse(retrievals: DataFrame) -> DataFrame:
         F.count("*").alias("retrievals"), F.countDistinct("family").alias("families"), F.countDistinct("mode").alias("modes"),
         F.max("literal").alias("literal"), F.max("similarity").alias("similarity"), F.max("year").alias("year"),
     )
-    order = Window.orderBy(F.desc("families"), F.desc("modes"), F.desc("literal"), F.desc("similarity"), F.desc("year"), "key")
-    return each.withColumn("rank", F.row_number().over(order))
+    return ranked(each, [F.desc("families"), F.desc("modes"), F.desc("literal"), F.desc("similarity"), F.desc("year"), F.col("key")])
 
 
 def coverage(queries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scoring import match_score
 from lectern.functions.text import doi_selector, normalize, text_of, year_of
+from lectern.operators.durable import spread
 from lectern.plans.query import KeywordQuery, parse_expression
 
 PREFIX = "_n_"
@@ -34,72 +35,89 @@ def term_test(normal: Column, term: str) -> Column:
         return F.lit(False)
     if " " in t:
         return F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {t} ")
-    return normal.rlike(rf"\b{re.escape(t)}\b")
+    return normal.contains(t) & normal.rlike(rf"\b{re.escape(t)}\b")
 
 
-def with_search_fields(papers: DataFrame, fields: tuple[str, ...], present: list[str] | None = None) -> DataFrame:
-    """``papers`` with the normalised text of each field."""
+def search_field(papers: DataFrame, name: str) -> Column:
+    """The normalised text of a field, '' for a column that isn't there; ready fields of ``search_table`` as they are."""
     types = dict(papers.dtypes)
-
-    def field(name: str) -> Column:
-        if name not in types:
-            return F.lit("")
-        if name == "doi":
-            return doi_selector(name)
-        if types[name].startswith("array"):
-            return normalize(F.array_join(F.coalesce(F.col(name), F.array().cast("array<string>")), " "))
-        return normalize(F.col(name).cast("string"))
-
-    return papers.withColumns({PREFIX + name: field(name) for name in fields})
+    if PREFIX + name in types:
+        return F.col(PREFIX + name)
+    if name == "authors" and name not in types:
+        return normalize(F.concat_ws(" ", *(F.col(c) for c in ("first_author", "last_author") if c in types)))
+    if name not in types:
+        return F.lit("")
+    if name == "doi":
+        return doi_selector(name)
+    if types[name].startswith("array"):
+        listed = F.array_join(F.coalesce(F.col(name), F.array().cast("array<string>")), " ")
+        if name == "authors" and ("first_author" in types or "last_author" in types):
+            ends = F.concat_ws(" ", *(F.col(c) for c in ("first_author", "last_author") if c in types))
+            listed = F.when(listed != "", listed).otherwise(ends)
+        return normalize(listed)
+    if name == "venue":
+        return normalize(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("venue", "venue_name", "venue_tier") if c in types)))
+    return normalize(F.col(name).cast("string"))
+
+
+def search_table(papers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``papers`` with the normalised text of each field as columns, to be written once and searched often."""
+    return papers.withColumns({PREFIX + name: search_field(papers, name) for name in fields})
 
 
 def match(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     """Rows of ``papers`` that match, with ``matched_fields`` and ``matched_terms``.
 
     Title or DOI selectors, one of the authors, each group of the expression, all terms and
-    one of the any-terms must match; the first alternative that matches is reported.
+    one of the any-terms must match; the first alternative that matches is reported. Each
+    field is normalised once a row: the tests read it from a struct that a generator binds,
+    which the optimiser doesn't copy into every test.
     """
     needed = tuple(dict.fromkeys([*query.fields, *(["title", "doi"] if query.titles or query.dois else []), *(["authors"] if query.authors else [])]))
-    rows = with_search_fields(papers, needed)
-    field = lambda n: F.col(PREFIX + n)
-    conditions: list[Column] = []
-    hit: dict[str, list[Column]] = {}
-    terms: list[Column] = []
-    if query.titles or query.dois:
-        title = field("title").isin([_plain(t) for t in query.titles] or [""]) & (field("title") != "")
-        doi = field("doi").isin([re.sub(r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "", d.strip().lower()).strip() for d in query.dois] or [""]) & (field("doi") != "")
-        conditions.append(title | doi)
-        hit.setdefault("title", []).append(title)
-        hit.setdefault("doi", []).append(doi)
-        terms += [F.when(title, "exact_title"), F.when(doi, "doi")]
-    if query.authors:
-        each = [term_test(field("authors"), a) for a in query.authors]
-        conditions.append(_any(each))
-        hit.setdefault("authors", []).append(_any(each))
-        terms.append(F.coalesce(*(F.when(t, F.lit(f"author:{a}")) for t, a in zip(each, query.authors))))
-
-    def alternatives(label: str, options: list[str]) -> None:
-        tests = [{n: term_test(field(n), t) for n in query.fields} for t in options]
-        found = [_any(list(x.values())) for x in tests]
-        conditions.append(_any(found))
-        before = F.lit(False)
-        for x, any_field in zip(tests, found):
-            for n, test in x.items():
-                hit.setdefault(n, []).append(test & ~before)
-            before = before | any_field
-        terms.append(F.coalesce(*(F.when(f, F.lit(f"{label}:{t}")) for f, t in zip(found, options))))
-
-    for group in parse_expression(query.expression):
-        alternatives("expression", group)
-    for term in query.all_terms:
-        alternatives("all_term", [term])
-    if query.any_terms:
-        alternatives("any_term", list(query.any_terms))
-    order = [*query.fields, *(n for n in ("title", "doi", "authors") if n not in query.fields)]
-    matched = F.array_compact(F.array(*(F.when(_any(hit[n]), F.lit(n)) for n in order if n in hit))) if hit else F.array().cast("array<string>")
-    named = F.array_compact(F.array(*terms)) if terms else F.array().cast("array<string>")
-    rows = rows.where(_all(conditions)).withColumns({"matched_fields": matched, "matched_terms": named})
-    return rows.drop(*(PREFIX + n for n in needed))
+
+    def tested(fields: Column) -> Column:
+        field = lambda n: fields[n]
+        conditions: list[Column] = []
+        hit: dict[str, list[Column]] = {}
+        terms: list[Column] = []
+        if query.titles or query.dois:
+            title = field("title").isin([_plain(t) for t in query.titles] or [""]) & (field("title") != "")
+            doi = field("doi").isin([re.sub(r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "", d.strip().lower()).strip() for d in query.dois] or [""]) & (field("doi") != "")
+            conditions.append(title | doi)
+            hit.setdefault("title", []).append(title)
+            hit.setdefault("doi", []).append(doi)
+            terms += [F.when(title, "exact_title"), F.when(doi, "doi")]
+        if query.authors:
+            each = [term_test(field("authors"), a) for a in query.authors]
+            conditions.append(_any(each))
+            hit.setdefault("authors", []).append(_any(each))
+            terms.append(F.coalesce(*(F.when(t, F.lit(f"author:{a}")) for t, a in zip(each, query.authors))))
+
+        def alternatives(label: str, options: list[str]) -> None:
+            tests = [{n: term_test(field(n), t) for n in query.fields} for t in options]
+            found = [_any(list(x.values())) for x in tests]
+            conditions.append(_any(found))
+            before = F.lit(False)
+            for x, any_field in zip(tests, found):
+                for n, test in x.items():
+                    hit.setdefault(n, []).append(test & ~before)
+                before = before | any_field
+            terms.append(F.coalesce(*(F.when(f, F.lit(f"{label}:{t}")) for f, t in zip(found, options))))
+
+        for group in parse_expression(query.expression):
+            alternatives("expression", group)
+        for term in query.all_terms:
+            alternatives("all_term", [term])
+        if query.any_terms:
+            alternatives("any_term", list(query.any_terms))
+        order = [*query.fields, *(n for n in ("title", "doi", "authors") if n not in query.fields)]
+        matched = F.array_compact(F.array(*(F.when(_any(hit[n]), F.lit(n)) for n in order if n in hit))) if hit else F.array().cast("array<string>")
+        named = F.array_compact(F.array(*terms)) if terms else F.array().cast("array<string>")
+        return F.when(_all(conditions), F.struct(matched.alias("matched_fields"), named.alias("matched_terms")))
+
+    normal = F.array(F.struct(*(search_field(papers, n).alias(n) for n in needed)))
+    rows = papers.select("*", F.inline(F.array_compact(F.transform(normal, tested))))
+    return rows.drop(*(c for c in rows.columns if c.startswith(PREFIX)))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -127,7 +145,7 @@ def search(papers: DataFrame, query: KeywordQuery, limit: int = 0, position: str
     """Matches by score, year and title, all descending; 0: all of them, else 1 to 5000."""
     if not 0 <= limit <= 5000:
         raise ValueError("limit must be from 0 to 5000")
-    found = match(within(papers, query.years, query.venues), query)
+    found = match(spread(within(papers, query.years, query.venues)), query)
     found = found.withColumn("exact_score", match_score(F.col("matched_fields")))
     ordered = found.orderBy(F.desc("exact_score"), F.desc(year_of(F.col("year").cast("string"))), F.desc(F.lower(text_of("title"))), position)
     return ordered.limit(limit) if limit else ordered

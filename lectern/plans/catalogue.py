@@ -1,7 +1,7 @@
 """Registered queries of the retrieval and curation engine, with DuckDB SQL for each.
 
-The driver's tables stand in for a library: documents are records (title: the first 80
-characters up to a line end, venue: source, keyword: lang, year: 2000 + doc_id % 25),
+The driver's tables stand in for a library: documents are records (title: the first
+sentence or line, venue: source, keyword: lang, year: 2000 + doc_id % 25),
 embeddings the vector store, events arrivals and user actions, labels screening decisions.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, keys, scoring, text
 from lectern.operators import conflicts, family, filters, fusion, ingest, keyword, snapshot, stats, vector
+from lectern.operators.durable import spread
 from lectern.plans.query import KeywordQuery
 from lectern.sources import readers, sinks
 from lectern.streaming import ingest as streaming
@@ -40,13 +41,13 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records of the library."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("position"), F.substr(F.regexp_extract("text", "^[^\n]*", 0), F.lit(1), F.lit(80)).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("venue"),
+        F.col("doc_id").alias("position"), F.regexp_extract("text", "^[^\n.!?]*", 0).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("venue"),
         F.col("lang").alias("keywords"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.lit("").alias("doi"),
     )
 
 
 # The same records, and the search form of a text, in SQL.
-P = "(SELECT doc_id AS position, substr(regexp_extract(text, '^[^\\n]*'), 1, 80) AS title, text AS abstract, source AS venue, lang AS keywords, (2000 + doc_id % 25)::INT AS year FROM documents)"
+P = "(SELECT doc_id AS position, regexp_extract(text, '^[^\\n.!?]*') AS title, text AS abstract, source AS venue, lang AS keywords, (2000 + doc_id % 25)::INT AS year FROM documents)"
 
 
 def N(c: str) -> str:  # noqa: N802
@@ -65,7 +66,7 @@ def T(c: str) -> str:  # noqa: N802
 
 @query(f"SELECT doc_id, {N('text')} AS normal FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize("text").alias("normal"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.normalize("text").alias("normal"))
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(trim(url)), '^https?://(www\\.|m\\.|blog\\.)?', '')) AS selector, length(trim(url)) AS n FROM pages")
@@ -161,7 +162,7 @@ SELECT position, (CASE WHEN {_has('nt', 'the')} OR {_has('nt', 'and')} OR (conta
 FROM n WHERE ({_has('nt', 'the')} OR {_has('na', 'the')}) AND ({_has('nt', 'and')} OR {_has('na', 'and')}) AND (contains(' ' || nt || ' ', ' of the ') OR contains(' ' || na || ' ', ' of the ')) AND venue IN ('src0', 'src1', 'src2')""")
 def keyword_structured(spark, sf_dir):
     q = KeywordQuery.build(all_terms=["the", "and"], any_terms=["of the"], fields="title,abstract", venues=["src0", "src1", "src2"])
-    found = keyword.match(keyword.within(papers(spark, sf_dir), None, q.venues), q)
+    found = keyword.match(spread(keyword.within(papers(spark, sf_dir), None, q.venues)), q)
     return found.select("position", F.array_join(F.transform("matched_fields", lambda f: F.concat(f, F.lit(","))), "").alias("fields"))
 
 
@@ -183,7 +184,7 @@ def _any_in(c: str, words: list[str]) -> str:
 SELECT position, CASE WHEN lt IN ({', '.join(f"'{x}'" for x in filters.ADMINISTRATIVE_TITLES)}) THEN true WHEN {_any_in('t', filters.HARD_JUNK)} THEN true
   WHEN {_any_in('t', filters.SOFT_JUNK)} THEN true WHEN length(a) < 50 OR a IN ('', 'na', 'n/a', 'no abstract available.', 'no abstract') THEN true ELSE false END AS junk FROM t""")
 def junk_filter(spark, sf_dir):
-    return papers(spark, sf_dir).select("position", filters.is_junk("title", "abstract").alias("junk"))
+    return spread(papers(spark, sf_dir)).select("position", filters.is_junk("title", "abstract").alias("junk"))
 
 
 SCOPES = {"articles": {"any": ["the of", "la de"]}, "titles": {"title": ["the", "der"], "title_all": ["and", "und"], "without": ["that"]}}
@@ -568,3 +569,6 @@ def stream_upsert(spark, sf_dir):
 def windowed_counts(spark, sf_dir):
     counts = streaming.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", ["event_type"])
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
+
+
+from lectern.plans import catalogue_more  # noqa: E402, F401 - registers its queries
