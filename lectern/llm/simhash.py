@@ -52,6 +52,8 @@ ORDER_ROWS, FREQUENT, LISTED = 20_000, 3, 100_000
 SIGNATURE, GROUP = 256, 64
 #: Bytes of a shingle's hash in the sets that are compared, and sets that meet their partner in one task.
 HASH_BYTES, PARTNERS = 6, 2000
+#: Rows and shingles of a block of a cluster of texts with frequent shingles in common; bits of the signatures there.
+CLUSTER, SHINGLES, WIDE = 2048, 4_000_000, 2048
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -247,8 +249,9 @@ def _components(marked: DataFrame) -> DataFrame:
     """``(fp, component_id, n)`` of the rows ``marked(doc_id, fp)``; n: rows with the fingerprint."""
     vertices = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-v")
     roots = components(materialize(links(vertices), "simhash-e"))
-    joined = vertices.join(roots.withColumnRenamed("node", "fp"), "fp")
-    ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("id")), "root").select("fp", "id")
+    joined = materialize(vertices.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-r")
+    ids = joined.groupBy("root").agg(F.min("least").alias("id"), F.count("*").alias("n"))
+    ids = join_skewed(joined.select("fp", "root"), ids, "root", joined.count()).select("fp", "id")
     return vertices.join(ids, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"), "n")
 
 
@@ -410,19 +413,20 @@ def _pairs_in_groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, si
     return pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(q[new])], ["a", "b"])
 
 
-def _pairs_apart(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, roots: np.ndarray, signs: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """All pairs of members with different roots that may reach the threshold, in groups over GROUP members.
+def _pairs_apart(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, labels: np.ndarray, signs: np.ndarray, threshold: float, roots: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """All pairs of members with different labels (and roots) that may reach the threshold, in groups over GROUP members.
 
-    Rows are sorted by shingle. The largest component of a group isn't compared with itself,
-    so what is connected costs one pass, not its square.
+    Rows are sorted by shingle. The most frequent label of a group isn't compared with itself,
+    so members that share it cost one pass, not its square.
     """
+    roots = labels if roots is None else roots
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     for start, end in zip(first, np.r_[first[1:], len(keys)]):
-        _, own, members = np.unique(roots[start:end], return_inverse=True, return_counts=True)
+        _, own, members = np.unique(labels[start:end], return_inverse=True, return_counts=True)
         if end - start <= GROUP or len(members) == 1:
             continue
-        at = start + np.lexsort((sizes[start:end], own, members[own]))  # components in order of their members
-        r, v, n, sign = roots[at], owners[at], sizes[at], signs[at]
+        at = start + np.lexsort((sizes[start:end], own, members[own]))  # labels in order of their members
+        r, c, v, n, sign = labels[at], roots[at], owners[at], sizes[at], signs[at]
         last = len(at) - members.max()
         for i in range(0, last, BLOCK):
             x = slice(i, min(i + BLOCK, last))
@@ -431,7 +435,7 @@ def _pairs_apart(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, roots:
                 fine = (r[x, None] != r[None, y]) & (np.minimum(n[x, None], n[None, y]) >= threshold * np.maximum(n[x, None], n[None, y]) - 1e-9)
                 p, q = np.nonzero(fine)
                 p, q = p + i, q + j
-                fine = (p < q) & may_reach(n[p], n[q], sign[p], sign[q], threshold)
+                fine = (p < q) & (c[p] != c[q]) & may_reach(n[p], n[q], sign[p], sign[q], threshold)
                 p, q = v[p[fine]], v[q[fine]]
                 if len(p):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
@@ -476,6 +480,77 @@ def _from_set(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def links_in_cluster(vertices: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Verified links that connect different roots, a spanning forest of all there are, among rows of one or two blocks.
+
+    Rows of one block are compared with each other only if there is no second block. Sizes and
+    signatures of WIDE bits rule pairs out before sets are intersected, and so do links found before.
+    """
+    sizes, bits = np.array([len(x) for x in sets]), np.zeros((len(sets), WIDE // 64), np.int64)
+    for i, x in enumerate(sets):
+        odd = np.bincount((_mix(x) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+        bits[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    names, now = np.unique(roots, return_inverse=True)
+    found, two = [], blocks.min() != blocks.max() if len(blocks) else False
+    for i in range(0, len(sets), 64):
+        for j in range(i, len(sets), 1024):
+            a, b = np.arange(i, min(i + 64, len(sets)))[:, None], np.arange(j, min(j + 1024, len(sets)))[None, :]
+            fine = (a < b) & (now[a] != now[b]) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9)
+            if two:
+                fine &= blocks[a] != blocks[b]
+            p, q = np.nonzero(fine)
+            p, q = p + i, q + j
+            for s in range(0, len(p), 16_384):
+                x, y = p[s : s + 16_384], q[s : s + 16_384]
+                near = may_reach(sizes[x], sizes[y], bits[x], bits[y], threshold)
+                for k, m in zip(x[near].tolist(), y[near].tolist()):
+                    if now[k] == now[m]:
+                        continue
+                    common = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                    if common >= threshold * (sizes[k] + sizes[m] - common) - 1e-9:
+                        found.append((int(vertices[k]), int(vertices[m])))
+                        now[now == now[k]] = now[m]
+    return found
+
+
+def cluster_links(crowd: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links within clusters of ``crowd(token, vertex, root)``, and ``(vertex, lead)``, the cluster of each vertex.
+
+    A vertex belongs to the least vertex that leads one of its tokens' groups, so texts that
+    share many tokens meet once, not once a token. Clusters over CLUSTER rows or SHINGLES
+    shingles are dealt in pairs of blocks. Only a spanning forest of links leaves a task.
+    """
+    first = crowd.groupBy("token").agg(F.min("vertex").alias("lead"))
+    leads = materialize(crowd.join(first, "token").groupBy("vertex").agg(F.min("lead").alias("lead"), F.first("root").alias("root")), "similar-leads")
+    rows = materialize(sets.join(checked_broadcast(leads), "vertex").dropDuplicates(["vertex"]), "similar-clusters")
+    shape = rows.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum(F.octet_length("shingles")) / (HASH_BYTES * SHINGLES))).cast("int").alias("blocks"), F.count_distinct("root").alias("roots"))
+    shape = materialize(shape.where("roots > 1").select("lead", "blocks"), "similar-shape")
+    dealt = rows.join(checked_broadcast(shape), "lead").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "vertex", "root", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            vertices, roots, blocks, sets = zip(*held) if held else ([], [], [], [])
+            found = links_in_cluster(np.array(vertices, np.int64), np.array(roots, np.int64), np.array(blocks, np.int64), [_from_set(x) for x in sets], threshold)
+            a, b = zip(*found) if found else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for lead, p, q, block, vertex, root, data in zip(*(batch.column(c).to_pylist() for c in ("lead", "p", "q", "block", "vertex", "root", "shingles"))):
+                if (lead, p, q) != now:
+                    yield done()
+                    now, held = (lead, p, q), []
+                held.append((vertex, root, block, data))
+        yield done()
+        release_memory()
+
+    spread = dealt.repartition(F.col("lead"), F.col("p"), F.col("q")).sortWithinPartitions("lead", "p", "q")
+    return materialize(spread.mapInArrow(run, "a long, b long"), "similar-within"), leads
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The ``pairs(a, b)`` whose ``sets(vertex, shingles)`` have the similarity.
 
@@ -519,8 +594,8 @@ def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILA
     Two sets of the threshold share a shingle of their prefixes, so every pair meets in the
     group of one; sizes and signatures leave out only pairs that can't reach the threshold.
     Each pair that is left is verified by the Jaccard similarity of the shingle sets, but for
-    pairs that verified links connect already. Large groups give few pairs at first, then all
-    between texts that are still apart.
+    pairs that verified links connect already. Large groups give few pairs at first; then
+    their texts that are still apart are compared in clusters, where only links leave the task.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,17 +635,25 @@ def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILA
         return found.unionByName(verified(apart(some_pairs, components(found)), sets, threshold))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, v, n, *signs, root in _by_group(batches, "token", [*COLUMNS, "root"]):
-            yield from _pairs_apart(k, v, n.astype(np.int64), root, np.stack(signs, axis=1), threshold)
+        for k, v, n, *signs, root, lead in _by_group(batches, "token", [*COLUMNS, "root", "lead"]):
+            yield from _pairs_apart(k, v, n.astype(np.int64), lead, np.stack(signs, axis=1), threshold, root)
         release_memory()
 
     found = connect(pairs, pairs.limit(0))
     if large.isEmpty():
         return found
     named = crowd.join(components(found).withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    named = materialize(named, "similar-crowd")
     split = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    named = named.join(checked_broadcast(materialize(split, "similar-split")), "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token")
-    return connect(materialize(named.mapInArrow(rest, "a long, b long").distinct(), "similar-rest"), found)
+    named = named.join(checked_broadcast(materialize(split, "similar-split")), "token", "left_semi")
+    within, leads = cluster_links(named, sets, threshold)
+    # texts that share a frequent shingle, but not their cluster
+    led = named.join(checked_broadcast(leads.select("vertex", "lead")), "vertex")
+    apart_leads = led.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")
+    led = led.join(checked_broadcast(materialize(apart_leads, "similar-split")), "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token")
+    across = materialize(led.mapInArrow(rest, "a long, b long").distinct(), "similar-rest")
+    found = found.unionByName(within)
+    return found if across.isEmpty() else connect(across, found)
 
 
 def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -589,8 +672,8 @@ def similar_components(marked: DataFrame, docs: DataFrame, threshold: float = SI
     linked = links(lead).join(lead.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(same.unionByName(linked).unionByName(similar_links(members, docs, threshold)))
     named = vertices.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("group", F.coalesce("root", "vertex"))
-    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return materialize(named.select("vertex", "group", "n").join(ids, "group").select("vertex", "component_id", "group", "n"), "similar-c")
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return materialize(join_skewed(named.select("vertex", "group", "n"), ids, "group", vertices.count()).select("vertex", "component_id", "group", "n"), "similar-c")
 
 
 def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

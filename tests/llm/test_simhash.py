@@ -141,6 +141,38 @@ def test_partners_are_verified_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, simhash.verified(pairs, rows).collect())) == sorted((r["a"], r["b"]) for r in pairs.collect() if near(r["a"], r["b"]))
 
 
+def test_clusters_in_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLUSTER", 40)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = []
+    for f in range(12):  # families that are alike below the threshold, with members that reach it
+        own = np.r_[base[rng.permutation(300)[:200]], rng.integers(0, 1 << 62, 100).astype(np.uint64)]
+        sets += [np.r_[own[rng.permutation(300)[: 300 - c]], rng.integers(0, 1 << 62, c).astype(np.uint64)] for c in (0, 10, 20, 28, 34, 60, 90, 15, 5, 12)]
+    data = [simhash._as_set(x) for x in sets]
+    real = [simhash._from_set(x) for x in data]
+    near = [(i, j) for j in range(len(real)) for i in range(j) if len(np.intersect1d(real[i], real[j])) >= 0.8 * len(np.union1d(real[i], real[j]))]
+    crowd = spark.createDataFrame([(t, i, i) for i in range(len(sets)) for t in (1, 2 + i % 3)], "token long, vertex long, root long")
+    found, leads = simhash.cluster_links(crowd, spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "vertex long, shingles binary"))
+    links = [tuple(sorted(r)) for r in found.collect()]
+    assert set(links) <= set(near) and {r["lead"] for r in leads.collect()} == {0}
+
+    def groups(pairs):
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        return [find(i) for i in range(len(sets))]
+
+    assert groups(links) == groups(near) and len(near) > 100 and len(links) < 6 * len(sets)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (5, "quite another text here now"), (None, "nobody has this one text"), (None, "nobody has this one text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("row_key", "equal_rows", "vertex", "_row", "a.b")})
