@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,30 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return held.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")
 
 
+#: Folders that ``materialize`` made within ``temporary_tables``, innermost last.
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders of the tables that are materialised meanwhile, in order, for ``drop_tables``; they count as made in the outer block, too."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        inner = _made.pop()
+        for outer in _made[-1:]:
+            outer.extend(inner)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more, through the file system that holds them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it back.
 
@@ -55,4 +81,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
