@@ -6,9 +6,9 @@ SIZE + 1 numbers, so they travel as a literal; each URL is judged where it is re
 nothing is shuffled.
 
 Edge cases: a null URL or one without ``://`` has empty host and path and gets the
-model's verdict on no n-grams; the longest rule wins, among equals the first in RULES;
-repeated rows are judged alike; an empty table gives an empty result; extra columns are
-ignored.
+model's verdict on no n-grams; URLs of any length are read whole; the longest rule wins,
+among equals (a tie) the first in RULES; repeated rows are judged alike; an empty table gives
+an empty result; extra columns are kept, but for host, path, rule and verdict, which are new.
 """
 
 from __future__ import annotations
@@ -19,22 +19,41 @@ from pyspark.sql import functions as F
 #: (host, path, verdict); a rule holds for its host and all subdomains.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-#: Words of the hosts of the labelled table.
-BLOCKED = "casino-win free-bets cheap-pills adult-x spam-farm ads-track online-casino poker-bets pills-shop xxx-adult track-ads link-farm win-cash free-pills sex-cam bets-casino spam-mail adult-cams".split()
-ALLOWED = "library museum journal garden station weather thesis nation mother history science school recipes travel forum music theatre council hospital research atlas bakery harbour north".split()
+#: Words of hosts to block: alone, and each with the words PAIRED places after it.
+BLOCKED = "casino bets poker slots jackpot winner pills pharmacy cheap adult sex xxx cams spam links farms ads tracker clicks cash loans lottery freebie".split()
+PAIRED = (5, 8)
+#: Words of hosts to allow.
+ALLOWED = (
+    "library museum journal garden station weather thesis nation mother history science school recipes travel forum music theatre council hospital research atlas bakery harbour north "
+    "thinking within thunder other that tower strength months paths teeth lantern winter farmer track-and-field adulthood free-library cheapside spanish business advent radio studio "
+    "kitchen engine letters orchestra camera window harvest painting student island valley traveller physics language children gardening reading"
+).split()
 PREFIXES = ["", "www.", "m.", "blog."]
 
-SIZE, GRAMS, EPOCHS, RATE, SCALE = 512, (3, 4), 12, 1.0, 8.0
+SIZE, GRAMS, EPOCHS, RATE, SCALE = 1024, (3, 4), 12, 1.0, 8.0
+#: Rows of a labelled table at most, as one expression learns from all of them.
+LABELLED = 20_000
 
 
 def labelled_urls() -> list[tuple[int, str, int]]:
-    """(id, url, 1 for block) in the order of learning: every word under every prefix."""
+    """(id, url, 1 for block) in the order of learning: every host under every prefix. The words were chosen
+    without a look at the pages, and no host of these is in the table as it stands."""
+    hosts = [*BLOCKED, *(f"{w}-{BLOCKED[(i + k) % len(BLOCKED)]}" for k in PAIRED for i, w in enumerate(BLOCKED))]
     rows = [(f"https://{p}{w}.example.{'com net org'.split()[(i + j) % 3]}/{'en de fr es'.split()[(i + 2 * j) % 4]}/{i * 7 + j}", y)
-            for y, words in ((1, BLOCKED), (0, ALLOWED)) for i, w in enumerate(words) for j, p in enumerate(PREFIXES)]
+            for y, words in ((1, hosts), (0, ALLOWED)) for i, w in enumerate(words) for j, p in enumerate(PREFIXES)]
     order = sorted(range(len(rows)), key=lambda i: (i * 37) % 173)
     return [(k, *rows[i]) for k, i in enumerate(order)]
 
 
+def read_labelled(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
+    """A labelled table from a CSV file with the columns url and label (1 or block: block), in the order of a hash."""
+    rows = spark.read.csv(path, header=True).where("url is not null").select("url", F.lower("label").isin("1", "block").cast("int").alias("y"))
+    found = rows.orderBy(F.xxhash64("url"), "url").limit(LABELLED + 1).collect()
+    if len(found) > LABELLED:
+        raise ValueError(f"a labelled table has at most {LABELLED} rows")
+    return [(i, r["url"], r["y"]) for i, r in enumerate(found)]
+
+
 def host(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -66,8 +85,7 @@ def buckets(host: Column, path: Column) -> Column:
 
 def train(spark: SparkSession, rows: list[tuple[int, str, int]] | None = None) -> list[float]:
     """SIZE weights and a bias by gradient descent over the labelled table, in its order."""
-    values = ", ".join(f"({i}, '{url}', {y})" for i, url, y in rows or labelled_urls())
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(id, url, y)")
+    table = spark.createDataFrame(rows or labelled_urls(), "id int, url string, y int")
     found = table.select("id", "y", buckets(host(F.col("url")), path(F.col("url"))).alias("x"))
     share = F.transform(F.sequence(F.lit(0), F.lit(SIZE)), lambda j: F.when(j == SIZE, F.lit(1.0)).otherwise(F.size(F.filter("x", lambda b: b == j)) * F.lit(SCALE) / F.size("x")))
     one = found.select(F.struct("id", F.col("y").cast("double").alias("y"), share.alias("x")).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("all"))
