@@ -6,13 +6,17 @@ multiple of the identity (Friedman, 1989). The score is the logistic function of
 difference of log densities and log priors; densities come from Mahalanobis distances by
 Cholesky factors that are computed once and cached in the model.
 
-Moments are sums over all labelled training rows, added up in Spark; the driver only gets
-two vectors and two matrices of FEATURES' size.
+Moments are sums over labelled training rows, added up in Spark; the driver only gets two
+vectors and two matrices of FEATURES' size. The model is fitted on TRAIN labels at most (all of
+them up to that number, else those of the smallest hashes of doc_id), which is ample for
+two classes of 16 statistics; so only their texts are read twice, and all texts are scored in
+one pass where they are read.
 
 Edge cases: a null or empty text has the statistics of no words and gets a score like any
 other; rows without a label, or with a null one, train nothing; a document with two labels
 counts with each; with fewer than two training rows of either class the score is the share
-of good rows (0.5 without any); repeated rows score alike; extra columns are ignored.
+of good rows (0.5 without any); texts of any length are read whole; repeated rows score alike;
+extra columns are ignored, or kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ FEATURES = [
     "no_letter_words", "signed_words", "upper_words", "distinct", "repeated_lines", "words_a_line", "short_words",
 ]
 THRESHOLD = 0.7
+#: Labels that the model is fitted on at most.
+TRAIN = 50_000
 #: Share of the pooled covariance, and then of the identity.
 POOLED, IDENTITY = 0.6, 0.02
 
@@ -165,27 +171,32 @@ def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 4) == 2
 
 
-def train(vectors: DataFrame, labels: DataFrame) -> Model:
-    """Model from the labelled rows that are not held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label"))
-    return fit(vectors.join(known, "doc_id").select("x", "label"))
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
+    """Model from labelled rows that are not held out, ``rows`` labels at most."""
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("known"), F.col("quality").cast("int").alias("label"))
+    some = materialize(known.orderBy(F.xxhash64("known"), "known", "label").limit(rows), "quality-labels")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("known"))
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
+        release_memory()
+
+    return fit(own.select("text", "label").mapInArrow(run, "x array<double>, label int"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``."""
-    vectors = materialize(with_statistics(docs), "quality")
-    scored = apply(vectors, train(vectors, labels))
+    scored = apply(with_statistics(docs), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose whole text scores ``threshold`` or more.
-
-    Texts stay in place: the model comes from a pass over statistics, and a second pass
-    scores each row where it is read.
-    """
-    model = train(materialize(with_statistics(docs), "quality"), labels)
+    """The rows of ``docs``, all columns, whose whole text scores ``threshold`` or more; scored where they are read."""
+    model = train(docs, labels)
 
     @F.pandas_udf("double")
     def score(texts):
