@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.durable import materialize, shared_dir
+from lectern.operators.durable import drop_tables, materialize, shared_dir, temporary_tables
 from lectern.operators.graph import components
 
 __all__ = [
-    "bound_batches", "boxed", "checked_broadcast", "components", "crc_mod", "join_skewed", "large_batches", "materialize", "quoted", "release_memory", "row_key", "shared_dir",
-    "single_threaded", "unboxed",
+    "bound_batches", "boxed", "checked_broadcast", "components", "crc_mod", "drop_tables", "join_skewed", "large_batches", "materialize", "quoted", "release_memory", "row_key", "shared_dir",
+    "single_threaded", "temporary_tables", "unboxed",
 ]
 
 #: Rows in one Arrow batch at most; texts may be long, so far below Spark's default.

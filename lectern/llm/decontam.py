@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import boxed, checked_broadcast, materialize, row_key, unboxed
+from lectern.llm.common import boxed, checked_broadcast, drop_tables, materialize, row_key, temporary_tables, unboxed
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 24
 
@@ -136,5 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns whatever their names, that leak no item."""
-    leaks = materialize(find_leaks(docs, benchmark, **options).select("key").distinct(), "leaks")
+    with temporary_tables(docs.sparkSession) as made:
+        leaks = materialize(find_leaks(docs, benchmark, **options).select("key").distinct(), "leaks")
+        drop_tables(docs.sparkSession, made[:-1])
     return unboxed(boxed(docs, row_key().alias("key")).join(checked_broadcast(leaks), "key", "left_anti"), docs.columns)

@@ -39,7 +39,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import boxed, checked_broadcast, materialize, row_key
+from lectern.llm.common import boxed, checked_broadcast, drop_tables, materialize, row_key, temporary_tables
 
 ROUNDS = 20
 #: Rounds of the Feistel networks (even, so that either half is back in its place).
@@ -287,7 +287,9 @@ def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     If ``docs`` has a column ``pii_kinds``, the new one has underscores behind its name.
     """
     key = secret_key(docs.sparkSession, key)
-    taken = materialize(retries(docs, key), "pii-retries")
+    with temporary_tables(docs.sparkSession) as made:
+        taken = materialize(retries(docs, key), "pii-retries")
+        drop_tables(docs.sparkSession, made[:-1])
     hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     found = F.transform(matches(F.col("text")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     held = boxed(docs, F.col("text").alias("old"), row_key().alias("key"), F.when(hint, found).alias("found"))

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, bound_batches, boxed, checked_broadcast, components, join_skewed, materialize, release_memory, row_key, unboxed
+from lectern.llm.common import BROADCAST_ROWS, bound_batches, boxed, checked_broadcast, components, drop_tables, join_skewed, materialize, release_memory, row_key, temporary_tables, unboxed
 
 THRESHOLD = 2
 #: Bits of a half that the code covers, and the mask of them.
@@ -683,13 +683,15 @@ def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> Data
     shingle sets of ``threshold`` similarity or more. Of several rows with the id, the one
     whose row hash is least stays, and of equal rows one.
     """
-    texts = docs.select("doc_id", "text", row_key().alias("row_key"))
-    marked = materialize(sketches(texts, threshold), "simhash")
-    named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, texts.select("row_key", "text"), threshold), "vertex", marked.count())
-    leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = leads.groupBy("group").agg(F.min("row_key").alias("row_key"))
-    equal = marked.groupBy("row_key").count().where("count > 1").select("row_key", F.lit(True).alias("equal_rows"))
-    kept = materialize(kept.select("row_key").join(equal, "row_key", "left"), "simhash-kept")
+    with temporary_tables(docs.sparkSession) as made:
+        texts = docs.select("doc_id", "text", row_key().alias("row_key"))
+        marked = materialize(sketches(texts, threshold), "simhash")
+        named = join_skewed(marked.select("doc_id", "row_key", "vertex"), similar_components(marked, texts.select("row_key", "text"), threshold), "vertex", marked.count())
+        leads = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        kept = leads.groupBy("group").agg(F.min("row_key").alias("row_key"))
+        equal = marked.groupBy("row_key").count().where("count > 1").select("row_key", F.lit(True).alias("equal_rows"))
+        kept = materialize(kept.select("row_key").join(equal, "row_key", "left"), "simhash-kept")
+        drop_tables(docs.sparkSession, made[:-1])
     rows = boxed(docs, row_key().alias("row_key")).join(checked_broadcast(kept), "row_key")
     if kept.where("equal_rows").isEmpty():
         return unboxed(rows, docs.columns)
