@@ -174,3 +174,21 @@ def html_report(shown: DataFrame, limit: int = 50) -> DataFrame:
         F.lit("</p><p>"), F.col("authors_html"), F.lit("</p><p>"), text_of("venue"), F.lit(", "), F.col("year").cast("string"), F.lit(" "), link, F.lit("</p><p>"), F.col("abstract_html"), F.lit("</p></article>"),
     )
     return shown.where(F.col("rank") <= limit).select("rank", block.alias("html"))
+
+
+def batch_select(hits: DataFrame, mode: str, has_query: bool, threshold: float = 0.25) -> DataFrame:
+    """Hits with ``selected``: by threshold, rare (0.60 and more), perfect (0.40 and more), valuable (0.25 to 0.40, only of a query), none.
+
+    Without a query the first three take all.
+    """
+    s = F.col("similarity")
+    tests = {"threshold": s >= threshold, "rare": s >= 0.60, "perfect": s >= 0.40}
+    if mode in tests:
+        test = tests[mode] if has_query else F.lit(True)
+    elif mode == "valuable":
+        test = (s >= 0.25) & (s < 0.40) & F.lit(has_query)
+    elif mode == "none":
+        test = F.lit(False)
+    else:
+        raise ValueError(f"unknown selection {mode!r}")
+    return hits.withColumn("selected", test)

@@ -10,32 +10,32 @@ from pyspark.sql import functions as F
 from lectern.functions.text import loose_doi, loose_title, squeeze, text_of
 
 # Titles and words that mark records that aren't papers.
-ADMINISTRATIVE_TITLES = """information for authors
-contributors
-copyright notice
-title page
-staff list
-society listing
-patent abstracts
-new associate editor""".split("\n")
-HARD_JUNK = """table of contents
-front cover
-back cover
-frontmatter
-author index
-message from
-call for papers
-committee list
-reviewers list
-index of authors
-issue information
-editor's note
-list of reviewers
-masthead
-advertisement
-publisher's note
-information for authors
-publication information""".split("\n")
+ADMINISTRATIVE_TITLES = [
+    "information for authors",
+    "ieee journal of solid state circuits",
+    "introducing ieee collabratec",
+    "techrxiv share your preprint research with the world",
+    "ieee transactions on microwave theory and techniques publication information",
+    "ieee transactions on microwave theory and techniques information for authors",
+    "ieee transactions on circuits and systems i regular papers information for authors",
+    "ieee transactions on circuits and systems i regular papers publication information",
+    "ieee circuits and systems society information",
+    "ieee journal of solid state circuits information for authors",
+    "ieee journal of solid state circuits publication information",
+    "ieee open access publishing",
+    "ceda currents ieee news",
+    "contributors",
+    "copyright notice",
+    "title page",
+    "staff list",
+    "society listing",
+    "patent abstracts",
+    "new associate editor",
+]
+HARD_JUNK = [
+    "table of contents", "front cover", "back cover", "frontmatter", "author index", "message from", "call for papers", "committee list", "reviewers list", "index of authors",
+    "issue information", "editor's note", "list of reviewers", "masthead", "advertisement", "publisher's note", "information for authors", "publication information",
+]
 USEFUL_INTRODUCTIONS = ["introduction", "overview", "technical session", "plenary session", "session", "tutorial", "forum", "keynote", "panel", "invited", "special issue on", "guest editorial"]
 SOFT_JUNK = ["guest editorial", "editorial:", "special issue on", "special event", "student research preview", "srp", "technical session", "plenary session"]
 NO_ABSTRACT = ["", "na", "n/a", "no abstract available.", "no abstract"]

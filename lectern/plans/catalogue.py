@@ -180,11 +180,21 @@ def _any_in(c: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches({c}, '\\b{w}\\b')" if w.isalnum() and len(w) <= 4 else f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
 
-@query(f"""WITH t AS (SELECT position, lower(title) AS t, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS lt, lower(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) AS a FROM {P})
-SELECT position, CASE WHEN lt IN ({', '.join(f"'{x}'" for x in filters.ADMINISTRATIVE_TITLES)}) THEN true WHEN {_any_in('t', filters.HARD_JUNK)} THEN true
-  WHEN {_any_in('t', filters.SOFT_JUNK)} THEN true WHEN length(a) < 50 OR a IN ('', 'na', 'n/a', 'no abstract available.', 'no abstract') THEN true ELSE false END AS junk FROM t""")
+# Titles of every kind that the rules name, dealt over the records; the SQL decides by the kind of title.
+_JUNK_TITLES = [
+    ("Table of Contents", "junk"), ("IEEE Open Access Publishing", "junk"), ("Ceda Currents: IEEE News", "junk"), ("The Editor's Note", "junk"), ("SRP 2020", "soft"), ("Srprise in circuits", "text"),
+    ("Guest Editorial on Radar", "soft"), ("A Tutorial on Filters", "useful"), ("Special Issue on Chips", "both"), ("New associate editor!", "junk"), ("A low-noise amplifier", "text"), ("Contributors", "junk"),
+]
+
+
+@query("""WITH t AS (SELECT doc_id AS position, ['junk', 'junk', 'junk', 'junk', 'soft', 'text', 'both', 'useful', 'both', 'junk', 'text', 'junk'][1 + (doc_id % 12)] AS kind, doc_id % 5 = 0 AS with_doi,
+  lower(trim(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN 'N/A' ELSE text END, '\\s+', ' ', 'g'))) AS a FROM documents)
+SELECT position, CASE WHEN kind = 'junk' THEN true WHEN with_doi AND kind IN ('useful', 'both') AND a <> '' AND a NOT IN ('na', 'n/a', 'no abstract available.', 'no abstract') AND length(a) >= 30 THEN false
+  WHEN kind IN ('soft', 'both') THEN true ELSE length(a) < 50 OR a IN ('', 'na', 'n/a', 'no abstract available.', 'no abstract') END AS junk FROM t""")
 def junk_filter(spark, sf_dir):
-    return spread(papers(spark, sf_dir)).select("position", filters.is_junk("title", "abstract").alias("junk"))
+    p = spread(papers(spark, sf_dir)).withColumn("title", F.element_at(F.lit([t for t, _ in _JUNK_TITLES]), (F.col("position") % 12 + 1).cast("int")))
+    p = p.withColumn("abstract", F.when(F.col("position") % 7 == 0, "N/A").otherwise(F.col("abstract"))).withColumn("doi", F.when(F.col("position") % 5 == 0, "10.1/x").otherwise(""))
+    return p.select("position", filters.is_junk("title", "abstract", "doi").alias("junk"))
 
 
 SCOPES = {"articles": {"any": ["the of", "la de"]}, "titles": {"title": ["the", "der"], "title_all": ["and", "und"], "without": ["that"]}}
@@ -462,18 +472,21 @@ def advance_checkpoints(spark, sf_dir):
     return streaming.advance_checkpoints(control, e).withColumn("last_checked", F.col("last_checked").cast("string"))
 
 
-@query()
+@query(f"""SELECT position, '@ARTICLE{{' || 'Author' || year || upper(substr(w, 1, 1)) || lower(substr(w, 2)) || ',' || chr(10) || '  author={{A. Author}},' || chr(10) || '  journal={{' || trim(venue) || '}}' || CASE WHEN t <> '' THEN ',' || chr(10) || '  title={{' || t || '}}' ELSE '' END
+  || ',' || chr(10) || '  year={{' || year || '}},' || chr(10) || '  pages={{3-9}},' || chr(10) || '  keywords={{LNA;' || keywords || ';lna}}' || chr(10) || '}}' || chr(10) AS entry
+FROM (SELECT *, string_split_regex(trim(regexp_replace(t, '[^a-zA-Z0-9\\s]', '', 'g')), '\\s+')[1] AS w FROM (SELECT *, trim(title) AS t FROM {P})) WHERE regexp_full_match(title, '[ -~]*')""")
 def bibtex_export(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    extra = {n: F.lit("") for n in ("article_number", "document_identifier", "pages", "start_page", "end_page", "volume", "number", "issue")}
-    p = p.withColumns(extra).withColumn("authors", F.array(F.lit("A. Author"))).withColumn("ieee_terms", F.array().cast("array<string>")).withColumn("keywords", F.array("keywords"))
+    p = papers(spark, sf_dir).where(F.col("title").rlike("^[ -~]*$"))
+    extra = {n: F.lit("") for n in ("article_number", "document_identifier", "pages", "volume", "number", "issue")}
+    p = p.withColumns(extra | {"start_page": F.lit("3"), "end_page": F.lit("9")})
+    p = p.withColumn("authors", F.array(F.lit("A. Author"))).withColumn("ieee_terms", F.array(F.lit("LNA"))).withColumn("keywords", F.array(F.col("keywords"), F.lit("lna"), F.lit("LNA")))
     return p.select("position", sinks.bibtex().alias("entry"))
 
 
 @query(f"""SELECT position, row_number() OVER (ORDER BY lower(venue), year, lower(title), position)::INT AS number FROM {P} WHERE venue IN ('src3', 'src5') AND year = 2010""")
 def report_order(spark, sf_dir):
     p = papers(spark, sf_dir).where("venue in ('src3', 'src5') and year = 2010")
-    return p.select("position", F.row_number().over(Window.orderBy(F.lower("venue"), "year", F.lower("title"), "position")).alias("number"))
+    return sinks.report_order(p).select("position", "number")
 
 
 @query("""WITH b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents), a AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 0)

@@ -396,3 +396,222 @@ def pro_search_order(spark, sf_dir):
 
     found, _ = collect.pro_search(p, v.join(p.select("position"), "position", "left_semi"), "q", lambda t: [list(q)], ["broken", "good"], score, limit=20, window=10)
     return found.select("position", F.round("similarity", 6).alias("similarity"), "llm_score")
+
+
+# --- merging, relations, conflicts -----------------------------------------------------
+
+_SRC = "(SELECT doc_id, doc_id % 3 = 0 AS hit, doc_id % 2 = 0 AS own FROM documents)"
+
+
+def _library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A corpus of the even documents, and source rows for every third one."""
+    d, none = table(spark, sf_dir, "documents"), F.array().cast("array<string>")
+    one = lambda **c: [F.col("doc_id").alias("position"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.lit("2020").alias("year"), *(v.alias(k) for k, v in c.items())]
+    corpus = d.where("doc_id % 2 = 0").select(*one(abstract=F.col("lang"), venue=F.lit("old"), volume=F.lit("1"), publisher=F.lit(""), authors=F.array(F.lit("A. B")), keywords=F.array(F.lit("x"), F.lit("Y"))))
+    source = d.where("doc_id % 3 = 0").select(*one(abstract=F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("source")), venue=F.lit("new"), volume=F.lit(""), publisher=F.lit("P"), authors=F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("Alice Brown"))).otherwise(none), keywords=F.array(F.lit("y"), F.lit("z"))))
+    return corpus, source
+
+
+@query(f"""SELECT 't' || s.doc_id AS title, CASE WHEN own AND s.doc_id % 9 = 0 THEN lang WHEN s.doc_id % 9 = 0 THEN '' ELSE source END AS abstract, 'new' AS venue, CASE WHEN own THEN '1' ELSE '' END AS volume, 'P' AS publisher,
+  CASE WHEN s.doc_id % 5 = 0 THEN 'Alice Brown' WHEN own THEN 'A. B' ELSE '' END AS authors, CASE WHEN own THEN 'x|Y|z' ELSE 'y|z' END AS keywords FROM {_SRC} s JOIN documents d ON d.doc_id = s.doc_id WHERE hit""")
+def library_sync(spark, sf_dir):
+    m = ingest.sync(*_library(spark, sf_dir))
+    return m.select("title", "abstract", "venue", "volume", "publisher", F.array_join("authors", "|").alias("authors"), F.array_join("keywords", "|").alias("keywords"))
+
+
+@query(f"SELECT 't' || s.doc_id AS title, CASE WHEN hit THEN 'new' ELSE 'old' END AS venue, CASE WHEN hit THEN 'P' ELSE '' END AS publisher FROM {_SRC} s WHERE hit OR own")
+def library_import(spark, sf_dir):
+    return ingest.sync(*_library(spark, sf_dir), complete=False).select("title", "venue", "publisher")
+
+
+@query(f"""SELECT 't' || s.doc_id AS title, CASE WHEN own THEN 'old' ELSE 'new' END AS venue, CASE WHEN hit THEN 'P' ELSE '' END AS publisher FROM {_SRC} s WHERE own""")
+def library_enrich(spark, sf_dir):
+    corpus, source = _library(spark, sf_dir)
+    hits = source.join(corpus.select("doi"), "doi", "left_semi").withColumn("position", F.col("position") + 1_000_000_000)
+    both = corpus.unionByName(hits)
+    named = both.join(corpus.select("doi", F.col("position").alias("canonical")), "doi")
+    return ingest.merge_sources(named.select(*both.columns, "canonical"), allow_core=False).select("title", "venue", "publisher")
+
+
+_REL = f"""(SELECT x.position, {T('x.title')} AS a, {T('y.title')} AS b, {N('x.title')} AS ta, {N('y.title')} AS tb, abs(x.year - y.year) AS gap, x.venue = y.venue AS v, x.keywords = y.keywords AS k FROM {P} x JOIN {P} y ON y.position = x.position + 5)"""
+
+
+@query(f"""WITH r AS (SELECT *, v::INT + k::INT AS shared, len(list_intersect(a, b)) AS c, len(list_distinct(a || b)) AS u, least(len(a), len(b)) AS m FROM {_REL}), s AS (SELECT *, CASE WHEN u = 0 THEN 0.0 ELSE c / u::DOUBLE END AS j, CASE WHEN m = 0 THEN 0.0 ELSE c / m::DOUBLE END AS n FROM r)
+SELECT position, CASE WHEN ta <> '' AND ta = tb THEN 'publication_variant' WHEN shared > 0 AND n >= 0.85 AND j >= 0.62 AND gap <= 5 THEN 'likely_extension' WHEN shared > 0 AND n >= 0.65 AND j >= 0.42 AND gap <= 7 THEN 'related_followup'
+  WHEN shared >= 2 AND c >= 2 AND j >= 0.22 AND gap <= 7 THEN 'related_followup' ELSE 'unrelated' END AS relation, shared FROM s""")
+def work_relations(spark, sf_dir):
+    prepared = _prepared(records(spark, sf_dir).withColumn("doi", F.lit("")))
+    a, b = prepared.select("position", F.col("p").alias("a")), prepared.select((F.col("position") - 5).alias("position"), F.col("p").alias("b"))
+    return a.join(b, "position").select("position", family.relation()["relation"].alias("relation"), F.size(F.array_intersect("a.full", "b.full")).alias("shared"))
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Prepared records beside their position."""
+    from lectern.functions.text import author_keys, doi_selector, normalize, tokens, year_of
+
+    none = F.array().cast("array<string>")
+    p = F.struct(keys.publication_key().alias("key"), normalize("title").alias("t"), tokens("title").alias("w"), author_keys(F.coalesce("authors", none)).alias("full"), author_keys(F.coalesce("authors", none), loose=True).alias("loose"), doi_selector("doi").alias("d"), year_of("year").alias("y"))
+    return rows.select("position", p.alias("p"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders), b AS (SELECT c FROM a GROUP BY c HAVING count(*) BETWEEN 2 AND 12) SELECT 'k' || x.k AS a_key, 'k' || y.k AS b_key FROM a x JOIN a y ON x.c = y.c JOIN b ON b.c = x.c WHERE 'k' || x.k < 'k' || y.k""")
+def author_buckets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), F.array(F.concat(F.lit("name"), F.col("o_custkey").cast("string")), F.lit("x")).alias("loose"))
+    return family.candidate_pairs(o, 12)
+
+
+@query(f"""WITH v AS (SELECT DISTINCT lower(doi) AS d, lower({squeeze_sql('abstract')}) AS a FROM {R} WHERE doi <> '' AND position < 4000 AND {squeeze_sql('abstract')} <> ''), t AS (SELECT *, list_filter(list_distinct(string_split({N('a')}, ' ')), lambda x: length(x) > 1) AS w FROM v),
+p AS (SELECT x.d, CASE WHEN length(x.a) <= length(y.a) THEN x.a ELSE y.a END AS s, CASE WHEN length(x.a) <= length(y.a) THEN y.a ELSE x.a END AS l, x.w AS xw, y.w AS yw FROM t x JOIN t y ON x.d = y.d AND x.a < y.a)
+SELECT DISTINCT 'doi_abstract::' || d AS id, 'same_doi_different_abstract' AS kind FROM p WHERE NOT (length(s) >= 120 AND contains(l, s)) AND len(list_intersect(xw, yw)) / greatest(len(list_distinct(xw || yw)), 1)::DOUBLE < 0.55""".replace(" AND position < 4000", ""))
+def abstract_conflict_groups(spark, sf_dir):
+    return conflicts.abstract_conflicts(records(spark, sf_dir))
+
+
+@query()
+def title_conflict_groups(spark, sf_dir):
+    return conflicts.title_conflicts(records(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ': ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS title FROM part""")
+def comparable_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", conflicts.comparable_title(F.concat("p_name", F.lit(": "), "p_type")).alias("title"))
+
+
+@query(f"""WITH k AS (SELECT trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k, year FROM {P}), g AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT year) > 1) SELECT 'title_year::' || k AS id FROM g WHERE length(k) % 2 = 0""")
+def open_conflict_ids(spark, sf_dir):
+    found = conflicts.year_conflicts(papers(spark, sf_dir))
+    dismissed = found.where(F.length("id") % 2 == 1).select("id").unionByName(spark.createDataFrame([("stale",)], "id string"))
+    return conflicts.open_conflicts(found, dismissed).select("id")
+
+
+# --- control: changes, runs, registry ----------------------------------------------------
+
+
+@query("""SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 2 = 1 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE (doc_id % 2 = 1 AND doc_id % 5 <> 0) OR (doc_id % 2 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0))""")
+def changed_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    before = d.where("doc_id % 2 = 0").select("path", F.lit("a").alias("sha"))
+    return control.changed_files(before, d.where("doc_id % 5 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, "b").otherwise("a").alias("sha")))
+
+
+@query("""SELECT 'f' || doc_id AS path FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0""")
+def lost_source_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    before, present, valid = d.where("doc_id % 2 = 0"), d.where("doc_id % 5 <> 0"), d.where("doc_id % 3 = 0 and doc_id % 5 <> 0")
+    return snapshot.lost_sources(before, present, valid)
+
+
+@query("""SELECT user_id AS run_id, CASE WHEN count(*) FILTER (event_type <> 'click' OR value > 50) = count(*) THEN 'completed' WHEN count(*) FILTER (event_type <> 'click' OR value > 50) > 0 THEN 'partial' ELSE 'queued' END AS status, count(*) FILTER (event_type <> 'click' OR value > 50) AS fetched, count(*) AS items FROM events GROUP BY user_id""")
+def resumed_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("item_id"), F.lit("fetched").alias("status"), ((F.col("event_type") != "click") | (F.col("value") > 50)).alias("has"))
+    items = control.resumed_items(e.drop("has"), e.where("has").select("item_id"))
+    return control.run_status(items)
+
+
+@query("""SELECT arg_max(user_id, (ts, user_id)) AS run_id FROM events WHERE event_type = 'click'""")
+def run_to_resume(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("started"), F.lit("s").alias("signature"), F.when(F.col("event_type") == "click", "partial").otherwise("completed").alias("status"))
+    return control.resume(e, "s").select("run_id")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 'X' ELSE p_brand END AS provider FROM part WHERE (CASE WHEN p_partkey = 7 THEN 'X' ELSE p_brand END) IN ('X', 'Brand#11', 'Brand#12', 'Brand#13', 'Brand#23') AND p_size % 4 >= 3 OR p_partkey = 7 AND p_size % 4 >= 3""")
+def registry_backfill(spark, sf_dir):
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("provider"), (F.col("p_size") % 4).alias("generation"), F.lit(True).alias("enabled"))
+    r = control.replace_source(r, 7, provider="X", nothing=1)
+    return control.backfill_sources(r, ["X", "Brand#11", "Brand#12", "Brand#13", "Brand#23"]).select("id", "provider")
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM part WHERE p_size > 10) AS valid_sources, (SELECT count(*) FROM part WHERE p_size <= 10) AS invalid_sources, (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem)) AS stores""")
+def library_status(spark, sf_dir):
+    m = table(spark, sf_dir, "part").select((F.col("p_size") > 10).alias("valid"))
+    return control.content_status(table(spark, sf_dir, "documents"), m, table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("scope")))
+
+
+@query("""SELECT page_id, NOT (page_id % 3 = 0 OR page_id % 5 = 0) AS safe FROM pages""")
+def archive_members(spark, sf_dir):
+    name = F.when(F.col("page_id") % 3 == 0, "../x").when(F.col("page_id") % 5 == 0, "C:\\x").otherwise(F.concat(F.lit("a..b/"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", control.safe_member(name).alias("safe"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS v FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+def recovered_items(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0.5).alias("v"))
+    return streaming.recover(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0").withColumn("v", F.lit(1.5)), "vec_id")
+
+
+@query("SELECT vec_id, 'f' || vec_id AS fingerprint FROM embeddings")
+def appended_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("fingerprint"))
+    return snapshot.append_vectors(e.where("vec_id % 4 > 0"), e.where("vec_id % 4 = 0"), e.where("vec_id % 4 > 0"))
+
+
+# --- sources, sinks, searches ------------------------------------------------------------
+
+
+@query("""SELECT n_name || ', "the" ' || n_regionkey AS title, 'A ' || n_nationkey || chr(10) || 'line' AS abstract, n_nationkey::VARCHAR AS year FROM nation""")
+def csv_round_trip(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    rows = n.select(F.concat("n_name", F.lit(', "the" '), F.col("n_regionkey").cast("string")).alias("Document Title"), F.concat(F.lit("A "), F.col("n_nationkey").cast("string"), F.lit("\nline")).alias("Abstract"), F.col("n_nationkey").cast("string").alias("Publication Year"))
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path)
+    back = readers.read_csv(spark, path)
+    return back.select(F.col("Document Title").alias("title"), F.col("Abstract").alias("abstract"), F.col("Publication Year").alias("year"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'ieee_xplore' WHEN 2 THEN 'web_grabber' WHEN 3 THEN 'generic_paper_source' ELSE 'unsupported' END AS kind FROM part""")
+def header_kinds(spark, sf_dir):
+    line = F.element_at(F.lit(['Abstract,"Title, of document"', 'Document Title,"Abstract",IEEE Terms', "Document Title, Abstract ,Source URL,Publication Year", '"Document Title",Abstract,"DOI"', "Document Title,Abstract"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", readers.classify_headers(readers.header_names(line)).alias("kind"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS title, p_type AS venue, (1990 + p_size)::VARCHAR AS year, 'G ' || p_brand AS authors, 'https://doi.org/10.1/' || p_partkey AS url FROM part""")
+def api_items(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    item = F.to_json(F.struct(
+        F.array("p_name").alias("title"), F.array(F.concat(F.lit("<i>"), "p_type", F.lit("</i>"))).alias("container-title"), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("DOI"),
+        F.array(F.struct(F.lit("G").alias("given"), F.col("p_brand").alias("family"))).alias("author"), F.struct(F.array(F.array(1990 + F.col("p_size"))).alias("date-parts")).alias("issued"),
+    ))
+    return readers.parse_items(p.select(item.alias("item"))).select(F.regexp_extract("doi", "[0-9]+$", 0).cast("long").alias("id"), "title", "venue", "year", F.array_join("authors", ";").alias("authors"), "url")
+
+
+@query("""SELECT p_size AS url_id, max(p_partkey) AS position FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_size""")
+def crawl_cache(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("u"), F.col("p_size").cast("string")).alias("url"), F.col("p_partkey").alias("position"), "p_size", F.when(F.col("p_partkey") % 3 == 0, " ").otherwise("t").alias("title"), F.lit("a").alias("abstract"))
+    return readers.cached_articles(p).select(F.col("p_size").alias("url_id"), "position")
+
+
+@query(f"""SELECT position, 'title' AS fields FROM {R} WHERE ({N('title')} <> '' AND {N('title')} IN (SELECT {N('title')} FROM {P} WHERE position IN (3, 17))) AND doi <> 'https://doi.org/10.1000/X4'
+UNION ALL SELECT position, CASE WHEN {N('title')} <> '' AND {N('title')} IN (SELECT {N('title')} FROM {P} WHERE position IN (3, 17)) THEN 'title,doi' ELSE 'doi' END FROM {R} WHERE doi = 'https://doi.org/10.1000/X4'""")
+def identity_search(spark, sf_dir):
+    r = records(spark, sf_dir)
+    titles = [row["title"] for row in r.where("position in (3, 17)").select("title").collect()]
+    q = KeywordQuery.build(titles=titles, dois=["doi: 10.1000/x4"])
+    return keyword.match(r, q).select("position", F.array_join("matched_fields", ",").alias("fields"))
+
+
+@query(f"""WITH n AS (SELECT position, {N('title')} AS t, venue, keywords FROM {P}) SELECT position, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 'title,authors' ELSE 'authors' END AS fields FROM n WHERE venue = 'src2'""")
+def author_search(spark, sf_dir):
+    r = records(spark, sf_dir)
+    q = KeywordQuery.build(authors=["Src2 SMITH"], any_terms=["the", "src 2"], fields="title,authors")
+    m = keyword.match(r, q)
+    return m.select("position", F.when(F.array_contains("matched_fields", "title"), "title,authors").otherwise("authors").alias("fields"))
+
+
+@query(f"SELECT position, similarity, CASE WHEN similarity >= 0.25 AND similarity < 0.4 THEN true ELSE false END AS valuable, similarity >= 0.6 AS rare FROM {_HIT}")
+def selected_hits(spark, sf_dir):
+    h = cards.batch_select(_hits(spark, sf_dir), "valuable", True).withColumnRenamed("selected", "valuable")
+    return cards.batch_select(h, "rare", True).withColumnRenamed("selected", "rare").select("position", "similarity", "valuable", "rare")
+
+
+@query(f"""WITH n AS (SELECT position, lower(title) AS t, venue FROM {P}) SELECT position, (position % 4 = 0 OR contains(t, 'the') OR (contains(t, 'und') AND venue <> 'src1')) AS rescued FROM n""")
+def rescued_rows(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    venue = F.when(F.col("venue") == "src1", "Science Advances").otherwise(F.col("venue"))
+    return p.select("position", collect.should_rescue(F.col("title"), F.col("position") % 4 == 0, venue, ["the"], ["und"]).alias("rescued"))
+
+
+@query(f"SELECT position, CASE WHEN regexp_matches({N('title')}, '\\bof\\b') THEN 'title' END AS fields FROM {_HIT} WHERE doi = ''")
+def hit_details(spark, sf_dir):
+    some = _hits(spark, sf_dir).where("doi = ''")
+    found = keyword.match(some.drop("similarity"), KeywordQuery.build(expression="of", fields="title"))
+    return cards.attach_details(some, found).select("position", F.nullif(F.array_join("matched_fields", ","), F.lit("")).alias("fields"))

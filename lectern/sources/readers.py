@@ -27,11 +27,44 @@ def classify_headers(headers: Column) -> Column:
     return F.when(missing, "unsupported").when(has(EXPORT_SIGNALS), "ieee_xplore").when(web, "web_grabber").when(has(GENERIC_SIGNALS), "generic_paper_source").otherwise("unsupported")
 
 
+def header_names(line: Column) -> Column:
+    """Names of a CSV header line; quoted ones may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(line, F.lit(r'(?:^|,)(?:"((?:[^"]|"")*)"|([^",]*))'), F.lit(0))
+    plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^,", ""), r'^\s*"|"\s*$', ""), '""', '"'), r"\s+", " ")))
+    return F.filter(plain, lambda c: c != "")
+
+
+def cached_articles(rows: DataFrame, key: str = "url", position: str = "position") -> DataFrame:
+    """The last row of each article that has a title and an abstract: what a new crawl needn't fetch again."""
+    some = rows.where((squeeze("title") != "") & (squeeze("abstract") != "") & (F.col(key) != ""))
+    return some.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), position).alias("r")).select(key, "r.*").select(*rows.columns)
+
+
+def source_records(rows: DataFrame, position: str = "position") -> DataFrame:
+    """CSV rows for a review of conflicts, without junk, with their row number in the file (the header is row 1).
+
+    rows: title, abstract, source_file and their order in it.
+    """
+    from lectern.operators.filters import is_junk
+
+    numbered = rows.withColumn("row_number", (F.row_number().over(Window.partitionBy("source_file").orderBy(position)) + 1).cast("int"))
+    return numbered.where(~is_junk("title", "abstract"))
+
+
+def load_control(spark: SparkSession, path: str, default):
+    """A small JSON control file, or ``default`` where it is missing or not JSON."""
+    import json
+
+    try:
+        return json.loads("\n".join(r["value"] for r in spark.read.text(path).limit(100_000).collect()))
+    except Exception:  # noqa: BLE001 - missing and broken files are alike here
+        return default
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """One row a CSV file: size, time, digest, kind, and the first file with the same content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder)
-    head = F.split(F.get(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), r"\r?\n"), F.lit(0)), ",")
-    headers = F.transform(head, lambda h: F.trim(F.regexp_replace(h, '"', "")))
+    headers = header_names(F.regexp_extract(F.decode(F.substr("content", F.lit(1), F.lit(65_536)), "UTF-8"), r"^\ufeff?([^\r\n]*)", 1))
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select("path", F.col("length").alias("size"), "modificationTime", F.sha1("content").alias("sha1"), classify_headers(headers).alias("kind"), F.when(F.lower(name).startswith("export"), "export").otherwise("other").alias("category"))
     valid = F.col("kind") != "unsupported"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import distinct_values, text_of, year_of
+from lectern.functions.text import text_of, year_of
+from lectern.operators.durable import ranked
 
 
 def export_rows(papers: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def bibtex(c=F.col) -> Column:
     kind = F.when(F.lower(text("document_identifier")).contains("conference") | venue.contains("conference") | venue.contains("symposium"), "INPROCEEDINGS").otherwise("ARTICLE")
     pages = F.when(text("pages") != "", text("pages")).otherwise(F.concat_ws("-", F.nullif(text("start_page"), F.lit("")), F.nullif(text("end_page"), F.lit(""))))
     none = F.array().cast("array<string>")
-    words = F.array_join(distinct_values(F.concat(F.coalesce(c("ieee_terms"), none), F.coalesce(c("keywords"), none))), ";")
+    terms = F.filter(F.transform(F.concat(F.coalesce(c("ieee_terms"), none), F.coalesce(c("keywords"), none)), lambda x: F.trim(x)), lambda x: x != "")
+    words = F.array_join(F.array_distinct(terms), ";")
     line = lambda n, v: F.when(v != "", F.concat(F.lit("  "), n if isinstance(n, Column) else F.lit(n), F.lit("={"), v, F.lit("}")))
     fields = [
         line("author", F.array_join(authors, " and ")), line(F.when(kind == "INPROCEEDINGS", "booktitle").otherwise("journal"), text("venue")), line("title", text("title")), line("year", text_of(c("year").cast("string"))),
@@ -38,15 +40,16 @@ def bibtex(c=F.col) -> Column:
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.concat_ws(",\n", *fields), F.lit("\n}\n"))
 
 
-def report_sections(papers: DataFrame) -> DataFrame:
-    """Numbered sections by venue, year and title."""
-    from pyspark.sql import Window
+def report_order(papers: DataFrame, position: str = "position") -> DataFrame:
+    """``papers`` numbered by venue, year and title; the numbers come from a sort by ranges, not from one task."""
+    return ranked(papers, [F.lower(text_of("venue")), year_of(F.col("year").cast("string")), F.lower(text_of("title")), F.col(position)], "number")
 
-    order = Window.orderBy(F.lower(text_of("venue")), year_of(F.col("year").cast("string")), F.lower(text_of("title")))
-    row = papers.withColumn("number", F.row_number().over(order))
+
+def report_sections(papers: DataFrame, position: str = "position") -> DataFrame:
+    """Numbered sections by venue, year and title; empty fields are left out."""
     line = lambda label, v: F.when(v != "", F.concat(F.lit(f"{label}: "), v))
     body = F.concat_ws("\n", F.concat(F.col("number").cast("string"), F.lit(". "), text_of("title")), line("Authors", F.array_join("authors", "; ")), line("Venue", text_of("venue")), line("Year", text_of(F.col("year").cast("string"))), line("DOI", text_of("doi")), line("Abstract", text_of("abstract")))
-    return row.select("number", body.alias("section"))
+    return report_order(papers, position).select("number", body.alias("section"))
 
 
 def response(hits: DataFrame, columns: list[str]) -> DataFrame:
