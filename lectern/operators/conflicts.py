@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,38 @@ def _variants(records: DataFrame, value: Column) -> DataFrame:
     return each.join(many.select("doi_key"), "doi_key").select("doi_key", "v")
 
 
+def _in_conflict(each: DataFrame, differ: Callable[[str, str], bool]) -> DataFrame:
+    """``(doi_key)`` of the DOIs of ``each(doi_key, v)`` with two values that differ.
+
+    The values of a DOI stream through one task in order; each is compared with all before it
+    until one differs, then the DOI's others are passed over. So all pairs count, but none leaves the
+    task, and a DOI with many values ends at its first conflict.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done, found = None, [], False, []
+        for batch in batches:
+            for key, value in zip(batch.column("doi_key").to_pylist(), batch.column("v").to_pylist()):
+                if key != now:
+                    now, held, done = key, [], False
+                if done:
+                    continue
+                if any(differ(x, value) for x in held):
+                    found.append(key)
+                    held, done = [], True
+                else:
+                    held.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["doi_key"])
+            found = []
+
+    return each.repartition("doi_key").sortWithinPartitions("doi_key", "v").mapInArrow(run, "doi_key string")
+
+
 def title_conflicts(records: DataFrame, least: float = 0.82) -> DataFrame:
-    """DOIs with titles that differ. Each title is compared with the first one of its DOI and its neighbour in order."""
+    """DOIs with two titles whose sequence-matcher ratio is below ``least``."""
     each = _variants(records, comparable_title("title"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doi_key").orderBy("v")
-    pairs = each.select("doi_key", "v", F.array_compact(F.array_distinct(F.array(F.first("v").over(order), F.lag("v").over(order)))).alias("others"))
-    compared = pairs.select("doi_key", "v", F.explode("others").alias("o")).where("v <> o")
-    return compared.where(ratio(F.col("v"), F.col("o")) < least).select(F.concat(F.lit("doi_title::"), "doi_key").alias("id"), F.lit("same_doi_different_title").alias("kind")).distinct()
+    found = _in_conflict(each, lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio() < least)
+    return found.select(F.concat(F.lit("doi_title::"), "doi_key").alias("id"), F.lit("same_doi_different_title").alias("kind"))
 
 
 def materially_different(a: Column, b: Column, least: float = 0.55) -> Column:
@@ -58,10 +83,20 @@ def materially_different(a: Column, b: Column, least: float = 0.55) -> Column:
     return ~((F.length(short) >= 120) & F.contains(long, short)) & (jaccard(tokens(a, ["-"]), tokens(b, ["-"])) < least)
 
 
-def abstract_conflicts(records: DataFrame) -> DataFrame:
-    each = _variants(records, F.lower(squeeze("abstract")))
-    pairs = each.alias("x").join(each.alias("y"), "doi_key").where("x.v < y.v")
-    return pairs.where(materially_different(F.col("x.v"), F.col("y.v"))).select(F.concat(F.lit("doi_abstract::"), "doi_key").alias("id"), F.lit("same_doi_different_abstract").alias("kind")).distinct()
+def abstract_conflicts(records: DataFrame, least: float = 0.55) -> DataFrame:
+    """DOIs with two materially different abstracts; words are compared in the search form."""
+    words = F.array_join(tokens(squeeze("abstract"), ["-"]), " ")
+    each = _variants(records, F.concat(F.lower(squeeze("abstract")), F.lit("\x00"), words)).where(~F.col("v").startswith("\x00"))
+
+    def differ(x: str, y: str) -> bool:
+        (a, _, p), (b, _, q) = x.partition("\x00"), y.partition("\x00")
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if len(short) >= 120 and short in long:
+            return False
+        p, q = set(p.split()), set(q.split())
+        return len(p & q) < least * len(p | q) if p | q else True
+
+    return _in_conflict(each, differ).select(F.concat(F.lit("doi_abstract::"), "doi_key").alias("id"), F.lit("same_doi_different_abstract").alias("kind"))
 
 
 def open_conflicts(found: DataFrame, dismissed: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from lectern.operators.durable import materialize
 
 def _is_star_forest(pairs: DataFrame) -> bool:
     """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``: then each v is its component's least node."""
-    nodes = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    return nodes.where("n > 1").isEmpty() and pairs.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    one, none = F.lit(1), F.lit(0)
+    ends = pairs.select(F.col("u").alias("x"), one.alias("up"), none.alias("down")).unionByName(pairs.select(F.col("v").alias("x"), none.alias("up"), one.alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scope
-from lectern.operators import cards, collect, control, keyword
+from lectern.operators import cards, collect, conflicts, control, keyword
 from lectern.operators.durable import drop_tables, materialize, ranked, spread, temporary_tables
 from lectern.plans.query import KeywordQuery, Query
 from lectern.sources import readers
@@ -164,3 +164,13 @@ def test_headers_and_control_files(spark, tmp_path):
     assert readers.load_control(spark, f"file://{tmp_path}/s.json", {}) == {"a": [1]} and readers.load_control(spark, f"file://{tmp_path}/bad.json", 7) == 7 and readers.load_control(spark, f"file://{tmp_path}/none.json", None) is None
     rows = spark.createDataFrame([("f", 1, "Masthead", "x"), ("f", 2, "A paper", "Its abstract is long enough to be taken for one, with many words.")], "source_file string, position int, title string, abstract string")
     assert [r["row_number"] for r in readers.source_records(rows).collect()] == [3]
+
+
+def test_any_pair_of_variants_is_a_conflict(spark):
+    rows = [("10.1/a", t, "V", f"Abstract {t}") for t in ("deep learning of circuits", "deep learning of circuit", "deep learning for circuits", "zebra crossing of antennas")]
+    rows += [("10.1/b", "one title of a paper", "V", "x"), ("10.1/b", "one title of a papers", "V", "x"), ("10.1/c", "Chapter 1", "Handbook", "p"), ("10.1/c", "Something else here", "Handbook", "q")]
+    df = spark.createDataFrame(rows, "doi string, title string, venue string, abstract string").withColumn("year", F.lit("2020"))
+    assert [r["id"] for r in conflicts.title_conflicts(df).collect()] == ["doi_title::10.1/a"]
+    long = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([("10.1/a", "t", "V", long), ("10.1/a", "t", "V", long + " and more"), ("10.1/b", "t", "V", long), ("10.1/b", "t", "V", "other things altogether")], "doi string, title string, venue string, abstract string")
+    assert [r["id"] for r in conflicts.abstract_conflicts(df).collect()] == ["doi_abstract::10.1/b"]
