@@ -36,8 +36,8 @@ END_ID = 1
 SLACK = 1 / 128
 #: Classes with bins of their own, and bins that may wait for their gap to be filled.
 CLASSES, WAITING = 32, 256
-#: Words, and pre-tokens, whose ids a Python worker keeps (twice, as the last generation stays): 60 MB or so each.
-CACHE_WORDS = 400_000
+#: Words, and pre-tokens, whose ids a Python worker keeps: 30 MB or so each, twice within a task, as the last generation stays.
+CACHE_WORDS = 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -70,6 +70,10 @@ class WordTokenizer:
         self.words: list[dict[str, bytes]] = [{}, {}]
         self.parts: list[dict[str, bytes]] = [{}, {}]
 
+    def forget(self) -> None:
+        """Drop the older generation, between tasks."""
+        self.words[1], self.parts[1] = {}, {}
+
     def _word_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -312,6 +316,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, tokeni
         for pieces in packer.close():
             put(pieces)
         yield batch()
+        _tokenizers[tokenizer_path].forget()
         release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
