@@ -49,11 +49,13 @@ SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 #: Order of shingles: rows of the sample, rows of it that make a shingle frequent, frequent ones listed.
 ORDER_ROWS, FREQUENT, LISTED = 20_000, 3, 100_000
 #: Bits of a signature; members of a shingle's group that are paired all with all at once.
-SIGNATURE, GROUP = 256, 64
+SIGNATURE, GROUP = 256, 8
 #: Bytes of a shingle's hash in the sets that are compared, and sets that meet their partner in one task.
 HASH_BYTES, PARTNERS = 6, 2000
 #: Rows and shingles of a block of a cluster of texts with frequent shingles in common; bits of the signatures there.
 CLUSTER, SHINGLES, WIDE = 2048, 4_000_000, 2048
+#: Times that a vertex takes over the least lead among those it shares a token with.
+LEADS = 2
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -516,12 +518,15 @@ def links_in_cluster(vertices: np.ndarray, roots: np.ndarray, blocks: np.ndarray
 def cluster_links(crowd: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links within clusters of ``crowd(token, vertex, root)``, and ``(vertex, lead)``, the cluster of each vertex.
 
-    A vertex belongs to the least vertex that leads one of its tokens' groups, so texts that
-    share many tokens meet once, not once a token. Clusters over CLUSTER rows or SHINGLES
-    shingles are dealt in pairs of blocks. Only a spanning forest of links leaves a task.
+    A vertex belongs to the least vertex within LEADS steps from one token's group to another's, so
+    texts that share many tokens meet once, not once a token. Clusters over CLUSTER rows or
+    SHINGLES shingles are dealt in pairs of blocks. Only a spanning forest of links leaves a task.
     """
-    first = crowd.groupBy("token").agg(F.min("vertex").alias("lead"))
-    leads = materialize(crowd.join(first, "token").groupBy("vertex").agg(F.min("lead").alias("lead"), F.first("root").alias("root")), "similar-leads")
+    leads = crowd.groupBy("vertex").agg(F.first("root").alias("root")).withColumn("lead", F.col("vertex"))
+    for _ in range(LEADS):
+        groups = crowd.select("token", "vertex").join(leads, "vertex").groupBy("token").agg(F.min("lead").alias("lead"))
+        leads = crowd.join(groups, "token").groupBy("vertex").agg(F.min("lead").alias("lead"), F.first("root").alias("root"))
+        leads = materialize(leads, "similar-leads")
     rows = materialize(sets.join(checked_broadcast(leads), "vertex").dropDuplicates(["vertex"]), "similar-clusters")
     shape = rows.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum(F.octet_length("shingles")) / (HASH_BYTES * SHINGLES))).cast("int").alias("blocks"), F.count_distinct("root").alias("roots"))
     shape = materialize(shape.where("roots > 1").select("lead", "blocks"), "similar-shape")
