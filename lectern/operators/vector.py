@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.durable import materialize
+
+#: Queries that may be part of an expression; queries of a block that travel as one matrix.
+LITERAL, QUERY_BLOCK = 8, 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -31,27 +39,60 @@ def top_k(base: DataFrame, query: list[float], k: int, vector: str = "embedding"
 
 
 def top_k_many(base: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", position: str = "vec_id") -> DataFrame:
-    """The k most similar rows for each of ``queries(query_id, query_vector)``.
+    """The k most similar rows for each of ``queries(query_id, query_vector)``, ties by position, none for a zero query.
 
-    Up to 1000 queries are collected and become one literal array; more are joined with every
-    row. Either way each row scores all queries, and ranks come from per-task top-k limits.
+    Up to LITERAL queries are part of the expression. More are taken in blocks of QUERY_BLOCK,
+    each a matrix that every task gets once: a task multiplies its rows with it and keeps the
+    k best of each query, so only these are shuffled. ``position`` names a row then.
     """
-    asked = queries.select("query_id", "query_vector").limit(1001).collect()
-    if len(asked) > 1000:
-        real = queries.select("query_id", "query_vector").where(F.exists("query_vector", lambda x: x != 0))
-        scored = base.crossJoin(real).withColumn("similarity", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), position)
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    rows = []
-    for query_id, q in asked:
-        if q is None or not any(q):
-            continue
-        rows.append(F.struct(F.lit(query_id).alias("query_id"), cosine(F.col(vector), F.lit([float(x) for x in q])).alias("similarity")))
-    if not rows:
-        return base.limit(0).select(F.lit(None).cast("long").alias("query_id"), "*", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    scored = base.select("*", F.inline(F.array(*rows)))
+    real = queries.select("query_id", "query_vector").where(F.exists("query_vector", lambda x: x != 0))
+    asked = real.limit(LITERAL + 1).collect()
+    kind = dict(queries.dtypes)["query_id"]
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), position)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not asked:
+        return base.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "*", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    if len(asked) <= LITERAL:
+        rows = [F.struct(F.lit(i).cast(kind).alias("query_id"), cosine(F.col(vector), F.lit([float(x) for x in q])).alias("similarity")) for i, q in asked]
+        scored = base.select("*", F.inline(F.array(*rows)))
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = materialize(real, "asked")
+    blocks = -(-held.count() // QUERY_BLOCK)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = None
+    for at in range(blocks):
+        some = held.where(part == at).orderBy("query_id").collect()
+        if some:
+            best = _best_of_block(base, [r["query_id"] for r in some], np.array([r["query_vector"] for r in some], dtype=float), k, vector, position, kind)
+            found = best if found is None else found.unionByName(best)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return base.join(ranked, position).select("query_id", *base.columns, "similarity", "rank")
+
+
+def _best_of_block(base: DataFrame, ids: list, matrix: np.ndarray, k: int, vector: str, position: str, kind: str) -> DataFrame:
+    """(query_id, position, similarity): in each task the k best rows of each query."""
+    units = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+    d, place = units.shape[1], dict(base.dtypes)[position]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, names = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1024):
+                some = batch.slice(s, 1024)
+                rows = [None if v is None or len(v) != d or None in v else v for v in some.column("v").to_pylist()]
+                x = np.array([np.zeros(d) if v is None else v for v in rows], dtype=float)
+                norms = np.sqrt((x * x).sum(axis=1))
+                near = np.where(norms > 0, units @ x.T / np.where(norms > 0, norms, 1.0), 0.0)
+                every = np.c_[best, near]
+                owner = np.c_[names, np.broadcast_to(some.column("p").to_numpy(zero_copy_only=False), near.shape)]
+                by = np.lexsort((owner, -every), axis=1)[:, :k]
+                best, names = np.take_along_axis(every, by, axis=1), np.take_along_axis(owner, by, axis=1)
+        n = best.shape[1]
+        for q in range(0, len(ids), 512):
+            own = ids[q : q + 512]
+            yield pa.RecordBatch.from_pydict({"query_id": [i for i in own for _ in range(n)], position: names[q : q + 512].ravel().tolist(), "similarity": best[q : q + 512].ravel().tolist()})
+
+    rows = base.select(F.col(position).alias("p"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"query_id {kind}, {position} {place}, similarity double")
 
 
 def over_fetch(k: int, filtered: bool, factor: int = 10, low: int = 200, high: int = 2000) -> int:
