@@ -356,6 +356,7 @@ def sketches(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         longs, rid = pa.list_(pa.int64()), TaskContext.get().partitionId() << 40
         for b in batches:
             words, at = batch_words(b.column("text"))
+            fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             rids = pa.array(range(rid, rid + b.num_rows), pa.int64())
             rid += b.num_rows
             vertex, sizes, prefixes, signatures = np.zeros(b.num_rows, np.uint64), [], [], []
@@ -367,13 +368,13 @@ def sketches(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 prefixes.append(prefix_of(h, listed, rank, threshold).view(np.int64))
                 signatures.append(signature(h))
             yield pa.RecordBatch.from_arrays(
-                [rids, b.column("doc_id"), b.column("row_key"), b.column("fp"), pa.array(vertex.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)],
+                [rids, b.column("doc_id"), b.column("row_key"), pa.array(fps), pa.array(vertex.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)],
                 ["rid", "doc_id", "row_key", "fp", "vertex", "size", "prefix", "signature"],
             )
         release_memory()
 
-    rows = fingerprints(docs.select(F.col("doc_id").cast("long"), "text", "row_key"))
-    return rows.select("doc_id", "row_key", "fp", "text").mapInArrow(run, "rid long, doc_id long, row_key long, fp long, vertex long, size int, prefix array<long>, signature array<long>")
+    # fingerprints are made here, too: a second Python function in the stage would be a second worker a core
+    return docs.select(F.col("doc_id").cast("long"), "row_key", "text").mapInArrow(run, "rid long, doc_id long, row_key long, fp long, vertex long, size int, prefix array<long>, signature array<long>")
 
 
 def may_reach(sizes_a: np.ndarray, sizes_b: np.ndarray, signs_a: np.ndarray, signs_b: np.ndarray, threshold: float) -> np.ndarray:
