@@ -49,13 +49,13 @@ SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 #: Order of shingles: rows of the sample, rows of it that make a shingle frequent, frequent ones listed.
 ORDER_ROWS, FREQUENT, LISTED = 20_000, 3, 100_000
 #: Bits of a signature; members of a shingle's group that are paired all with all at once.
-SIGNATURE, GROUP = 256, 8
+SIGNATURE, GROUP = 256, 64
 #: Bytes of a shingle's hash in the sets that are compared, and sets that meet their partner in one task.
 HASH_BYTES, PARTNERS = 6, 2000
 #: Rows and shingles of a block of a cluster of texts with frequent shingles in common; bits of the signatures there.
 CLUSTER, SHINGLES, WIDE = 2048, 4_000_000, 2048
 #: Times that a vertex takes over the least lead among those it shares a token with.
-LEADS = 2
+LEADS = 1
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -528,7 +528,7 @@ def cluster_links(crowd: DataFrame, sets: DataFrame, threshold: float = SIMILARI
         groups = crowd.select("token", "vertex").join(leads, "vertex").groupBy("token").agg(F.min("lead").alias("lead"))
         leads = crowd.join(groups, "token").groupBy("vertex").agg(F.min("lead").alias("lead"), F.first("root").alias("root"))
         leads = materialize(leads, "similar-leads")
-    rows = materialize(sets.join(checked_broadcast(leads), "vertex").dropDuplicates(["vertex"]), "similar-clusters")
+    rows = materialize(sets.join(checked_broadcast(leads), "vertex"), "similar-clusters")  # a vertex that is there twice has one root
     shape = rows.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum(F.octet_length("shingles")) / (HASH_BYTES * SHINGLES))).cast("int").alias("blocks"), F.count_distinct("root").alias("roots"))
     shape = materialize(shape.where("roots > 1").select("lead", "blocks"), "similar-shape")
     dealt = rows.join(checked_broadcast(shape), "lead").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
