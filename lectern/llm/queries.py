@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import audit
 from lectern.llm.urls import oracle_sql
 
 
@@ -87,6 +88,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does to each part of all documents, in every order."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -98,10 +104,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm": op9_lm,
     "op10_html": op10_html,
+    "op11_audit": op11_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_urls": oracle_sql(),
+    "op11_audit": audit.oracle_sql(),
     "op1_warc": """
 WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
