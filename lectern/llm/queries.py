@@ -93,6 +93,13 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into few sequences of 2048 tokens; only longer documents are cut."""
+    from lectern.llm.bestfit import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_html": op10_html,
     "op11_audit": op11_audit,
+    "op12_bestfit": op12_bestfit,
 }
 
 ORACLE_SQL: dict[str, str] = {
