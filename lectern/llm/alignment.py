@@ -37,10 +37,10 @@ from lectern.llm.packing import WordTokenizer
 
 #: Partial counts that a task holds before it gives them out.
 SPILL = 4_000_000
-#: Segments of more bytes aren't kept for later batches.
-LONG = 64
+#: Segments of more bytes are encoded one by one, others so many in a row. Bytes of texts in a batch.
+LONG, RUN, BATCH = 64, 4096, 12 << 20
 #: A blank after one of these begins a segment; texts that hold the mark, the sign for a blank, or end in a blank are one segment.
-BOUNDARY, MARK, BLANK = "([!-~À-ɏͰ-ϿЀ-ӿ一-鿿぀-ヿ가-힣؀-ۿ]) ", "\x1f", "▁"
+BOUNDARY, MARK, BLANK = "[!-~À-ɏͰ-ϿЀ-ӿ一-鿿぀-ヿ가-힣؀-ۿ]", "\x1f", "▁"
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 COUNTED = "key long, n long"
 SHARDS = "part int, first long, last long, b long, best long"
@@ -54,34 +54,48 @@ def byte_level() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of segments, and the bytes of each id."""
+    """One tokenizer: ids of segments, and the bytes of each id. ``encode`` gives the ids of a segment, ``encode_run`` those of many short ones in a row."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
-        self.encode, self.tokens = encode, pa.array(tokens, pa.large_binary())
+    def __init__(self, encode: Callable[[str], list[int]], tokens: list[bytes], encode_run: Callable[[str], list[int]] | None = None):
+        self.encode, self.encode_run, self.tokens = encode, encode_run or encode, pa.array(tokens, pa.large_binary())
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.kept: list[dict[str, bytes]] = [{}, {}]
 
-    def _ids(self, segments: list[str]) -> list[bytes]:
-        return [np.array(ids, dtype="<u4").tobytes() for ids in self.encode(segments)]
-
-    def ids(self, segments: pa.Array, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``segments`` in a row, and how many each has; ``long`` ones pass by what is kept."""
-        pool, some = WordTokenizer._lookup(self.kept, segments.filter(pa.array(~long)).to_pylist(), self._ids)
-        fresh = self._ids(segments.filter(pa.array(long)).to_pylist())
-        pool = np.concatenate([pool, np.frombuffer(b"".join(fresh), dtype="<u4")])
-        sizes = np.r_[some, np.array([len(x) // 4 for x in fresh], dtype=np.int64)].astype(np.int64)
-        place = np.empty(len(long), np.int64)
-        place[~long], place[long] = np.arange(len(some)), np.arange(len(fresh)) + len(some)
-        out, ends = WordTokenizer._gather(pool, sizes, place)
-        return out.astype(np.int64), np.diff(ends)
+    def _run(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.encode_run("".join(segments)), dtype=np.int64)
+        ends, stops = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
+        cuts = np.searchsorted(ends, stops, "right")
+        if len(ids) and (ends[cuts - 1] == stops).all() and cuts[-1] == len(ids):
+            return ids, np.diff(np.r_[0, cuts])
+        return self._each(segments)
+
+    def _each(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode(s) for s in segments]
+        return np.array([i for ids in found for i in ids], dtype=np.int64), np.array([len(ids) for ids in found], dtype=np.int64)
+
+    def ids(self, segments: pa.Array, sizes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``segments`` of ``sizes`` bytes in a row, and how many each has; ``plain`` ones may stand in a row."""
+        some, some_sizes = segments.filter(pa.array(plain)).to_pylist(), sizes[plain]
+        found = [self._run(some[i : i + RUN], some_sizes[i : i + RUN]) for i in range(0, len(some), RUN)]
+        found.append(self._each(segments.filter(pa.array(~plain)).to_pylist()))
+        each = np.concatenate([n for _, n in found])
+        place = np.empty(len(plain), np.int64)
+        place[plain], place[~plain] = np.arange(len(some)), np.arange(len(plain) - len(some)) + len(some)
+        out, ends = WordTokenizer._gather(np.concatenate([ids for ids, _ in found]), each, place)
+        return out, np.diff(ends)
 
 
 @cache
 def sides(a_path: str | None, b_path: str | None) -> tuple[Side, Side]:
-    """A byte-level tokenizer of the ``tokenizers`` library and one of ``sentencepiece``."""
+    """A byte-level tokenizer of the ``tokenizers`` library and one of ``sentencepiece``.
+
+    Runs of short segments go through the rank file of the same vocabulary where A is the public one.
+    """
     single_threaded()
+    import base64
+
     import public_tokenizers
     import sentencepiece
+    import tiktoken
     from tokenizers import Tokenizer
 
     a = Tokenizer.from_file(a_path or public_tokenizers.path("byte_bpe_50k.json"))
@@ -91,11 +105,16 @@ def sides(a_path: str | None, b_path: str | None) -> tuple[Side, Side]:
     special = {i for i, t in a.get_added_tokens_decoder().items() if t.special}
     for token, i in a.get_vocab().items():
         of_a[i] = token.encode() if i in special else bytes(signs[c] for c in token)
+    ranked = None
+    if a_path is None:
+        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     b = sentencepiece.SentencePieceProcessor(model_file=b_path or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
     of_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
     # a segment begins with a blank, which the second tokenizer adds itself
-    return Side(lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)], of_a), Side(lambda texts: b.encode([t[1:] for t in texts], num_threads=1), of_b)
+    return Side(lambda text: a.encode(text, add_special_tokens=False).ids, of_a, ranked), Side(lambda text: b.encode(text[1:]), of_b)
 
 
 @cache
@@ -133,7 +152,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Segments of all ``texts``, each with a blank before it, and where those of each text begin (and the last ends)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     whole = pc.or_(pc.match_substring_regex(texts, f"[{MARK}{BLANK}]"), pc.ends_with(texts, " "))
-    marked = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.replace_substring_regex(texts, pattern=BOUNDARY, replacement=f"\\1{MARK} "), pa.scalar("", pa.large_string()))
+    marked = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.replace_substring_regex(texts, pattern=f"({BOUNDARY}) ", replacement=f"\\1{MARK} "), pa.scalar("", pa.large_string()))
     lists = pc.split_pattern(pc.if_else(whole, "", marked), MARK)
     flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     odd, empty = whole.to_numpy(zero_copy_only=False), pc.equal(texts, "").to_numpy(zero_copy_only=False)
@@ -167,8 +186,8 @@ def align(texts: pa.Array, a: Side, b: Side) -> Aligned:
     segments, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     n = len(segments)
     bytes_each = pc.binary_length(segments).to_numpy().astype(np.int64)
-    long = bytes_each > LONG
-    (a_ids, a_each), (b_ids, b_each) = a.ids(segments, long), b.ids(segments, long)
+    plain = pc.match_substring_regex(segments, f"^ +[^ {MARK}{BLANK}]*{BOUNDARY}$").to_numpy(zero_copy_only=False).astype(bool) & (bytes_each <= LONG)
+    (a_ids, a_each), (b_ids, b_each) = a.ids(segments, bytes_each, plain), b.ids(segments, bytes_each, plain)
     offsets = np.frombuffer(segments.buffers()[1], np.int64)[segments.offset : segments.offset + n + 1]
     data = memoryview(segments.buffers()[2])[offsets[0] : offsets[-1]] if n else memoryview(b"")
     place = offsets - offsets[0]
@@ -177,9 +196,10 @@ def align(texts: pa.Array, a: Side, b: Side) -> Aligned:
         a_ids, b_ids = a_ids[np.repeat(valid, a_each)], b_ids[np.repeat(valid, b_each)]
         a_each, b_each, bytes_each = np.where(valid, a_each, 0), np.where(valid, b_each, 0), np.where(valid, bytes_each, 0)
     a_ends, b_ends, seg_ends = np.cumsum(a.sizes[a_ids]), np.cumsum(b.sizes[b_ids]), np.cumsum(bytes_each)
-    ends = np.union1d(a_ends, b_ends)
+    both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    twice = both[1:] == both[:-1]
+    ends, common = both[np.r_[True, ~twice]] if len(both) else both, both[1:][twice]
     keys = b_ids[np.searchsorted(b_ends, ends)] << 32 | a_ids[np.searchsorted(a_ends, ends)]
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
     a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     a_upto, b_upto = np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right")
     size = max(len(a.sizes), len(b.sizes))
@@ -217,7 +237,7 @@ def partial_counts(docs: DataFrame, a_path: str | None = None, b_path: str | Non
         a, b = sides(a_path, b_path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = settled = 0
-        for table in large_batches(batches, 6 << 20):
+        for table in large_batches(batches, BATCH):
             x = align(table.column("text").combine_chunks(), a, b)
             ok = np.repeat(x.texts(), np.diff(x.bounds))
             times = np.bincount(x.codes[ok], minlength=len(x.valid))
@@ -232,8 +252,6 @@ def partial_counts(docs: DataFrame, a_path: str | None = None, b_path: str | Non
         if held:
             keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
             yield from _batches(key=keys[n > 0], n=n[n > 0])
-        for side in (a, b):
-            side.kept[1] = {}
         release_memory()
 
     return docs.select("text").mapInArrow(run, COUNTED)
@@ -317,7 +335,8 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
     """One row a document, see SCHEMA."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/pair-counts-{uuid.uuid4().hex}"
-    made = materialize(write_shards(partial_counts(docs, a_path, b_path), folder), "pair-shards")
+    partial = materialize(partial_counts(docs, a_path, b_path), "pair-counts")  # else the sample of the range sort reads all texts once more
+    made = materialize(write_shards(partial, folder), "pair-shards")
     shards = made.where("file IS NOT NULL").orderBy("first").collect()
     best = {r["b"]: r["best"] for r in made.where("b IS NOT NULL").groupBy("b").agg(F.max("best").alias("best")).collect()}  # one for each B id at most
     highest = np.zeros(max(best, default=0) + 1, np.int64)
@@ -328,7 +347,7 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
         a, b = sides(a_path, b_path)
         firsts, files, highest = known.value
         counts = Shards(firsts, files)
-        for table in large_batches(batches, 6 << 20):
+        for table in large_batches(batches, BATCH):
             x = align(table.column("text").combine_chunks(), a, b)
             keys, at = np.unique(x.keys, return_inverse=True)
             n = counts.counts(keys)
@@ -342,8 +361,6 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
             digests = [hashlib.sha256(data[s : t - 1]).hexdigest() if good else "" for s, t, good in zip(offsets.tolist(), offsets[1:].tolist(), ok.tolist())]
             columns = [table.column("doc_id").combine_chunks().cast(pa.int64()), *(pa.array(f, pa.int64()) for f in figures), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
-        for side in (a, b):
-            side.kept[1] = {}
         release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
