@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 from lectern.functions.text import year_of
 
 
-def scope_key(years: Iterable[int]) -> str:
-    """``all`` without years, else ``years_`` and the years, newest first."""
-    some = sorted({int(y) for y in years}, reverse=True)
-    return "years_" + "_".join(map(str, some)) if some else "all"
-
-
-def scope_label(years: Iterable[int]) -> str:
-    some = sorted({int(y) for y in years}, reverse=True)
-    if not some:
-        return "Full library"
-    return f"{some[0]} only" if len(some) == 1 else f"Years: {', '.join(map(str, some))}"
+def scope_names(presets: DataFrame, years: str = "years") -> DataFrame:
+    """``presets`` with ``scope_key`` and ``scope_label`` of each row's array of years; one without years is the whole library."""
+    newest = F.sort_array(F.array_distinct(F.col(years)), asc=False).cast("array<string>")
+    listed = lambda sign: F.array_join(newest, sign)
+    label = F.when(F.size(newest) == 0, "Full library").when(F.size(newest) == 1, F.concat(listed(""), F.lit(" only"))).otherwise(F.concat(F.lit("Years: "), listed(", ")))
+    return presets.withColumns({"scope_key": F.when(F.size(newest) == 0, "all").otherwise(F.concat(F.lit("years_"), listed("_"))), "scope_label": label})
 
 
 def available_years(papers: DataFrame, year: str = "year") -> DataFrame:

@@ -5,16 +5,21 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import normalize, similarity, tokens
 from lectern.operators import keyword, vector
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.fusion import last_wins, retained
-from lectern.plans.query import FIELDS, Query, infer_families
+from lectern.plans.query import FIELDS, Query
 
+#: Likeness of the words of two queries from which they are one family.
+ALIKE = 0.62
+# Venues whose records a photonic term doesn't bring back.
+NOT_RESCUED = ["science", "science advances"]
 RESULTS = "query_pos int, query_id string, family string, role string, mode string, rank int, position long, similarity double, matched_fields array<string>"
 
 
@@ -31,13 +36,54 @@ class Run:
 
 
 def group_queries(queries: Sequence[Query]) -> list[list[int]]:
-    """Places of queries that share one scan: those of one semantic mode and limit; each literal query alone."""
+    """Places of queries that share one scan: those of one semantic mode and number of hits to fetch; each literal query alone."""
     groups: dict[tuple, list[int]] = {}
     for at, q in enumerate(queries):
-        groups.setdefault((q.mode, q.limit) if q.mode == "lite" else (q.mode, at), []).append(at)
+        groups.setdefault((q.mode, q.limit, _filtered(q)) if q.mode == "lite" else (q.mode, at), []).append(at)
     return sorted(groups.values())
 
 
+def _filtered(q: Query) -> bool:
+    """Whether hits are left out after the search, so that more of them must be fetched."""
+    return bool(q.keyword.years or q.keyword.venues)
+
+
+def query_families(queries: DataFrame) -> DataFrame:
+    """``(query_pos, family)`` of ``queries(query_pos, mode, family, titles, dois, authors, text)``, one specification's list.
+
+    A query's own family counts, then identity (titles or DOIs) and authors. Others follow, in order,
+    the first lead of their kind whose words are alike (ALIKE); one without such a lead leads a family itself. The list is
+    written by a user, so that one ordered aggregate over it suffices.
+    """
+    kind = F.when(F.col("mode") == "keyword", "keyword").otherwise("semantic")
+    given = F.coalesce(
+        F.when(F.col("family") != "", F.col("family")), F.when((F.size("titles") > 0) | (F.size("dois") > 0), "identity"),
+        F.when(F.size("authors") > 0, F.concat(F.lit("author:"), normalize(F.array_join("authors", " ")))),
+    )
+    rows = queries.select("query_pos", given.alias("given"), kind.alias("kind"), tokens("text").alias("words"))
+    lead = "array<struct<name: string, kind: string, words: array<string>>>"
+    start = F.struct(F.array().cast(lead).alias("leads"), F.array().cast("array<struct<query_pos: int, family: string>>").alias("named"))
+
+    def step(state: Column, q: Column) -> Column:
+        alike = F.filter(state["leads"], lambda x: (x["kind"] == q["kind"]) & (F.size(x["words"]) > 0) & (F.size(q["words"]) > 0) & (similarity(x["words"], q["words"]) >= ALIKE))
+        new = q["given"].isNull() & (F.size(alike) == 0)
+        name = F.coalesce(q["given"], F.get(alike, F.lit(0))["name"], F.concat(q["kind"], F.lit(":"), (F.size(state["leads"]) + 1).cast("string")))
+        leads = F.when(new, F.array_append(state["leads"], F.struct(name.alias("name"), q["kind"].alias("kind"), q["words"].alias("words")))).otherwise(state["leads"])
+        return F.struct(leads.alias("leads"), F.array_append(state["named"], F.struct(q["query_pos"].alias("query_pos"), name.alias("family"))).alias("named"))
+
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("query_pos", "given", "kind", "words"))).alias("all"))
+    return listed.select(F.inline(F.aggregate("all", start, step)["named"]))
+
+
+def infer_families(spark: SparkSession, queries: Sequence[Query]) -> list[Query]:
+    """``queries`` with the families that ``query_families`` gives them."""
+    words = lambda q: " ".join([q.text, q.keyword.expression, *q.keyword.all_terms, *q.keyword.any_terms])
+    rows = [(at, q.mode, q.family, list(q.keyword.titles), list(q.keyword.dois), list(q.keyword.authors), words(q)) for at, q in enumerate(queries)]
+    schema = "query_pos int, mode string, family string, titles array<string>, dois array<string>, authors array<string>, text string"
+    named = {r["query_pos"]: r["family"] for r in query_families(spark.createDataFrame(rows, schema)).collect()}
+    return [replace(q, family=named[at]) for at, q in enumerate(queries)]
+
+
 def run_queries(
     papers: DataFrame, vectors: DataFrame, queries: Sequence[Query], encode: Callable[[list[str]], list[list[float]]], rerank: Callable[[DataFrame, Query], DataFrame] | None = None, retries: int = 1
 ) -> Run:
@@ -47,7 +93,7 @@ def run_queries(
     scan of the vectors. A group that fails is run again query by query; a query that
     still fails after ``retries`` more attempts has no results and the status failed.
     """
-    spark, queries = papers.sparkSession, infer_families(list(queries))
+    spark, queries = papers.sparkSession, infer_families(papers.sparkSession, queries)
     literal = any(q.mode in ("keyword", "filtered_lite") for q in queries)
     table = materialize(keyword.search_table(papers, FIELDS), "search") if literal else papers
     parts: list[DataFrame] = []
@@ -58,9 +104,9 @@ def run_queries(
         return spark.createDataFrame(rows, "query_id int, query_vector array<double>")
 
     def semantic(places: list[int]) -> DataFrame:
-        first = queries[places[0]]
-        k = vector.over_fetch(first.limit, bool(first.keyword.years or first.keyword.venues))
-        hits = vector.top_k_many(vectors, asked(places), k, position="position")
+        first = queries[places[0]]  # all of a group fetch as many hits
+        k = vector.over_fetch(first.limit, _filtered(first))
+        hits = materialize(vector.top_k_many(vectors, asked(places), k, position="position"), "hits")
         named = hits.select(F.col("query_id").alias("query_pos"), "position", "similarity").join(papers, "position")
         kept = None
         for at in places:
@@ -71,7 +117,7 @@ def run_queries(
     def one(places: list[int]) -> DataFrame:
         q = queries[places[0]]
         if q.mode == "keyword":
-            found = keyword.search(table, q.keyword, min(q.limit, 5000))
+            found = keyword.search(table, q.keyword, q.limit)
             order = [F.desc("exact_score"), F.desc("year"), F.desc(F.lower("title")), F.col("position")]
             numbered = found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(places[0])).orderBy(*order)))
             return numbered.select(F.lit(places[0]).alias("query_pos"), "position", F.lit(None).cast("double").alias("similarity"), "matched_fields", "rank")
@@ -221,10 +267,10 @@ def uncovered(declared: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def should_rescue(title: Column, relevant: Column, venue: Column, hardware: Sequence[str], photonic: Sequence[str]) -> Column:
-    """Relevant records, those with a hardware term in the title and, outside of Science venues, those with a photonic one."""
+    """Relevant records, those with a hardware term in the title and, outside of NOT_RESCUED, those with a photonic one."""
     t = F.lower(F.coalesce(title, F.lit("")))
     has = lambda terms: F.exists(F.lit(list(terms)), lambda x: F.contains(t, x)) if terms else F.lit(False)
-    return relevant | has(hardware) | (has(photonic) & ~F.lower(F.coalesce(venue, F.lit(""))).startswith("science"))
+    return relevant | has(hardware) | (has(photonic) & ~F.lower(F.trim(F.coalesce(venue, F.lit("")))).isin(NOT_RESCUED))
 
 
 def without_axes(audited: DataFrame) -> DataFrame:

@@ -211,6 +211,13 @@ def safe_member(name: Column) -> Column:
     return (clean != "") & ~clean.startswith("/") & ~clean.rlike("^[A-Za-z]:") & ~F.array_contains(F.split(clean, "/"), "..")
 
 
+def table_digest(df: DataFrame) -> tuple[int, str]:
+    """Rows of a table, and a digest of their values and the columns' names, whatever the order of either."""
+    columns = sorted(df.columns)
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64(*(F.col(c) for c in columns)), F.lit(1 << 31))), F.lit(0)).alias("h")).first()
+    return found["n"], hashlib.sha1(f"{found['n']}:{found['h']}:{columns}".encode()).hexdigest()
+
+
 def write_pack(folder: str, tables: dict[str, DataFrame], kind: str = "full") -> dict:
     """Tables as Parquet under ``folder`` and a manifest, which comes last: without it a pack isn't complete."""
     spark = next(iter(tables.values())).sparkSession
@@ -218,19 +225,21 @@ def write_pack(folder: str, tables: dict[str, DataFrame], kind: str = "full") ->
     for name, df in sorted(tables.items()):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         back = spark.read.parquet(f"{folder}/{name}")
-        columns = sorted(back.columns)
-        digest = back.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64(*(F.col(c) for c in columns)), F.lit(1 << 31))), F.lit(0)).alias("h")).first()
-        entries.append({"name": name, "rows": digest["n"], "digest": hashlib.sha1(f"{digest['n']}:{digest['h']}:{columns}".encode()).hexdigest()})
+        rows, digest = table_digest(back)
+        entries.append({"name": name, "rows": rows, "digest": digest})
     manifest = {"kind": kind, "tables": entries}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_pack")
     return manifest
 
 
 def read_pack(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataFrame]]:
-    """Manifest and tables of a pack, checked against the manifest."""
+    """Manifest and tables of a pack; their rows and digests must be those of the manifest."""
     manifest = json.loads(spark.read.text(f"{folder}/_pack").first()["value"])
     tables = {e["name"]: spark.read.parquet(f"{folder}/{e['name']}") for e in manifest["tables"]}
     for e in manifest["tables"]:
-        if (n := tables[e["name"]].count()) != e["rows"]:
-            raise ValueError(f"{e['name']} has {n} rows, the manifest {e['rows']}")
+        rows, digest = table_digest(tables[e["name"]])
+        if rows != e["rows"]:
+            raise ValueError(f"{e['name']} has {rows} rows, the manifest {e['rows']}")
+        if digest != e["digest"]:
+            raise ValueError(f"{e['name']} has other rows than the manifest says")
     return manifest, tables

@@ -556,7 +556,7 @@ def run_states(spark, sf_dir):
     return streaming.run_state(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), status.alias("status")))
 
 
-@query("""WITH r AS (SELECT doc_id % 300 AS position, text FROM documents WHERE doc_id % 2 = 1), k AS (SELECT trim(regexp_replace(lower(substr(regexp_extract(text, '^[^\\n]*'), 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, doc_id FROM documents),
+@query("""WITH r AS (SELECT doc_id % 300 AS position, text FROM documents WHERE doc_id % 2 = 1), k AS (SELECT trim(regexp_replace(lower(regexp_extract(text, '^[^\\n.!?]*')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, doc_id FROM documents),
 c AS (SELECT t, count(DISTINCT doc_id) AS n, min(doc_id) AS target FROM k WHERE t <> '' AND doc_id % 2 = 0 GROUP BY t)
 SELECT k.doc_id AS position, CASE WHEN c.n = 1 THEN c.target END AS target, CASE WHEN c.n = 1 THEN 'matched' WHEN c.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM k LEFT JOIN c USING (t) WHERE k.doc_id % 2 = 1 AND k.t <> ''""")
 def enrich_lookup(spark, sf_dir):

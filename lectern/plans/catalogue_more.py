@@ -182,13 +182,13 @@ def json_arrays(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(text.first_json_array(answer), "|").alias("found"))
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') OR contains(lower(p_type), 'steel') THEN lower(p_type) || '|iron alloy|steel|stainless' ELSE lower(p_type) END AS terms FROM part""")
+@query("""WITH t AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part), l AS (SELECT p_partkey, w, list_transform(w, lambda x: lower(x)) AS low FROM t)
+SELECT p_partkey, array_to_string(list_filter(w || (CASE WHEN list_has_any(low, ['iron alloy', 'steel', 'stainless']) THEN ['iron alloy', 'steel', 'stainless'] ELSE [] END)
+  || (CASE WHEN list_has_any(low, ['copper', 'brass', 'BRASS']) THEN ['copper', 'brass', 'BRASS'] ELSE [] END), lambda x, i: list_position(w || (CASE WHEN list_has_any(low, ['iron alloy', 'steel', 'stainless']) THEN ['iron alloy', 'steel', 'stainless'] ELSE [] END)
+  || (CASE WHEN list_has_any(low, ['copper', 'brass', 'BRASS']) THEN ['copper', 'brass', 'BRASS'] ELSE [] END), x) = i), '|') AS terms FROM l""")
 def expanded_terms(spark, sf_dir):
-    last = F.element_at(F.split(F.lower("p_type"), " "), -1)
-    terms = F.when(last == "steel", F.array(F.lower("p_type"), last)).otherwise(F.array(F.lower("p_type")))
-    found = scoring.expand_terms(terms, [("iron alloy", ["steel", "stainless"])])
-    order = F.when(last == "steel", F.concat(F.array(F.lower("p_type")), F.lit(["iron alloy", "steel", "stainless"]))).otherwise(found)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.when(F.size(found) == F.size(order), order), "|").alias("terms"))
+    found = scoring.expand_terms(F.split("p_type", " "), [("iron alloy", ["steel", "stainless"]), ("copper", ["brass", "BRASS"])])
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "|").alias("terms"))
 
 
 _RT = f"(SELECT position, ' ' || {N('title')} || ' ' AS t, ' ' || {N('abstract')} || ' ' AS x FROM {P})"

@@ -51,12 +51,25 @@ def source_records(rows: DataFrame, position: str = "position") -> DataFrame:
     return numbered.where(~is_junk("title", "abstract"))
 
 
+#: Bytes of a control file at most, as the driver reads it.
+CONTROL_BYTES = 64 << 20
+
+
+class ControlTooLarge(ValueError):
+    pass
+
+
 def load_control(spark: SparkSession, path: str, default):
-    """A small JSON control file, or ``default`` where it is missing or not JSON."""
+    """A JSON control file, or ``default`` where it is missing or not JSON; one of over CONTROL_BYTES is an error."""
     import json
 
     try:
-        return json.loads("\n".join(r["value"] for r in spark.read.text(path).limit(100_000).collect()))
+        found = spark.read.format("binaryFile").load(path).select("length").first()
+        if found is not None and found["length"] > CONTROL_BYTES:
+            raise ControlTooLarge(f"{path} has {found['length']} bytes")
+        return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    except ControlTooLarge:
+        raise
     except Exception:  # noqa: BLE001 - missing and broken files are alike here
         return default
 

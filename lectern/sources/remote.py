@@ -2,7 +2,8 @@
 
 The fetcher is named ``module:function`` and takes (query, first, last, cursor); it returns
 (list of row dicts, next cursor or None). Transient errors are tried again with growing
-pauses; what still fails is a row of the error column, for a later recovery batch.
+pauses; what still fails, and a window with more
+pages than ``pages``, is a row of the error column, for a later recovery batch.
 """
 
 from __future__ import annotations
@@ -54,6 +55,10 @@ class PageReader(DataSourceReader):
             if cursor is None or cursor in seen:
                 return
             seen.add(cursor)
+        yield self._error(f"{partition.first}:{partition.last}:incomplete, goes on at {cursor}")
+
+    def _error(self, text: str) -> tuple:
+        return tuple(text if f == "error" else None for f in self.fields)
 
     def _fetch(self, fetch, window: Window, cursor):
         tries = int(self.options.get("tries", "3"))

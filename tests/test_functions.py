@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, keys, scoring, text
 from lectern.operators import conflicts, filters
-from lectern.plans.query import KeywordQuery, build_spec, infer_families, parse_expression, parse_fields, parse_year_range
+from lectern.plans.query import KeywordQuery, build_spec, parse_expression, parse_fields, parse_year_range
 
 
 def values(spark, column, rows, schema="v string"):
@@ -47,7 +47,6 @@ def test_parsers():
 def test_specification():
     queries = build_spec({"defaults": {"limit": 5}, "queries": [{"expression": "a"}, {"mode": "lite", "text": "noise amplifier"}, {"mode": "pro", "text": "amplifier noise", "enabled": True}, {"expression": "b", "enabled": False}]})
     assert [q.limit for q in queries] == [5, 5, 5]
-    assert [q.family for q in infer_families(queries)] == ["keyword:1", "semantic:2", "semantic:2"]
     for bad in ({"mode": "x"}, {"mode": "lite"}, {"mode": "keyword"}, {"expression": "a", "limit": True}):
         with pytest.raises(ValueError):
             build_spec({"queries": [bad]})

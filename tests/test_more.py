@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from lectern.functions import scope
 from lectern.operators import cards, collect, conflicts, control, keyword
 from lectern.operators.durable import drop_tables, materialize, ranked, spread, temporary_tables
-from lectern.plans.query import KeywordQuery, Query
+from lectern.plans.query import KeywordQuery, Query, build_spec
 from lectern.sources import readers
 
 
-def test_scope_names():
-    assert scope.scope_key([]) == "all" and scope.scope_key([2020, "2024", 2020]) == "years_2024_2020"
-    assert [scope.scope_label(y) for y in ([], [2020], [2020, 2021])] == ["Full library", "2020 only", "Years: 2021, 2020"]
+def test_scope_names(spark):
+    named = scope.scope_names(spark.createDataFrame([([],), ([2020],), ([2020, 2024, 2020],)], "years array<int>")).collect()
+    assert [r["scope_key"] for r in named] == ["all", "years_2020", "years_2024_2020"]
+    assert [r["scope_label"] for r in named] == ["Full library", "2020 only", "Years: 2024, 2020"]
     assert scope.size_text(512) == "512 B" and scope.size_text(3 << 20) == "3.0 MB" and [scope.time_text(s) for s in (5, 65, 3700)] == ["5s", "1m 05s", "1h 01m"]
     assert scope.free_name("A b/c", ["A_b_c", "A_b_c_2"]) == "A_b_c_3"
 
@@ -74,6 +75,34 @@ def test_tasks(spark):
     assert "abc123" not in tasks._now[bad].error and control.masked('{"token": "xyz"}') == '{"token": "***"}'
 
 
+def test_query_families(spark):
+    spec = [{"expression": "low noise amplifier"}, {"mode": "lite", "text": "noise amplifier"}, {"mode": "pro", "text": "amplifier noise"}, {"expression": "amplifier/noise"}, {"titles": ["a"]}, {"authors": ["Ann  LEE"]}, {"expression": "x", "family": "own"}, {"expression": "of"}, {"expression": "of"}]
+    families = [q.family for q in collect.infer_families(spark, build_spec({"queries": spec}))]
+    assert families == ["keyword:1", "semantic:2", "semantic:2", "keyword:1", "identity", "author:ann lee", "own", "keyword:3", "keyword:4"]
+
+
+def test_filtered_queries_are_not_cut_short_by_others(spark):
+    """A query with a filter fetches more hits, also beside one without a filter."""
+    papers = spark.createDataFrame([(i, f"title {i}", 2020 if i % 20 == 7 else 2010, "v") for i in range(400)], "position long, title string, year int, venue string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 400.0]) for i in range(400)], "position long, embedding array<double>")
+    ask = lambda texts: [[1.0, 0.0] for _ in texts]
+    free, bound = Query("a", "lite", "x", limit=5), Query("b", "lite", "x", limit=5, keyword=KeywordQuery.build(years=(2020, 2020)))
+    alone = collect.run_queries(papers, vectors, [bound], ask)
+    both = collect.run_queries(papers, vectors, [free, bound], ask)
+    positions = lambda run, q: [r["position"] for r in run.results.where(F.col("query_id") == q).orderBy("rank").collect()]
+    assert positions(alone, "b") == positions(both, "b") == [7, 27, 47, 67, 87] and len(positions(both, "a")) == 5
+
+
+def test_rescue_and_control_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("photon", "Science"), ("photon", "Science Robotics"), ("photon", None)], "title string, venue string")
+    assert [r[0] for r in rows.select(collect.should_rescue(F.col("title"), F.lit(False), F.col("venue"), [], ["photon"])).collect()] == [False, True, True]
+    (tmp_path / "c.json").write_text('{"a":\n 1}')
+    assert readers.load_control(spark, str(tmp_path / "c.json"), 0) == {"a": 1} and readers.load_control(spark, str(tmp_path / "none"), 0) == 0
+    monkeypatch.setattr(readers, "CONTROL_BYTES", 3)
+    with pytest.raises(ValueError):
+        readers.load_control(spark, str(tmp_path / "c.json"), 0)
+
+
 def test_packs(spark, tmp_path):
     folder = f"file://{tmp_path}/pack"
     made = control.write_pack(folder, {"papers": spark.range(7), "stores": spark.range(2)})
@@ -82,6 +111,9 @@ def test_packs(spark, tmp_path):
     spark.range(3).write.mode("overwrite").parquet(f"{folder}/stores")
     with pytest.raises(ValueError, match="stores"):
         control.read_pack(spark, folder)
+    spark.range(5, 7).write.mode("overwrite").parquet(f"{folder}/stores")
+    with pytest.raises(ValueError, match="other rows"):
+        control.read_pack(spark, folder)
 
 
 def test_cards_and_reports(spark):

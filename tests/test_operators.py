@@ -141,6 +141,8 @@ def test_paged_source(spark):
     spark.sparkContext.addPyFile(__file__.replace("test_operators", "fetchers"))
     rows = reader.option("fetcher", "fetchers:three_pages").load().collect()
     assert len(rows) == 6 and sorted(r["title"] for r in rows)[0] == "q 2024-01-01 0"
+    short = reader.option("fetcher", "fetchers:three_pages").option("pages", "2").load().collect()
+    assert len(short) == 6 and sorted(r["error"] for r in short if r["error"])[0] == "2024-01-01:2024-01-31:incomplete, goes on at 2"
     failed = reader.option("fetcher", "fetchers:broken").load().collect()
     assert [r["title"] for r in failed] == [None, None] and all("no network" in r["error"] for r in failed)
     assert remote.build_query("low noise|lna", ["eess.SP"], "2024-01-01", "2024-01-31") == '(all:"low noise" OR all:lna) AND (cat:eess.SP) AND submittedDate:[202401010000 TO 202401312359]'
