@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lectern.plans.query import KeywordQuery, parse_expression
 PREFIX = "_n_"
 
 
-def _plain(term: str) -> str:
+def plain(term: str) -> str:
     """The search form of a query's term, on the driver."""
     import unicodedata
 
@@ -28,9 +29,14 @@ def _plain(term: str) -> str:
     return re.sub("[^a-z0-9+]+", " ", term).strip()
 
 
+def plain_doi(doi: str) -> str:
+    """The search form of a query's DOI, on the driver."""
+    return re.sub(r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "", doi.strip().lower()).strip()
+
+
 def term_test(normal: Column, term: str) -> Column:
     """Whether a normalised text holds a term: phrases between blanks, single words as words."""
-    t = _plain(term)
+    t = plain(term)
     if not t:
         return F.lit(False)
     if " " in t:
@@ -65,6 +71,48 @@ def search_table(papers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return papers.withColumns({PREFIX + name: search_field(papers, name) for name in fields})
 
 
+def judged(query: KeywordQuery, test: Callable[[str, str], Column], title: Column | None, doi: Column | None) -> Column:
+    """Struct (matched_fields, matched_terms) of a record that matches, else null.
+
+    ``test(field, term)``: whether a field holds a term; ``title`` and ``doi``: whether the record is one of the selected ones.
+    """
+    conditions: list[Column] = []
+    hit: dict[str, list[Column]] = {}
+    terms: list[Column] = []
+    if query.titles or query.dois:
+        conditions.append(title | doi)
+        hit.setdefault("title", []).append(title)
+        hit.setdefault("doi", []).append(doi)
+        terms += [F.when(title, "exact_title"), F.when(doi, "doi")]
+    if query.authors:
+        each = [test("authors", a) for a in query.authors]
+        conditions.append(_any(each))
+        hit.setdefault("authors", []).append(_any(each))
+        terms.append(F.coalesce(*(F.when(t, F.lit(f"author:{a}")) for t, a in zip(each, query.authors))))
+
+    def alternatives(label: str, options: list[str]) -> None:
+        tests = [{n: test(n, t) for n in query.fields} for t in options]
+        found = [_any(list(x.values())) for x in tests]
+        conditions.append(_any(found))
+        before = F.lit(False)
+        for x, any_field in zip(tests, found):
+            for n, one in x.items():
+                hit.setdefault(n, []).append(one & ~before)
+            before = before | any_field
+        terms.append(F.coalesce(*(F.when(f, F.lit(f"{label}:{t}")) for f, t in zip(found, options))))
+
+    for group in parse_expression(query.expression):
+        alternatives("expression", group)
+    for term in query.all_terms:
+        alternatives("all_term", [term])
+    if query.any_terms:
+        alternatives("any_term", list(query.any_terms))
+    order = [*query.fields, *(n for n in ("title", "doi", "authors") if n not in query.fields)]
+    matched = F.array_compact(F.array(*(F.when(_any(hit[n]), F.lit(n)) for n in order if n in hit))) if hit else F.array().cast("array<string>")
+    named = F.array_compact(F.array(*terms)) if terms else F.array().cast("array<string>")
+    return F.when(all_of(conditions), F.struct(matched.alias("matched_fields"), named.alias("matched_terms")))
+
+
 def match(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     """Rows of ``papers`` that match, with ``matched_fields`` and ``matched_terms``.
 
@@ -76,44 +124,9 @@ def match(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     needed = tuple(dict.fromkeys([*query.fields, *(["title", "doi"] if query.titles or query.dois else []), *(["authors"] if query.authors else [])]))
 
     def tested(fields: Column) -> Column:
-        field = lambda n: fields[n]
-        conditions: list[Column] = []
-        hit: dict[str, list[Column]] = {}
-        terms: list[Column] = []
-        if query.titles or query.dois:
-            title = field("title").isin([_plain(t) for t in query.titles] or [""]) & (field("title") != "")
-            doi = field("doi").isin([re.sub(r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "", d.strip().lower()).strip() for d in query.dois] or [""]) & (field("doi") != "")
-            conditions.append(title | doi)
-            hit.setdefault("title", []).append(title)
-            hit.setdefault("doi", []).append(doi)
-            terms += [F.when(title, "exact_title"), F.when(doi, "doi")]
-        if query.authors:
-            each = [term_test(field("authors"), a) for a in query.authors]
-            conditions.append(_any(each))
-            hit.setdefault("authors", []).append(_any(each))
-            terms.append(F.coalesce(*(F.when(t, F.lit(f"author:{a}")) for t, a in zip(each, query.authors))))
-
-        def alternatives(label: str, options: list[str]) -> None:
-            tests = [{n: term_test(field(n), t) for n in query.fields} for t in options]
-            found = [_any(list(x.values())) for x in tests]
-            conditions.append(_any(found))
-            before = F.lit(False)
-            for x, any_field in zip(tests, found):
-                for n, test in x.items():
-                    hit.setdefault(n, []).append(test & ~before)
-                before = before | any_field
-            terms.append(F.coalesce(*(F.when(f, F.lit(f"{label}:{t}")) for f, t in zip(found, options))))
-
-        for group in parse_expression(query.expression):
-            alternatives("expression", group)
-        for term in query.all_terms:
-            alternatives("all_term", [term])
-        if query.any_terms:
-            alternatives("any_term", list(query.any_terms))
-        order = [*query.fields, *(n for n in ("title", "doi", "authors") if n not in query.fields)]
-        matched = F.array_compact(F.array(*(F.when(_any(hit[n]), F.lit(n)) for n in order if n in hit))) if hit else F.array().cast("array<string>")
-        named = F.array_compact(F.array(*terms)) if terms else F.array().cast("array<string>")
-        return F.when(_all(conditions), F.struct(matched.alias("matched_fields"), named.alias("matched_terms")))
+        title = fields["title"].isin([plain(t) for t in query.titles] or [""]) & (fields["title"] != "") if query.titles or query.dois else None
+        doi = fields["doi"].isin([plain_doi(d) for d in query.dois] or [""]) & (fields["doi"] != "") if query.titles or query.dois else None
+        return judged(query, lambda n, t: term_test(fields[n], t), title, doi)
 
     normal = F.array(F.struct(*(search_field(papers, n).alias(n) for n in needed)))
     rows = papers.select("*", F.inline(F.array_compact(F.transform(normal, tested))))
@@ -127,7 +140,7 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def _all(tests: list[Column]) -> Column:
+def all_of(tests: list[Column]) -> Column:
     out = F.lit(True)
     for t in tests:
         out = out & t

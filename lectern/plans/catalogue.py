@@ -584,4 +584,4 @@ def windowed_counts(spark, sf_dir):
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
 
 
-from lectern.plans import catalogue_more  # noqa: E402, F401 - registers its queries
+from lectern.plans import catalogue_index, catalogue_more  # noqa: E402, F401 - register their queries

@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators.buckets import BUCKET, BucketTable, Commit
+from lectern.operators.durable import materialize
 from lectern.operators.fusion import first_wins
+from lectern.operators.keyword import all_of
 from lectern.operators.snapshot import upsert
 
 
-def ingest_files(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, key: str = "key", position: str = "position", form: str = "parquet", clean: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Reads the files that are new, keeps the first row of a key in each batch and upserts it into ``target``.
+def ingest_files(
+    spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, key: str = "key", position: str = "position", form: str = "parquet", clean: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64,
+) -> StreamingQuery:
+    """Reads the files that are new, keeps the first row of a key in each batch and upserts it into the bucketed table ``target``.
 
-    A batch writes a new version ``target/v=<batch>``, so a batch that runs again after a
-    lost executor replaces its own output.
+    A batch rewrites the buckets of its keys; its number is committed with them, so one that runs again
+    after a lost driver or executor changes nothing once it is in.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
+        table = BucketTable(batch.sparkSession, target)
+        done = table.last().facts.get("batches", {})
+        if done.get(checkpoint, -1) >= batch_id:
+            return
         rows = first_wins(clean(batch) if clean else batch, [key], position)
-        versions = own.read.parquet(target).where(F.col("v") < batch_id).agg(F.max("v")).first()[0] if batch_id else None
-        if versions is not None:
-            rows = upsert(own.read.parquet(f"{target}/v={versions}").select(*rows.columns), rows, key)
-        rows.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        table.upsert(materialize(rows, "batch"), key, buckets, batches=done | {checkpoint: batch_id})
 
     stream = spark.readStream.format(form).schema(schema).load(folder)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -33,9 +38,36 @@ def ingest_files(spark: SparkSession, folder: str, schema: str, target: str, che
 
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The last version of a target."""
-    rows = spark.read.parquet(target)
-    last = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == last).drop("v")
+    rows = BucketTable(spark, target).read()
+    if rows is None:
+        raise FileNotFoundError(f"{target} has no version yet")
+    return rows.drop(BUCKET)
+
+
+def commit_window(spark: SparkSession, target: str, rows: DataFrame, source: str, covered_to: str, complete: bool = True, key: str = "key", buckets: int = 64) -> Commit:
+    """Upsert what a source gave for a window and, if the window is complete, move the source's checkpoint, in one commit; it never moves back.
+
+    A window that ran before and gives the same rows again leaves the table as it is.
+    """
+    table = BucketTable(spark, target)
+    before = table.last()
+    known = before.facts.get("checkpoints", {})
+    after = known | ({source: max(covered_to, known.get(source, covered_to))} if complete else {})
+    rows = materialize(rows, "window")
+    old = table.read(commit=before)
+    columns = [c for c in rows.columns if c != key]
+    if old is not None:
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+        unchanged = rows.alias("r").join(old.drop(BUCKET).alias("o"), key).where(all_of(same)).select(key)
+        rows = materialize(rows.join(unchanged, key, "left_anti"), "window")
+    if not before.schema or not rows.isEmpty():
+        return table.upsert(rows, key, buckets, checkpoints=after)
+    return before if after == known else table.commit(old.limit(0), [], checkpoints=after)
+
+
+def checkpoints(spark: SparkSession, target: str) -> dict[str, str]:
+    """How far each source is covered, as of the last commit."""
+    return BucketTable(spark, target).last().facts.get("checkpoints", {})
 
 
 def advance_checkpoints(control: DataFrame, runs: DataFrame) -> DataFrame:
