@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.keys import publication_key
 from lectern.functions.text import author_keys, doi_selector, normalize, tokens, year_of
 from lectern.operators.durable import materialize
 from lectern.operators.graph import components
+from lectern.operators.vector import top_k_many
 
 #: Author buckets over this size propose no pairs.
 BUCKET = 80
+#: Authors of more records than this propose no candidates alone.
+CANDIDATES = 200
+# Least Jaccard similarity of the titles of an extension, and of a follow-up.
+EXTENSION, FOLLOWUP = 0.62, 0.22
 LINKING = ("publication_variant", "likely_extension")
 
 
@@ -87,28 +95,188 @@ def expand_seed(seed: DataFrame, candidates: DataFrame) -> DataFrame:
     return found.orderBy(F.desc(F.col("relation") == "publication_variant"), F.desc(F.col("relation") == "likely_extension"), F.desc("confidence"), F.desc(year_of(F.col("year").cast("string"))))
 
 
-def closure(seeds: DataFrame, candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Keys reached from the seeds by variants and extensions: key, parent, relation, confidence, round.
+def _distinct_keys(rows: DataFrame) -> DataFrame:
+    """One prepared row a key: the least, whatever the order of rows."""
+    rest = [c for c in rows.columns if c != "key"]
+    return rows.groupBy("key").agg(F.min(F.struct(*rest)).alias("r")).select("key", "r.*")
+
+
+def with_rare_words(rows: DataFrame) -> DataFrame:
+    """Prepared ``rows`` with ``rare``: the words of each title, those of the fewest titles first."""
+    each = rows.select("key", F.explode("w").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("r"))
+    return rows.join(ranked.select("key", F.transform("r", lambda x: x["word"]).alias("rare")), "key", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+
+
+def _author_words(rows: DataFrame, least: float) -> DataFrame:
+    """``(key, author, word)``: two records with a common author and a Jaccard similarity of titles of ``least`` share one.
 
-    Each round joins the newest members with the rest on shared titles and authors; it ends
-    when a round adds nothing.
+    Such titles share one of the first words of each, in a common order, rare ones first; so records
+    of a frequent author meet by rare words only.
     """
-    rows = prepare(seeds.select("doi", "title", "year", "authors", "venue", "abstract").unionByName(candidates.select("doi", "title", "year", "authors", "venue", "abstract")))
-    rows = materialize(rows.dropDuplicates(["key"]), "closure")
-    one = F.struct(*rows.columns)
-    own = prepare(seeds).select("key").distinct()
-    frontier = own.select("key", F.lit(None).cast("string").alias("parent"), F.lit("seed").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(0).alias("round"))
-    chosen = materialize(frontier, "closure")
-    block = lambda df: df.select("key", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("t:"), "t")), F.transform("full", lambda x: F.concat(F.lit("a:"), x))))).alias("block")).where("block <> 't:'")
-    newest = chosen
-    for at in range(1, max_rounds + 1):
-        reached = rows.join(newest.select("key"), "key")
+    prefix = F.size("rare") - F.ceil(F.lit(least) * F.size("rare") - 1e-9).cast("int") + 1
+    some = rows.where(F.size("rare") > 0).select("key", "full", F.explode(F.slice("rare", F.lit(1), prefix)).alias("word"))
+    return some.select("key", F.explode("full").alias("author"), "word")
+
+
+def related_pairs(reached: DataFrame, rest: DataFrame, least: float, kinds: tuple[str, ...]) -> DataFrame:
+    """``(key, parent, relation, confidence)`` of rows of ``rest`` that stand in one of ``kinds``, of titles that differ, to rows of ``reached``."""
+    alike = reached.groupBy("t", "full", "y", "rare").agg(F.max("key").alias("key"))  # equal ones relate alike; the last key stands for them
+    pairs = _author_words(alike, least).withColumnRenamed("key", "parent").join(_author_words(rest, least), ["author", "word"]).select("parent", "key").distinct()
+    one = F.struct(*(c for c in rest.columns if c != "rare"))
+    met = pairs.join(reached.select(F.col("key").alias("parent"), one.alias("a")), "parent").join(rest.select("key", one.alias("b")), "key")
+    return met.select("key", "parent", relation().alias("r")).where(F.col("r.relation").isin(list(kinds))).select("key", "parent", "r.relation", "r.confidence")
+
+
+def best_links(reached: DataFrame, rest: DataFrame) -> DataFrame:
+    """For each of ``rest`` that is a variant or extension of one of ``reached``: key, parent, relation and confidence of
+    the most confident link, ties to the last key. Equal titles need no pairs: the last key of a title, and of a title and author, stands for all."""
+    link = lambda df, confidence: df.select("key", "parent", F.lit("publication_variant").alias("relation"), F.lit(confidence).alias("confidence"))
+    titled, wanted = reached.where("t <> ''"), rest.where("t <> ''")
+    of_both = titled.select("t", F.explode("full").alias("author"), "key").groupBy("t", "author").agg(F.max("key").alias("parent"))
+    found = link(wanted.select("key", "t", F.explode("full").alias("author")).join(of_both, ["t", "author"]), 1.0)
+    found = found.unionByName(link(wanted.join(titled.groupBy("t").agg(F.max("key").alias("parent")), "t"), 0.95))
+    found = found.unionByName(related_pairs(reached, rest, EXTENSION, ("likely_extension",)))
+    best = found.groupBy("key").agg(F.max_by(F.struct("parent", "relation", "confidence"), F.struct("confidence", "parent")).alias("m"))
+    return best.select("key", "m.*")
+
+
+def _grow(rows: DataFrame, chosen: DataFrame, max_rounds: int) -> DataFrame:
+    """``chosen`` (key, parent, relation, confidence, round) and all that its newest members reach among ``rows``, a durable table a round."""
+    newest, first = chosen, chosen.agg(F.max("round")).first()[0] or 0
+    for at in range(first + 1, first + max_rounds + 1):
+        reached = rows.join(newest.select("key"), "key", "left_semi")
         rest = rows.join(chosen.select("key"), "key", "left_anti")
-        pairs = block(reached).withColumnRenamed("key", "parent").join(block(rest), "block").select("parent", "key").distinct()
-        scored = pairs.join(rows.select(F.col("key").alias("parent"), one.alias("a")), "parent").join(rows.select("key", one.alias("b")), "key").select("key", "parent", relation().alias("r")).where(F.col("r.relation").isin(*LINKING))
-        best = scored.groupBy("key").agg(F.max_by(F.struct("parent", "r.relation", "r.confidence"), F.struct("r.confidence", "parent")).alias("m"))
-        newest = materialize(best.select("key", "m.parent", "m.relation", "m.confidence", F.lit(at).alias("round")), "closure")
+        newest = materialize(best_links(reached, rest).withColumn("round", F.lit(at)), "closure")
         if newest.isEmpty():
             return chosen
         chosen = materialize(chosen.unionByName(newest), "closure")
     raise RuntimeError(f"the family still grows after {max_rounds} rounds")
+
+
+def _seeded(own: DataFrame) -> DataFrame:
+    return own.select("key", F.lit(None).cast("string").alias("parent"), F.lit("seed").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(0).alias("round"))
+
+
+COLUMNS = ["doi", "title", "year", "authors", "venue", "abstract"]
+
+
+def closure(seeds: DataFrame, candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Keys reached from the seeds by variants and extensions: key, parent, relation, confidence, round.
+
+    Each round joins the newest members with the rest; it ends when a round adds nothing.
+    """
+    rows = _distinct_keys(prepare(seeds.select(*COLUMNS).unionByName(candidates.select(*COLUMNS))))
+    rows = materialize(with_rare_words(rows), "closure")
+    return _grow(rows, materialize(_seeded(prepare(seeds).select("key").distinct()), "closure"), max_rounds)
+
+
+def related_suggestions(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each candidate that is no member, the best follow-up relation to one: key, parent, relation, confidence, most confident first."""
+    rows = materialize(with_rare_words(_distinct_keys(prepare(members.select(*COLUMNS).unionByName(candidates.select(*COLUMNS))))), "related")
+    own = prepare(members).select("key").distinct()
+    found = related_pairs(rows.join(own, "key", "left_semi"), rows.join(own, "key", "left_anti"), FOLLOWUP, ("related_followup",))
+    best = found.groupBy("key").agg(F.max_by(F.struct("parent", "relation", "confidence"), F.struct("confidence", "parent")).alias("m")).select("key", "m.*")
+    return best.orderBy(F.desc("confidence"), "key")
+
+
+# --- candidates from a corpus -------------------------------------------------------------
+
+
+def author_sizes(rows: DataFrame) -> DataFrame:
+    """``(author, n)``: prepared records of each full author."""
+    return rows.select("key", F.explode("full").alias("author")).groupBy("author").agg(F.count("*").alias("n"))
+
+
+def literal_blocks(rows: DataFrame, sizes: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """``(key, block)``: a record's title, its authors of at most ``limit`` records, and each two of its other authors.
+
+    Records that share a block are candidates for each other: equal titles, a common author that names
+    someone in particular, or two common authors. A block of two frequent authors stands for the
+    pairs of records that no bucket of one author needs to give.
+    """
+    known = rows.select("key", F.explode("full").alias("author")).join(sizes, "author", "left")
+    some = lambda large: F.sort_array(F.collect_set(F.when((F.coalesce("n", F.lit(0)) > limit) == F.lit(large), F.col("author"))))
+    held = known.groupBy("key").agg(some(False).alias("small"), some(True).alias("large"))
+    one = F.transform("small", lambda x: F.concat(F.lit("a:"), x))
+    two = F.flatten(F.transform("large", lambda x, i: F.transform(F.slice("large", i + 2, F.size("large")), lambda y: F.concat(F.lit("p:"), x, F.lit("|"), y))))
+    titles = rows.where("t <> ''").select("key", F.concat(F.lit("t:"), "t").alias("block"))
+    return held.select("key", F.explode(F.concat(one, two)).alias("block")).unionByName(titles)
+
+
+def literal_candidates(frontier: DataFrame, blocks: DataFrame, own: DataFrame) -> DataFrame:
+    """Distinct keys of ``blocks`` that share a block with the ``own`` blocks of the ``frontier``'s keys. No pairs are formed."""
+    wanted = own.join(frontier.select("key"), "key", "left_semi").select("block").distinct()
+    return blocks.join(wanted, "block", "left_semi").select("key").distinct()
+
+
+def skipped_authors(frontier: DataFrame, rows: DataFrame, sizes: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """``(author, candidate_count)``: authors of the frontier who have too many records to name candidates alone."""
+    own = rows.join(frontier.select("key"), "key", "left_semi").select(F.explode("full").alias("author")).distinct()
+    return own.join(sizes.where(F.col("n") > limit), "author").select("author", F.col("n").alias("candidate_count"))
+
+
+def vector_neighbours(vectors: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+    """The semantic leg: keys of the ``k`` vectors of ``vectors(key, embedding)`` nearest to each key of a frontier, by blocks of queries."""
+    numbered = materialize(vectors.select("key", "embedding", F.monotonically_increasing_id().alias("vec_id")), "vectors")
+
+    def near(frontier: DataFrame) -> DataFrame:
+        asked = numbered.join(frontier.select("key"), "key", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+        return top_k_many(numbered.select("vec_id", "embedding"), asked, k).select("vec_id").distinct().join(numbered, "vec_id").select("key")
+
+    return near
+
+
+@dataclass
+class CorpusClosure:
+    """Members as of ``closure``; candidates that were met; authors too frequent to name candidates; a dict a round; warnings."""
+
+    members: DataFrame
+    candidates: DataFrame
+    skipped: DataFrame
+    rounds: list[dict] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+
+
+def corpus_closure(seeds: DataFrame, corpus: DataFrame, neighbours: Callable[[DataFrame], DataFrame] | None = None, limit: int = CANDIDATES, max_rounds: int = 50) -> CorpusClosure:
+    """Families of the seeds within a whole corpus, as a fixed point.
+
+    A round meets candidates of the newest members, by literal blocks and by ``neighbours`` (frontier keys to
+    keys of the corpus), and lets the family grow among all candidates so far; it ends when no
+    member is new. ``neighbours`` that fails is left out from then on, and a warning says so. Each round is a
+    durable table.
+    """
+    every = materialize(_distinct_keys(prepare(corpus.select(*COLUMNS))), "corpus")
+    own = prepare(seeds.select(*COLUMNS))
+    rows = materialize(with_rare_words(_distinct_keys(every.unionByName(own))), "corpus")
+    sizes = materialize(author_sizes(every), "corpus")
+    blocks = materialize(literal_blocks(every, sizes, limit), "corpus")
+    own_blocks = materialize(literal_blocks(rows, sizes, limit), "corpus")
+    seed_keys = materialize(own.select("key").distinct(), "corpus")
+    members, met, frontier = materialize(_seeded(seed_keys), "corpus"), seed_keys, seed_keys
+    done = CorpusClosure(members, met, sizes)
+    for at in range(1, max_rounds + 1):
+        found = literal_candidates(frontier, blocks, own_blocks)
+        if neighbours is not None:
+            try:
+                near = materialize(neighbours(frontier).select("key").distinct(), "neighbours")
+                found = found.unionByName(near.join(every, "key", "left_semi")).distinct()
+            except Exception as e:  # noqa: BLE001 - the literal leg goes on alone
+                done.warnings.append(f"semantic candidates are left out after a failure: {str(e).strip().splitlines()[0][:300]}")
+                neighbours = None
+        before = met
+        met = materialize(met.unionByName(found.join(met, "key", "left_anti")), "candidates")
+        grown = _grow(rows.join(met, "key", "left_semi"), members, max_rounds)
+        frontier = materialize(grown.join(members, "key", "left_anti").select("key"), "frontier")
+        new = frontier.count()
+        done.rounds.append({"round": at, "new_candidates": met.count() - before.count(), "members": grown.count(), "new_members": new})
+        members = grown
+        if not new:
+            break
+    else:
+        raise RuntimeError(f"the family still grows after {max_rounds} rounds")
+    done.candidates = met
+    done.skipped = skipped_authors(members, rows, sizes, limit)
+    # paths and rounds as of one closure over all candidates
+    done.members = _grow(rows.join(met, "key", "left_semi"), materialize(_seeded(seed_keys), "corpus"), max_rounds)
+    return done

@@ -7,10 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import index
-from lectern.operators.buckets import BUCKET
+from lectern.operators import family, index
 from lectern.operators.durable import materialize, shared_dir
-from lectern.plans.catalogue import ORACLE_SQL, N, P, papers, query, table
+from lectern.plans.catalogue import ORACLE_SQL, N, P, T, papers, query, table
 from lectern.plans.query import KeywordQuery
 from lectern.streaming import ingest as streaming
 
@@ -50,7 +49,7 @@ def identity_postings(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT 'k' || (o_orderkey % 5000) AS key, o_orderkey, o_totalprice, o_orderdate FROM orders)
-SELECT key, coalesce(arg_min(o_totalprice, o_orderkey) FILTER (o_orderdate >= DATE '1995-01-01'), arg_min(o_totalprice, o_orderkey)) AS price, (SELECT max(o_orderdate)::VARCHAR FROM orders WHERE o_orderdate < DATE '1998-01-01') AS covered_to FROM o WHERE o_orderdate < DATE '1998-01-01' GROUP BY key""")
+SELECT key, coalesce(arg_min(o_totalprice, o_orderkey) FILTER (o_orderdate >= DATE '1995-01-01'), arg_min(o_totalprice, o_orderkey)) AS price, (SELECT max(o_orderdate)::DATE::VARCHAR FROM orders WHERE o_orderdate < DATE '1998-01-01') AS covered_to FROM o WHERE o_orderdate < DATE '1998-01-01' GROUP BY key""")
 def committed_windows(spark, sf_dir):
     """Three windows of orders upserted with their checkpoint, one of them twice and one incomplete."""
     target = _folder(spark, "orders")
@@ -64,3 +63,49 @@ def committed_windows(spark, sf_dir):
     streaming.commit_window(spark, target, late, "orders", "1996-01-01")
     streaming.commit_window(spark, target, late, "orders", "1998-06-30", complete=False)
     return streaming.current(spark, target).select("key", "price", F.lit(streaming.checkpoints(spark, target)["orders"]).alias("covered_to"))
+
+
+# --- families -----------------------------------------------------------------------------
+
+#: Records with a DOI of their own, and two authors of whom one is frequent.
+_RECORDS = f"(SELECT position, 'doi:10.5/' || position AS key, {N('title')} AS t, {T('title')} AS w, year AS y, [{N("venue || ' Smith'")}, {N("'A. ' || keywords")}] AS f FROM {P})"
+_LINK = "((a.t <> '' AND a.t = b.t) OR (len(list_intersect(a.f, b.f)) > 0 AND abs(a.y - b.y) <= 5 AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.85 * least(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) >= 0.62 * len(list_distinct(a.w || b.w))))"
+
+
+def family_records(spark, sf_dir):
+    p = papers(spark, sf_dir).withColumn("year", F.col("year").cast("string")).withColumn("doi", F.concat(F.lit("10.5/"), F.col("position").cast("string")))
+    return p.withColumn("authors", F.array(F.concat("venue", F.lit(" Smith")), F.concat(F.lit("A. "), "keywords")))
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT * FROM {_RECORDS}), e AS (SELECT a.key AS a, b.key AS b FROM r a JOIN r b ON a.key <> b.key AND {_LINK}),
+g(key, round) AS (SELECT key, 0 FROM r WHERE position % 20 = 0 UNION SELECT e.b, g.round + 1 FROM g JOIN e ON e.a = g.key WHERE g.round < 12) SELECT key, min(round)::INT AS round FROM g GROUP BY key""")
+def family_closure(spark, sf_dir):
+    """Families of each twentieth record among all others, with the round that each member came in."""
+    p = family_records(spark, sf_dir)
+    return family.closure(p.where("position % 20 = 0"), p.where("position % 20 <> 0")).select("key", "round")
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RECORDS}), s AS (SELECT unnest(f) AS author, count(*) AS n FROM r GROUP BY 1), l AS (SELECT list(author) AS few FROM s WHERE n <= 55), x AS (SELECT r.*, list_intersect(f, coalesce(few, [])) AS small FROM r, l)
+SELECT DISTINCT b.key FROM x a JOIN x b ON a.position % 50 = 0 AND ((a.t <> '' AND a.t = b.t) OR len(list_intersect(a.small, b.small)) > 0 OR len(list_intersect(a.f, b.f)) >= 2)""")
+def literal_family_candidates(spark, sf_dir):
+    """Candidates of each fiftieth record: its title, an author of at most 55 records, or two of its authors."""
+    rows = materialize(family.prepare(family_records(spark, sf_dir)), "prepared")
+    frontier = rows.where(F.substr("key", F.lit(10), F.lit(20)).cast("long") % 50 == 0)
+    blocks = family.literal_blocks(rows, family.author_sizes(rows), 55)
+    return family.literal_candidates(frontier, blocks, blocks)
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RECORDS}) SELECT author, count(*) AS candidate_count FROM (SELECT unnest(f) AS author, position FROM r) GROUP BY author HAVING count(*) > 55 AND count(*) FILTER (position % 50 = 0) > 0""")
+def skipped_family_authors(spark, sf_dir):
+    rows = materialize(family.prepare(family_records(spark, sf_dir)), "prepared")
+    frontier = rows.where(F.substr("key", F.lit(10), F.lit(20)).cast("long") % 50 == 0)
+    return family.skipped_authors(frontier, rows, family.author_sizes(rows), 55)
+
+
+@query()
+def corpus_families(spark, sf_dir):
+    """Families of each twentieth record within the whole corpus, by literal blocks and by the nearest vectors."""
+    p = family_records(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doi:10.5/"), F.col("vec_id").cast("string")).alias("key"), "embedding")
+    found = family.corpus_closure(p.where("position % 20 = 0"), p, family.vector_neighbours(vectors, 20), 55)
+    return found.members
