@@ -4,7 +4,8 @@ Layout of a folder: ``data/_set=<id>/_bucket=<n>`` holds the rows of a bucket as
 them; ``commits/<version>`` says which set each bucket is read from, with facts of the writer (a
 batch, a checkpoint) that so become visible together with the rows. A commit counts once its
 pointer is complete; sets of a commit that failed are read by no one. Two writers of
-one version collide at its pointer, and the second is told.
+one version collide at its pointer, and the second is told. An append adds a set to its buckets and
+reads nothing; compaction writes buckets of many sets as one.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def key_bucket(key: Column, n: int) -> Column:
 
 @dataclass
 class Commit:
-    """A version: the set that each bucket is read from (a bucket without rows has none), and the writer's facts."""
+    """A version: the sets that each bucket is read from (a bucket without rows has none), and the writer's facts."""
 
     version: int
-    sets: dict[int, str] = field(default_factory=dict)
+    sets: dict[int, list[str]] = field(default_factory=dict)
     facts: dict = field(default_factory=dict)
     schema: str = ""
 
@@ -59,14 +60,16 @@ class BucketTable:
         if not commit.schema:
             return None
         base = f"{self.folder}/data"
-        paths = [f"{base}/_set={s}/{BUCKET}={b}" for b, s in sorted(commit.sets.items()) if buckets is None or b in set(buckets)]
+        paths = [f"{base}/_set={s}/{BUCKET}={b}" for b, own in sorted(commit.sets.items()) if buckets is None or b in set(buckets) for s in own]
         if not paths:
             return self.spark.createDataFrame([], f"{commit.schema}, {BUCKET} int")
         return self.spark.read.schema(f"{commit.schema}, {BUCKET} int").option("basePath", base).parquet(*paths).drop("_set")
 
-    def commit(self, rows: DataFrame, touched: list[int], sort: list[str] = (), per_bucket: int = 1, **facts) -> Commit:
+    def commit(self, rows: DataFrame, touched: list[int], sort: list[str] = (), per_bucket: int = 1, keep: bool = False, **facts) -> Commit:
         """Replace the ``touched`` buckets by ``rows`` (with ``_bucket``, of these buckets alone); a touched bucket without rows becomes empty.
 
+        ``keep``: add the rows to what the buckets hold.
+
         ``sort``: order within a bucket's files, for statistics that leave out parts of a file;
         ``per_bucket``: tasks that write a bucket.
         """
@@ -80,7 +83,9 @@ class BucketTable:
             written = {int(x.partition("=")[2]) for x in self._children(path) if x.startswith(f"{BUCKET}=")}
             if extra := written - set(touched):
                 raise ValueError(f"rows of buckets that the commit doesn't touch: {sorted(extra)[:5]}")
-            sets = {b: s for b, s in before.sets.items() if b not in set(touched)} | dict.fromkeys(written, name)
+            sets = {b: s for b, s in before.sets.items() if b not in set(touched)} | {b: [*(before.sets.get(b, []) if keep else []), name] for b in written}
+            if keep:
+                sets = before.sets | sets
         else:
             schema, sets = before.schema, before.sets
         after = Commit(before.version + 1, sets, before.facts | facts, schema)
@@ -88,6 +93,12 @@ class BucketTable:
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(f"{self.folder}/commits/{after.version:012d}")
         return after
 
+    def compact(self, most: int = 4, sort: list[str] = ()) -> Commit:
+        """Write buckets of more than ``most`` sets as one set each; others stay as they are."""
+        before = self.last()
+        many = [b for b, s in before.sets.items() if len(s) > most]
+        return self.commit(self.read(many, before), many, sort) if many else before
+
     def upsert(self, rows: DataFrame, key: str, buckets: int = 64, **facts) -> Commit:
         """Insert or replace ``rows`` (one a ``key``); reads and rewrites the buckets of their keys.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import family, index
 from lectern.operators.durable import materialize, shared_dir
+from lectern.operators.intervals import interval_join
+from lectern.operators.vectorstore import VectorStore
 from lectern.plans.catalogue import ORACLE_SQL, N, P, T, papers, query, table
 from lectern.plans.query import KeywordQuery
 from lectern.streaming import ingest as streaming
@@ -109,3 +111,31 @@ def corpus_families(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doi:10.5/"), F.col("vec_id").cast("string")).alias("key"), "embedding")
     found = family.corpus_closure(p.where("position % 20 = 0"), p, family.vector_neighbours(vectors, 20), 55)
     return found.members
+
+
+# --- intervals and vectors ----------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT s_suppkey, (s_suppkey % 40)::DOUBLE AS low, (s_suppkey % 40 + s_nationkey / 5.0)::DOUBLE AS high FROM supplier), m AS (SELECT l_quantity::DOUBLE AS low, l_quantity + l_linenumber AS high FROM lineitem)
+SELECT s_suppkey, count(*) AS n, sum(CASE WHEN m.high = t.low OR m.low = t.high THEN 1 ELSE 0 END)::BIGINT AS ends FROM t JOIN m ON m.low <= t.high AND t.low <= m.high GROUP BY s_suppkey""")
+def mention_targets(spark, sf_dir):
+    """Bands of all mentions (line items) that meet each target band (suppliers), joined by bins."""
+    targets = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40).cast("double").alias("low"), (F.col("s_suppkey") % 40 + F.col("s_nationkey") / 5.0).cast("double").alias("high"))
+    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("low"), (F.col("l_quantity") + F.col("l_linenumber")).cast("double").alias("high"))
+    # equal mentions meet the same targets: they are counted before the join
+    met = interval_join(targets, mentions.groupBy("low", "high").agg(F.count("*").alias("times")), 2.0)
+    ends = (F.col("b.high") == F.col("a.low")) | (F.col("b.low") == F.col("a.high"))
+    return met.groupBy("a.s_suppkey").agg(F.sum("b.times").alias("n"), F.sum(F.when(ends, F.col("b.times")).otherwise(0)).alias("ends"))
+
+
+@query("""WITH v AS (SELECT DISTINCT ON (vec_id % 1500) 'f' || (vec_id % 1500) AS fingerprint, 2000 + vec_id % 7 AS year FROM embeddings ORDER BY vec_id % 1500, 2000 + vec_id % 7)
+SELECT year::INT AS year, count(*) AS n FROM v WHERE year IN (2001, 2004) GROUP BY year""")
+def scoped_vectors(spark, sf_dir):
+    """Vectors of two years in a store that was filled in two appends and compacted."""
+    store = VectorStore(spark, _folder(spark, "vectors"), 16)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("f"), (F.col("vec_id") % 1500).cast("string")).alias("fingerprint"), (2000 + F.col("vec_id") % 7).cast("int").alias("year"), "embedding")
+    least = e.groupBy("fingerprint").agg(F.min(F.struct("year", "vec_id", "embedding")).alias("v")).select("fingerprint", "v.*")
+    store.append(least.where("vec_id % 3 = 0"), "model")
+    store.append(least, "model")
+    store.compact(1)
+    return store.read("model", [2001, 2004]).groupBy("year").agg(F.count("*").alias("n"))

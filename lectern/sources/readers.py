@@ -74,15 +74,32 @@ def load_control(spark: SparkSession, path: str, default):
         return default
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a CSV file: size, time, digest, kind, and the first file with the same content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder)
-    headers = header_names(F.regexp_extract(F.decode(F.substr("content", F.lit(1), F.lit(65_536)), "UTF-8"), r"^\ufeff?([^\r\n]*)", 1))
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select("path", F.col("length").alias("size"), "modificationTime", F.sha1("content").alias("sha1"), classify_headers(headers).alias("kind"), F.when(F.lower(name).startswith("export"), "export").otherwise("other").alias("category"))
+MANIFEST = "path string, size long, modificationTime timestamp, sha1 string, kind string, category string"
+
+
+def manifest(spark: SparkSession, folder: str, former: DataFrame | None = None) -> DataFrame:
+    """One row a CSV file: size, time, digest, kind, and the first file with the same content.
+
+    Names, sizes and times come from a listing. Only files that ``former``, an earlier manifest, doesn't have with the same size and
+    time are opened; the driver holds their names.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    listed = files.load(folder).select("path", F.col("length").alias("size"), "modificationTime")
+    known = spark.createDataFrame([], MANIFEST)
+    if former is not None:
+        known = listed.join(former.select(*known.columns), ["path", "size", "modificationTime"]).select(*known.columns)
+        changed = [r["path"] for r in listed.join(known.select("path"), "path", "left_anti").collect()]
+        files = files.load(changed) if changed else None
+    else:
+        files = files.load(folder)
+    if files is not None:
+        headers = header_names(F.regexp_extract(F.decode(F.substr("content", F.lit(1), F.lit(65_536)), "UTF-8"), r"^\ufeff?([^\r\n]*)", 1))
+        name = F.element_at(F.split("path", "/"), -1)
+        opened = files.select("path", F.col("length").alias("size"), "modificationTime", F.sha1("content").alias("sha1"), classify_headers(headers).alias("kind"), F.when(F.lower(name).startswith("export"), "export").otherwise("other").alias("category"))
+        known = known.unionByName(opened)
     valid = F.col("kind") != "unsupported"
     first = F.first(F.when(valid, F.col("path")), True).over(Window.partitionBy("sha1").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("duplicate_of", F.when(valid & (first != F.col("path")), first)).withColumn("valid", valid & F.col("duplicate_of").isNull())
+    return known.withColumn("duplicate_of", F.when(valid & (first != F.col("path")), first)).withColumn("valid", valid & F.col("duplicate_of").isNull())
 
 
 def read_records(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:

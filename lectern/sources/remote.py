@@ -8,12 +8,14 @@ pages than ``pages``, is a row of the error column, for a later recovery batch.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
+import json
 import re
 import time
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def split_terms(expression: str) -> list[str]:
@@ -71,8 +73,34 @@ class PageReader(DataSourceReader):
                 time.sleep(float(self.options.get("pause", "1")) * 2**attempt)
 
 
+class PageStream(DataSourceStreamReader):
+    """Windows as a stream: a batch reads the windows that end after the last offset, a task each.
+
+    An offset is the end of the last window (a date, as text) and a digest of what is asked for. It counts for the
+    same fetcher, query and columns only: another query starts with its first window.
+    """
+
+    def __init__(self, schema, options: dict):
+        self.pages = PageReader(schema, options)
+        asked = [options.get("fetcher", ""), options.get("query", ""), *self.pages.fields]
+        self.context = hashlib.sha1(json.dumps(asked).encode()).hexdigest()
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"context": self.context, "upto": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"context": self.context, "upto": max((w.last for w in self.pages.partitions()), default="")}
+
+    def partitions(self, start: dict, end: dict) -> list[Window]:
+        done = start["upto"] if start.get("context") == end.get("context") else ""
+        return [w for w in self.pages.partitions() if done < w.last <= end["upto"]]
+
+    def read(self, partition: Window) -> Iterator[tuple]:
+        return self.pages.read(partition)
+
+
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged").schema(...)``."""
+    """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged").schema(...)``, or ``spark.readStream``."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,3 +111,6 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return PageReader(schema, dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return PageStream(schema, dict(self.options))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.buckets import BUCKET, BucketTable, Commit
+from lectern.operators.buckets import BUCKET, BucketTable, Commit, key_bucket
 from lectern.operators.durable import materialize
 from lectern.operators.fusion import first_wins
 from lectern.operators.keyword import all_of
 from lectern.operators.snapshot import upsert
+from lectern.sources.remote import PagedSource
 
 
 def ingest_files(
@@ -36,6 +37,35 @@ def ingest_files(
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_remote(spark: SparkSession, options: dict[str, str], schema: str, target: str, checkpoint: str, key: str, buckets: int = 64) -> StreamingQuery:
+    """New windows of the paged source into the bucketed table ``target``, one row a ``key``: rows of known keys are dropped.
+
+    What the table holds is the state that tells duplicates across batches, read by the buckets of a batch's keys only. Windows
+    that failed or that have more pages are listed in the commit's ``errors``; a batch that runs again changes nothing.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        table = BucketTable(batch.sparkSession, target)
+        before = table.last()
+        done = before.facts.get("batches", {})
+        if done.get(checkpoint, -1) >= batch_id:
+            return
+        batch = materialize(batch, "remote")
+        errors = sorted(r["error"] for r in batch.where("error IS NOT NULL").select("error").collect())  # one a window at most
+        rest = [c for c in batch.columns if c not in (key, "error")]
+        rows = batch.where(F.col("error").isNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+        n = before.facts.get("buckets", buckets)
+        new = rows.withColumn(BUCKET, key_bucket(F.col(key).cast("string"), n))
+        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]
+        if (old := table.read(touched, before)) is not None:
+            new = new.join(old.select(key), key, "left_anti")
+        table.commit(new, touched, [key], keep=True, buckets=n, batches=done | {checkpoint: batch_id}, errors=[*before.facts.get("errors", []), *errors])
+
+    spark.dataSource.register(PagedSource)
+    stream = spark.readStream.format("paged").options(**options).schema(schema).load()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The last version of a target."""
     rows = BucketTable(spark, target).read()

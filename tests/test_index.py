@@ -54,7 +54,7 @@ def test_updates_rewrite_the_buckets_that_they_touch(spark, tmp_path):
     changed = records(spark, seed=2).where("position in (3, 4, 148)").unionByName(records(spark, 153, 2).where("position >= 150"))
     after = index.update(folder, changed, spark.createDataFrame([(57,)], "position long"))
     assert {b for b in after.sets if after.sets[b] != first.sets.get(b)} == {0, 5, 14, 15}
-    assert sorted(int(d.partition("=")[2]) for d in os.listdir(tmp_path / "i" / "data" / f"_set={after.sets[0]}") if d.startswith(BUCKET)) == [0, 5, 14, 15]
+    assert sorted(int(d.partition("=")[2]) for d in os.listdir(tmp_path / "i" / "data" / f"_set={after.sets[0][0]}") if d.startswith(BUCKET)) == [0, 5, 14, 15]
     now = papers.where("position not in (3, 4, 148, 57)").unionByName(changed)
     same(spark, now, folder)
 
@@ -74,7 +74,7 @@ def test_bucket_tables(spark, tmp_path):
     after = table.upsert(spark.createDataFrame([("k7", -7), ("new", 1)], "key string, v long"), "key")
     assert {r["key"]: r["v"] for r in table.read().collect()} == {f"k{i}": i for i in range(200)} | {"k7": -7, "new": 1}
     touched = {r[0] for r in spark.createDataFrame([("k7",), ("new",)], "key string").select(key_bucket(F.col("key"), 16)).collect()}
-    assert {b for b, s in after.sets.items() if list(after.sets.values()).count(s) == len(touched)} == touched and after.facts == {"note": "a", "buckets": 16}
+    assert {b for b, s in after.sets.items() if list(after.sets.values()).count(s) == len(touched)} == touched and all(len(s) == 1 for s in after.sets.values()) and after.facts == {"note": "a", "buckets": 16}
     # a commit that broke off before its pointer was complete
     os.makedirs(tmp_path / "t" / "commits" / "000000000002")
     assert table.last().version == 1
@@ -109,7 +109,7 @@ def test_windows_move_their_checkpoint_with_their_rows(spark, tmp_path):
     assert ingest.checkpoints(spark, target) == {"s": "2024-01-31"}
     again = ingest.commit_window(spark, target, rows(("a", 2), ("b", None)), "s", "2024-02-29")
     assert ingest.checkpoints(spark, target) == {"s": "2024-02-29"} and again.version == 2
-    assert len(set(again.sets.values())) <= 2
+    assert len({s for own in again.sets.values() for s in own}) <= 2
     assert ingest.commit_window(spark, target, rows(("b", None)), "s", "2024-01-01").version == 2
     ingest.commit_window(spark, target, rows(), "t", "2023-01-01")
     assert ingest.checkpoints(spark, target) == {"s": "2024-02-29", "t": "2023-01-01"}
