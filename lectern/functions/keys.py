@@ -77,3 +77,23 @@ def fingerprint(title="title", abstract="abstract") -> Column:
 def record_fingerprint(columns: list[str]) -> Column:
     """SHA-1 of the JSON of all columns in the order of their names."""
     return F.sha1(F.to_json(F.struct(*sorted(columns))).cast("binary"))
+
+
+# The fields whose change makes a record another one, in order; lists count as they are.
+SIGNATURE = (
+    "title abstract year venue doi pdf_link authors keywords ieee_terms volume number issue start_page end_page pages issn isbn publisher document_identifier date_added_to_xplore online_date issue_date"
+    " meeting_date funding_information article_citation_count patent_citation_count reference_count license article_number"
+).split()
+
+
+def record_signature(types: dict[str, str]) -> Column:
+    """SHA-1 of a record's SIGNATURE fields, texts squeezed; ``types``: those of its columns, of which absent ones count as empty."""
+    empty = F.array().cast("array<string>")
+
+    def part(name: str) -> Column:
+        listed = name in ("authors", "keywords", "ieee_terms")
+        if name not in types:
+            return empty if listed else F.lit("")
+        return F.coalesce(F.col(name).cast("array<string>"), empty) if listed else squeeze(F.col(name).cast("string"))
+
+    return F.sha1(F.to_json(F.struct(*(part(n).alias(n) for n in SIGNATURE))).cast("binary"))

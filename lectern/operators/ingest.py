@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.keys import identity_levels
 from lectern.functions.scoring import completeness
-from lectern.functions.text import author_richness
+from lectern.functions.text import author_richness, squeeze
 from lectern.operators.durable import materialize
+from lectern.operators.filters import is_junk
 from lectern.operators.graph import components
 
 # Fields of a record.
@@ -118,6 +120,34 @@ def enrich_targets(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     return found.select("position", F.when(F.size("t") == 1, F.get("t", F.lit(0))).alias("target"), status.alias("status"))
 
 
+@dataclass
+class Enriched:
+    """The corpus with filled fields, ``(position, target, status)`` of each source row, and the positions that changed."""
+
+    corpus: DataFrame
+    rows: DataFrame
+    changed: DataFrame
+
+
+def enrich(corpus: DataFrame, sources: DataFrame) -> Enriched:
+    """Fill fields of the corpus from source rows in order: each row that names one record by its clear keys, and has a title and an abstract.
+
+    Title, abstract, year, venue and DOI stay as they are. Both tables have the same columns, with ``position``.
+    """
+    usable = sources.where((squeeze("title") != "") & (squeeze("abstract") != "") & ~is_junk("title", "abstract"))
+    rows = materialize(enrich_targets(usable, corpus), "enrich")
+    last = corpus.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("m")).first()["m"]
+    named = usable.join(rows.where("status = 'matched'").select("position", F.col("target").alias("canonical")), "position")
+    own = corpus.join(named.select(F.col("canonical").alias("position")).distinct(), "position", "left_semi").withColumn("canonical", F.col("position"))
+    merged = merge_sources(own.unionByName(named.withColumn("position", F.col("position") + last + 1)), allow_core=False)
+    merged = materialize(merged.withColumn("position", F.col("canonical")).select(*corpus.columns), "enrich")
+    # a record has one position
+    whole = corpus.join(merged.select("position"), "position", "left_anti").unionByName(merged)
+    values = F.struct(*(c for c in corpus.columns if c != "position"))
+    changed = corpus.select("position", values.alias("a")).join(merged.select("position", values.alias("b")), "position").where(~F.col("a").eqNullSafe(F.col("b"))).select("position")
+    return Enriched(whole, rows, changed)
+
+
 def hydrate(wanted: DataFrame, corpus: DataFrame) -> DataFrame:
     """``wanted(id, doi_key, title_key, year)`` with key and status of the corpus record.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,3 +151,37 @@ def embed(papers: DataFrame, encoder, text: Column, dims: int) -> DataFrame:
         return pd.Series(list(out))
 
     return papers.withColumn("embedding", run(text))
+
+
+def encode_with_retries(rows: DataFrame, encode: Callable[[list[str]], object], key: str = "fingerprint", text: str = "text", batch: int = 64, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """``(key, embedding, error)`` of each row: a batch that fails is tried again after growing pauses, then row by row, so that only
+    rows that fail by themselves have an error and no vector."""
+    plain = rows.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def attempt(texts: list[str]) -> tuple[list | None, str]:
+        error = ""
+        for at in range(tries):
+            try:
+                found = np.asarray(encode(texts), dtype=np.float32)
+                if found.ndim != 2 or len(found) != len(texts) or not np.isfinite(found).all():
+                    raise ValueError(f"the encoder gave {found.shape} for {len(texts)} texts, or no numbers")
+                return list(found), ""
+            except Exception as e:  # noqa: BLE001 - whatever an encoder raises is the row's error
+                error = f"{type(e).__name__}: {str(e)[:300]}"
+                if at < tries - 1:
+                    time.sleep(pause * 2**at)
+        return None, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, batch):
+                keys, texts = (b.column(i).slice(s, batch).to_pylist() for i in (0, 1))
+                found, error = attempt(texts)
+                rows = [(k, v.tolist(), None) for k, v in zip(keys, found)] if found is not None else []
+                if found is None:
+                    for k, t in zip(keys, texts):
+                        one, why = attempt([t]) if len(texts) > 1 else (None, error)
+                        rows.append((k, one[0].tolist(), None) if one is not None else (k, None, why))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([r[2] for r in rows], pa.string())], [key, "embedding", "error"])
+
+    return plain.mapInArrow(run, f"{key} string, embedding array<float>, error string")

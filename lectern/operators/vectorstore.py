@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.buckets import BUCKET, BucketTable, Commit, key_bucket
+from lectern.operators.durable import materialize
+from lectern.operators.vector import encode_with_retries
 
 COLUMNS = ["model", "fingerprint", "year", "embedding"]
 
@@ -41,6 +43,14 @@ class VectorStore:
         touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
         return self.table.commit(rows, touched, ["model", "year"], keep=True, buckets=n)
 
+    def fill(self, papers: DataFrame, encode: Callable[[list[str]], object], model: str, **retries) -> DataFrame:
+        """Encode and append what ``papers(fingerprint, year, text)`` lack; gives ``(fingerprint, error)`` of texts that failed, which a later call tries again."""
+        lacking = self.missing(papers.where("fingerprint IS NOT NULL"), model).groupBy("fingerprint").agg(F.min(F.struct("year", "text")).alias("p")).select("fingerprint", "p.*")
+        lacking = materialize(lacking, "lacking")
+        found = materialize(encode_with_retries(lacking, encode, **retries), "encoded")
+        self.append(found.where("error IS NULL").join(lacking.select("fingerprint", "year"), "fingerprint"), model)
+        return found.where("error IS NOT NULL").select("fingerprint", "error")
+
     def compact(self, most: int = 4) -> Commit:
         """Buckets of more than ``most`` appends as one set each."""
         return self.table.compact(most, ["model", "year"])

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import keys, text
 from lectern.operators import family, index
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.intervals import interval_join
 from lectern.operators.vectorstore import VectorStore
 from lectern.plans.catalogue import ORACLE_SQL, N, P, T, papers, query, table
 from lectern.plans.query import KeywordQuery
+from lectern.sources.crawl import crawl
 from lectern.streaming import ingest as streaming
 
 
@@ -139,3 +140,25 @@ def scoped_vectors(spark, sf_dir):
     store.append(least, "model")
     store.compact(1)
     return store.read("model", [2001, 2004]).groupBy("year").agg(F.count("*").alias("n"))
+
+
+# --- crawls and whole records -------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE n AS (SELECT page_id, page_id % 7 = 3 AS broken FROM pages), g(page_id, round) AS (SELECT page_id, 0 FROM n WHERE page_id BETWEEN 1 AND 3
+  UNION SELECT m.page_id, g.round + 1 FROM g JOIN n ON n.page_id = g.page_id AND NOT n.broken JOIN n m ON m.page_id IN (2 * g.page_id, 2 * g.page_id + 1, g.page_id - 1) WHERE g.round < 40)
+SELECT 'p' || g.page_id AS url, min(round)::INT AS round, any_value(CASE WHEN broken THEN 'broken' END) AS error FROM g JOIN n USING (page_id) GROUP BY g.page_id""")
+def crawled_pages(spark, sf_dir):
+    """A crawl over the pages, each with links to the pages of twice its number, the one behind, and the one before its own; some are broken."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"))
+    known = pages.select("url")
+    others = F.array(2 * F.col("page_id"), 2 * F.col("page_id") + 1, F.col("page_id") - 1)
+    links = pages.select("url", F.explode(F.transform(others, lambda x: F.concat(F.lit("p"), x.cast("string")))).alias("to")).join(known.withColumnRenamed("url", "to"), "to").groupBy("url").agg(F.collect_list("to").alias("links"))
+    site = pages.join(links, "url", "left").select("url", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.when(F.col("page_id") % 7 == 3, "broken").alias("error"))
+    return crawl(pages.where("page_id BETWEEN 1 AND 3").select("url"), lambda frontier: site.join(frontier, "url")).pages.select("url", "round", "error")
+
+
+@query(f"""SELECT count(*) AS n, count(DISTINCT title || '|' || trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) AS signatures FROM (SELECT regexp_replace(title, '\\s+', ' ', 'g') AS title, abstract FROM {P})""")
+def record_signatures(spark, sf_dir):
+    p = papers(spark, sf_dir).select("title", "abstract")
+    return p.select(keys.record_signature(dict(p.dtypes)).alias("s")).agg(F.count("*").alias("n"), F.countDistinct("s").alias("signatures"))

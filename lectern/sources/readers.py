@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import squeeze, split_values, strip_tags, text_of
+from lectern.functions.text import distinct_values, squeeze, split_values, strip_tags, text_of
 
 # Header names that tell sources apart.
 REQUIRED = ["Document Title", "Abstract"]
@@ -164,14 +164,21 @@ def parse_items(items: DataFrame, column: str = "item") -> DataFrame:
     )
 
 
+# The columns of an export, and the record fields that they fill.
+CSV_FIELDS = {
+    "title": "Document Title", "abstract": "Abstract", "year": "Publication Year", "venue": "Publication Title", "doi": "DOI", "pdf_link": "PDF Link", "volume": "Volume", "number": "Issue", "issue": "Issue",
+    "start_page": "Start Page", "end_page": "End Page", "issn": "ISSN", "isbn": "ISBNs", "publisher": "Publisher", "document_identifier": "Document Identifier", "date_added_to_xplore": "Date Added To Xplore",
+    "online_date": "Online Date", "issue_date": "Issue Date", "meeting_date": "Meeting Date", "funding_information": "Funding Information", "article_citation_count": "Article Citation Count",
+    "patent_citation_count": "Patent Citation Count", "reference_count": "Reference Count", "license": "License",
+}
+CSV_LISTS = {"authors": "Authors", "keywords": "Author Keywords", "ieee_terms": "IEEE Terms"}
+
+
 def csv_to_records(rows: DataFrame) -> DataFrame:
-    """Records of CSV rows with the usual headers; absent ones are empty."""
+    """Records of CSV rows with the usual headers: 24 texts, three lists, both ends of the authors, pages and the article's number; what is absent is empty."""
     c = lambda n: squeeze(n) if n in rows.columns else F.lit("")
     number = F.coalesce(*(F.nullif(c(n), F.lit("")) for n in ("Article Number", "Document Number", "Accession Number")), F.regexp_extract(c("PDF Link"), r"(?:arnumber=|/document/)([0-9]+)", 1))
     pages = F.concat_ws("-", F.nullif(c("Start Page"), F.lit("")), F.nullif(c("End Page"), F.lit("")))
-    return rows.select(
-        c("Document Title").alias("title"), c("Abstract").alias("abstract"), split_values(c("Authors")).alias("authors"), c("Publication Year").alias("year"), c("Publication Title").alias("venue"),
-        c("DOI").alias("doi"), c("PDF Link").alias("pdf_link"), split_values(c("Author Keywords")).alias("keywords"), split_values(c("IEEE Terms")).alias("ieee_terms"), c("Volume").alias("volume"),
-        c("Issue").alias("issue"), c("Start Page").alias("start_page"), c("End Page").alias("end_page"), pages.alias("pages"), c("Publisher").alias("publisher"), c("Document Identifier").alias("document_identifier"),
-        c("Date Added To Xplore").alias("date_added_to_xplore"), c("Issue Date").alias("issue_date"), c("Online Date").alias("online_date"), number.alias("article_number"),
-    )
+    listed = {name: distinct_values(F.transform(split_values(c(header)), squeeze)) for name, header in CSV_LISTS.items()}
+    ends = [F.coalesce(F.try_element_at(listed["authors"], F.lit(i)), F.lit("Unknown")).alias(n) for n, i in (("first_author", 1), ("last_author", -1))]
+    return rows.select(*(c(header).alias(name) for name, header in CSV_FIELDS.items()), *(v.alias(n) for n, v in listed.items()), *ends, pages.alias("pages"), number.alias("article_number"))

@@ -6,11 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import keys
+from lectern.operators import ingest as ingest_ops
 from lectern.operators.buckets import BucketTable
 from lectern.operators.intervals import interval_join
-from lectern.operators.vector import top_k
+from lectern.operators.vector import encode_with_retries, top_k
 from lectern.operators.vectorstore import VectorStore
 from lectern.sources import readers
+from lectern.sources.crawl import crawl
 from lectern.streaming import ingest
 
 WINDOWS = ["2024-01-01:2024-01-31", "2024-02-01:2024-02-29", "2024-03-01:2024-03-31"]
@@ -105,3 +108,63 @@ def test_vector_store(spark, tmp_path):
     before = sorted((r["model"], r["fingerprint"], r["year"]) for r in store.table.read().collect())
     packed = store.compact(1)
     assert all(len(s) == 1 for s in packed.sets.values()) and sorted((r["model"], r["fingerprint"], r["year"]) for r in store.table.read().collect()) == before
+
+
+def test_crawl_equals_breadth_first_search(spark):
+    rng = random.Random(6)
+    site = {f"u{i}": [f"u{rng.randrange(90)}" for _ in range(rng.randrange(4))] + ([None] if i % 9 == 0 else []) for i in range(70)}  # some links lead nowhere
+    broken = {f"u{i}" for i in range(0, 70, 13)}
+    table = spark.createDataFrame([(u, v, "500" if u in broken else None) for u, v in site.items()], "url string, links array<string>, error string")
+    fetch = lambda frontier: table.join(frontier, "url")
+    seeds = spark.createDataFrame([("u1",), ("u2",), ("u1",), (None,)], "url string")
+    seen, round_, frontier = {"u1": 0, "u2": 0}, 0, ["u1", "u2"]
+    while frontier:
+        round_ += 1
+        new = {x for u in frontier if u in site and u not in broken for x in site[u] if x and x not in seen}
+        seen |= dict.fromkeys(new, round_)
+        frontier = list(new)
+    got = crawl(seeds, fetch)
+    rows = got.pages.collect()
+    assert {r["url"]: r["round"] for r in rows} == seen and len(rows) == len(seen)
+    assert {r["url"]: r["error"] for r in rows if r["error"]} == {u: "500" if u in broken else "no answer" for u in seen if u in broken or u not in site}
+    assert all(r["url"] in site[r["parent"]] for r in rows if r["parent"]) and got.status.first()["completed"] is False
+    cut = crawl(seeds, fetch, max_pages=5).status.first()
+    assert cut["truncated"] and cut["pages"] <= 5 and cut["left_over"] > 0
+    assert crawl(seeds.limit(0), fetch).status.first()["completed"]
+    whole = crawl(spark.createDataFrame([("a",)], "url string"), lambda f: f.select("url", F.array(F.lit("a"), F.lit("b")).alias("links"), F.lit(None).cast("string").alias("error")))
+    assert whole.status.first()["completed"] and [r["pages"] for r in whole.rounds] == [1, 1]
+
+
+def test_an_encoder_that_fails_on_some_rows_loses_only_these(spark, tmp_path):
+    rows = [(f"f{i}", 2020, f"text {i}" if i else None) for i in range(30)]
+    papers = spark.createDataFrame(rows, "fingerprint string, year int, text string").repartition(3)
+
+    def encode(texts):
+        if any(t.endswith("7") for t in texts):
+            raise OSError("no answer")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    store = VectorStore(spark, f"file://{tmp_path}/v", 4)
+    failed = {r["fingerprint"]: r["error"] for r in store.fill(papers, encode, "m", batch=4, tries=2, pause=0.0).collect()}
+    assert set(failed) == {"f7", "f17", "f27"} and set(failed.values()) == {"OSError: no answer"}
+    assert store.read("m").count() == 27
+    assert store.fill(papers, lambda texts: [[0.5, 0.5] for _ in texts], "m", pause=0.0).isEmpty()
+    vectors = {r["fingerprint"]: list(r["embedding"]) for r in store.read("m").collect()}
+    assert len(vectors) == 30 and vectors["f7"] == [0.5, 0.5] and vectors["f8"] == [6.0, 1.0] and vectors["f0"] == [0.0, 1.0]
+    wrong = encode_with_retries(papers, lambda texts: [[float("nan")]] * len(texts), tries=1, pause=0.0)
+    assert wrong.where("error IS NULL").isEmpty()
+
+
+def test_whole_records_signatures_and_enrichment(spark):
+    row = {"Document Title": " A  title ", "Authors": "Ann Lee; ann lee;Bo Ray ;", "Issue": "4", "ISBNs": "1", "License": "CC", "Start Page": "7", "PDF Link": "x?arnumber=123"}
+    record = readers.csv_to_records(spark.createDataFrame([tuple(row.values())], [*row])).first()
+    assert len(record) == 31 and record["authors"] == ["Ann Lee", "Bo Ray"] and (record["first_author"], record["last_author"], record["number"], record["pages"], record["article_number"], record["isbn"]) == ("Ann Lee", "Bo Ray", "4", "7", "123", "1")
+    frame = spark.createDataFrame([("a  b", "x", ["q"]), ("a b", "x", ["q"]), ("a b", "y", ["q"]), ("a b", "x", None)], "title string, license string, authors array<string>")
+    s = [r[0] for r in frame.select(keys.record_signature(dict(frame.dtypes))).collect()]
+    assert s[0] == s[1] and len(set(s)) == 3 and len(keys.SIGNATURE) == 29
+    schema = "position long, title string, abstract string, year string, doi string, authors array<string>, publisher string, venue string"
+    corpus = spark.createDataFrame([(0, "One work", "t", "2020", "10.1/a", ["A. B"], "", "old"), (1, "Same title", "t", "2020", "", None, "", "old"), (2, "Same title", "t", "2020", "", None, "", "old")], schema)
+    sources = spark.createDataFrame([(0, "One work", "new text " * 9, "2020", "10.1/a", ["Alice Brown"], "P", "new"), (1, "Same title", "x" * 60, "2020", "", None, "Q", "new"), (2, "One work", "", "2020", "10.1/a", None, "R", "new"), (3, "Elsewhere", "x" * 60, "", "", None, "S", "new"), (4, "One work", "short", "2020", "10.1/a", None, "T", "new")], schema)
+    done = ingest_ops.enrich(corpus, sources)
+    assert {r["position"]: (r["publisher"], r["venue"], r["abstract"]) for r in done.corpus.collect()} == {0: ("P", "old", "t"), 1: ("", "old", "t"), 2: ("", "old", "t")}
+    assert {r["position"]: r["status"] for r in done.rows.collect()} == {0: "matched", 1: "ambiguous", 3: "missing"} and [r[0] for r in done.changed.collect()] == [0]
