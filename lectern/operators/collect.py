@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize, similarity, tokens
+from lectern.functions.text import normalize, similarity, tokens, year_of
 from lectern.operators import keyword, vector
 from lectern.operators.durable import materialize, shared_dir
 from lectern.operators.fusion import last_wins, retained
@@ -108,11 +108,12 @@ def run_queries(
         k = vector.over_fetch(first.limit, _filtered(first))
         hits = materialize(vector.top_k_many(vectors, asked(places), k, position="position"), "hits")
         named = hits.select(F.col("query_id").alias("query_pos"), "position", "similarity").join(papers, "position")
-        kept = None
-        for at in places:
-            some = keyword.within(named.where(F.col("query_pos") == at), queries[at].keyword.years, queries[at].keyword.venues)
-            kept = some if kept is None else kept.unionByName(some)
-        return kept.select("query_pos", "position", "similarity", F.lit(None).cast("array<string>").alias("matched_fields"))
+        if _filtered(first):
+            limits = [(at, *(queries[at].keyword.years or (None, None)), list(queries[at].keyword.venues)) for at in places]
+            named = named.join(F.broadcast(spark.createDataFrame(limits, "query_pos int, _from int, _to int, _venues array<string>")), "query_pos")
+            in_years = F.col("_from").isNull() | year_of(F.col("year").cast("string")).between(F.col("_from"), F.col("_to"))
+            named = named.where(in_years & ((F.size("_venues") == 0) | F.array_contains("_venues", F.col("venue"))))
+        return named.select("query_pos", "position", "similarity", F.lit(None).cast("array<string>").alias("matched_fields"))
 
     def one(places: list[int]) -> DataFrame:
         q = queries[places[0]]
