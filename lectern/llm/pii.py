@@ -17,11 +17,12 @@ network), so no two can collide, however many there are; a surrogate may by chan
 real number of the corpus, which itself is replaced. The other kinds have surrogates from
 hashes; the corpus's distinct entities of these are grouped by surrogate. Of several
 entities with one surrogate, all but the least by canonical form, and any whose surrogate is
-itself an entity of the corpus, try again with a counter until none is left (at most ROUNDS
-times; forms grow, or have 12 random characters or more, so a few rounds do). Those that
+itself an entity of the corpus, try again with a counter until none is left (forms grow, or have
+12 random characters or more, so a few rounds do; ROUNDS rounds that leave as many are an error). Those that
 needed a retry travel to the documents that hold them by a join; all other replacement is
 done where the text is read.
 
+Not told apart: a capital word of a text that is also a part of one of its names (Mark my words) is replaced like the name.
 Not detected, as too many ordinary words and numbers look alike: names without any title in
 their document, ten or fewer digits without a separator or +, card numbers with a wrong check
 digit (these are left as they are), compressed IPv6 addresses whose first group is short.
@@ -52,7 +53,9 @@ MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Srta|Sra|Madame|Mme|Госпожа|Κυρία"
 NEUTRAL = "Dr|Prof|Professor|Doctor|Доктор|Профессор"
 TITLES = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? )++"
-NAME = rf"(?<!\p{{L}}){TITLES}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})"
+#: A part of a name: Smith, McDonald, O'Brien, or SMITH.
+PART = r"(?:\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)*|\p{Lu}(?:['’]?\p{Lu})+)"
+NAME = rf"(?<!\p{{L}}){TITLES}{PART}(?:[ -]{PART}){{0,2}}(?!\p{{L}})"
 SECRET_VALUE = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = {
     "secret": rf"(?i:(?<![{_WORD}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?){SECRET_VALUE}|(?<![{_WORD}])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})(?![{_WORD}])",
@@ -216,6 +219,11 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def _like(part: Column, new: Column) -> Column:
+    """A part's surrogate in capitals like the part, or with a first one."""
+    return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(new)).otherwise(F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.substr(new, F.lit(2))))
+
+
 def _fit(m: Column, kind: Column, mapped: Column) -> Column:
     """The surrogates ``mapped`` of the units of ``m`` in the format of ``m``."""
     rest, first = _rest(m, kind), F.get(mapped, F.lit(0))
@@ -224,28 +232,34 @@ def _fit(m: Column, kind: Column, mapped: Column) -> Column:
     gaps = F.split(F.when(kind == "iban", m).otherwise(rest), F.when(kind == "iban", F.lit("[A-Z0-9]")).otherwise(F.lit("[0-9]")), -1)
     filled = F.array_join(F.zip_with(gaps, F.split(first, ""), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
     cased = F.when(upper, F.upper(first)).otherwise(first)
-    name = F.array_join(F.transform(mapped, lambda p: F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2)))), " ")
+    name = F.array_join(F.zip_with(F.split(rest, " "), mapped, _like), " ")
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.concat(_prefix(m, kind), filled)).when(kind == "iban", filled)
         .when(kind == "secret", F.concat(_prefix(m, kind), first)).when(kind == "name", F.concat(_prefix(m, kind), name)).otherwise(cased)
     )
 
 
-def retries(docs: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """``(kind, form, attempt)`` of the units whose first surrogate is taken."""
+def retries(docs: DataFrame, key: str) -> DataFrame:
+    """``(kind, form, attempt)`` of the units whose first surrogate is taken; in the end no two units of a kind share one."""
     found = docs.where(F.col("text").rlike(HINT)).select(F.explode(matches(F.col("text"))).alias("m")).distinct()
     found = found.select("m", kind_of(F.col("m")).alias("kind")).where(~F.col("kind").isin("number", *PERMUTED))
     forms = found.select(F.explode(units(F.col("m"), F.col("kind"))).alias("u")).select("u.*").distinct()
     state = materialize(forms.withColumn("attempt", F.lit(0)).withColumn("out", surrogate(F.col("kind"), F.col("form"), F.lit(0), key)), "pii")
     order = Window.partitionBy("kind", "out").orderBy("attempt", "form")
-    for _ in range(rounds):
+    least, stuck = None, 0
+    while True:
         own = state.select(F.col("kind").alias("k"), F.col("form").alias("f"))
         real = state.join(own, (F.col("kind") == F.col("k")) & (F.col("out") == F.col("f")), "left_semi").select("kind", "form")
         twice = state.groupBy("kind", "out").count().where("count > 1").select("kind", "out")
         later = state.join(twice, ["kind", "out"]).withColumn("n", F.row_number().over(order)).where("n > 1").select("kind", "form")
         again = materialize(real.unionByName(later).distinct().withColumn("again", F.lit(1)), "pii-again")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             break
+        stuck = 0 if least is None or left < least else stuck + 1
+        least = left if least is None else min(left, least)
+        if stuck >= ROUNDS:
+            raise RuntimeError(f"{left} surrogates still collide after {ROUNDS} rounds without progress")
         state = state.join(again, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
         state = materialize(state.select("kind", "form", "attempt", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key).alias("out")), "pii")
     return state.where("attempt > 0").select("kind", "form", "attempt")
@@ -261,14 +275,10 @@ def _mapped(m: Column, tries: Column | None, key: str) -> Column:
     return F.transform(units(m["m"], m["kind"]), unit)
 
 
-def _capital(s: Column) -> Column:
-    return F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2)))
-
-
 def _name_parts(found: Column) -> Column:
     """(part, surrogate) of the names among ``found(m, kind, new)``, longest parts first."""
     names = F.filter(found, lambda m: m["kind"] == "name")
-    pairs = F.transform(names, lambda m: F.zip_with(F.split(_rest(m["m"], m["kind"]), " "), m["new"], lambda p, s: F.struct((-F.length(p)).alias("n"), p.alias("part"), _capital(s).alias("new"))))
+    pairs = F.transform(names, lambda m: F.zip_with(F.split(_rest(m["m"], m["kind"]), " "), m["new"], lambda p, s: F.struct((-F.length(p)).alias("n"), p.alias("part"), _like(p, s).alias("new"))))
     return F.sort_array(F.array_distinct(F.flatten(pairs)))
 
 

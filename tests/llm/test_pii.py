@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import pii
@@ -56,10 +57,28 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert {found[i][0].split()[3] for i in range(len(mails))} == {new[0]}
 
 
-def test_collisions_without_end_raise_nothing(spark, monkeypatch):
+def test_collisions_without_end_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt, key: F.lit("same@x.org"))
     monkeypatch.setattr(pii, "ROUNDS", 2)
-    assert len(run(spark, ["a@y.org and b@y.org"], key="k")) == 1
+    with pytest.raises(RuntimeError, match="still collide"):
+        run(spark, ["a@y.org and b@y.org"], key="k")
+
+
+def test_names_in_capitals_and_with_apostrophes(spark):
+    texts = ["Mr. JOHN SMITH left. SMITH came, John too.", "Dr. O'Brien and Mrs. Ann O’Hara-Lee; O'Brien", "Ms. McDonald, Herr MÜLLER", "Dr. A, Mr. x"]
+    found = run(spark, texts, key="k")
+    m = re.fullmatch(r"Mr\. ([A-Z]+) ([A-Z]+) left\. ([A-Z]+) came, John too\.", found[0][0])
+    assert m and m[2] == m[3] and "SMITH" not in found[0][0] and "JOHN" not in found[0][0]
+    m = re.fullmatch(r"Dr\. ([A-Z][a-z]+) and Mrs\. ([A-Z][a-z]+) ([A-Z][a-z]+); ([A-Z][a-z]+)", found[1][0])
+    assert m and m[1] == m[4] and "Brien" not in found[1][0] and "Hara" not in found[1][0]
+    assert re.fullmatch(r"Ms\. [A-Z][a-z]+, Herr [A-Z]+", found[2][0]) and "Mc" not in found[2][0] and "LLER" not in found[2][0]
+    assert found[3] == (texts[3], [])
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(None, "mail a@b.org"), (1, "mail a@b.org"), (1, "mail a@b.org"), (None, None), (2, "")]
+    found = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert len(found) == 5 and len({r["text"] for r in found if r["text"]}) == 1 and sum(r["text"] is None for r in found) == 1
 
 
 def test_many_short_numbers_stay_distinct(spark):
