@@ -131,7 +131,7 @@ def highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.highlight("text", "of the", "[", "]").alias("marked"))
 
 
-@query()
+@query("""SELECT doc_id, regexp_replace(text, '(?i)\\b(of[^A-Za-z0-9+]*the)\\b', '[\\1]', 'g') AS marked FROM documents""")
 def highlight_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.highlight("text", "of the", "[", "]").alias("marked"))
 
