@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.keys import identity_levels
 from lectern.functions.scoring import completeness
-from lectern.functions.text import author_richness, squeeze
+from lectern.functions.text import author_richness, loose_title, squeeze
 from lectern.operators.durable import materialize
 from lectern.operators.filters import is_junk
-from lectern.operators.graph import components
 
 # Fields of a record.
 CORE = ["title", "abstract", "year", "venue", "doi", "pdf_link"]
@@ -24,19 +23,65 @@ BIBLIOGRAPHIC = [
 LISTS = ["keywords", "ieee_terms"]
 
 
-def resolve_keys(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``canonical``: rows that share any key are one record.
+#: Positions of a range in which the latest values of a record are looked up at once.
+RANGE = 1_000_000
 
-    A title key that belongs to several DOIs resolves nothing. Rows keep their order column.
+
+def _claims(rows: DataFrame) -> DataFrame:
+    """``(position, record, key)``: the keys that a merged record holds after each row of ``rows(position, title, year, keys, record)``.
+
+    These are the row's own; a row with a title but no year (or the reverse) is completed from the latest
+    row of its record that has one, by ranges of positions, so no record's rows meet in one task.
+    """
+    own = rows.select("position", "record", F.explode("keys").alias("key"))
+    half = (F.col("title") == "") != (F.col("year") == "")
+    held = rows.select("position", "record", *(F.nullif(c, F.lit("")).alias(c) for c in ("title", "year")), half.alias("half"), F.floor(F.col("position") / RANGE).alias("part"))
+    held = held.join(held.where("half").select("record").distinct(), "record", "left_semi")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(c)
+    ends = held.groupBy("record", "part").agg(latest("title"), latest("year"))
+    past = Window.partitionBy("record").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("record", "part", *(F.last(c, ignorenulls=True).over(past).alias(f"_{c}") for c in ("title", "year")))
+    within = Window.partitionBy("record", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    full = held.select("position", "record", "part", "half", *(F.last(c, ignorenulls=True).over(within).alias(c) for c in ("title", "year"))).where("half").join(ends, ["record", "part"])
+    title, year = F.coalesce("title", "_title"), F.coalesce("year", "_year")
+    return own.unionByName(full.where(title.isNotNull() & year.isNotNull()).select("position", "record", F.concat_ws("::", F.lit("title_year"), title, year).alias("key")))
+
+
+def resolve_keys(rows: DataFrame, own: Column | None = None, max_rounds: int = 1000) -> DataFrame:
+    """``rows`` with ``canonical``, the first position of the record that each row belongs to, as a fold in order of ``position`` gives it.
+
+    A row belongs to the record that holds the first of its keys that is held; if none is, to the record named by its
+    strongest key. A record holds the keys of its rows. A key that a second record claims is held by none from then on.
+    Rows for which ``own`` holds are records by themselves, of which later ones with the same strongest key
+    are left out, as are rows without any key.
+
+    A row depends on earlier ones only. So rounds of aggregations and joins, each of which decides all rows by what the last
+    round decided, settle from the first position on, and what no round changes any more is the fold's result.
+    Their number is that of the longest chain of rows that decide one another, not that of the rows.
     """
-    each = rows.select("position", F.explode(identity_levels()).alias("key"))
-    dois = each.where("key like 'doi::%'").select("position", F.col("key").alias("d"))
-    clear = each.join(dois, "position", "left").groupBy("key").agg(F.countDistinct("d").alias("n")).where("n <= 1").select("key")
-    held = each.join(clear, "key")
-    lead = held.groupBy("key").agg(F.min("position").alias("a"))
-    edges = held.join(lead, "key").where("a <> position").select("a", F.col("position").alias("b"))
-    roots = components(edges)
-    return rows.join(roots.withColumnRenamed("node", "position"), "position", "left").withColumn("canonical", F.coalesce("root", "position")).drop("root")
+    levels = identity_levels()
+    named = rows.select("position", loose_title("title").alias("title"), squeeze("year").alias("year"), levels.alias("keys"), F.get(levels, F.lit(0)).alias("name"), (F.lit(False) if own is None else own).alias("own"))
+    named = materialize(named.where("name is not null"), "keys")
+    first = named.where("own").groupBy("name").agg(F.min("position").alias("position"))
+    named = materialize(named.where("not own").unionByName(named.where("own").join(first, ["position", "name"], "left_semi")), "keys")
+    wanted = named.where("not own").select("position", F.posexplode("keys").alias("level", "key"))
+    now = materialize(named.select("position", F.col("name").alias("record")), "records")
+    for _ in range(max_rounds):
+        claims = _claims(named.join(now, "position")).groupBy("key", "record").agg(F.min("position").alias("since"))
+        two = claims.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("since"))).where("n <= 2")
+        held = two.groupBy("key").agg(F.min("since").alias("since"), F.min_by("record", "since").alias("record"), F.max(F.when(F.col("n") == 2, F.col("since"))).alias("until"))
+        live = wanted.join(held, "key").where("since < position and (until is null or until >= position)")
+        chosen = live.groupBy("position").agg(F.min_by("record", "level").alias("record"))
+        after = named.select("position", "name").join(chosen, "position", "left").select("position", F.coalesce("record", "name").alias("record"))
+        after = materialize(after, "records")
+        settled = after.join(now.withColumnRenamed("record", "before"), "position").where("record <> before").isEmpty()
+        now = after
+        if settled:
+            break
+    else:
+        raise RuntimeError(f"keys did not settle in {max_rounds} rounds")
+    starts = now.groupBy("record").agg(F.min("position").alias("canonical"))
+    return rows.join(now.join(starts, "record").drop("record"), "position")
 
 
 def merge_sources(rows: DataFrame, allow_core: bool = True) -> DataFrame:
@@ -102,7 +147,7 @@ def sync(corpus: DataFrame, sources: DataFrame, complete: bool = True) -> DataFr
     """
     last = corpus.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("m")).first()["m"]
     both = corpus.withColumn("_own", F.lit(True)).unionByName(sources.withColumn("position", F.col("position") + last + 1).withColumn("_own", F.lit(False)))
-    resolved = materialize(resolve_keys(both), "sync")
+    resolved = materialize(resolve_keys(both, F.col("_own")), "sync")
     named = resolved.groupBy("canonical").agg(F.min("_own").alias("only"))
     merged = merge_sources(resolved.drop("_own"))
     if complete:

@@ -422,6 +422,12 @@ def library_import(spark, sf_dir):
     return ingest.sync(*_library(spark, sf_dir), complete=False).select("title", "venue", "publisher")
 
 
+# tested against a fold of one row at a time
+@query()
+def resolved_records(spark, sf_dir):
+    return ingest.resolve_keys(records(spark, sf_dir)).select("position", "canonical")
+
+
 # source rows without an abstract don't count
 @query(f"""SELECT 't' || s.doc_id AS title, 'old' AS venue, CASE WHEN hit AND s.doc_id % 9 <> 0 THEN 'P' ELSE '' END AS publisher FROM {_SRC} s WHERE own""")
 def library_enrich(spark, sf_dir):

@@ -67,6 +67,49 @@ def test_merge_follows_the_fold(spark):
     assert ingest.sync(corpus, sources, complete=False).count() == 2
 
 
+def one_by_one(corpus, sources):
+    """Record of each position, rows taken one at a time: ``(position, title, doi, year)``."""
+    holder, records, out = {}, {}, {}
+
+    def keys(title, doi, year):
+        return [k for k in (doi and f"doi::{doi}", title and year and f"title_year::{title}::{year}", title and f"title::{title}") if k]
+
+    def claim(name, values):
+        for k in keys(*values):
+            holder[k] = name if holder.get(k, name) == name else None  # None: held by no record any more
+
+    for rows, own in ((corpus, True), (sources, False)):
+        for position, *values in rows:
+            mine = keys(*values)
+            if not mine or own and mine[0] in records:
+                continue
+            name = next((holder[k] for k in mine if not own and holder.get(k)), mine[0])
+            start, state = records.get(name, (position, ["", "", ""]))
+            state = [new or old for new, old in zip(values, state)]
+            records[name] = start, state
+            claim(name, state)
+            out[position] = name
+    return {position: records[name][0] for position, name in out.items()}
+
+
+def test_keys_resolve_as_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "RANGE", 7)
+    rng = random.Random(11)
+    pick = lambda values, empty: "" if rng.random() < empty else rng.choice(values)
+    titles, dois = [f"t{i}" for i in range(20)], [f"10.1/{i}" for i in range(20)]
+    rows = [(i, pick(titles, 0.2), pick(dois, 0.6), pick(["2020", "2021", "2022"], 0.4)) for i in range(60)]
+    rows += [(60 + i, "t0", "", "") for i in range(30)]  # a title on a third of the rows
+    df = spark.createDataFrame([record(i, t, d, y) for i, t, d, y in rows], FIELDS).repartition(5)
+    found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, F.col("position") < 20).collect()}
+    assert found == one_by_one(rows[:20], rows[20:])
+    # another DOI resolves by title and year; a key of two records resolves nothing any more; a missing year is the record's
+    late = [(0, "a", "10.1/x", "2020"), (1, "a", "10.1/y", "2020"), (2, "b", "10.1/z", "2020"), (3, "a", "10.1/z", "2020"), (4, "a", "", "2020"), (5, "c", "10.1/z", ""), (6, "c", "10.1/q", "2020")]
+    df = spark.createDataFrame([record(i, t, d, y) for i, t, d, y in late], FIELDS)
+    found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df).collect()}
+    assert found == one_by_one([], late) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 2, 6: 2}
+    assert ingest.resolve_keys(df.where("false")).count() == 0
+
+
 def test_families_and_closure(spark):
     rows = [
         record(0, "A cryogenic low noise amplifier in CMOS", "10.1/a", "2018", ["Ann Lee", "Bo Ray"]), record(1, "A cryogenic low noise amplifier in CMOS", "10.1/b", "2019", ["Ann Lee"]),
