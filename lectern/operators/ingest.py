@@ -13,6 +13,7 @@ from lectern.functions.scoring import completeness
 from lectern.functions.text import author_richness, loose_title, squeeze
 from lectern.operators.durable import materialize
 from lectern.operators.filters import is_junk
+from lectern.operators.graph import components
 
 # Fields of a record.
 CORE = ["title", "abstract", "year", "venue", "doi", "pdf_link"]
@@ -47,23 +48,12 @@ def _claims(rows: DataFrame) -> DataFrame:
     return own.unionByName(full.where(title.isNotNull() & year.isNotNull()).select("position", "record", F.concat_ws("::", F.lit("title_year"), title, year).alias("key")))
 
 
-def resolve_keys(rows: DataFrame, own: Column | None = None, max_rounds: int = 1000) -> DataFrame:
-    """``rows`` with ``canonical``, the first position of the record that each row belongs to, as a fold in order of ``position`` gives it.
+def _in_rounds(named: DataFrame, max_rounds: int) -> DataFrame:
+    """``(position, canonical)`` by rounds of aggregations and joins, each of which decides all rows by what the last round decided.
 
-    A row belongs to the record that holds the first of its keys that is held; if none is, to the record named by its
-    strongest key. A record holds the keys of its rows. A key that a second record claims is held by none from then on.
-    Rows for which ``own`` holds are records by themselves, of which later ones with the same strongest key
-    are left out, as are rows without any key.
-
-    A row depends on earlier ones only. So rounds of aggregations and joins, each of which decides all rows by what the last
-    round decided, settle from the first position on, and what no round changes any more is the fold's result.
-    Their number is that of the longest chain of rows that decide one another, not that of the rows.
+    A row depends on earlier ones only, so rounds settle from the first position on, and what no round changes any
+    more is what one row at a time gives. Their number is that of the longest chain of rows that decide one another.
     """
-    levels = identity_levels()
-    named = rows.select("position", loose_title("title").alias("title"), squeeze("year").alias("year"), levels.alias("keys"), F.get(levels, F.lit(0)).alias("name"), (F.lit(False) if own is None else own).alias("own"))
-    named = materialize(named.where("name is not null"), "keys")
-    first = named.where("own").groupBy("name").agg(F.min("position").alias("position"))
-    named = materialize(named.where("not own").unionByName(named.where("own").join(first, ["position", "name"], "left_semi")), "keys")
     wanted = named.where("not own").select("position", F.posexplode("keys").alias("level", "key"))
     now = materialize(named.select("position", F.col("name").alias("record")), "records")
     for _ in range(max_rounds):
@@ -77,11 +67,65 @@ def resolve_keys(rows: DataFrame, own: Column | None = None, max_rounds: int = 1
         settled = after.join(now.withColumnRenamed("record", "before"), "position").where("record <> before").isEmpty()
         now = after
         if settled:
-            break
-    else:
-        raise RuntimeError(f"keys did not settle in {max_rounds} rounds")
-    starts = now.groupBy("record").agg(F.min("position").alias("canonical"))
-    return rows.join(now.join(starts, "record").drop("record"), "position")
+            starts = now.groupBy("record").agg(F.min("position").alias("canonical"))
+            return now.join(starts, "record").select("position", "canonical")
+    raise RuntimeError(f"keys did not settle in {max_rounds} rounds")
+
+
+def _in_order(named: DataFrame) -> DataFrame:
+    """``(position, canonical)`` row by row; only the rows of one ``root`` are held together, as their keys."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        root, holder, records = None, {}, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["root"] != root:
+                    root, holder, records = row["root"], {}, {}
+                keys = row["keys"]
+                name = keys[0] if row["own"] else next((holder[k] for k in keys if holder.get(k)), keys[0])
+                start, title, year = records.get(name, (row["position"], "", ""))
+                title, year = row["title"] or title, row["year"] or year
+                records[name] = start, title, year
+                for k in keys + [f"title_year::{title}::{year}"] * bool(title and year):
+                    if holder.setdefault(k, name) != name:
+                        holder[k] = None
+                out.append((row["position"], start))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["position", "canonical"])
+
+    held = named.select("root", "position", "title", "year", "keys", "own").repartition("root").sortWithinPartitions("root", "position")
+    return held.mapInArrow(run, "position long, canonical long")
+
+
+def resolve_keys(rows: DataFrame, own: Column | None = None, small: int = 10_000, max_rounds: int = 1000) -> DataFrame:
+    """``rows`` with ``canonical``, the first position of the record that each row belongs to, rows taken in order of ``position``.
+
+    A row belongs to the record that holds the first of its keys that is held; if none is, to the record named by its
+    strongest key. A record holds the keys of its rows. A key that a second record claims is held by none from then on.
+    Rows for which ``own`` holds are records by themselves, of which later ones with the same strongest key
+    are left out, as are rows without any key.
+
+    Rows that share no key, directly or through others, don't decide one another: groups of up to ``small`` rows are
+    taken in order within a task, larger ones in rounds over all tasks, with the same result.
+    """
+    levels = identity_levels()
+    named = rows.select("position", loose_title("title").alias("title"), squeeze("year").alias("year"), levels.alias("keys"), F.get(levels, F.lit(0)).alias("name"), (F.lit(False) if own is None else own).alias("own"))
+    named = materialize(named.where("name is not null"), "keys")
+    first = named.where("own").groupBy("name").agg(F.min("position").alias("position"))
+    named = named.where("not own").unionByName(named.where("own").join(first, ["position", "name"], "left_semi"))
+    each = named.select("position", F.explode("keys").alias("key"))
+    lead = each.groupBy("key").agg(F.min("position").alias("a"))
+    roots = components(each.join(lead, "key").where("a <> position").select("a", F.col("position").alias("b")))
+    named = named.join(roots.withColumnRenamed("node", "position"), "position", "left")
+    sizes = roots.groupBy("root").agg((F.count("*") > small).alias("large"))
+    named = materialize(named.join(sizes, "root", "left"), "keys")
+    found = named.where("root is null").select("position", F.col("position").alias("canonical")).unionByName(_in_order(named.where("not large")))
+    large = named.where("large")
+    if not large.isEmpty():
+        found = found.unionByName(_in_rounds(large, max_rounds))
+    return rows.join(found, "position")
 
 
 def merge_sources(rows: DataFrame, allow_core: bool = True) -> DataFrame:

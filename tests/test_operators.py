@@ -100,12 +100,13 @@ def test_keys_resolve_as_one_by_one(spark, monkeypatch):
     rows = [(i, pick(titles, 0.2), pick(dois, 0.6), pick(["2020", "2021", "2022"], 0.4)) for i in range(60)]
     rows += [(60 + i, "t0", "", "") for i in range(30)]  # a title on a third of the rows
     df = spark.createDataFrame([record(i, t, d, y) for i, t, d, y in rows], FIELDS).repartition(5)
-    found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, F.col("position") < 20).collect()}
-    assert found == one_by_one(rows[:20], rows[20:])
+    for small in (0, 10_000):  # all groups in rounds, all in order
+        found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, F.col("position") < 20, small=small).collect()}
+        assert found == one_by_one(rows[:20], rows[20:])
     # another DOI resolves by title and year; a key of two records resolves nothing any more; a missing year is the record's
     late = [(0, "a", "10.1/x", "2020"), (1, "a", "10.1/y", "2020"), (2, "b", "10.1/z", "2020"), (3, "a", "10.1/z", "2020"), (4, "a", "", "2020"), (5, "c", "10.1/z", ""), (6, "c", "10.1/q", "2020")]
     df = spark.createDataFrame([record(i, t, d, y) for i, t, d, y in late], FIELDS)
-    found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df).collect()}
+    found = {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, small=0).collect()}
     assert found == one_by_one([], late) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 2, 6: 2}
     assert ingest.resolve_keys(df.where("false")).count() == 0
 
