@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import jaccard, loose_doi, loose_title, squeeze, tokens
+from lectern.operators.durable import materialize
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -43,37 +46,91 @@ def _variants(records: DataFrame, value: Column) -> DataFrame:
     return each.join(many.select("doi_key"), "doi_key").select("doi_key", "v")
 
 
-def _in_conflict(each: DataFrame, differ: Callable[[str, str], bool]) -> DataFrame:
-    """``(doi_key)`` of the DOIs of ``each(doi_key, v)`` with two values that differ.
+#: Values of a block; two blocks of a DOI meet in a task.
+BLOCK = 500
+
+
+def _apart(pairs: DataFrame, differ: Callable[[str, str], bool]) -> DataFrame:
+    """``(doi_key)`` of the rows of ``pairs(doi_key, a, b)`` whose values differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doi_key", "a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, a, b in zip(*columns) if differ(a, b)], pa.string())], ["doi_key"])
 
-    The values of a DOI stream through one task in order; each is compared with all before it
-    until one differs, then the DOI's others are passed over. So all pairs count, but none leaves the
-    task, and a DOI with many values ends at its first conflict.
+    return pairs.select("doi_key", "a", "b").mapInArrow(run, "doi_key string").distinct()
+
+
+def _blocks_apart(each: DataFrame, differ: Callable[[str, str], bool], agree: Callable[[str, str, str, int], bool]) -> DataFrame:
+    """``(doi_key)`` of the DOIs of ``each(doi_key, v, n)`` with two values that differ, compared in blocks that are dealt over the tasks.
+
+    Values go to blocks by their hash, two blocks of a DOI to one task, where each value is compared with those
+    before it until two differ. A task holds the values of a block; no pair leaves it. ``agree`` tells from the first and
+    the last in order of these, and the length of the longest, that a value differs from none of them.
     """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = each.withColumn("block", F.pmod(F.xxhash64("v"), blocks))
+    met = own.select("doi_key", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    met = met.select("doi_key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, done, found = None, [], False, []
+        now, held, longest, done = None, [], 0, False
         for batch in batches:
-            for key, value in zip(batch.column("doi_key").to_pylist(), batch.column("v").to_pylist()):
-                if key != now:
-                    now, held, done = key, [], False
+            found = []
+            for key, i, j, block, value in zip(*(batch.column(c).to_pylist() for c in ("doi_key", "i", "j", "block", "v"))):
+                if (key, i, j) != now:
+                    now, held, longest, done = (key, i, j), [], 0, False
                 if done:
                     continue
-                if any(differ(x, value) for x in held):
+                meets = held and (i == j or block == j) and not agree(value, held[0], held[-1], longest)
+                if meets and any(differ(min(x, value), max(x, value)) for x in held):
                     found.append(key)
                     held, done = [], True
-                else:
+                elif block == i:
                     held.append(value)
+                    longest = max(longest, len(value))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["doi_key"])
-            found = []
 
-    return each.repartition("doi_key").sortWithinPartitions("doi_key", "v").mapInArrow(run, "doi_key string")
+    met = met.repartition("doi_key", "i", "j").sortWithinPartitions("doi_key", "i", "j", "block", "v")
+    return met.mapInArrow(run, "doi_key string").distinct()
+
+
+def _in_conflict(each: DataFrame, differ: Callable[[str, str], bool], agree: Callable[[str, str, str, int], bool] = lambda value, first, last, longest: False) -> DataFrame:
+    """``(doi_key)`` of the DOIs of ``each(doi_key, v)`` with two values that differ.
+
+    The values of a DOI are compared with its least one first. DOIs of three and more values of which none differs
+    from that one are compared pair by pair, in blocks.
+    """
+    sizes = each.groupBy("doi_key").agg(F.count("*").alias("n"), F.min("v").alias("a"))
+    each = materialize(each.join(sizes, "doi_key"), "variants")
+    found = materialize(_apart(each.where("v <> a").withColumnRenamed("v", "b"), differ), "variants")
+    rest = each.where("n > 2").select("doi_key", "v", "n").join(found, "doi_key", "left_anti")
+    return found.unionByName(_blocks_apart(rest, differ, agree))
+
+
+def ratio_below(a: str, b: str, least: float) -> bool:
+    """Whether the sequence-matcher ratio of two texts is below ``least``.
+
+    It is at most what their lengths and their letters allow, and at least what the longer of their common start and end
+    gives, as the longest common part counts first; the matcher decides the rest.
+    """
+    both = (len(a) + len(b)) or 1
+    if 2.0 * min(len(a), len(b)) / both < least:
+        return bool(a or b)
+    same = max(len(commonprefix((a, b))), len(commonprefix((a[::-1], b[::-1]))))
+    if 2.0 * same / both >= least:
+        return False
+    return 2.0 * sum((Counter(a) & Counter(b)).values()) / both < least or SequenceMatcher(None, a, b, autojunk=False).ratio() < least
 
 
 def title_conflicts(records: DataFrame, least: float = 0.82) -> DataFrame:
     """DOIs with two titles whose sequence-matcher ratio is below ``least``."""
-    each = _variants(records, comparable_title("title"))
-    found = _in_conflict(each, lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio() < least)
+
+    def agree(value: str, first: str, last: str, longest: int) -> bool:
+        # all titles between first and last begin with what these two share
+        return 2.0 * len(commonprefix((value, first, last))) / (len(value) + longest) >= least
+
+    found = _in_conflict(_variants(records, comparable_title("title")), lambda a, b: ratio_below(a, b, least), agree)
     return found.select(F.concat(F.lit("doi_title::"), "doi_key").alias("id"), F.lit("same_doi_different_title").alias("kind"))
 
 

@@ -1,4 +1,6 @@
+import random
 import time
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,35 @@ def test_any_pair_of_variants_is_a_conflict(spark):
     long = " ".join(f"word{i}" for i in range(60))
     df = spark.createDataFrame([("10.1/a", "t", "V", long), ("10.1/a", "t", "V", long + " and more"), ("10.1/b", "t", "V", long), ("10.1/b", "t", "V", "other things altogether")], "doi string, title string, venue string, abstract string")
     assert [r["id"] for r in conflicts.abstract_conflicts(df).collect()] == ["doi_abstract::10.1/b"]
+
+
+def test_ratio_bounds_agree_with_the_matcher():
+    rng = random.Random(8)
+    words = "deep noise low amplifier of in cmos design a the wide band".split()
+    for _ in range(3000):
+        a = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+        b = rng.choice([a + "s", a[2:], a[::-1], " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), a.replace("e", "x", 2), "new " + a])
+        for least in (0.5, 0.82):
+            assert conflicts.ratio_below(a, b, least) == (SequenceMatcher(None, a, b, autojunk=False).ratio() < least), (a, b)
+
+
+def test_variants_in_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "BLOCK", 4)
+    rng = random.Random(9)
+    base = "wide band low noise amplifier in bulk cmos"
+    rows, want = [], set()
+    for d in range(40):
+        titles = {base[: rng.randrange(30, 43)] + rng.choice(["", " x", " of yy", " chip"]) for _ in range(rng.choice([2, 3, 12, 30]))}
+        rows += [(f"10.1/{d}", t, "V", "x") for t in titles]
+        keys = sorted({" ".join(t.split()) for t in titles})
+        if any(SequenceMatcher(None, x, y, autojunk=False).ratio() < 0.82 for i, x in enumerate(keys) for y in keys[i + 1 :]):
+            want.add(f"doi_title::10.1/{d}")
+    df = spark.createDataFrame(rows, "doi string, title string, venue string, abstract string").repartition(3)
+    assert {r["id"] for r in conflicts.title_conflicts(df).collect()} == want and 3 < len(want) < 40
+    assert conflicts.title_conflicts(df.where("false")).count() == 0
+
+
+def test_a_doi_of_many_variants_that_agree(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("'10.1/hot' as doi", "concat('a long title of a paper on wide band low noise amplifiers, version ', id) as title", "'V' as venue", "'x' as abstract")
+    assert conflicts.title_conflicts(df).count() == 0
