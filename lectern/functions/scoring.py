@@ -114,27 +114,39 @@ def band_relation(low: Column, high: Column, target_low: Column, target_high: Co
     )
 
 
+# A range's separator that was read in a wrong encoding, ranges, temperatures, the band that is known by name.
+RANGE_SEPARATOR = r"(?<=\d)\s*每\s*(?=\d)"
+RANGE = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)\s*(g|m)hz\b"
+TEMPERATURE = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*(?:k|kelvin)\b"
+NAMED_BAND = r"(?i)\bc[ -]?band\b"
+
+
 def frequency_mentions(text: Column | str) -> Column:
-    """Distinct (low, high, text) of ``a-b GHz`` and ``a-b MHz``, in GHz; C-band as 4 to 8."""
-    pattern = r"([0-9]+(?:\.[0-9]+)?) ?(?:-|–|—|to) ?([0-9]+(?:\.[0-9]+)?) ?([GM])Hz"
-    c = text_of(text)
-    part = lambda i: F.regexp_extract_all(c, F.lit(pattern), F.lit(i))
+    """Distinct (low, high, text, inferred) of ``a-b GHz`` and ``a-b MHz``, in GHz, broken separators repaired; C-band as 4 to 8, inferred.
+
+    Mentions that differ in the case of their text only are one, with the last text.
+    """
+    c = F.regexp_replace(text_of(text), RANGE_SEPARATOR, "-")
+    part = lambda i: F.regexp_extract_all(c, F.lit(RANGE), F.lit(i))
     zipped = F.arrays_zip(part(0).alias("text"), part(1).alias("a"), part(2).alias("b"), part(3).alias("unit"))
-    scaled = F.transform(zipped, lambda m: F.struct(
-        (m["a"].cast("double") / F.when(m["unit"] == "M", 1000.0).otherwise(1.0)).alias("low"), (m["b"].cast("double") / F.when(m["unit"] == "M", 1000.0).otherwise(1.0)).alias("high"), m["text"].alias("text")))
-    band = F.struct(F.lit(4.0).alias("low"), F.lit(8.0).alias("high"), F.lit("C-band").alias("text"))
-    named = F.when(F.lower(c).rlike(r"\bc-band\b"), F.array(band)).otherwise(F.slice(F.array(band), 1, 0))
-    return F.array_distinct(F.concat(F.filter(scaled, lambda m: m["high"] > m["low"]), named))
+    ghz = lambda m, side: F.round(m[side].cast("double") * F.when(F.lower(m["unit"]) == "m", 0.001).otherwise(1.0), 6)
+    scaled = F.transform(zipped, lambda m: F.struct(ghz(m, "a").alias("low"), ghz(m, "b").alias("high"), m["text"].alias("text"), F.lit(False).alias("inferred")))
+    band = F.struct(F.lit(4.0).alias("low"), F.lit(8.0).alias("high"), F.lit("C-band").alias("text"), F.lit(True).alias("inferred"))
+    named = F.when(c.rlike(NAMED_BAND), F.array(band)).otherwise(F.slice(F.array(band), 1, 0))
+    found = F.concat(F.filter(scaled, lambda m: m["high"] > m["low"]), named)
+    same = lambda m: F.struct(m["low"], m["high"], F.lower(m["text"]))
+    first = F.filter(F.transform(found, lambda m, i: m.withField("at", i)), lambda m: F.array_position(F.transform(found, same), same(m)) == m["at"] + 1)
+    return F.transform(first, lambda m: F.element_at(F.filter(found, lambda x: same(x) == same(m)), -1))
 
 
 def temperature_mentions(text: Column | str) -> Column:
     """Temperatures in kelvin of a text, above 0 and at most 400."""
-    found = F.transform(F.regexp_extract_all(text_of(text), F.lit(r"([0-9]+(?:\.[0-9]+)?) ?(?:K|kelvin)\b"), F.lit(1)), lambda x: x.cast("double"))
+    found = F.transform(F.regexp_extract_all(text_of(text), F.lit(TEMPERATURE), F.lit(1)), lambda x: x.cast("double"))
     return F.filter(found, lambda x: (x > 0) & (x <= 400))
 
 
 def temperature_bucket(t: Column) -> Column:
-    return F.when(t <= 4.2, "<=4.2 K").when(t <= 20, "<=20 K").when(t <= 77, "<=77 K").when(t <= 120, "<=120 K").otherwise(">120 K")
+    return F.when(t <= 4.2, "<=4.2K").when(t <= 20, "4.2-20K").when(t <= 77, "20-77K").when(t <= 120, "77-120K").otherwise(">120K")
 
 
 def venue_display(name: Column, kind: Column, factor: Column, quartile: Column) -> Column:

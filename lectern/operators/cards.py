@@ -148,7 +148,7 @@ def provenance(c=F.col) -> Column:
 def evidence_text(papers: DataFrame) -> Column:
     """All texts that may hold evidence, between blanks."""
     types = dict(papers.dtypes)
-    names = "title abstract summary technology_process physical_temperature record_type lna_band_ghz system_band_ghz frequency_range_ghz keywords ieee_terms".split()
+    names = "title abstract abstract_summary technology_process physical_temperature record_type frequency_range_ghz lna_band_ghz system_band_ghz keywords ieee_terms".split()
     one = lambda n: F.array_join(F.coalesce(F.col(n), F.array().cast("array<string>")), " ") if types[n].startswith("array") else text_of(F.col(n).cast("string"))
     return F.concat(F.lit(" "), F.concat_ws(" ", *(one(n) for n in names if n in types)), F.lit(" "))
 

@@ -432,7 +432,7 @@ def band_overlap(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity::INT::DOUBLE AS low, (l_quantity::INT + l_linenumber)::DOUBLE AS high, (l_suppkey % 300 + 1)::DOUBLE AS kelvin,
-  CASE WHEN l_suppkey % 300 + 1 <= 4.2 THEN '<=4.2 K' WHEN l_suppkey % 300 + 1 <= 20 THEN '<=20 K' WHEN l_suppkey % 300 + 1 <= 77 THEN '<=77 K' WHEN l_suppkey % 300 + 1 <= 120 THEN '<=120 K' ELSE '>120 K' END AS bucket FROM lineitem""")
+  CASE WHEN l_suppkey % 300 + 1 <= 4.2 THEN '<=4.2K' WHEN l_suppkey % 300 + 1 <= 20 THEN '4.2-20K' WHEN l_suppkey % 300 + 1 <= 77 THEN '20-77K' WHEN l_suppkey % 300 + 1 <= 120 THEN '77-120K' ELSE '>120K' END AS bucket FROM lineitem""")
 def mention_extract(spark, sf_dir):
     said = F.concat_ws("", F.lit("measured "), F.col("l_quantity").cast("int"), F.lit("-"), F.col("l_quantity").cast("int") + F.col("l_linenumber"), F.lit(" GHz at "), F.col("l_suppkey") % 300 + 1, F.lit(" K"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("said")).withColumns({"f": F.get(scoring.frequency_mentions("said"), F.lit(0)), "t": F.get(scoring.temperature_mentions("said"), F.lit(0))})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, keys, scope, scoring, text
-from lectern.operators import cards, collect, conflicts, control, family, filters, fusion, ingest, keyword, snapshot, stats, vector
+from lectern.operators import cards, collect, conflicts, control, evidence as evidences, family, filters, fusion, ingest, keyword, snapshot, stats, vector
 from lectern.operators.durable import materialize, shared_dir
 from lectern.plans.catalogue import N, P, T, papers, query, table
 from lectern.plans.query import FIELDS, KeywordQuery, Query
@@ -199,6 +199,25 @@ def record_types(spark, sf_dir):
     return papers(spark, sf_dir).select("position", kind.alias("kind"))
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_suppkey % 300 + 1 AS k, CASE WHEN l_partkey % 3 = 0 THEN 'SiGe' WHEN l_partkey % 3 = 1 THEN 'GaAs' END AS t, l_partkey % 5 = 0 AS c, l_partkey % 2 = 0 AS f FROM lineitem),
+m AS (SELECT *, greatest(0.0, least(q + l_linenumber, 30.0) - greatest(q, 20.0)) AS o1, CASE WHEN f THEN 3.0 ELSE 0.0 END AS o2 FROM x)
+SELECT l_orderkey, l_linenumber, coalesce(t, '') AS technology, CASE WHEN k <= 4.2 THEN '<=4.2K' WHEN k <= 20 THEN '4.2-20K' WHEN k <= 77 THEN '20-77K' WHEN k <= 120 THEN '77-120K' ELSE '>120K' END AS bucket, CASE WHEN q > 25 THEN 'measured' ELSE 'simulation_only' END AS measurement,
+  CASE WHEN o1 >= o2 THEN q ELSE 22 END::DOUBLE AS low, greatest(o1, o2)::DOUBLE AS overlap, 1 + f::INT AS mentions, 'suspected_corrupted_frequency_range_separator' AS quality, CASE WHEN q > 25 THEN '' ELSE 'simulation_only' END AS credibility,
+  concat_ws(',', CASE WHEN t IS NULL THEN 'technology' END, CASE WHEN k > 120 THEN 'cryogenic' END, CASE WHEN NOT c THEN 'circuit' END, CASE WHEN greatest(o1, o2) = 0 THEN 'frequency' END) AS missing FROM m""")
+def evidence_snapshots(spark, sf_dir):
+    q, n, part = F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_partkey")
+    said = F.concat_ws("", F.when(q > 25, "Measured ").otherwise("Simulation of "), q, F.lit(" 每 "), q + n, F.lit(" GHz at "), F.col("l_suppkey") % 300 + 1, F.lit(" K"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.struct("l_orderkey", "l_linenumber").alias("line"), said.alias("abstract"), F.when(part % 5 == 0, "A Low-Noise amplifier").otherwise("An antenna").alias("title"),
+        F.when(part % 3 == 0, "SiGe").when(part % 3 == 1, "GaAs").alias("technology_process"), F.when(part % 2 == 0, "22-25").alias("lna_band_ghz"),
+    )
+    s = evidences.snapshot(rows, (20, 30), key="line")
+    return s.select(
+        "line.*", F.array_join("technologies", ",").alias("technology"), F.array_join("temperature_buckets", ",").alias("bucket"), "measurement", F.col("best.low").alias("low"), F.col("best.overlap").alias("overlap"),
+        F.size("frequencies").alias("mentions"), F.array_join("quality_flags", ",").alias("quality"), F.array_join("credibility_flags", ",").alias("credibility"), F.array_join("missing", ",").alias("missing"),
+    )
+
+
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, greatest(0.0, least(l_quantity + 5, 30.0) - greatest(l_quantity, 20.0)) AS o, l_quantity AS q FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN q > 25 THEN 'evidenced' ELSE 'unknown' END AS technology, CASE WHEN q < 10 THEN 'evidenced' ELSE 'unknown' END AS cryogenic, CASE WHEN o > 0 THEN 'evidenced' ELSE 'contradicted' END AS frequency,
   CASE WHEN o = 0 AND (q + 5 = 20 OR q = 30) THEN 'endpoint_only' WHEN o = 0 THEN 'outside' WHEN q <= 20 AND q + 5 >= 30 THEN 'full_cover' WHEN q >= 20 AND q + 5 <= 30 THEN 'inside_target' ELSE 'partial_overlap' END AS relation FROM x""")

@@ -240,3 +240,26 @@ def test_a_doi_of_many_variants_that_agree(spark):
     n = 20_000
     df = spark.range(n).selectExpr("'10.1/hot' as doi", "concat('a long title of a paper on wide band low noise amplifiers, version ', id) as title", "'V' as venue", "'x' as abstract")
     assert conflicts.title_conflicts(df).count() == 0
+
+
+def test_evidence_of_records(spark):
+    from lectern.functions import scoring
+    from lectern.operators import evidence
+
+    said = ["18 每 26 GHz and 18-26 ghz, 18-26 GHz", "1.5 to 900 MHz; 26–18 GHz; C band", "v1.2-3 GHz and 4-5GHz", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i")
+    found = [[tuple(m) for m in r[0]] for r in df.select(scoring.frequency_mentions("t")).collect()]
+    assert found == [[(18.0, 26.0, "18-26 GHz", False)], [(0.0015, 0.9, "1.5 to 900 MHz", False), (4.0, 8.0, "C-band", True)], [(1.2, 3.0, "1.2-3 GHz", False), (4.0, 5.0, "4-5GHz", False)], []]
+    rows = [
+        (0, "A cryogenic low-noise amplifier in InP", "Measured at 4 K over 4-8 GHz and in C-band.", ["HEMT"], "4-8"), (1, "A CMOS mixer preprint", "Simulations at 300 K, 30-40 GHz.", [], None),
+        (2, None, None, None, None), (3, "An InPut buffer", "Experimental 2-4 GHz at 77 K", [], "bad"),
+    ]
+    r = {x["position"]: x for x in evidence.snapshot(spark.createDataFrame(rows, "position long, title string, abstract string, keywords array<string>, lna_band_ghz string"), (4, 8)).collect()}
+    assert (r[0]["technologies"], r[0]["temperature_buckets"], r[0]["measurement"], r[0]["missing"], r[0]["credibility_flags"]) == (["InP"], ["<=4.2K"], "measured", [], [])
+    assert (r[0]["best"]["text"], r[0]["best"]["relation"], r[0]["best"]["field"], len(r[0]["frequencies"])) == ("4-8 GHz", "full_cover", "", 3)
+    assert (r[1]["technologies"], r[1]["missing"], r[1]["credibility_flags"]) == (["CMOS"], ["cryogenic", "circuit", "frequency"], ["preprint_requires_primary_evidence_check", "simulation_only"])
+    assert r[1]["axes"]["frequency"] == "contradicted" and r[1]["best"]["relation"] == "outside"
+    assert (r[2]["frequencies"], r[2]["best"], r[2]["measurement"], r[2]["axes"]["frequency"]) == ([], None, "unknown", "unknown")
+    assert (r[3]["technologies"], r[3]["best"]["relation"], r[3]["axes"]["cryogenic"], r[3]["missing"]) == ([], "endpoint_only", "evidenced", ["technology", "circuit", "frequency"])
+    plain = evidence.snapshot(spark.createDataFrame([(0, "4-8 GHz")], "position long, title string")).first()
+    assert plain["best"] is None and plain["axes"]["frequency"] == "unknown" and plain["frequencies"][0]["high"] == 8.0
