@@ -52,7 +52,7 @@ def snapshot(records: DataFrame, target: tuple[float, float] | None = None, rule
 
     ``best`` is the mention with the largest overlap, then one that covers the target, then one that was not inferred from
     a band's name, then the first. ``axes`` tells evidenced, unknown or contradicted; ``missing`` lists the axes without evidence.
-    Records without any text have no mentions. Expressions only; nothing is shuffled.
+    Records without any text have no mentions. Names of parts are looked up without blanks, as the normalised text sets letters and digits apart. Expressions only; nothing is shuffled.
     """
     rules = rules or Rules()
     types = dict(records.dtypes)

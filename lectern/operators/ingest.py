@@ -134,7 +134,7 @@ def merge_sources(rows: DataFrame, allow_core: bool = True) -> DataFrame:
     Core fields take the last filled value (or, without ``allow_core``, the first); authors
     the richest list; lists their union; bibliographic fields the incoming value if the
     current is empty or the incoming row ranks at least as high as what is merged so far.
-    The state is one record, so groups of any size stream through in order.
+    The state is one record, so groups of any size stream through in order; records of one row pass as they are.
     """
     from pyspark.sql.types import ArrayType, StringType
 
@@ -145,13 +145,20 @@ def merge_sources(rows: DataFrame, allow_core: bool = True) -> DataFrame:
     schema = rows.select("canonical", "position", *names).schema
 
     def fold(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         state, rank, rich, out = None, 0, 0, []
         arrow = pa.schema([(f.name, pa.int64() if f.name in ("canonical", "position") else pa.list_(pa.string()) if f.name in lists else pa.string()) for f in schema.fields])
         assert all(isinstance(f.dataType, StringType | ArrayType) or f.name in ("canonical", "position") for f in schema.fields)
         for batch in batches:
-            for row in batch.to_pylist():
+            ids = batch.column("canonical").to_numpy()
+            # rows at the ends of a batch may go on in another one
+            alone = np.zeros(len(ids), bool)
+            alone[1:-1] = (ids[1:-1] != ids[:-2]) & (ids[1:-1] != ids[2:])
+            single = batch.filter(pa.array(alone))
+            yield pa.RecordBatch.from_arrays([single.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+            for row in batch.filter(pa.array(~alone)).to_pylist():
                 if state is None or row["canonical"] != state["canonical"]:
                     if state is not None:
                         out.append(state)
