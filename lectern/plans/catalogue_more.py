@@ -144,7 +144,7 @@ def parsed_bands(spark, sf_dir):
     return p.select("p_partkey", F.col("b.low").alias("low"), F.col("b.high").alias("high"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, least(l_quantity, 400.0) AS kelvin, CASE WHEN l_quantity <= 4.2 THEN '<=4.2 K' WHEN l_quantity <= 20 THEN '<=20 K' WHEN l_quantity <= 77 THEN '<=77 K' WHEN l_quantity <= 120 THEN '<=120 K' ELSE '>120 K' END AS bucket FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, least(l_quantity, 400.0) AS kelvin, CASE WHEN l_quantity <= 4.2 THEN '<=4.2K' WHEN l_quantity <= 20 THEN '4.2-20K' WHEN l_quantity <= 77 THEN '20-77K' WHEN l_quantity <= 120 THEN '77-120K' ELSE '>120K' END AS bucket FROM lineitem""")
 def temperatures(spark, sf_dir):
     line = F.concat(F.lit("cooled to "), F.col("l_quantity").cast("string"), F.lit(" K, not 999 K"))
     found = scoring.temperature_mentions(line)
