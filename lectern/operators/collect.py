@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize, similarity, tokens, year_of
 from lectern.operators import keyword, vector
-from lectern.operators.durable import materialize, shared_dir
+from lectern.operators.durable import materialize, ranked, shared_dir
 from lectern.operators.fusion import last_wins, retained
-from lectern.plans.query import FIELDS, Query
+from lectern.plans.query import Query
 
 #: Likeness of the words of two queries from which they are one family.
 ALIKE = 0.62
@@ -52,27 +52,46 @@ def query_families(queries: DataFrame) -> DataFrame:
     """``(query_pos, family)`` of ``queries(query_pos, mode, family, titles, dois, authors, text)``, one specification's list.
 
     A query's own family counts, then identity (titles or DOIs) and authors. Others follow, in order,
-    the first lead of their kind whose words are alike (ALIKE); one without such a lead leads a family itself. The list is
-    written by a user, so that one ordered aggregate over it suffices.
+    the first lead of their kind whose words are alike (ALIKE); one without such a lead leads a family itself. Queries that
+    are alike meet by rare words; those whose earlier ones are all decided are decided in each round.
     """
     kind = F.when(F.col("mode") == "keyword", "keyword").otherwise("semantic")
     given = F.coalesce(
         F.when(F.col("family") != "", F.col("family")), F.when((F.size("titles") > 0) | (F.size("dois") > 0), "identity"),
         F.when(F.size("authors") > 0, F.concat(F.lit("author:"), normalize(F.array_join("authors", " ")))),
     )
-    rows = queries.select("query_pos", given.alias("given"), kind.alias("kind"), tokens("text").alias("words"))
-    lead = "array<struct<name: string, kind: string, words: array<string>>>"
-    start = F.struct(F.array().cast(lead).alias("leads"), F.array().cast("array<struct<query_pos: int, family: string>>").alias("named"))
-
-    def step(state: Column, q: Column) -> Column:
-        alike = F.filter(state["leads"], lambda x: (x["kind"] == q["kind"]) & (F.size(x["words"]) > 0) & (F.size(q["words"]) > 0) & (similarity(x["words"], q["words"]) >= ALIKE))
-        new = q["given"].isNull() & (F.size(alike) == 0)
-        name = F.coalesce(q["given"], F.get(alike, F.lit(0))["name"], F.concat(q["kind"], F.lit(":"), (F.size(state["leads"]) + 1).cast("string")))
-        leads = F.when(new, F.array_append(state["leads"], F.struct(name.alias("name"), q["kind"].alias("kind"), q["words"].alias("words")))).otherwise(state["leads"])
-        return F.struct(leads.alias("leads"), F.array_append(state["named"], F.struct(q["query_pos"].alias("query_pos"), name.alias("family"))).alias("named"))
-
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("query_pos", "given", "kind", "words"))).alias("all"))
-    return listed.select(F.inline(F.aggregate("all", start, step)["named"]))
+    rows = materialize(queries.select("query_pos", given.alias("given"), kind.alias("kind"), tokens("text").alias("words")), "asked")
+    free = rows.where("given is null").select("query_pos", "kind")
+    alike = materialize(_alike_queries(rows.where("given is null and size(words) > 0")), "alike")
+    leads, others = free.join(alike.select(F.col("later").alias("query_pos")), "query_pos", "left_anti"), free
+    leads = materialize(leads, "leads")
+    while True:
+        # followers have a lead before them; of the others, those with none but followers before them lead
+        led = alike.join(leads.select(F.col("query_pos").alias("earlier")), "earlier")
+        others = materialize(others.join(leads, "query_pos", "left_anti").join(led.select(F.col("later").alias("query_pos")), "query_pos", "left_anti"), "undecided")
+        if others.isEmpty():
+            break
+        waiting = alike.join(others.select(F.col("query_pos").alias("earlier")), "earlier").select(F.col("later").alias("query_pos"))
+        leads = materialize(leads.unionByName(others.join(waiting, "query_pos", "left_anti")), "leads")
+    named = ranked(leads, [F.col("query_pos")]).select(F.col("query_pos").alias("lead"), F.concat("kind", F.lit(":"), F.col("rank").cast("string")).alias("name"))
+    first = led.groupBy("later").agg(F.min("earlier").alias("lead")).withColumnRenamed("later", "query_pos").unionByName(leads.select("query_pos", F.col("query_pos").alias("lead")))
+    return rows.join(first.join(named, "lead"), "query_pos", "left").select("query_pos", F.coalesce("given", "name").alias("family"))
+
+
+def _alike_queries(rows: DataFrame) -> DataFrame:
+    """``(earlier, later)`` of ``rows(query_pos, kind, words)``: pairs of a kind whose words are alike.
+
+    At least ALIKE of the smaller set is in the larger one, so one of its first words is, rare ones first.
+    """
+    each = rows.select("query_pos", "kind", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counted = each.join(each.groupBy("kind", "word").agg(F.count("*").alias("times")), ["kind", "word"])
+    order = Window.partitionBy("query_pos").orderBy("times", "word")
+    few = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * ALIKE - 1e-9) + 1)
+    small = few.select("kind", "word", F.col("query_pos").alias("a")).join(rows.select(F.col("query_pos").alias("a"), F.col("words").alias("x")), "a")
+    large = each.select("kind", "word", F.col("query_pos").alias("b")).join(rows.select(F.col("query_pos").alias("b"), F.col("words").alias("y")), "b")
+    met = small.join(large, ["kind", "word"]).where((F.col("a") != F.col("b")) & (F.size("x") <= F.size("y")))
+    met = met.where(similarity(F.col("x"), F.col("y")) >= ALIKE)
+    return met.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
 
 
 def infer_families(spark: SparkSession, queries: Sequence[Query]) -> list[Query]:
@@ -94,8 +113,8 @@ def run_queries(
     still fails after ``retries`` more attempts has no results and the status failed.
     """
     spark, queries = papers.sparkSession, infer_families(papers.sparkSession, queries)
-    literal = any(q.mode in ("keyword", "filtered_lite") for q in queries)
-    table = materialize(keyword.search_table(papers, FIELDS), "search") if literal else papers
+    read = {n for q in queries if q.mode in ("keyword", "filtered_lite") for n in keyword.fields_of(q.keyword)}
+    table = materialize(keyword.search_table(papers, tuple(sorted(read))), "search") if read else papers
     parts: list[DataFrame] = []
     notes: dict[int, dict] = {}
 

@@ -113,6 +113,11 @@ def judged(query: KeywordQuery, test: Callable[[str, str], Column], title: Colum
     return F.when(all_of(conditions), F.struct(matched.alias("matched_fields"), named.alias("matched_terms")))
 
 
+def fields_of(query: KeywordQuery) -> tuple[str, ...]:
+    """The fields that a query reads."""
+    return tuple(dict.fromkeys([*query.fields, *(["title", "doi"] if query.titles or query.dois else []), *(["authors"] if query.authors else [])]))
+
+
 def match(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     """Rows of ``papers`` that match, with ``matched_fields`` and ``matched_terms``.
 
@@ -121,7 +126,7 @@ def match(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     field is normalised once a row: the tests read it from a struct that a generator binds,
     which the optimiser doesn't copy into every test.
     """
-    needed = tuple(dict.fromkeys([*query.fields, *(["title", "doi"] if query.titles or query.dois else []), *(["authors"] if query.authors else [])]))
+    needed = fields_of(query)
 
     def tested(fields: Column) -> Column:
         title = fields["title"].isin([plain(t) for t in query.titles] or [""]) & (fields["title"] != "") if query.titles or query.dois else None
