@@ -28,13 +28,12 @@ LISTS = ["keywords", "ieee_terms"]
 RANGE = 1_000_000
 
 
-def _claims(rows: DataFrame) -> DataFrame:
-    """``(position, record, key)``: the keys that a merged record holds after each row of ``rows(position, title, year, keys, record)``.
+def _completed(rows: DataFrame) -> DataFrame:
+    """``(position, record, key)``: the keys that a merged record holds after a row of ``rows(position, title, year, record)`` beside the row's own.
 
-    These are the row's own; a row with a title but no year (or the reverse) is completed from the latest
+    A row with a title but no year (or the reverse) is completed from the latest
     row of its record that has one, by ranges of positions, so no record's rows meet in one task.
     """
-    own = rows.select("position", "record", F.explode("keys").alias("key"))
     half = (F.col("title") == "") != (F.col("year") == "")
     held = rows.select("position", "record", *(F.nullif(c, F.lit("")).alias(c) for c in ("title", "year")), half.alias("half"), F.floor(F.col("position") / RANGE).alias("part"))
     held = held.join(held.where("half").select("record").distinct(), "record", "left_semi")
@@ -45,28 +44,47 @@ def _claims(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("record", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     full = held.select("position", "record", "part", "half", *(F.last(c, ignorenulls=True).over(within).alias(c) for c in ("title", "year"))).where("half").join(ends, ["record", "part"])
     title, year = F.coalesce("title", "_title"), F.coalesce("year", "_year")
-    return own.unionByName(full.where(title.isNotNull() & year.isNotNull()).select("position", "record", F.concat_ws("::", F.lit("title_year"), title, year).alias("key")))
+    return full.where(title.isNotNull() & year.isNotNull()).select("position", "record", F.concat_ws("::", F.lit("title_year"), title, year).alias("key"))
+
+
+#: Levels of rows that are records by themselves, and of rows none of whose keys is held.
+OWN, NONE = -1, 9
 
 
 def _in_rounds(named: DataFrame, max_rounds: int) -> DataFrame:
     """``(position, canonical)`` by rounds of aggregations and joins, each of which decides all rows by what the last round decided.
 
-    A row depends on earlier ones only, so rounds settle from the first position on, and what no round changes any
-    more is what one row at a time gives. Their number is that of the longest chain of rows that decide one another.
+    A key is held by the record of its first row. While it is held, a row that has it joins that record, unless a stronger key
+    names another one: so only rows that a stronger key decides (or that are records by themselves, or complete a record's title
+    and year) end a hold, and a row that finds none of its keys held ends none. What a row decides depends on earlier rows
+    only, so what no round changes any more is what one row at a time gives; the number of rounds is that of
+    holds that end one another, not of the rows of a key.
     """
-    wanted = named.where("not own").select("position", F.posexplode("keys").alias("level", "key"))
-    now = materialize(named.select("position", F.col("name").alias("record")), "records")
+    halves = not named.where("(title = '') <> (year = '')").isEmpty()
+    keyed = named.select("position", F.posexplode("keys").alias("level", "key"))
+    table = keyed.groupBy("key").agg(F.min(F.col("position") * 4 + F.col("level")).alias("kid"), F.count("*").alias("n"))
+    # keys of one row decide nothing, but for those that a completed record may claim
+    table = table.where((F.col("n") > 1) | (F.lit(halves) & F.col("key").startswith("title_year::"))).select("key", "kid")
+    table = materialize(table, "keys")
+    wanted = materialize(keyed.join(table, "key").select("position", "level", "kid"), "wanted")
+    names = named.groupBy("name").agg(F.min("position").alias("record"))
+    now = named.join(names, "name").select("position", "own", F.col("record").alias("name"), "record", F.when(F.col("own"), OWN).otherwise(NONE).alias("chosen"), F.lit(True).alias("changed"))
+    now = materialize(now, "records")
     for _ in range(max_rounds):
-        claims = _claims(named.join(now, "position")).groupBy("key", "record").agg(F.min("position").alias("since"))
-        two = claims.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("since"))).where("n <= 2")
-        held = two.groupBy("key").agg(F.min("since").alias("since"), F.min_by("record", "since").alias("record"), F.max(F.when(F.col("n") == 2, F.col("since"))).alias("until"))
-        live = wanted.join(held, "key").where("since < position and (until is null or until >= position)")
-        chosen = live.groupBy("position").agg(F.min_by("record", "level").alias("record"))
-        after = named.select("position", "name").join(chosen, "position", "left").select("position", F.coalesce("record", "name").alias("record"))
-        after = materialize(after, "records")
-        settled = after.join(now.withColumnRenamed("record", "before"), "position").where("record <> before").isEmpty()
-        now = after
-        if settled:
+        claims = wanted.join(now, "position").select("kid", "position", "record", (F.col("chosen") < F.col("level")).alias("ends"))
+        if halves:
+            completed = _completed(named.select("position", "title", "year").join(now.select("position", "record"), "position"))
+            claims = claims.unionByName(completed.join(table, "key").select("kid", "position", "record", F.lit(True).alias("ends")))
+        held = claims.groupBy("kid").agg(F.min("position").alias("since"), F.min_by("record", "position").alias("holder"))
+        ended = claims.where("ends").join(held, "kid").where("record <> holder").groupBy("kid").agg(F.min("position").alias("until"))
+        live = wanted.join(held.join(ended, "kid", "left"), "kid").where("since < position and (until is null or until >= position)")
+        found = live.groupBy("position").agg(F.min("level").alias("_level"), F.min_by("holder", "level").alias("_record"))
+        after = now.drop("changed").join(found, "position", "left")
+        record = F.when(F.col("own"), F.col("record")).otherwise(F.coalesce("_record", "name"))
+        chosen = F.when(F.col("own"), OWN).otherwise(F.coalesce("_level", F.lit(NONE)))
+        changed = (record != F.col("record")) | (chosen != F.col("chosen"))
+        now = materialize(after.select("position", "own", "name", record.alias("record"), chosen.alias("chosen"), changed.alias("changed")), "records")
+        if now.where("changed").isEmpty():
             starts = now.groupBy("record").agg(F.min("position").alias("canonical"))
             return now.join(starts, "record").select("position", "canonical")
     raise RuntimeError(f"keys did not settle in {max_rounds} rounds")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import collect, vector
+from lectern.operators import collect, ingest, vector
 from lectern.operators.collect import ALIKE
 
 
@@ -36,3 +36,25 @@ def test_families_are_those_of_one_query_at_a_time(spark):
             leads.append((wanted[i], kind, words))
     assert {r["query_pos"]: r["family"] for r in collect.query_families(asked).collect()} == wanted
     assert collect.query_families(asked.where(F.lit(False))).count() == 0
+
+
+def test_rows_of_a_common_title_settle_in_few_rounds(spark):
+    """Rows of one title in one record, of others by other keys, are decided together, not one a round."""
+    random.seed(5)
+    rows, holder, wanted, state = [], {}, {}, {}
+    for i in range(400):
+        doi = random.choice(["", "", f"d{random.randrange(4)}"])
+        title, year = random.choice(["one", "one", "two", f"t{random.randrange(30)}", ""]), random.choice(["", "2001", "2002", "2003"])
+        rows.append((i, doi, title, year))
+        keys = [f"doi::{doi}"] * bool(doi) + [f"title_year::{title}::{year}"] * bool(title and year) + [f"title::{title}"] * bool(title)
+        if not keys:
+            continue
+        name = next((holder[k] for k in keys if holder.get(k)), keys[0])
+        start, t, y = state.get(name, (i, "", ""))
+        state[name] = start, title or t, year or y
+        for k in keys + [f"title_year::{title or t}::{year or y}"] * bool((title or t) and (year or y)):
+            if holder.setdefault(k, name) != name:
+                holder[k] = None
+        wanted[i] = start
+    df = spark.createDataFrame(rows, "position long, doi string, title string, year string")
+    assert {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, small=1, max_rounds=12).collect()} == wanted
