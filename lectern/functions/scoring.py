@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -121,22 +122,39 @@ TEMPERATURE = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*(?:k|kelvin)\b"
 NAMED_BAND = r"(?i)\bc[ -]?band\b"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row, however often ``body`` names it: as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def frequency_mentions(text: Column | str) -> Column:
     """Distinct (low, high, text, inferred) of ``a-b GHz`` and ``a-b MHz``, in GHz, broken separators repaired; C-band as 4 to 8, inferred.
 
     Mentions that differ in the case of their text only are one, with the last text.
     """
-    c = F.regexp_replace(text_of(text), RANGE_SEPARATOR, "-")
-    part = lambda i: F.regexp_extract_all(c, F.lit(RANGE), F.lit(i))
-    zipped = F.arrays_zip(part(0).alias("text"), part(1).alias("a"), part(2).alias("b"), part(3).alias("unit"))
-    ghz = lambda m, side: F.round(m[side].cast("double") * F.when(F.lower(m["unit"]) == "m", 0.001).otherwise(1.0), 6)
-    scaled = F.transform(zipped, lambda m: F.struct(ghz(m, "a").alias("low"), ghz(m, "b").alias("high"), m["text"].alias("text"), F.lit(False).alias("inferred")))
+    given = text_of(text)
+    repaired = F.when(F.contains(given, F.lit("每")), F.regexp_replace(given, RANGE_SEPARATOR, "-")).otherwise(given)
     band = F.struct(F.lit(4.0).alias("low"), F.lit(8.0).alias("high"), F.lit("C-band").alias("text"), F.lit(True).alias("inferred"))
-    named = F.when(c.rlike(NAMED_BAND), F.array(band)).otherwise(F.slice(F.array(band), 1, 0))
-    found = F.concat(F.filter(scaled, lambda m: m["high"] > m["low"]), named)
+    ghz = lambda x, unit: F.round(x.cast("double") * F.when(F.lower(unit) == "m", 0.001).otherwise(1.0), 6)
+
+    def mention(said: Column) -> Column:
+        part = lambda i: F.regexp_extract(said, RANGE, i)
+        return F.struct(ghz(part(1), part(3)).alias("low"), ghz(part(2), part(3)).alias("high"), said.alias("text"), F.lit(False).alias("inferred"))
+
+    def mentions(c: Column) -> Column:
+        stated = F.filter(F.transform(F.regexp_extract_all(c, F.lit(RANGE), F.lit(0)), mention), lambda m: m["high"] > m["low"])
+        return F.concat(stated, F.when(c.rlike(NAMED_BAND), F.array(band)).otherwise(F.slice(F.array(band), 1, 0)))
+
     same = lambda m: F.struct(m["low"], m["high"], F.lower(m["text"]))
-    first = F.filter(F.transform(found, lambda m, i: m.withField("at", i)), lambda m: F.array_position(F.transform(found, same), same(m)) == m["at"] + 1)
-    return F.transform(first, lambda m: F.element_at(F.filter(found, lambda x: same(x) == same(m)), -1))
+
+    def distinct(found: Column) -> Column:
+        def of_all(names: Column) -> Column:
+            first = F.filter(F.transform(found, lambda m, i: m.withField("at", i)), lambda m: F.array_position(names, same(m)) == m["at"] + 1)
+            return F.transform(first, lambda m: F.element_at(F.filter(found, lambda x: same(x) == same(m)), -1))
+
+        return F.when(F.size(found) < 2, found).otherwise(bound(F.transform(found, same), of_all))
+
+    return bound(bound(repaired, mentions), distinct)
 
 
 def temperature_mentions(text: Column | str) -> Column:

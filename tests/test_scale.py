@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lectern.functions import scoring
 from lectern.operators import collect, ingest, vector
 from lectern.operators.collect import ALIKE
 
@@ -58,3 +59,12 @@ def test_rows_of_a_common_title_settle_in_few_rounds(spark):
         wanted[i] = start
     df = spark.createDataFrame(rows, "position long, doi string, title string, year string")
     assert {r["position"]: r["canonical"] for r in ingest.resolve_keys(df, small=1, max_rounds=12).collect()} == wanted
+
+
+def test_mentions_are_read_once_a_text(spark):
+    """The plan holds each regular expression as often as the text is read: once; results are those of all mentions, the last of equal ones."""
+    df = spark.createDataFrame([("1-2 GHz, 1-2 ghz, 3 每 4 MHz, 9-5 GHz and c-band",), ("none",), (None,)], "t string").select(scoring.frequency_mentions("t").alias("f"))
+    got = [[(m["low"], m["high"], m["text"], m["inferred"]) for m in r["f"]] for r in df.collect()]
+    assert got == [[(1.0, 2.0, "1-2 ghz", False), (0.003, 0.004, "3-4 MHz", False), (4.0, 8.0, "C-band", True)], [], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
