@@ -38,12 +38,16 @@ def year_conflicts(records: DataFrame) -> DataFrame:
 
 
 def _variants(records: DataFrame, value: Column) -> DataFrame:
-    """Distinct values of each DOI with more than one, numbered; DOIs of books only are left out."""
+    """``(doi_key, v, a)``: the values of each DOI with more than one, with its least value; DOIs of books only are left out.
+
+    Values are made once, and only DOIs meet in aggregations: equal values stay apart.
+    """
     book = F.lower(F.coalesce(F.col("venue"), F.lit(""))).rlike("book|handbook") | F.lower(F.coalesce(F.col("title"), F.lit(""))).rlike(r"\bchapter\b")
     rows = records.select(loose_doi("doi").alias("doi_key"), value.alias("v"), book.alias("book")).where("doi_key <> '' and v <> ''")
-    each = rows.groupBy("doi_key", "v").agg(F.min("book").alias("book"))
-    many = each.groupBy("doi_key").agg(F.count("*").alias("n"), F.min("book").alias("books")).where("n > 1 and not books")
-    return each.join(many.select("doi_key"), "doi_key").select("doi_key", "v")
+    rows = materialize(rows, "values")
+    own = F.when(~F.col("v").startswith("\x00"), F.col("v"))  # a text without any words or signs counts for books only
+    many = rows.groupBy("doi_key").agg(F.min(own).alias("a"), F.max(own).alias("z"), F.min("book").alias("books")).where("a <> z and not books")
+    return rows.where(own.isNotNull()).select("doi_key", "v").join(materialize(many.select("doi_key", "a"), "variants"), "doi_key")
 
 
 #: Values of a block; two blocks of a DOI meet in a task.
@@ -51,12 +55,17 @@ BLOCK = 500
 
 
 def _apart(pairs: DataFrame, differ: Callable[[str, str], bool]) -> DataFrame:
-    """``(doi_key)`` of the rows of ``pairs(doi_key, a, b)`` whose values differ."""
+    """``(doi_key)`` of the rows of ``pairs(doi_key, a, b)`` whose values differ; a task compares no more for a DOI that it has found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doi_key", "a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, a, b in zip(*columns) if differ(a, b)], pa.string())], ["doi_key"])
+            found = []
+            for key, a, b in zip(*(batch.column(c) for c in ("doi_key", "a", "b"))):
+                if (name := key.as_py()) not in known and differ(a.as_py(), b.as_py()):
+                    known.add(name)
+                    found.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["doi_key"])
 
     return pairs.select("doi_key", "a", "b").mapInArrow(run, "doi_key string").distinct()
 
@@ -96,16 +105,15 @@ def _blocks_apart(each: DataFrame, differ: Callable[[str, str], bool], agree: Ca
 
 
 def _in_conflict(each: DataFrame, differ: Callable[[str, str], bool], agree: Callable[[str, str, str, int], bool] = lambda value, first, last, longest: False) -> DataFrame:
-    """``(doi_key)`` of the DOIs of ``each(doi_key, v)`` with two values that differ.
+    """``(doi_key)`` of the DOIs of ``each(doi_key, v, a)`` with two values that differ.
 
     The values of a DOI are compared with its least one first. DOIs of three and more values of which none differs
-    from that one are compared pair by pair, in blocks.
+    from that one are compared pair by pair, in blocks; only their values are shuffled.
     """
-    sizes = each.groupBy("doi_key").agg(F.count("*").alias("n"), F.min("v").alias("a"))
-    each = materialize(each.join(sizes, "doi_key"), "variants")
     found = materialize(_apart(each.where("v <> a").withColumnRenamed("v", "b"), differ), "variants")
-    rest = each.where("n > 2").select("doi_key", "v", "n").join(found, "doi_key", "left_anti")
-    return found.unionByName(_blocks_apart(rest, differ, agree))
+    rest = materialize(each.select("doi_key", "v").join(F.broadcast(found) if found.limit(100_001).count() <= 100_000 else found, "doi_key", "left_anti").distinct(), "variants")
+    many = rest.groupBy("doi_key").agg(F.count("*").alias("n")).where("n > 2")
+    return found.unionByName(_blocks_apart(rest.join(many, "doi_key"), differ, agree))
 
 
 def ratio_below(a: str, b: str, least: float) -> bool:
@@ -143,7 +151,7 @@ def materially_different(a: Column, b: Column, least: float = 0.55) -> Column:
 def abstract_conflicts(records: DataFrame, least: float = 0.55) -> DataFrame:
     """DOIs with two materially different abstracts; words are compared in the search form."""
     words = F.array_join(tokens(squeeze("abstract"), ["-"]), " ")
-    each = _variants(records, F.concat(F.lower(squeeze("abstract")), F.lit("\x00"), words)).where(~F.col("v").startswith("\x00"))
+    each = _variants(records, F.concat(F.lower(squeeze("abstract")), F.lit("\x00"), words))
 
     def differ(x: str, y: str) -> bool:
         (a, _, p), (b, _, q) = x.partition("\x00"), y.partition("\x00")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.functions import scoring
-from lectern.operators import collect, ingest, vector
+from lectern.operators import collect, conflicts, ingest, vector
 from lectern.operators.collect import ALIKE
 
 
@@ -68,3 +68,13 @@ def test_mentions_are_read_once_a_text(spark):
     assert got == [[(1.0, 2.0, "1-2 ghz", False), (0.003, 0.004, "3-4 MHz", False), (4.0, 8.0, "C-band", True)], [], []]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_values_of_a_doi_are_made_once(spark):
+    """Texts are prepared in one pass; empty abstracts conflict with none, and an empty one that is no book counts for books."""
+    a, b = "cold low noise amplifier of two stages", "a survey of antennas"
+    rows = [("d1", a, "v", "t"), ("d1", "", "v", "t"), ("d1", a + " ", "v", "t"), ("d2", a, "v", "t"), ("d2", b, "v", "t"), ("d3", a, "book", "t"), ("d3", b, "book", "t"), ("d4", a, "book", "t"), ("d4", b, "book", "t"), ("d4", " ", "v", "t")]
+    df = spark.createDataFrame(rows, "doi string, abstract string, venue string, title string")
+    assert sorted(r["id"] for r in conflicts.abstract_conflicts(df).collect()) == ["doi_abstract::d2", "doi_abstract::d4"]
+    plan = conflicts._variants(df, F.lower(F.regexp_replace("abstract", "x+", "y")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
