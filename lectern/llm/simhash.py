@@ -25,7 +25,7 @@ their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -557,11 +557,38 @@ def cluster_links(crowd: DataFrame, sets: DataFrame, threshold: float = SIMILARI
     return materialize(spread.mapInArrow(run, "a long, b long"), "similar-within"), leads
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` whose ``sets(vertex, shingles)`` have the similarity.
+def sign(shingles: np.ndarray) -> bytes:
+    """The size of a set and the parities of its elements in buckets, two or more an element: a twentieth of the set's bytes."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((_mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.array([len(shingles)], "<u8").tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def signs_may_reach(a: bytes, b: bytes, threshold: float) -> bool:
+    """False only for sets that can't reach the threshold: they differ in at least as many elements as their parities."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    sizes, x, y = (int(x[0]), int(y[0])), x[1:], y[1:]
+    if min(sizes) < threshold * max(sizes) - 1e-9:
+        return False
+    while len(x) != len(y):  # the buckets of the finer one are folded
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (1 - threshold) / (1 + threshold) * sum(sizes) + 1e-6
+
+
+def _sets_reach(a: bytes, b: bytes, threshold: float) -> bool:
+    sizes = (len(a) // HASH_BYTES, len(b) // HASH_BYTES)
+    if min(sizes) < threshold * max(sizes) - 1e-9:
+        return False
+    common = len(np.intersect1d(_from_set(a), _from_set(b), assume_unique=True))
+    return common >= threshold * (sum(sizes) - common) - 1e-9
+
 
-    The set of each ``b`` travels to its ``a`` once a pair; partners of an ``a`` are dealt in
-    blocks of PARTNERS, each of which gets the set of ``a``.
+def _kept(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes, bytes, float], bool], threshold: float, tag: str) -> DataFrame:
+    """The ``pairs(a, b)`` of which ``column`` of ``sets(vertex, ...)`` passes the test.
+
+    The value of each ``b`` travels to its ``a`` once a pair; partners of an ``a`` are dealt in
+    blocks of PARTNERS, each of which gets the value of ``a``.
     """
     leads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
@@ -570,28 +597,33 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -
     roles = roles.unionByName(leads.select(F.col("a").alias("vertex"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lead = None, np.zeros(0, np.uint64)
+        now, lead = None, None
         for batch in batches:
             a, b = [], []
-            for key, part, role, vertex, data in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "role", "vertex")), batch.column("shingles")):
+            for key, part, role, vertex, data in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "role", "vertex")), batch.column(column)):
                 if (key, part) != now:
-                    now, lead = (key, part), np.zeros(0, np.uint64)
+                    now, lead = (key, part), None
                 if role == 0:
-                    lead = _from_set(data.as_py())
-                    continue
-                size = len(data.as_buffer()) // HASH_BYTES
-                if min(size, len(lead)) < threshold * max(size, len(lead)) - 1e-9:
-                    continue
-                common = len(np.intersect1d(lead, _from_set(data.as_py()), assume_unique=True))
-                if common >= threshold * (size + len(lead) - common) - 1e-9:
+                    lead = data.as_py()
+                elif lead is not None and test(lead, data.as_py(), threshold):
                     a.append(key)
                     b.append(vertex)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         release_memory()
 
-    met = sets.join(checked_broadcast(roles), "vertex").select("a", "block", "role", "vertex", "shingles")
+    met = sets.join(checked_broadcast(roles), "vertex").select("a", "block", "role", "vertex", column)
     met = met.repartition(F.col("a"), F.col("block")).sortWithinPartitions("a", "block", "role")
-    return materialize(met.mapInArrow(run, "a long, b long"), "similar-links")
+    return materialize(met.mapInArrow(run, "a long, b long"), tag)
+
+
+def sifted(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The ``pairs(a, b)`` that ``sets(vertex, sign)`` don't rule out: signs travel once a pair, sets only for what is left."""
+    return _kept(pairs, sets, "sign", signs_may_reach, threshold, "similar-sifted")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(vertex, shingles)`` have the similarity."""
+    return _kept(pairs, sets, "shingles", _sets_reach, threshold, "similar-links")
 
 
 def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -599,8 +631,8 @@ def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILA
 
     Two sets of the threshold share a shingle of their prefixes, so every pair meets in the
     group of one; sizes and signatures leave out only pairs that can't reach the threshold.
-    Each pair that is left is verified by the Jaccard similarity of the shingle sets, but for
-    pairs that verified links connect already. Large groups give few pairs at first; then
+    Signs, which grow with the sets, then rule out nearly all pairs below the threshold. Each pair
+    that is left is verified by the Jaccard similarity of the shingle sets, but for pairs that verified links connect already. Large groups give few pairs at first; then
     their texts that are still apart are compared in clusters, where only links leave the task.
     """
 
@@ -625,17 +657,19 @@ def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILA
         for b in batches:
             words, at = batch_words(b.column("text"))
             sets = [_as_set(shingles_of(words[s:e])) for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(sets, pa.binary())], ["vertex", "shingles"])
+            signs = [sign(_from_set(x)) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("vertex"), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], ["vertex", "sign", "shingles"])
         release_memory()
 
     texts = docs.join(checked_broadcast(some), "row_key")
-    sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, shingles binary"), "similar")
+    sets = materialize(texts.select("vertex", "text").mapInArrow(describe, "vertex long, sign binary, shingles binary"), "similar")
 
     def apart(some_pairs: DataFrame, roots: DataFrame) -> DataFrame:
         left = some_pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         return materialize(left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "similar-apart")
 
     def connect(some_pairs: DataFrame, found: DataFrame) -> DataFrame:
+        some_pairs = sifted(some_pairs, sets, threshold)
         # one partner of each text first: what that connects needs no further pair
         found = found.unionByName(verified(some_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, threshold))
         return found.unionByName(verified(apart(some_pairs, components(found)), sets, threshold))
@@ -652,7 +686,7 @@ def similar_links(members: DataFrame, docs: DataFrame, threshold: float = SIMILA
     named = materialize(named, "similar-crowd")
     split = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     named = named.join(checked_broadcast(materialize(split, "similar-split")), "token", "left_semi")
-    within, leads = cluster_links(named, sets, threshold)
+    within, leads = cluster_links(named, sets.select("vertex", "shingles"), threshold)
     # texts that share a frequent shingle, but not their cluster
     led = named.join(checked_broadcast(leads.select("vertex", "lead")), "vertex")
     apart_leads = led.groupBy("token").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x <> y").select("token")

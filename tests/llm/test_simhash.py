@@ -296,3 +296,31 @@ def test_pairs_of_large_groups_equal_brute_force():
     near = {(i, j) for j in owners.tolist() for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
     assert len(near) >= 60 and near <= alone and {(i, j) for i, j in near if i // 8 != j // 8} <= found
     assert all(i // 8 != j // 8 for i, j in found) and len(alone) < 0.1 * len(sets) ** 2 / 2
+
+
+def test_signs_rule_out_only_pairs_below_the_threshold():
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 60, 300, 2500):
+        base = rng.integers(0, 1 << 48, size, dtype=np.uint64)
+        for other in (size, max(1, int(size * 0.83)), int(size * 1.2) + 1):
+            for kept in range(0, min(size, other) + 1, max(1, size // 12)):
+                x, y = np.unique(base), np.unique(np.r_[base[:kept], rng.integers(0, 1 << 48, other - kept, dtype=np.uint64)])
+                common = len(np.intersect1d(x, y))
+                similarity = common / (len(x) + len(y) - common)
+                passes = simhash.signs_may_reach(simhash.sign(x), simhash.sign(y), 0.8)
+                assert passes or similarity < 0.8
+                assert not passes or similarity > 0.7 or size < 60
+        assert len(simhash.sign(base)) <= size / 2 + 16
+
+
+def test_sets_travel_only_for_pairs_that_signs_leave(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [[word() for _ in range(1800)] for _ in range(4)]  # pairs of long texts that share two thirds, where short signatures tell nothing
+    texts = [common[i // 2] + [word() for _ in range(900)] for i in range(8)] + [[word() for _ in range(2000)]]
+    texts.append(texts[-1][:-100])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets, threshold: seen.append(pairs.count()) or real(pairs, sets, threshold))
+    kept = simhash.keep_representatives(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(9)) and 1 <= sum(seen) <= 2
