@@ -139,3 +139,32 @@ def test_an_author_of_half_the_rows_forms_no_square(spark):
     own = family.literal_blocks(df, sizes)
     assert own.where("block like 'p:%'").count() == 1000
     assert family.literal_candidates(df.limit(1), own, own).count() == 1000
+
+
+def test_records_travel_only_for_pairs_that_may_relate(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    titles = [" ".join(rng.sample(words, 12)) for _ in range(61)]
+    titles += [" ".join(t.split()[:-1]) for t in titles[:10]]  # extensions, and copies of all that differ in nothing but their keys
+    rows = [(i, t, "", ["Ann Frequent"], "v", "2020", f"10.1/{i}") for i, t in enumerate(titles * 6)]
+    df = family.with_rare_words(family.prepare(spark.createDataFrame(rows, FIELDS))).localCheckpoint()
+    number = F.substring_index("key", "/", -1).cast("int")
+    seen, real = [], family.relation
+    counted = spark.sparkContext.accumulator(0)
+
+    def spy(*sides):
+        seen.append(sides)
+        note = F.udf(lambda x: counted.add(1) or x, "string").asNondeterministic()
+        value = real(*sides)
+        return F.struct(note(value["relation"]).alias("relation"), value["confidence"].alias("confidence"))
+
+    monkeypatch.setattr(family, "relation", spy)
+    found = family.related_pairs(df.where(number % 2 == 0), df.where(number % 2 == 1), family.EXTENSION, ("likely_extension",)).collect()
+    at = lambda key: int(key.rpartition("/")[2])
+    best = {}
+    for i, r in enumerate(rows):
+        if i % 2:
+            near = max(((linked(p, r), f"doi:10.1/{j}") for j, p in enumerate(rows) if j % 2 == 0 and p[1] != r[1]), default=(0, ""))
+            best |= {i: near} if near[0] else {}
+    assert len(best) >= 20 and {at(r["key"]): (r["confidence"], r["parent"]) for r in found} == best
+    assert seen and counted.value <= 200  # each pair of copies would be over 3000
