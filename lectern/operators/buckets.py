@@ -65,21 +65,24 @@ class BucketTable:
             return self.spark.createDataFrame([], f"{commit.schema}, {BUCKET} int")
         return self.spark.read.schema(f"{commit.schema}, {BUCKET} int").option("basePath", base).parquet(*paths).drop("_set")
 
-    def commit(self, rows: DataFrame, touched: list[int], sort: list[str] = (), per_bucket: int = 1, keep: bool = False, **facts) -> Commit:
+    def commit(self, rows: DataFrame, touched: list[int], sort: list[str] = (), per_bucket: int = 1, keep: bool = False, dealt: bool = False, kept: DataFrame | None = None, **facts) -> Commit:
         """Replace the ``touched`` buckets by ``rows`` (with ``_bucket``, of these buckets alone); a touched bucket without rows becomes empty.
 
         ``keep``: add the rows to what the buckets hold.
 
         ``sort``: order within a bucket's files, for statistics that leave out parts of a file;
-        ``per_bucket``: tasks that write a bucket.
+        ``per_bucket``: tasks that write a bucket; ``dealt``: the rows' partitions already hold whole buckets or few parts of them.
+        ``kept``: more rows of these buckets, as read from this table, that are written by the tasks that read them.
         """
         before = self.last()
         if not before.schema or touched:
             name, schema = uuid.uuid4().hex, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != BUCKET)
             deal = [F.col(BUCKET)] + ([F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c != BUCKET)), F.lit(per_bucket))] if per_bucket > 1 else [])
-            dealt = rows.repartition(max(1, len(touched) * per_bucket), *deal).sortWithinPartitions(BUCKET, *sort)
+            placed = rows if dealt else rows.repartition(max(1, len(touched) * per_bucket), *deal)
             path = f"{self.folder}/data/_set={name}"
-            dealt.write.partitionBy(BUCKET).parquet(path)
+            placed.sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(path)
+            if kept is not None:
+                kept.select(*rows.columns).sortWithinPartitions(BUCKET, *sort).write.mode("append").partitionBy(BUCKET).parquet(path)
             written = {int(x.partition("=")[2]) for x in self._children(path) if x.startswith(f"{BUCKET}=")}
             if extra := written - set(touched):
                 raise ValueError(f"rows of buckets that the commit doesn't touch: {sorted(extra)[:5]}")

@@ -59,6 +59,26 @@ def test_updates_rewrite_the_buckets_that_they_touch(spark, tmp_path):
     same(spark, now, folder)
 
 
+def test_updates_shuffle_texts_and_no_postings(spark, tmp_path, monkeypatch):
+    """Words meet in their record's task, what stays is copied by the tasks that read it, and every so many updates a bucket's files become one."""
+    papers, folder = records(spark), f"file://{tmp_path}/i"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(index.postings(papers))
+    rows = spark.range(-300, 300).withColumnRenamed("id", "position")
+    left = index.without(rows, rows.where("position % 7 = 0 OR position = 63"))
+    assert {r[0] for r in left.collect()} == {i for i in range(-300, 300) if i % 7 and i != 63}
+    assert "Exchange hashpartitioning" not in plan(left) and "SortMergeJoin" not in plan(left)
+    index.build(papers, folder, size=40)
+    monkeypatch.setattr(index, "COMPACT", 2)
+    for seed, files in ((2, 2), (3, 1)):
+        changed = records(spark, seed=seed).where("position in (3, 44)")
+        papers = papers.where("position not in (3, 44)").unionByName(changed)
+        after = index.update(folder, changed)
+        written = len(list((tmp_path / "i" / "data" / f"_set={after.sets[1][0]}" / f"{BUCKET}=1").glob("*.parquet")))
+        assert written == 1 if files == 1 else written > 1
+    same(spark, papers, folder)
+
+
 def test_empty_index(spark, tmp_path):
     papers = records(spark).limit(0)
     index.build(papers, f"file://{tmp_path}/i")
