@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, keys, scope, scoring, text
 from lectern.operators import cards, collect, conflicts, control, evidence as evidences, family, filters, fusion, ingest, keyword, snapshot, stats, vector
-from lectern.operators.durable import materialize, shared_dir
+from lectern.operators.durable import dealt_by, materialize, shared_dir
 from lectern.plans.catalogue import N, P, T, papers, query, table
 from lectern.plans.query import FIELDS, KeywordQuery, Query
 from lectern.sources import readers, sinks
@@ -207,7 +207,8 @@ SELECT l_orderkey, l_linenumber, coalesce(t, '') AS technology, CASE WHEN k <= 4
 def evidence_snapshots(spark, sf_dir):
     q, n, part = F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_partkey")
     said = F.concat_ws("", F.when(q > 25, "Measured ").otherwise("Simulation of "), q, F.lit(" 每 "), q + n, F.lit(" GHz at "), F.col("l_suppkey") % 300 + 1, F.lit(" K"))
-    rows = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    rows = dealt_by(lines, "l_orderkey", "l_linenumber").select(
         F.struct("l_orderkey", "l_linenumber").alias("line"), said.alias("abstract"), F.when(part % 5 == 0, "A Low-Noise amplifier").otherwise("An antenna").alias("title"),
         F.when(part % 3 == 0, "SiGe").when(part % 3 == 1, "GaAs").alias("technology_process"), F.when(part % 2 == 0, "22-25").alias("lna_band_ghz"),
     )

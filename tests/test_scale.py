@@ -78,3 +78,13 @@ def test_values_of_a_doi_are_made_once(spark):
     assert sorted(r["id"] for r in conflicts.abstract_conflicts(df).collect()) == ["doi_abstract::d2", "doi_abstract::d4"]
     plan = conflicts._variants(df, F.lower(F.regexp_replace("abstract", "x+", "y")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_lines_of_one_row_group_are_read_by_all_cores(spark):
+    """Evidence costs far more a row than a shuffle: lines of a file with one row group don't stay in one task."""
+    from lectern.plans.catalogue import QUERIES
+    from lectern.plans import catalogue_more  # noqa: F401
+
+    found = QUERIES["evidence_snapshots"](spark, "/root/testdata/sf0.001")
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < sum(sizes) / 4
