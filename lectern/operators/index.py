@@ -29,7 +29,7 @@ from lectern.plans.query import FIELDS, KeywordQuery, parse_expression
 #: Record positions of one bucket.
 ROWS = 1_000_000
 #: Record positions that a task turns into postings, and bytes of text that it does at once.
-TASK, PIECE = 20_000, 8_000_000
+TASK, PIECE = 5_000, 8_000_000
 #: Updates after which a bucket's files become one again, and blocks of 64 positions that are sent to all tasks at most.
 COMPACT, BLOCKS = 8, 4_000_000
 #: Whole fields by which records are looked up.
