@@ -117,25 +117,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -700, 700)))
 
 
+def _moments(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Counts, sums and sums of products of each class, of blocks of statistics and labels."""
+    d = len(FEATURES)
+    total = np.zeros((2, 1 + d + d * d))
+    for x, y in blocks:
+        for c in (0, 1):
+            own = x[y == c]
+            total[c] += np.r_[len(own), own.sum(axis=0), (own.T @ own).ravel()]
+    label = np.repeat([0, 1], total.shape[1])
+    at = np.tile(np.arange(total.shape[1]), 2)
+    return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(total.ravel())], ["label", "at", "v"])
+
+
+#: What ``_moments`` gives.
+MOMENTS = "label int, at int, v double"
+
+
 def fit(rows: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) -> Model:
     """Model from ``rows(x, label)`` with label 0 or 1: all of them, by sums in Spark."""
-    d = len(FEATURES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy().reshape(-1, d)
-            y = batch.column("label").to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                own = x[y == c]
-                total[c] += np.r_[len(own), own.sum(axis=0), (own.T @ own).ravel()]
-        label = np.repeat([0, 1], total.shape[1])
-        at = np.tile(np.arange(total.shape[1]), 2)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(total.ravel())], ["label", "at", "v"])
-
-    parts = rows.select("x", "label").mapInArrow(sums, "label int, at int, v double")
+        yield _moments((b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)), b.column("label").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows)
+
+    return _model(rows.select("x", "label").mapInArrow(sums, MOMENTS), pooled, identity)
+
+
+def _model(parts: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) -> Model:
+    """Model from the moments of all parts of the rows."""
+    d = len(FEATURES)
     total = np.zeros((2, 1 + d + d * d))
     for label, at, v in parts.groupBy("label", "at").agg(F.sum("v")).collect():
         total[label, at] = v
@@ -171,8 +181,12 @@ def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 4) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
-    """Model from labelled rows that are not held out, ``rows`` labels at most."""
+def labelled_moments(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> DataFrame:
+    """Moments of the labelled rows that are not held out, ``rows`` labels at most.
+
+    A worker reads a text and adds its statistics up: two functions in a row would keep a second Python worker for
+    each core, which Spark hands to later stages in turn, so that all of them come to hold what only some need.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("known"), F.col("quality").cast("int").alias("label"))
     some = materialize(known.orderBy(F.xxhash64("known"), "known", "label").limit(rows), "quality-labels")
@@ -180,12 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
+        yield _moments((np.array([statistics(t.as_py()) for t in b.column("text")], dtype=float), b.column("label").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows)
         release_memory()
 
-    return fit(own.select("text", "label").mapInArrow(run, "x array<double>, label int"))
+    return own.select("text", "label").mapInArrow(run, MOMENTS)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
+    """Model from labelled rows that are not held out, ``rows`` labels at most."""
+    return _model(labelled_moments(docs, labels, rows))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -116,6 +116,17 @@ def test_bounded_training_sample(spark):
     assert quality.train(docs, labs, rows=40).prior != quality.train(docs, labs).prior or len(quality.train(docs, labs, rows=40).means) == 2
 
 
+def test_training_takes_one_python_worker_a_task(spark):
+    rows, labels = made()
+    docs, labs = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    parts = quality.labelled_moments(docs, labs)
+    plan = parts.groupBy("label", "at").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow|ArrowEvalPython|MapInPandas|BatchEvalPython", plan)) == 1
+    known = [(quality.statistics(dict(rows)[i]), q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    one, whole = quality.train(docs, labs), quality.fit(spark.createDataFrame(known, "x array<double>, label int"))
+    assert np.allclose(one.means, whole.means) and np.allclose(one.factors, whole.factors) and one.prior == whole.prior
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_accuracy_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
