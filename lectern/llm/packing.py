@@ -38,6 +38,8 @@ SLACK = 1 / 128
 CLASSES, WAITING = 32, 256
 #: Words, and pre-tokens, whose ids a Python worker keeps: 30 MB or so each, twice within a task, as the last generation stays.
 CACHE_WORDS = 150_000
+#: Bytes of documents that are encoded together (one Arrow batch at least): their words and parts take many times as much, beside the cache.
+TEXT_BYTES = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -308,7 +310,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, tokeni
             return out
 
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for table in large_batches(batches, 6 << 20):
+        for table in large_batches(batches, TEXT_BYTES):
             for doc_id, ids in zip(table.column("doc_id").to_pylist(), encode(table.column("text"))):
                 for pieces in packer.add(doc_id, ids + end):
                     put(pieces)

@@ -4,12 +4,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import packing
+from lectern.llm.common import large_batches
 
 TEXTS = [None, "", " \n\t", "Hello, World's it'LL <b>", "été Ünï ñ\xa0b\x85c", "á b ́", "<|endoftext|> x", "数字 12ab 3½ ×÷", "word " * 9000, "x" * 3000, "Σας ΣΑΣ", "a\x1cb"]
 
@@ -54,6 +56,12 @@ def test_small_cache_gives_the_same_ids(monkeypatch):
     assert [small.encode(t) for t in (text, text[:100], text)] == [whole, packing.WordTokenizer().encode(text[:100]), whole]
 
 
+def test_few_texts_are_encoded_together():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["word " * 300] * 1000)], ["text"]) for _ in range(4)]
+    tables = list(large_batches(iter(batches), packing.TEXT_BYTES))
+    assert [t.num_rows for t in tables] == [1000] * 4
+
+
 def test_classes_hold_a_fixed_count():
     packer = packing.HarmonicPacker(capacity=100, slack=0.02)
     bins = [b for i in range(40) for b in packer.add(i, bytes(4 * 33))]
