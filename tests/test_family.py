@@ -128,6 +128,32 @@ def test_chains_need_both_legs_and_a_failed_leg_leaves_the_other(spark):
     assert ids(got) == [1000, 1001, 1002, 1003, 1004] and len(got.warnings) == 1 and "no vectors" in got.warnings[0]
 
 
+def test_a_failure_of_the_semantic_leg_does_not_look_like_a_result(spark, monkeypatch):
+    from lectern.plans import catalogue_index
+
+    df = spark.createDataFrame(chain(2), FIELDS)
+    seed = df.where("position = 1000")
+
+    def fails(error):
+        def leg(*_):
+            raise error
+
+        return leg
+
+    with pytest.raises(ValueError, match="wrong shape"):
+        family.corpus_closure(seed, df, fails(ValueError("wrong shape")))
+    with pytest.raises(Exception, match="(?s)no vectors in a task"):
+        family.corpus_closure(seed, df, lambda frontier: frontier.select(F.udf(fails(OSError("no vectors in a task")), "string")("key").alias("key")))
+    with pytest.raises(OSError, match="no vectors"):
+        family.corpus_closure(seed, df, fails(OSError("no vectors")), strict=True)
+    # the registered query returns members only, so no warning would be seen
+    monkeypatch.setattr(catalogue_index, "family_records", lambda *_: df.withColumn("position", F.col("position") - 1000))
+    monkeypatch.setattr(catalogue_index, "table", lambda *_: spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>"))
+    monkeypatch.setattr(family, "vector_neighbours", lambda *_: fails(OSError("no vectors")))
+    with pytest.raises(OSError, match="no vectors"):
+        catalogue_index.corpus_families(spark, "")
+
+
 def test_an_author_of_half_the_rows_forms_no_square(spark):
     """Titles of a frequent author meet by rare words: far fewer pairs than records of the author, squared."""
     rows = [(i, f"study {i} of thing {i % 500} part {i * 7 % 1000}", "", ["Hot One", "Hot Two"], "v", "2020", f"10.1/{i}") for i in range(1000)]
