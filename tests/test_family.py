@@ -154,6 +154,22 @@ def test_a_failure_of_the_semantic_leg_does_not_look_like_a_result(spark, monkey
         catalogue_index.corpus_families(spark, "")
 
 
+def test_a_corpus_judges_each_pair_once_whatever_its_rounds(spark, monkeypatch):
+    rows = chain(6)
+    df = spark.createDataFrame(rows, FIELDS)
+    real, counted = family.relation, spark.sparkContext.accumulator(0)
+
+    def spy(*sides):
+        note = F.udf(lambda x: counted.add(1) or x, "string").asNondeterministic()
+        value = real(*sides)
+        return F.struct(note(value["relation"]).alias("relation"), value["confidence"].alias("confidence"))
+
+    monkeypatch.setattr(family, "relation", spy)
+    got = found(family.corpus_closure(df.where("position = 1000"), df).members)
+    assert got == plain_closure(rows[:1], rows) and max(r[2] for r in got.values()) == 5
+    assert 5 <= counted.value <= 12  # nine pairs of neighbours and next ones; each growth and the closing one judged them anew
+
+
 def test_an_author_of_half_the_rows_forms_no_square(spark):
     """Titles of a frequent author meet by rare words: far fewer pairs than records of the author, squared."""
     rows = [(i, f"study {i} of thing {i % 500} part {i * 7 % 1000}", "", ["Hot One", "Hot Two"], "v", "2020", f"10.1/{i}") for i in range(1000)]

@@ -210,3 +210,26 @@ def test_more_than_a_thousand_queries(spark):
     asked = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(1100)] + [(2000, [0.0, 0.0]), (2001, None)], "query_id long, query_vector array<double>")
     found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vector.top_k_many(e, asked, 2).collect())
     assert found == [(i, k + 1, j) for i in range(1100) for k, j in enumerate((5, 4) if i % 2 else (0, 1))]
+
+
+def test_the_best_rows_of_a_block_are_those_of_a_full_sort():
+    import numpy as np
+
+    from lectern.operators.vector import _Best
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (5000, 4)).astype(float)  # few values: many ties and some zero rows
+    x[1234] = np.nan
+    owners = rng.permutation(5000)
+    units = rng.integers(-2, 3, (30, 4)) + 0.5
+    units /= np.sqrt((units * units).sum(axis=1))[:, None]
+    norms = np.sqrt((x * x).sum(axis=1))
+    for k in (1, 7, 1500):
+        best = _Best(units, k)
+        for s in range(0, 5000, 1000):
+            best.add(x[s : s + 1000], norms[s : s + 1000], owners[s : s + 1000])
+        values, names = best.result()
+        near = np.concatenate([np.where(norms[s : s + 1000] > 0, units @ x[s : s + 1000].T / np.where(norms[s : s + 1000] > 0, norms[s : s + 1000], 1), 0) for s in range(0, 5000, 1000)], axis=1)
+        for q in range(30):
+            order = np.lexsort((owners, -np.nan_to_num(near[q], nan=-np.inf)))[:k]
+            assert names[q].tolist() == owners[order].tolist() and np.array_equal(values[q], near[q][order])
